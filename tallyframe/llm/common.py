@@ -112,3 +112,20 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(where, ends, "left"), prepend=0)
     return h, counts.astype(np.int64)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``cap`` labelled documents of the training folds (crc32(doc_id) mod 3 is not 1).
+
+    The label rows are taken in order of a hash of their id, which bounds what is broadcast; a
+    repeated id counts once, with its largest label; rows with a null id or label take no part.
+    """
+    y = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(3) != 1))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(cap)
+    )
+    return docs_of(docs).join(F.broadcast(y), "doc_id")
