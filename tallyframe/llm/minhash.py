@@ -258,3 +258,14 @@ def link(docs: DataFrame, percent: int = 85, q: int = 4) -> DataFrame:
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+
+
+def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns kept, of which each component keeps its document of least id; rows without an id stay."""
+    links = stored(link(docs, percent), "kept").where("doc_id is not null")
+    out = docs.join(links.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    twice = links.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(twice, "doc_id", "left_anti").unionByName(once)
+    return out.select(*docs.columns)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,3 +182,15 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 3000, threshold: flo
     """doc_id, held_out, score, predicted of every text."""
     out = score(docs, fit(docs, labels, cap))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cap: int = 3000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that score at least the threshold."""
+    net = fit(docs, labels, cap)
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        t = [x if isinstance(x, str) else None for x in text]
+        return pd.Series(np.concatenate([net.score(t[i : i + 256]) for i in range(0, len(t), 256)] or [np.zeros(0)]))
+
+    return docs.where(scored("text") >= threshold)

@@ -99,22 +99,28 @@ def joined(spans: str | Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs``, all columns kept, with found spans of ``text`` replaced by ``mark``; overlapping spans are one.
 
-    Each blob is scanned and rewritten once and joined back to its paths.
+    Each blob is scanned and rewritten once and joined back to its paths; a text without a
+    finding does not go through the join's other side.
     """
+
+    def run(batches):
+        ready = [(r, r.compiled()) for r in rules]
+        for b in batches:
+            blobs, texts = [], []
+            for blob, t in zip(b.column("blob").to_pylist(), b.column("text").to_pylist()):
+                parts, at = [], 0
+                for _, start, end in find(t or "", ready):
+                    if start >= at:
+                        parts += [t[at:start], mark]
+                    at = max(at, end)
+                if parts:
+                    blobs.append(blob)
+                    texts.append("".join([*parts, t[at:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(texts, pa.string())], ["blob", "text"])
+
     columns = docs.columns
-    paths = docs.withColumn("blob", blob_id()) if "blob" not in columns else docs.withColumnRenamed("blob", "__blob").withColumn("blob", blob_id())
-    # Only texts with something to redact go through the join; a path without a finding keeps its text.
-    new = scan_blobs(paths.groupBy("blob").agg(F.first("text").alias("text")), rules)
-    hit = new.where(F.size("spans") > 0).select("blob", "spans")
-    out = paths.join(hit, "blob", "left")
-    pieces = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct(
-            F.when(x.start >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x.start - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], x.end).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pieces)).drop("blob", "spans")
-    return (out.withColumnRenamed("__blob", "blob") if "__blob" in out.columns else out).select(*columns)
+    key, new = "__blob", "__text"
+    paths = docs.withColumn(key, blob_id())
+    clean = paths.groupBy(F.col(key).alias("blob")).agg(F.first("text").alias("text")).mapInArrow(run, "blob binary, text string")
+    out = paths.join(clean.withColumnsRenamed({"blob": key, "text": new}), key, "left")
+    return out.withColumn("text", F.coalesce(new, "text")).select(*columns)
