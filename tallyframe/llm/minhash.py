@@ -13,8 +13,8 @@ cut into blocks of about ``SIDE`` members that meet two by two, so no task holds
 In each round a class proposes its ``q`` nearest partners (by sketches) outside its component;
 confirmed links are merged by star contraction; ``q`` grows until no proposal was cut short and
 none is new. So pairs within a component are never enumerated, and no link between components
-is lost. Pairs whose sketches agree in under ``LEAST`` places are not proposed (at similarity
-0.85 that has probability below 1e-12).
+is lost. A pair is proposed in the first band that it shares, in that alone. Pairs whose sketches agree
+in under ``LEAST`` places are not proposed (at similarity 0.85 that has probability 1e-6).
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than
 five words are one shingle; a null doc_id is not linked and its component is null; rows that
@@ -34,8 +34,8 @@ from .common import docs_of, mix, stored, word_hashes
 
 WORDS = 5
 T, BANDS, ROWS = 120, 24, 5
-LEAST = 72
-SIDE = 512
+LEAST = 82
+SIDE = 1500
 _U = np.uint64
 _SALT = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
@@ -109,16 +109,24 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def _proposals(members: DataFrame, q: int) -> DataFrame:
-    """a, b, more: each member's ``q`` nearest partners of another component in each block pair of rows (key, i, j, side, id, comp, sketch)."""
+    """a, b, more: each member's ``q`` nearest partners of another component in each block pair of rows (key, i, j, side, band, id, comp, sketch)."""
 
-    def pairs(side, ids, comp, marks) -> Iterator[tuple[int, int, bool]]:
+    def pairs(band, side, ids, comp, marks) -> Iterator[tuple[int, int, bool]]:
         x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), T)
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
         if not len(left) or not len(right) or (comp == comp[0]).all():
             return
         same = np.zeros((len(left), len(right)), np.int16)
-        for t in range(T):
-            same += x[left, t][:, None] == x[right, t][None, :]
+        earlier = np.zeros(same.shape, bool)  # pairs that meet in a band before this one
+        for k in range(BANDS):
+            all_ = np.ones(same.shape, bool)
+            for t in range(k * ROWS, (k + 1) * ROWS):
+                equal = x[left, t][:, None] == x[right, t][None, :]
+                same += equal
+                all_ &= equal
+            if k < band:
+                earlier |= all_
+        same[earlier] = 0
         same[comp[left][:, None] == comp[right][None, :]] = 0
         for m, own, other in ((same, left, right), (same.T, right, left)):
             for k in np.flatnonzero((m >= LEAST).any(1)):
@@ -137,9 +145,9 @@ def _proposals(members: DataFrame, q: int) -> DataFrame:
         def work(table: pa.Table) -> pa.RecordBatch:
             where = np.stack([table.column(c).to_numpy() for c in names])
             cut = np.append(np.flatnonzero(np.any(np.diff(where, axis=1, prepend=where[:, :1] - 1), axis=0)), table.num_rows)
-            side, ids, comp = (table.column(c).to_numpy() for c in ("side", "id", "comp"))
+            band, side, ids, comp = (table.column(c).to_numpy() for c in ("band", "side", "id", "comp"))
             marks = table.column("sketch").to_pylist()
-            found = {p for s, e in zip(cut, cut[1:]) if e - s > 1 for p in pairs(side[s:e], ids[s:e], comp[s:e], marks[s:e])}
+            found = {p for s, e in zip(cut, cut[1:]) if e - s > 1 for p in pairs(band[s], side[s:e], ids[s:e], comp[s:e], marks[s:e])}
             rows = sorted(found)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["a", "b", "more"])
 
@@ -208,18 +216,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()).distinct()
 
 
-def link(docs: DataFrame, percent: int = 85, q: int = 4) -> DataFrame:
+def link(docs: DataFrame, percent: int = 85, q: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     profile = stored(profiles(docs), "profiles")
     sure = profile.where("n_shingles > 0 and doc_id is not null")
     # Rows that share an id meet in its least class; their sets are otherwise told apart.
     classes = sure.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    keyed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("low")).where("n > 1")
-    # Bands that gather the same classes are one bucket.
-    buckets = buckets.groupBy("n", "who", "low").agg(F.min("key").alias("key")).select("key", "n")
-    members = stored(keyed.join(buckets, "key"), "members")
+    keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("low")).where("n > 1")
+    # Bands that gather the same classes are one bucket, the first of them.
+    buckets = buckets.groupBy("n", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
+    members = stored(keyed.join(buckets, ["band", "key"]), "members")
     comp = classes.select("id", F.col("id").alias("comp")).limit(0)
     edges = tested = None
     sets = None
@@ -230,7 +238,7 @@ def link(docs: DataFrame, percent: int = 85, q: int = 4) -> DataFrame:
             own = own.join(mixed, "key")
         parts = F.ceil(F.col("n") / SIDE)
         blocks = own.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        blocks = blocks.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "id", "comp")
+        blocks = blocks.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "band", "id", "comp")
         found = _proposals(blocks.join(classes.select("id", "sketch"), "id"), q)
         if tested is not None:
             found = found.join(tested.withColumn("known", F.lit(True)), ["a", "b"], "left")
