@@ -9,12 +9,13 @@ similarity 0.85 meets in none with probability (1 - 0.85**5)**24, below 1e-6. Ev
 confirmed on full sets.
 
 The work is by classes of equal sets, so exact copies, however many, are one row. Buckets are
-cut into blocks of about ``SIDE`` members that meet two by two, so no task holds a bucket.
-In each round a class proposes its ``q`` nearest partners (by sketches) outside its component;
-confirmed links are merged by star contraction; ``q`` grows until no proposal was cut short and
-none is new. So pairs within a component are never enumerated, and no link between components
-is lost. A pair is proposed in the first band that it shares, in that alone. Pairs whose sketches agree
-in under ``LEAST`` places are not proposed (at similarity 0.85 that has probability 1e-6).
+cut into blocks of bounded size that meet two by two, so no task holds a bucket. Where two blocks
+meet, pairs are taken in order of their sketches' agreement; a pair whose members are already
+connected there is passed over, any other is decided on full sets, and only links that connect
+are returned: a spanning forest, so rows grow with the members, not with the pairs, and no link
+between components is lost. The forests are merged by star contraction. A pair is looked at in
+the first band that it shares, in that alone. Pairs whose sketches agree in under ``LEAST``
+places are passed over (at similarity 0.85 that has probability 1e-6).
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than
 five words are one shingle; a null doc_id is not linked and its component is null; rows that
@@ -35,7 +36,7 @@ from .common import docs_of, mix, stored, word_hashes
 WORDS = 5
 T, BANDS, ROWS = 120, 24, 5
 LEAST = 82
-SIDE = 1500
+SIDE, SHINGLES = 1500, 600_000  # members and shingles of a block
 _U = np.uint64
 _SALT = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
@@ -84,6 +85,10 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _identity(g: np.ndarray) -> tuple[int, int]:
+    return int(g.sum(dtype=np.uint64).astype(np.int64)), int(mix(g ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit identity (one, two), bands and sketch of every text."""
 
@@ -95,8 +100,9 @@ def profiles(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for g in shingle_sets(texts[i : i + 500]):
                         n.append(len(g))
-                        one.append(int(g.sum(dtype=np.uint64).astype(np.int64)))
-                        two.append(int(mix(g ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                        x, y = _identity(g)
+                        one.append(x)
+                        two.append(y)
                         s = sketch(g) if len(g) else None
                         keys.append(None if s is None else bands(s))
                         marks.append(None if s is None else s.astype("<u2").tobytes())
@@ -108,90 +114,101 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs_of(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary")
 
 
-def _proposals(members: DataFrame, q: int) -> DataFrame:
-    """a, b, more: each member's ``q`` nearest partners of another component in each block pair of rows (key, i, j, side, band, id, comp, sketch)."""
-
-    def pairs(band, side, ids, comp, marks) -> Iterator[tuple[int, int, bool]]:
-        x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), T)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
-        if not len(left) or not len(right) or (comp == comp[0]).all():
-            return
-        same = np.zeros((len(left), len(right)), np.int16)
-        earlier = np.zeros(same.shape, bool)  # pairs that meet in a band before this one
-        for k in range(BANDS):
-            all_ = np.ones(same.shape, bool)
-            for t in range(k * ROWS, (k + 1) * ROWS):
-                equal = x[left, t][:, None] == x[right, t][None, :]
-                same += equal
-                all_ &= equal
-            if k < band:
-                earlier |= all_
-        same[earlier] = 0
-        same[comp[left][:, None] == comp[right][None, :]] = 0
-        for m, own, other in ((same, left, right), (same.T, right, left)):
-            for k in np.flatnonzero((m >= LEAST).any(1)):
-                near = np.flatnonzero(m[k] >= LEAST)
-                more = len(near) > q
-                if more:
-                    near = near[np.lexsort((ids[other[near]], -m[k][near]))[:q]]
-                for y in near:
-                    a, b = sorted((int(ids[own[k]]), int(ids[other[y]])))
-                    yield a, b, more
+def forest(band: int, side: np.ndarray, ids: np.ndarray, marks: list[bytes], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what two blocks hold (or one, with all rows on side 0)."""
+    x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), T)
+    two = side.any()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
+    same = np.zeros((len(left), len(right)), np.int16)
+    earlier = np.zeros(same.shape, bool)  # pairs that meet in a band before this one
+    for k in range(BANDS):
+        all_ = np.ones(same.shape, bool)
+        for t in range(k * ROWS, (k + 1) * ROWS):
+            equal = x[left, t][:, None] == x[right, t][None, :]
+            same += equal
+            all_ &= equal
+        if k < band:
+            earlier |= all_
+    same[earlier] = 0
+    i, j = np.nonzero(same >= LEAST)
+    if not two:
+        i, j = i[i < j], j[i < j]
+    order = np.argsort(-same[i, j], kind="stable")
+    full: dict[int, np.ndarray] = {}
+    of = lambda k: full[k] if k in full else full.setdefault(k, np.frombuffer(sets[k], "<u8"))
+    root = list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        u, v = find(a), find(b)
+        if u == v:
+            continue
+        p, q = of(a), of(b)
+        # The smaller set bounds the intersection.
+        if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+            continue
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        if 100 * both >= percent * (len(p) + len(q) - both):
+            root[u] = v
+            out.append((int(ids[a]), int(ids[b])))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        names = ["key", "i", "j"]
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            where = np.stack([table.column(c).to_numpy() for c in names])
-            cut = np.append(np.flatnonzero(np.any(np.diff(where, axis=1, prepend=where[:, :1] - 1), axis=0)), table.num_rows)
-            band, side, ids, comp = (table.column(c).to_numpy() for c in ("band", "side", "id", "comp"))
-            marks = table.column("sketch").to_pylist()
-            found = {p for s, e in zip(cut, cut[1:]) if e - s > 1 for p in pairs(band[s], side[s:e], ids[s:e], comp[s:e], marks[s:e])}
-            rows = sorted(found)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["a", "b", "more"])
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows:
-                last = [held.column(c)[held.num_rows - 1].as_py() for c in names]
-                same = np.all(np.stack([held.column(c).to_numpy() for c in names]).T == last, axis=1)
-                whole = held.num_rows - int(same.sum())
-                if whole:
-                    yield work(held.slice(0, whole))
-                    held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield work(held)
-
-    out = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id").mapInArrow(run, "a long, b long, more boolean")
-    return out.groupBy("a", "b").agg(F.max("more").alias("more"))
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: the forests of all block pairs of rows (key, i, j, side, band, id, sketch, set)."""
+    names = ["key", "i", "j"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            out = [x.astype("<u8").tobytes() for i in range(0, len(texts), 500) for x in shingle_sets(texts[i : i + 500])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
+        def work() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            band, side, ids = (t.column(c).to_numpy() for c in ("band", "side", "id"))
+            found = forest(int(band[0]), side, ids, t.column("sketch").to_pylist(), t.column("set").to_pylist(), percent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in names])
+            cut = np.concatenate([[0], np.flatnonzero(np.any(np.diff(where, axis=1), axis=0)) + 1, [b.num_rows]])
+            for s, e in zip(cut.tolist(), cut[1:].tolist()):
+                if s == e:
+                    continue
+                own = tuple(where[:, s].tolist())
+                if own != now and held:
+                    yield work()
+                    held = []
+                now = own
+                held.append(b.slice(s, e - s))
+        if held:
+            yield work()
+
+    return members.repartition(*names).sortWithinPartitions(*names, "side", "id").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+def _sets(docs: DataFrame) -> DataFrame:
+    """id, one, two, set: the full set of each text, with its identity."""
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
-            t = b.select(["a", "b"])
-            yield t.filter(pa.array(keep, pa.bool_()))
+            texts = b.column("text").to_pylist()
+            out, one, two = [], [], []
+            for i in range(0, len(texts), 500):
+                with np.errstate(over="ignore"):
+                    for g in shingle_sets(texts[i : i + 500]):
+                        x, y = _identity(g)
+                        one.append(x)
+                        two.append(y)
+                        out.append(g.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(out, pa.binary())], ["id", "one", "two", "set"])
 
-    x, y = sets.withColumnsRenamed({"id": "a", "set": "x"}), sets.withColumnsRenamed({"id": "b", "set": "y"})
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return docs.mapInArrow(run, "id long, one long, two long, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,52 +233,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()).distinct()
 
 
-def link(docs: DataFrame, percent: int = 85, q: int = 2) -> DataFrame:
+def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     profile = stored(profiles(docs), "profiles")
     sure = profile.where("n_shingles > 0 and doc_id is not null")
-    # Rows that share an id meet in its least class; their sets are otherwise told apart.
-    classes = sure.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = sure.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("low")).where("n > 1")
+    keyed = classes.select("id", "one", "two", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.sum(F.xxhash64("one", "two").cast("decimal(38,0)")).alias("who"), F.min("one").alias("low")).where("n > 1")
     # Bands that gather the same classes are one bucket, the first of them.
-    buckets = buckets.groupBy("n", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
-    members = stored(keyed.join(buckets, ["band", "key"]), "members")
-    comp = classes.select("id", F.col("id").alias("comp")).limit(0)
-    edges = tested = None
-    sets = None
-    while True:
-        own = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if edges is not None:
-            mixed = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            own = own.join(mixed, "key")
-        parts = F.ceil(F.col("n") / SIDE)
-        blocks = own.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        blocks = blocks.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "band", "id", "comp")
-        found = _proposals(blocks.join(classes.select("id", "sketch"), "id"), q)
-        if tested is not None:
-            found = found.join(tested.withColumn("known", F.lit(True)), ["a", "b"], "left")
-        else:
-            found = found.withColumn("known", F.lit(None).cast("boolean"))
-        found = stored(found, "proposals")
-        new, cut = found.agg(F.sum(F.col("known").isNull().cast("long")), F.max("more")).first()
-        if not new:
-            if not cut:
-                break
-            q *= 4
-            continue
-        pairs = found.where("known is null").select("a", "b")
-        if sets is None:
-            ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            sets = stored(_sets(docs_of(docs).join(ids, "doc_id", "left_semi")), "sets")
-        links = confirmed(pairs, sets, percent)
-        edges = stored(links if edges is None else edges.unionByName(links), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = components(edges)
-        if not cut:
-            break
-        q *= 4
+    buckets = buckets.groupBy("n", "total", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n", "total")
+    members = stored(keyed.drop("size").join(buckets, ["band", "key"]), "members")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = _sets(docs_of(docs).join(ids, "doc_id", "left_semi")).groupBy("id", "one", "two").agg(F.first("set").alias("set"))
+    sets = stored(sets.join(classes.select("one", "two", "sketch"), ["one", "two"]), "sets")
+    parts = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("total") / SHINGLES))
+    blocks = members.withColumn("own", F.pmod(F.xxhash64("one", "two"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    blocks = blocks.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "band", "id", "one", "two")
+    edges = stored(_links(blocks.join(sets, ["id", "one", "two"]).drop("one", "two"), percent), "links")
+    comp = components(edges)
     out = profile.join(classes.select("one", "two", "id"), ["one", "two"], "left").join(comp, "id", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
