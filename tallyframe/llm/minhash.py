@@ -37,6 +37,7 @@ WORDS = 5
 T, BANDS, ROWS = 120, 24, 5
 LEAST = 82
 SIDE, SHINGLES = 1500, 600_000  # members and shingles of a block
+SLOTS = 1 << 24  # bits of the bitmap that spares texts without a candidate the shuffle: 2 MB
 _U = np.uint64
 _SALT = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
@@ -211,6 +212,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, one long, two long, set binary")
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids``, none of which is lost, without a shuffle of ``docs``.
+
+    The bitmap has ``SLOTS`` bits whatever the input; where it fills up, more rows pass.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    bits = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substr("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return docs.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket").where(hit).select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp: the least id of each node's connected component, by alternating large and small stars.
 
@@ -245,7 +259,8 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = buckets.groupBy("n", "total", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n", "total")
     members = stored(keyed.drop("size").join(buckets, ["band", "key"]), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = _sets(docs_of(docs).join(ids, "doc_id", "left_semi")).groupBy("id", "one", "two").agg(F.first("set").alias("set"))
+    # The exact semi-join is of sets: one of texts would be moved below the bitmap's join.
+    sets = _sets(likely(docs_of(docs), ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").groupBy("id", "one", "two").agg(F.first("set").alias("set"))
     sets = stored(sets.join(classes.select("one", "two", "sketch"), ["one", "two"]), "sets")
     parts = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("total") / SHINGLES))
     blocks = members.withColumn("own", F.pmod(F.xxhash64("one", "two"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))

@@ -320,3 +320,12 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == columns and 0 < docs.count() <= before
     assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, d).collect()} == {r.doc_id for r in docs.collect()}
     assert json.dumps([n for n, _ in p.STAGES]) == '["toxicity", "quality", "near_dedup", "secrets", "packing"]'
+
+
+def test_minhash_bitmap_loses_no_candidate(spark):
+    docs = spark.range(-500, 5000).selectExpr("id as doc_id", "'t' as text")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    some = minhash.likely(docs, ids)
+    assert some.join(ids, "doc_id", "left_semi").count() == ids.count()
+    assert some.count() < ids.count() * 1.1
+    assert minhash.likely(docs, ids.limit(0)).count() == 0
