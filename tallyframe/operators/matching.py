@@ -41,3 +41,29 @@ def bag_difference(existing: DataFrame, incoming: DataFrame, *keys: str) -> Data
     a = existing.groupBy(*keys).agg(F.count("*").alias("stored"))
     b = incoming.groupBy(*keys).agg(F.count("*").alias("incoming"))
     return b.join(a, list(keys), "left").withColumn("inserts", F.col("incoming") - F.coalesce("stored", F.lit(0))).where("inserts > 0").select(*keys, "incoming", "inserts")
+
+
+def near_duplicates(existing: DataFrame, incoming: DataFrame, days: int = 3, cents: int = 200, percent: int = 3) -> DataFrame:
+    """incoming, existing, off: rows (id, account, key, date, cents) alike in account and key, but not in date and amount, within the bounds."""
+    a = existing.select(F.col("id").alias("existing"), "account", "key", F.col("date").alias("ad"), F.col("cents").alias("ac"))
+    b = incoming.select(F.col("id").alias("incoming"), "account", "key", F.col("date").alias("bd"), F.col("cents").alias("bc"))
+    off = F.col("bc") - F.col("ac")
+    near = (F.abs(F.datediff("bd", "ad")) <= days) & ((F.abs(off) <= cents) | (F.abs(off) * 100 <= percent * F.abs("ac")))
+    other = (F.col("ad") != F.col("bd")) | (off != 0)
+    return b.join(a, ["account", "key"]).where(near & other).select("incoming", "existing", off.alias("off"))
+
+
+def refund_candidates(ledger: DataFrame, days: int = 90) -> DataFrame:
+    """debit, credit, gap: opposite amounts at one account and merchant, the credit up to ``days`` after; :func:`assign` by gap pairs them."""
+    d = ledger.where("cents < 0").select(F.col("id").alias("debit"), "account", "merchant", (-F.col("cents")).alias("cents"), F.col("date").alias("dd"))
+    c = ledger.where("cents > 0").select(F.col("id").alias("credit"), "account", "merchant", "cents", F.col("date").alias("cd"))
+    gap = F.datediff("cd", "dd")
+    return d.join(c, ["account", "merchant", "cents"]).where(gap.between(0, days)).select("debit", "credit", gap.alias("gap"))
+
+
+def common_months(ledger: DataFrame) -> DataFrame:
+    """month of every calendar month in which all accounts have rows."""
+    each = ledger.select("account", F.trunc("date", "month").alias("month")).distinct()
+    accounts = ledger.agg(F.count_distinct("account").alias("accounts"))
+    months = each.groupBy("month").agg(F.count("*").alias("accounts"))
+    return months.join(F.broadcast(accounts), "accounts").select("month")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import matching, rules
 from ..sources import ledger
+from . import statements
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(statements.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(statements.ORACLE_SQL)
 
 EVENTS = "SELECT event_id AS id, event_type AS account, CAST(ts AS DATE) AS date, CAST(round(value * 100) AS BIGINT) * (CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) AS cents, user_id AS merchant FROM events"
 ORDERS = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, -CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_custkey AS merchant, o_orderpriority AS category, o_orderstatus = 'P' AS pending FROM orders"
