@@ -26,8 +26,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of least doc_id."""
-    return minhash.dedup(docs)
+    """One document of each group of near copies (Jaccard similarity of word shingles from 0.8 on) stays, the one of least doc_id."""
+    return minhash.dedup(docs, 80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Near-duplicate detection by fast similarity sketching, banding and exact verification.
 
-A document is the set of its distinct 5-word shingles. The sketch has ``T`` coordinates: in round
+A document is the set of its distinct 5-word shingles. The sketch has T coordinates: in round
 i every element is hashed to one coordinate and a value, and a coordinate keeps the least value
-of the first round that reached it; after ``T`` such rounds round T + j sends all elements to
+of the first round that reached it; after T such rounds round T + j sends all elements to
 coordinate j, so every coordinate is filled, and the share of equal coordinates concentrates
-around the Jaccard similarity. ``BANDS`` bands of ``ROWS`` coordinates give buckets: a pair of
-similarity 0.85 meets in none with probability (1 - 0.85**5)**24, below 1e-6. Every link is
-confirmed on full sets.
+around the Jaccard similarity. Bands of ``ROWS`` coordinates give buckets; there are as many bands
+as leave a pair of the least wanted similarity in no common bucket with a probability of ``MISS``
+at most: 24 for 0.85, 35 for 0.8 (:func:`plan`). Every link is confirmed on full sets.
 
 The work is by classes of equal sets, so exact copies, however many, are one row. Buckets are
 cut into blocks of bounded size that meet two by two, so no task holds a bucket. Where two blocks
@@ -14,8 +14,8 @@ meet, pairs are taken in order of their sketches' agreement; a pair whose member
 connected there is passed over, any other is decided on full sets, and only links that connect
 are returned: a spanning forest, so rows grow with the members, not with the pairs, and no link
 between components is lost. The forests are merged by star contraction. A pair is looked at in
-the first band that it shares, in that alone. Pairs whose sketches agree in under ``LEAST``
-places are passed over (at similarity 0.85 that has probability 1e-6).
+the first band that it shares, in that alone. Pairs whose sketches agree in too few places are
+passed over (at the least wanted similarity that too has a probability of ``MISS`` at most).
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than
 five words are one shingle; a null doc_id is not linked and its component is null; rows that
@@ -24,7 +24,9 @@ share a doc_id are one document; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,27 @@ from pyspark.sql import functions as F
 from .common import docs_of, mix, stored, word_hashes
 
 WORDS = 5
-T, BANDS, ROWS = 120, 24, 5
-LEAST = 82
+ROWS, MISS = 5, 1e-6
 SIDE, SHINGLES = 1500, 600_000  # members and shingles of a block
 SLOTS = 1 << 24  # bits of the bitmap that spares texts without a candidate the shuffle: 2 MB
 _U = np.uint64
-_SALT = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
+
+
+@lru_cache
+def plan(percent: int) -> tuple[int, int]:
+    """For links from ``percent`` on: the number of bands, and in how many places two sketches must agree."""
+    p = percent / 100
+    n = 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log1p(-(p**ROWS)))
+    t, below, least = n * ROWS, 0.0, 0
+    while least < t and (below := below + math.comb(t, least) * p**least * (1 - p) ** (t - least)) <= MISS:
+        least += 1
+    return n, least
+
+
+@lru_cache
+def _salts(n: int, factor: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(factor))
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -62,25 +78,26 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def sketch(g: np.ndarray) -> np.ndarray:
-    """The ``T`` filled coordinates of a non-empty set."""
-    out = np.full(T, _U(2**64 - 1))
+def sketch(g: np.ndarray, t: int = 120) -> np.ndarray:
+    """The ``t`` filled coordinates of a non-empty set."""
+    out = np.full(t, _U(2**64 - 1))
+    salt = _salts(2 * t, 0xD1342543DE82EF95)
     done = 0
-    step = max(1, min(T, int(T * 6 / len(g)) + 1))
-    while done < T and out.max() == _U(2**64 - 1):
-        rounds = np.arange(done, min(T, done + step))
+    step = max(1, min(t, int(t * 6 / len(g)) + 1))
+    while done < t and out.max() == _U(2**64 - 1):
+        rounds = np.arange(done, min(t, done + step))
         for r in [rounds] if len(g) * len(rounds) < 1 << 16 else rounds[:, None]:
-            x = mix(g[None, :] + _SALT[r, None])
-            np.minimum.at(out, ((x >> _U(40)) % _U(T)).astype(np.int64).ravel(), (r.astype(np.uint64)[:, None] << _U(56) | (x & _U(2**40 - 1))).ravel())
+            x = mix(g[None, :] + salt[r, None])
+            np.minimum.at(out, ((x >> _U(40)) % _U(t)).astype(np.int64).ravel(), (r.astype(np.uint64)[:, None] << _U(48) | (x & _U(2**40 - 1))).ravel())
         done += len(rounds)
     for j in np.flatnonzero(out == _U(2**64 - 1)):
-        out[j] = _U(T + j) << _U(56) | (mix(g + _SALT[T + j]) & _U(2**40 - 1)).min()
+        out[j] = _U(t + j) << _U(48) | (mix(g + salt[t + j]) & _U(2**40 - 1)).min()
     return mix(out)
 
 
 def bands(s: np.ndarray) -> np.ndarray:
-    x = s.reshape(BANDS, ROWS)
-    key = _BAND
+    x = s.reshape(-1, ROWS)
+    key = _salts(len(x), 0xA0761D6478BD642F)
     for j in range(ROWS):
         key = mix(key + x[:, j])
     return key.astype(np.int64)
@@ -90,8 +107,9 @@ def _identity(g: np.ndarray) -> tuple[int, int]:
     return int(g.sum(dtype=np.uint64).astype(np.int64)), int(mix(g ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit identity (one, two), bands and sketch of every text."""
+    t = plan(percent)[0] * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +122,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                         x, y = _identity(g)
                         one.append(x)
                         two.append(y)
-                        s = sketch(g) if len(g) else None
+                        s = sketch(g, t) if len(g) else None
                         keys.append(None if s is None else bands(s))
                         marks.append(None if s is None else s.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -117,12 +135,13 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def forest(band: int, side: np.ndarray, ids: np.ndarray, marks: list[bytes], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Links that connect what two blocks hold (or one, with all rows on side 0)."""
-    x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), T)
+    n, least = plan(percent)
+    x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), n * ROWS)
     two = side.any()
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
     same = np.zeros((len(left), len(right)), np.int16)
     earlier = np.zeros(same.shape, bool)  # pairs that meet in a band before this one
-    for k in range(BANDS):
+    for k in range(n):
         all_ = np.ones(same.shape, bool)
         for t in range(k * ROWS, (k + 1) * ROWS):
             equal = x[left, t][:, None] == x[right, t][None, :]
@@ -131,7 +150,7 @@ def forest(band: int, side: np.ndarray, ids: np.ndarray, marks: list[bytes], set
         if k < band:
             earlier |= all_
     same[earlier] = 0
-    i, j = np.nonzero(same >= LEAST)
+    i, j = np.nonzero(same >= least)
     if not two:
         i, j = i[i < j], j[i < j]
     order = np.argsort(-same[i, j], kind="stable")
@@ -249,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    profile = stored(profiles(docs), "profiles")
+    profile = stored(profiles(docs, percent), "profiles")
     sure = profile.where("n_shingles > 0 and doc_id is not null")
     classes = sure.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")

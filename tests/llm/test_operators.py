@@ -329,3 +329,33 @@ def test_minhash_bitmap_loses_no_candidate(spark):
     assert some.join(ids, "doc_id", "left_semi").count() == ids.count()
     assert some.count() < ids.count() * 1.1
     assert minhash.likely(docs, ids.limit(0)).count() == 0
+
+
+def test_near_duplicates_between_80_and_85_percent(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows, want = [], []
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(0, 400, 2):
+        a = [f"{i}w{k}" for k in range(r.randint(100, 300))]
+        b = list(a)
+        share = 1.0
+        while share >= 0.85:
+            b[r.randrange(len(b))] = f"v{r.random()}"
+            share = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        want += [i] if share >= 0.8 else [i, i + 1]
+    assert len(want) < 250
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_copies(spark, docs, "").collect()) == want
+    assert minhash.dedup(docs).count() == len(rows)
+
+
+def test_near_duplicate_bounds_follow_the_threshold():
+    assert minhash.plan(85)[0] == 24
+    for percent in (80, 85, 90):
+        n, least = minhash.plan(percent)
+        p, t = percent / 100, n * minhash.ROWS
+        assert (1 - p**minhash.ROWS) ** n <= 1e-6
+        assert sum(math.comb(t, k) * p**k * (1 - p) ** (t - k) for k in range(least)) <= 1e-6
