@@ -96,7 +96,8 @@ def sketch(g: np.ndarray, t: int = 120) -> np.ndarray:
 
 
 def bands(s: np.ndarray) -> np.ndarray:
-    x = s.reshape(-1, ROWS)
+    """The key of each band, of the 16 bits a coordinate that the block pairs see: what agrees there in a band shares its bucket."""
+    x = s.reshape(-1, ROWS) & _U(0xFFFF)
     key = _salts(len(x), 0xA0761D6478BD642F)
     for j in range(ROWS):
         key = mix(key + x[:, j])

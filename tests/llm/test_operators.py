@@ -359,3 +359,12 @@ def test_near_duplicate_bounds_follow_the_threshold():
         p, t = percent / 100, n * minhash.ROWS
         assert (1 - p**minhash.ROWS) ** n <= 1e-6
         assert sum(math.comb(t, k) * p**k * (1 - p) ** (t - k) for k in range(least)) <= 1e-6
+
+
+def test_an_earlier_band_had_a_bucket_for_the_pair():
+    a = minhash.sketch(np.arange(1, 200, dtype=np.uint64))
+    b = a.copy()
+    b[3] ^= np.uint64(1 << 40)  # a collision of the 16 bits that are kept
+    b[7] ^= np.uint64(1)
+    same = (a.astype("<u2") == b.astype("<u2")).reshape(-1, minhash.ROWS).all(axis=1)
+    assert ((minhash.bands(a) == minhash.bands(b)) == same).all() and same[0] and not same[1]
