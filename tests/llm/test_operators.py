@@ -368,3 +368,19 @@ def test_an_earlier_band_had_a_bucket_for_the_pair():
     b[7] ^= np.uint64(1)
     same = (a.astype("<u2") == b.astype("<u2")).reshape(-1, minhash.ROWS).all(axis=1)
     assert ((minhash.bands(a) == minhash.bands(b)) == same).all() and same[0] and not same[1]
+
+
+def test_toxicity_reads_single_doubles_and_short_words(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(900):
+        words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(40)]
+        rows.append((i, " ".join(words + ([["moronic"], ["vug"], ["zembly", "zemkit", "zempor"]][i % 3] if i % 5 == 0 else []))))
+    disguised = ["so mooronic", "so moronnic", "so v|_|g vu9", "so v u g ,", "so v.u.g", "so vuuug", "so vugg", "so z3mbly", "so zeembly", "so zemmkit"]
+    clean = ["so hoorse", "so seeen 4 5 5", "so 4.0 a.b x@y.de", "so v u", "to and 9 9 9 v", "so snoot three assess"]
+    table = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(disguised)] + [(2000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.classify(table, y).collect()}
+    assert all(got[i] == (i % 5 == 0) for i in range(900))
+    assert [t for i, t in enumerate(disguised) if not got[1000 + i]] == []
+    assert [t for i, t in enumerate(clean) if got[2000 + i]] == []
