@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-The base patterns give seed entities. Every identifier-like token (one with a digit or an @) is
-an instance, and the word before and the word after it are its lexical patterns. A pattern's
+The base patterns give seed entities. Every identifier-like token (one with a digit or an @) that
+meets none is an instance, and the word before and the word after it, or after the whole of a seed, are its
+lexical patterns. Tokens under ``NAME`` characters are too common to be the same thing wherever they
+stand, so those are one instance by the two words around them, longer ones by their written form. A pattern's
 confidence is the summed confidence of the instances it stands by, over all its occurrences in
 the corpus; an instance's is one minus the product of its patterns' doubts, seeds being sure.
 Both are scored in turn over the pattern-instance graph; patterns of high confidence discover
 instances that no base pattern knows, which are added as spans of kind ``context``.
 
-Only patterns seen with at least ``1 / SLOTS`` of the seed slots (three at least) are scored, so
-there are at most ``SLOTS`` of them, whatever the size of the corpus; they are what is broadcast.
+Patterns seen with ``LEAST`` seeds are scored, however many they are; patterns, instances and their
+edges meet in shuffle joins, in which frequent keys are dealt over ``SALT`` tasks.
 
 The patterns below are the contract's, written with possessive loops and with starts only where
 a match can start, so that a long run costs no more than its length; they find the same matches.
@@ -37,8 +39,9 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 BYTE = r"^0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])?$"
-SLOTS = 5000
+LEAST, SALT = 3, 16
 BLOCK = 256  # matches whose places are summed together
+NAME = 6  # characters from which a written form stands for one thing
 ROUNDS, SURE = 3, 0.8
 _SPAN = "array<struct<start: int, end: int, value: string, left: string, right: string>>"
 
@@ -47,10 +50,19 @@ def pieces(text: Column, pattern: str, context: bool = False) -> Column:
     """gap, value of the leftmost non-overlapping matches, gap being the length of the text between; with ``context`` also the words around."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    word = lambda c, p: F.lower(F.regexp_extract(c, p, 1)) if context else F.lit("")
-    # The text between, the match, and the text after it, side by side.
-    zipped = F.arrays_zip(between.alias("0"), found.alias("1"), F.slice(between, 2, 1 << 30).alias("2") if context else F.array().cast("array<string>").alias("2"))
-    each = F.transform(zipped, lambda x: F.struct(F.length(x["0"]).alias("gap"), x["1"].alias("value"), word(x["0"], r"(\S++)\s++$").alias("left"), word(x["2"], r"^\s++(\S++)").alias("right")))
+    if context:
+        # The text between, the match, and the text after it, side by side, with the match and text before and after those.
+        none = F.array(F.lit(""))
+        zipped = F.arrays_zip(between.alias("0"), found.alias("1"), F.slice(between, 2, 1 << 30).alias("2"), F.concat(none, between).alias("3"), F.concat(none, found).alias("4"), F.slice(found, 2, 1 << 30).alias("5"), F.slice(between, 3, 1 << 30).alias("6"))
+        text_of = lambda *c: F.concat(*(F.coalesce(x, F.lit("")) for x in c))
+        word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
+        # The word before and the word after the white-space tokens that the match lies in.
+        left = lambda x: word(F.when(x["0"].rlike(r"\s\S++\s"), x["0"]).otherwise(text_of(x["3"], x["4"], x["0"])), r"(?<!\S)(\S++)\s++\S*+\z")
+        right = lambda x: word(F.when(x["2"].rlike(r"\s\S++\s"), x["2"]).otherwise(text_of(x["2"], x["5"], x["6"])), r"^\S*+\s++(\S++)")
+    else:
+        zipped = F.arrays_zip(between.alias("0"), found.alias("1"))
+        left = right = lambda x: F.lit("")
+    each = F.transform(zipped, lambda x: F.struct(F.length(x["0"]).alias("gap"), x["1"].alias("value"), left(x).alias("left"), right(x).alias("right")))
     return F.filter(each, lambda x: x["value"].isNotNull())
 
 
@@ -90,11 +102,11 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans() -> Column:
-    """start, kind (its place in KINDS), end of the base matches, in order, from the stored pieces of each kind."""
+    """start, kind (its place in KINDS), end, left, right of the base matches, in order, from the stored pieces of each kind."""
 
     def spans(i: int, kind: str) -> Column:
         found = F.filter(placed(kind), lambda m: valid(kind, m["value"]))
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end")))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["left"].alias("left"), m["right"].alias("right")))
 
     return F.array_sort(F.concat(*(spans(i, kind) for i, kind in enumerate(KINDS[:4]))))
 
@@ -105,30 +117,46 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def discovered(instances: DataFrame, words: DataFrame) -> DataFrame:
+def _sides(rows: DataFrame, *columns: str) -> DataFrame:
+    """side, word of each pattern beside rows with left and right."""
+    sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("p")
+    return rows.select(*columns, sides).select(*columns, "p.side", "p.word").where("word <> ''")
+
+
+def _salted(many: DataFrame, by: str, one: DataFrame, on: list[str]) -> DataFrame:
+    """``many`` joined to ``one``, which has each key once; a frequent key's rows are dealt over ``SALT`` tasks by ``by``."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(one.select("*", each), [*on, "salt"]).drop("salt")
+
+
+def discovered(instances: DataFrame, seeds: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, mark, start, end of instances that trusted patterns found.
 
-    ``instances``: doc_id, mark, start, end, value, left, right, seed; ``words``: the corpus, a row (word) each.
+    ``instances``: doc_id, mark, start, end, value, left, right of tokens outside seeds; ``seeds``: left, right; ``words``: the corpus, a row (word) each.
     """
-    sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("p")
-    slots = instances.select("value", "seed", sides).select("value", "seed", "p.side", "p.word").where("word <> ''")
-    seeds = instances.where("seed").count()
-    least = max(3, -(-2 * seeds // SLOTS))
-    patterns = slots.where("seed").groupBy("side", "word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("side", "word")
-    patterns = stored(patterns, "patterns")
-    wanted = F.broadcast(patterns.select("word").distinct().limit(SLOTS))
-    uses = stored(words.join(wanted, "word").groupBy("word").agg(F.count("*").alias("uses")), "uses")
-    patterns = F.broadcast(patterns.join(uses, "word").limit(SLOTS))
-    # An edge of the graph is a pattern, an instance (its written form) and how often they meet.
-    edges = stored(slots.join(patterns, ["side", "word"]).groupBy("value", "side", "word", "uses").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    belief = edges.withColumn("trust", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        scored = belief.groupBy("side", "word").agg((F.sum(F.col("trust") * F.col("n")) / (F.max("uses") + 1)).alias("score"))
-        told = edges.join(F.broadcast(scored.limit(SLOTS)), ["side", "word"])
-        value = told.groupBy("value").agg((1 - F.product(1 - F.least("score", F.lit(0.999)))).alias("found"))
-        belief = stored(told.join(value, "value").select("value", "side", "word", "uses", "n", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust")), "belief")
-    trusted = belief.where(~F.col("seed") & (F.col("trust") >= SURE)).select("value").distinct()
-    return instances.where("not seed").join(trusted, "value").select("doc_id", "mark", "start", "end")
+    sides = stored(_sides(seeds), "sides")
+    least = max(LEAST, -(-2 * sides.count() // 10000))
+    sure = sides.groupBy("side", "word").agg(F.count("*").alias("sure")).where(F.col("sure") >= least)
+    uses = words.groupBy("word").agg(F.count("*").alias("uses"))
+    patterns = stored(sure.join(uses, "word"), "patterns")
+    # An instance's name; one with white space in it is of the words around.
+    name = F.when(F.length("value") >= NAME, F.col("value")).otherwise(F.concat(F.lit(" "), "left", F.lit(" "), "right"))
+    instances = instances.withColumn("value", name)
+    # An edge of the graph is a pattern, an instance and how often they meet.
+    edges = _sides(instances, "value").groupBy("value", "side", "word").agg(F.count("*").alias("n"))
+    edges = stored(_salted(edges, "value", patterns.select("side", "word"), ["side", "word"]), "edges")
+    scored = patterns.select("side", "word", (F.col("sure") / (F.col("uses") + 1)).alias("score"))
+    for k in range(ROUNDS):
+        told = _salted(edges, "value", scored, ["side", "word"])
+        value = told.groupBy("value").agg((1 - F.product(1 - F.least("score", F.lit(0.999)))).alias("trust"))
+        value = stored(value, "trust")
+        if k < ROUNDS - 1:
+            # A name has one edge a pattern at most, however often it stands there.
+            met = edges.join(value, "value").groupBy("side", "word").agg(F.sum(F.col("trust") * F.col("n")).alias("more"))
+            scored = patterns.join(met, ["side", "word"], "left").select("side", "word", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / (F.col("uses") + 1)).alias("score"))
+            scored = stored(scored, "scored")
+    trusted = value.where(F.col("trust") >= SURE).select("value")
+    return _salted(instances, "start", trusted, ["value"]).select("doc_id", "mark", "start", "end")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -136,16 +164,18 @@ def scan(docs: DataFrame) -> DataFrame:
     text = docs_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<struct<gap: int, value: string, left: string, right: string>>")
     t = F.col("text")
-    cut = [F.when(t.rlike(HINTS[k]), pieces(t, PATTERNS[k])).otherwise(none).alias(k) for k in KINDS[:4]]
+    cut = [F.when(t.rlike(HINTS[k]), pieces(t, PATTERNS[k], True)).otherwise(none).alias(k) for k in KINDS[:4]]
     cut.append(F.when(t.rlike("[0-9@]"), pieces(t, TOKEN, True)).otherwise(none).alias("tokens"))
     found = stored(text.select("doc_id", F.xxhash64("text").alias("mark"), *cut), "pieces")
-    found = stored(found.select("doc_id", "mark", base_spans().alias("base"), placed("tokens").alias("tokens")), "found")
+    found = stored(found.select("doc_id", "mark", base_spans().alias("seeds"), placed("tokens").alias("tokens")), "found")
+    seeds = found.select(F.explode("seeds").alias("s")).select("s.left", "s.right")
+    bare = F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    found = found.select("doc_id", "mark", bare.alias("base"), "tokens")
     each = found.select("doc_id", "mark", "base", F.explode("tokens").alias("t"))
-    each = each.where(F.length("t.value") >= 6)
     inside = F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    instances = each.select("doc_id", "mark", "t.start", "t.end", "t.value", "t.left", "t.right", inside.alias("seed"))
+    instances = each.where(~inside).select("doc_id", "mark", "t.start", "t.end", "t.value", "t.left", "t.right")
     words = text.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    more = discovered(instances, words).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.col("start"), F.lit(KINDS.index("context")).alias("kind"), F.col("end"))).alias("more"))
+    more = discovered(instances, seeds, words).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.col("start"), F.lit(KINDS.index("context")).alias("kind"), F.col("end"))).alias("more"))
     a, b = found.select("doc_id", "mark", "base").alias("a"), more.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark")), "left")
     return both.select("a.doc_id", "a.base", F.when(F.col("b.more").isNull(), F.col("a.base")).otherwise(F.array_sort(F.concat("a.base", "b.more"))).alias("spans"))

@@ -384,3 +384,20 @@ def test_toxicity_reads_single_doubles_and_short_words(spark):
     assert all(got[i] == (i % 5 == 0) for i in range(900))
     assert [t for i, t in enumerate(disguised) if not got[1000 + i]] == []
     assert [t for i, t in enumerate(clean) if got[2000 + i]] == []
+
+
+def test_personal_data_context_left_of_spaced_seeds(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(9))
+    rows = [(i, f"{word()} tel: +1 (619) 555-{i:04d} {word()}") for i in range(40)]
+    rows += [(100 + i, f"{word()} {word()} card-no {c} {word()}") for i, c in enumerate(["4111 1111 1111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4111-1111 1111-1111"] * 20)]
+    rows += [(200, "xa tel: 0619/555000 xb"), (201, "xc card-no AB99/1234 xd"), (202, "xe tel: 9x3 xf"), (203, "xg 9x3 xh 77/123456 xi")]
+    got = {x.doc_id: x for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(s.start, s.end) for s in got[i].spans if s.kind == 4] for i in range(200, 204)] == [[(8, 19)], [(11, 20)], [(8, 11)], []]
+    assert not any(got[i].base for i in range(200, 204))
+
+
+def test_personal_data_words_around_whole_matches(spark):
+    texts = ["a tel: +1 (619) 555-0001, and b", "ab (+1 (619) 555-0001) +1 (619) 555-0002", "+1 (619) 555-0001", "x" * 70000 + " +1 (619) 555-0001\n", "A b\n+1 (619) 555-0001 c"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(pii.pieces(F.col("t"), pii.PATTERNS["phone"], True).alias("p")).collect()
+    assert [[(m.left[:9], m.right) for m in x.p] for x in got] == [[("tel:", "and")], [("ab", "+1"), ("555-0001)", "")], [("", "")], [("x" * 9, "")], [("b", "c")]]
