@@ -134,9 +134,7 @@ def discovered(instances: DataFrame, seeds: DataFrame, words: DataFrame) -> Data
 
     ``instances``: doc_id, mark, start, end, value, left, right of tokens outside seeds; ``seeds``: left, right; ``words``: the corpus, a row (word) each.
     """
-    sides = stored(_sides(seeds), "sides")
-    least = max(LEAST, -(-2 * sides.count() // 10000))
-    sure = sides.groupBy("side", "word").agg(F.count("*").alias("sure")).where(F.col("sure") >= least)
+    sure = _sides(seeds).groupBy("side", "word").agg(F.count("*").alias("sure")).where(F.col("sure") >= LEAST)
     uses = words.groupBy("word").agg(F.count("*").alias("uses"))
     patterns = stored(sure.join(uses, "word"), "patterns")
     # An instance's name; one with white space in it is of the words around.

@@ -401,3 +401,10 @@ def test_personal_data_words_around_whole_matches(spark):
     texts = ["a tel: +1 (619) 555-0001, and b", "ab (+1 (619) 555-0001) +1 (619) 555-0002", "+1 (619) 555-0001", "x" * 70000 + " +1 (619) 555-0001\n", "A b\n+1 (619) 555-0001 c"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(pii.pieces(F.col("t"), pii.PATTERNS["phone"], True).alias("p")).collect()
     assert [[(m.left[:9], m.right) for m in x.p] for x in got] == [[("tel:", "and")], [("ab", "+1"), ("555-0001)", "")], [("", "")], [("x" * 9, "")], [("b", "c")]]
+
+
+def test_personal_data_patterns_do_not_depend_on_other_seeds(spark):
+    logs = spark.range(1000, 41000).selectExpr("id as doc_id", "concat('host 10.0.', id % 250, '.7 up') as text")
+    rows = [(i, f"w{i}x tel: +1 (619) 555-{i:04d} y{i}z") for i in range(12)] + [(50, "w tel: 0619/555000 y")]
+    docs = logs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [s.kind for s in pii.scan(docs).where("doc_id = 50").first().spans] == [4]
