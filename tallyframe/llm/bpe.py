@@ -1,10 +1,16 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer.
 
-``Model.lookahead`` is computed from the merge list: the farthest that unknown bytes to the
-right of a text can change where its tokens end. A boundary at least that far from the end of
-the bytes seen so far is final, so a run of any length is encoded through a window of fixed
-size: merge the window, emit the tokens that end before the lookahead, keep the rest.
-Short words are merged once and remembered in a table of bounded size.
+Every text goes through a :class:`Transducer`, fed block after block. It cuts its input into
+words; tokens are stable, and leave, by one of two rules. No merge crosses the end of a word, so
+once the three characters after a word are seen, all its tokens are. Inside a word,
+``Model.lookahead`` is computed from the merge list: the farthest that unknown bytes to the right
+can change where tokens end. A boundary that far from the end of the bytes seen so far is stable,
+so a word of any length passes a window of fixed size (:class:`Run`): merge the window, emit the
+tokens that end before the lookahead, keep the rest. The state is a bounded tail of text or of
+bytes. Words already merged are remembered in a table of bounded size.
+
+Decoding is a state machine from bytes to text (:class:`Utf8Machine`), whose state is the
+unfinished character.
 
 Edge cases: a null text counts as empty; an empty text has no ids; the added tokens of the
 vocabulary file (``<|endoftext|>``) are matched in the text first, as the file asks; decoding
@@ -13,7 +19,6 @@ replaces bytes that are not UTF-8 by U+FFFD.
 
 from __future__ import annotations
 
-import codecs
 import functools
 import hashlib
 import heapq
@@ -221,21 +226,36 @@ class Model:
         return [x for x in ids if x >= 0]
 
     def stream(self, parts: Iterator[bytes]) -> Iterator[list[int]]:
-        """Encode one run given in parts; each list of ids is final when it is yielded."""
-        held = b""
+        """Encode one word given in parts; each list of ids is final when it is yielded."""
+        run = Run(self)
         for part in parts:
-            held += part
-            while len(held) >= self.window:
-                ids, kept, end = self.merge(held[: self.window]), [], 0
-                for i in ids:
-                    if end + len(self.bytes[i]) > self.window - self.lookahead:
-                        break
-                    end += len(self.bytes[i])
-                    kept.append(i)
-                yield kept
-                held = held[end:]
-        if held:
-            yield self.merge(held)
+            yield run.push(part)
+        yield run.close()
+
+
+class Run:
+    """One word, fed in parts; tokens leave once the lookahead behind them is full."""
+
+    def __init__(self, model: Model):
+        self.model, self.held = model, b""
+
+    def push(self, part: bytes) -> list[int]:
+        m, out = self.model, []
+        self.held += part
+        at = 0
+        while len(self.held) - at >= m.window:
+            end = 0
+            for i in m.merge(self.held[at : at + m.window]):
+                if end + len(m.bytes[i]) > m.window - m.lookahead:
+                    break
+                end += len(m.bytes[i])
+                out.append(i)
+            at += end
+        self.held = self.held[at:]
+        return out
+
+    def close(self) -> list[int]:
+        return self.model.merge(self.held) if self.held else []
 
 
 class _Memo(dict):
@@ -246,93 +266,161 @@ class _Memo(dict):
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
-        if len(raw) > SHORT:
-            step = self.model.window
-            return b"".join(np.array(x, "<u4").tobytes() for x in self.model.stream(raw[i : i + step] for i in range(0, len(raw), step)))
-        out = np.array(self.model.merge(raw), "<u4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = out
+        run = Run(self.model)
+        out = np.array(run.push(raw) + run.close(), "<u4").tobytes()
+        if len(raw) <= SHORT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
         return out
 
 
-class Encoder:
-    """Text to ids, in pieces that are final."""
+class Transducer:
+    """Text in blocks to words, all of whose tokens are stable, and to the stable ids of a word that is still open."""
 
-    def __init__(self, path: str):
-        self.model = Model(path)
-        self.memo = _Memo(self.model)
+    BEHIND = 3  # characters after a word that can change where it ends
 
-    def pieces(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, block after block."""
-        special = self.model.special
-        if special is None or not any(x in text for x in self.model.added):
-            yield from self._ordinary(text)
-            return
-        for k, part in enumerate(special.split(text)):
-            if k % 2:
-                yield self.model.added[part].to_bytes(4, "little")
-            elif part:
-                yield from self._ordinary(part)
-
-    def _ordinary(self, text: str) -> Iterator[bytes]:
-        cut = _FAST if _PLAIN.search(text) is None else _general()
-        if len(text) <= BLOCK:
-            yield b"".join(map(self.memo.__getitem__, cut.findall(text)))
+    def __init__(self, model: Model):
+        self.model = model
+        self.held = ""  # text not cut yet
+        self.run: Run | None = None  # the open word
+        self.more: re.Pattern | None = None  # what goes on with it
+        self.mark = max(map(len, model.added), default=1) - 1
+
+    def feed(self, text: str, final: bool = False) -> Iterator[str | bytes]:
+        """Words (str) and ids (bytes, little-endian unsigned 32-bit integers) that are final."""
+        buf, self.held = self.held + text, ""
+        if self.model.special is not None:
+            while m := self.model.special.search(buf):
+                yield from self._cut(buf[: m.start()], True)
+                yield self.model.added[m[0]].to_bytes(4, "little")
+                buf = buf[m.end() :]
+        if final:
+            yield from self._cut(buf, True)
             return
+        # An added token may have begun in the last characters.
+        keep = next((n for n in range(min(self.mark, len(buf)), 0, -1) if any(x.startswith(buf[-n:]) for x in self.model.added)), 0)
+        yield from self._cut(buf[: len(buf) - keep], False)
+        self.held += buf[len(buf) - keep :]
+
+    def _cut(self, buf: str, final: bool) -> Iterator[str | bytes]:
+        cut = _FAST if _PLAIN.search(buf) is None else _general()
         at = 0
-        while at < len(text):
-            stop = min(len(text), at + BLOCK)
-            words, final = [], stop if stop == len(text) else stop - 3  # a word is final if the next three characters can't change it
-            m = None
-            for m in cut.finditer(text, at, stop):
-                if m.end() > final:
+        while at < len(buf) or self.run is not None:
+            if self.run is not None:
+                end = self.more.match(buf, at).end()
+                whole = end == len(buf) and not final
+                # Of white space before a word, or the end of the block, the last sign is left over.
+                stop = max(at, end - 1) if self.more is _blank() and (whole or end < len(buf)) else end
+                ids = self.run.push(buf[at:stop].encode("utf-8", "surrogatepass"))
+                if not whole:
+                    ids += self.run.close()
+                    self.run = None
+                yield np.array(ids, "<u4").tobytes()
+                at = stop
+                if whole:
                     break
-                words.append(m[0])
-            else:
-                m = None
-            if words:
-                yield b"".join(map(self.memo.__getitem__, words))
-                at = m.start() if m else stop
                 continue
-            yield from self._run(cut, text, at)
-            at = self._run_end(cut, text, at)
+            sure, last = len(buf) if final else len(buf) - self.BEHIND, at
+            if sure == len(buf):
+                yield from cut.findall(buf, at)
+                return
+            for m in cut.finditer(buf, at):
+                if m.end() > sure:
+                    break
+                yield m[0]
+                last = m.end()
+            at = last
+            if len(buf) - at <= BLOCK:
+                break
+            # One word fills a block: it is encoded while it is read.
+            self.run, self.more = Run(self.model), next(x for x in _runs() if x.match(buf, at))
+            lead = buf[at] == " " and self.more is not _blank()
+            if lead:
+                self.run.push(b" ")
+                at += 1
+            self.more = self.more if self.more is _blank() else _bare(self.more)
+        self.held = buf[at:]
+
+
+@functools.cache
+def _runs() -> tuple:
+    """What a word that fills a block can be: letters, digits, other signs (all with a blank before), white space."""
+    import regex
+
+    return tuple(regex.compile(p) for p in (r" ?\p{L}+", r" ?\p{N}+", rf" ?[^{_SPACES}\p{{L}}\p{{N}}]+", f"[{_SPACES}]*"))
+
+
+def _blank():
+    return _runs()[3]
 
-    def _run_end(self, cut, text: str, at: int) -> int:
-        """The end of the word that starts at ``at`` and fills a whole block."""
-        return cut.match(text, at).end()
 
-    def _run(self, cut, text: str, at: int) -> Iterator[bytes]:
-        end, step = self._run_end(cut, text, at), self.model.window // 4
-        for ids in self.model.stream(text[i : min(end, i + step)].encode("utf-8", "surrogatepass") for i in range(at, end, step)):
-            yield np.array(ids, "<u4").tobytes()
+@functools.cache
+def _bare(run):
+    """A run's pattern without the blank before, or empty."""
+    import regex
+
+    return regex.compile(run.pattern.removeprefix(" ?")[:-1] + "*")
+
+
+class Encoder:
+    """Text to ids."""
+
+    def __init__(self, path: str):
+        self.model = Model(path)
+        self.memo = _Memo(self.model)
+
+    def _ids(self, items: Iterator[str | bytes]) -> bytes:
+        memo = self.memo
+        return b"".join([x if isinstance(x, bytes) else memo[x] for x in items])
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, block after block."""
+        t = Transducer(self.model)
+        for at in range(0, len(text), BLOCK):
+            yield self._ids(t.feed(text[at : at + BLOCK], at + BLOCK >= len(text)))
 
     def many(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
-        """:meth:`pieces` of each text; the new words of a group of texts are merged at once."""
+        """:meth:`pieces` of each text; the new words of a group of one-block texts are merged at once."""
         for k in range(0, len(texts), GROUP):
             group = [t or "" for t in texts[k : k + GROUP]]
-            cut = [None if len(t) > BLOCK or self.model.special and self.model.special.search(t) else (_FAST if _PLAIN.search(t) is None else _general()).findall(t) for t in group]
-            new: set[str] = set().union(*filter(None, cut))
+            items = [None if len(t) > BLOCK else list(Transducer(self.model).feed(t, True)) for t in group]
+            new: set[str] = {w for x in items if x is not None for w in x if isinstance(w, str)}
             words = [(w, r) for w in new if w not in self.memo and len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
             if len(self.memo) + len(words) > MEMO:
                 self.memo.clear()
                 words = [(w, r) for w in new if len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
             self.memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
-            for t, w in zip(group, cut):
-                yield self.pieces(t) if w is None else iter([b"".join(map(self.memo.__getitem__, w))])
+            for t, x in zip(group, items):
+                yield self.pieces(t) if x is None else iter([self._ids(x)])
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.pieces(text or "")), "<u4")
 
 
 class Utf8Machine:
-    """Bytes to text, block after block; an unfinished character is held back as the state."""
+    """Bytes to text, block after block; the state is the beginning of a character that later bytes may finish."""
+
+    #: First and last second byte of the leads that restrict it.
+    SECOND = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
 
     def __init__(self):
-        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.open = b""
+
+    def _unfinished(self, data: bytes) -> int:
+        for n, byte in enumerate(data[: -min(4, len(data) + 1) : -1], 1):
+            if 0x80 <= byte < 0xC0:
+                continue
+            size = 2 if 0xC2 <= byte < 0xE0 else 3 if 0xE0 <= byte < 0xF0 else 4 if 0xF0 <= byte < 0xF5 else 1
+            low, high = self.SECOND.get(byte, (0x80, 0xBF))
+            return n if n < size and (n < 2 or low <= data[1 - n] <= high) else 0
+        return 0
 
     def feed(self, data: bytes, final: bool = False) -> str:
-        return self.decoder.decode(data, final)
+        data = self.open + data
+        n = 0 if final else self._unfinished(data)
+        self.open = data[len(data) - n :]
+        return data[: len(data) - n].decode("utf-8", "replace")
 
 
 class Decoder:
