@@ -2,10 +2,11 @@
 
 Every document is cut at multiples of the capacity as it is encoded; those pieces fill windows
 by themselves. The rests are gathered into groups of ``group`` windows' worth of tokens, and each
-group is partitioned by multiway differencing, which gives near-equal windows. Where pieces may
-be cut, what a window holds beyond its size is cut off and moved to windows with room, so all
-windows are full; the last group of a partition ends in windows of powers of two, which need no
-padding. Where pieces may not be cut (:func:`windows`), the window count rises until all fit.
+group is partitioned by multiway differencing, which gives near-equal windows; while one holds
+more than the capacity, their number rises and the group is partitioned again (:func:`windows`).
+Since documents may be cut, the near-equal windows are then filled to the brim by moving the
+smallest number of tokens from the last ones (:func:`level`). What is left of a window goes to the
+next group; the last group of a partition ends in windows of powers of two, which need no padding.
 
 A task holds one group of rests at a time, whatever the number or length of the documents, and
 its result depends on its partition alone, so a lost task can run again. No shuffle is needed.
@@ -70,16 +71,17 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Whole items into windows of at most ``capacity``; the window count rises while one is exceeded."""
     if any(s > capacity for s in sizes):
         raise ValueError("an item exceeds the capacity")
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
+    k = -(-sum(sizes) // capacity)
+    while sizes:
         parts = karmarkar_karp(sizes, k)
         if all(sum(sizes[i] for i in p) <= capacity for p in parts):
             return [p for p in parts if p]
         k += 1
+    return []
 
 
 def level(parts: list[list[tuple[int, int, int]]], targets: list[int]) -> list[list[tuple[int, int, int]]]:
-    """Cut what parts (item, start, length) hold beyond their targets and move it to parts with room.
+    """Cut what parts (item, start, length) hold beyond their targets and move it to parts with room; parts without a target are moved whole.
 
     Targets go to parts by size, the largest first, so little moves.
     """
@@ -87,6 +89,7 @@ def level(parts: list[list[tuple[int, int, int]]], targets: list[int]) -> list[l
     parts = sorted((list(p) for p in parts), key=total, reverse=True)
     parts += [[] for _ in range(len(targets) - len(parts))]
     targets = sorted(targets, reverse=True)
+    targets += [0] * (len(parts) - len(targets))
     spare: list[tuple[int, int, int]] = []
     for p, t in zip(parts, targets):
         over = total(p) - t
@@ -134,31 +137,29 @@ class _Packer:
             self._row(doc, s, ids[s : s + self.capacity], n, 0)
             self.sequence += 1
         if whole < n:
-            self.rest.append((doc, whole, n, ids[whole:]))
+            self.rest.append((doc, whole, n, ids[whole:].copy()))  # a view would keep the whole document's ids
             self.held += n - whole
             if self.held >= self.size:
-                doc, start, n, ids = self.rest.pop()
-                keep = len(ids) - (self.held - self.size)
-                self.rest.append((doc, start, n, ids[:keep]))
                 self.flush()
-                if keep < len(ids):
-                    self.rest, self.held = [(doc, start + keep, n, ids[keep:])], len(ids) - keep
 
-    def flush(self) -> None:
-        if not self.rest:
-            return
+    def flush(self, final: bool = False) -> None:
+        """Emit the full windows of the rests; what is left of a window stays for the next group, or ends in powers of two."""
         sizes = [len(x[3]) for x in self.rest]
         full, last = divmod(sum(sizes), self.capacity)
-        targets = [self.capacity] * full + _powers(last)
-        parts = [[(i, 0, sizes[i]) for i in p] for p in karmarkar_karp(sizes, full + bool(last))]
-        for part in level(parts, targets):
+        ends = _powers(last) if final else [last] * bool(last)
+        parts = [[(i, 0, sizes[i]) for i in p] for p in windows(sizes, self.capacity)]
+        rest = []
+        for n, part in enumerate(level(parts, [self.capacity] * full + ends)):
+            if n >= full and not final:
+                rest += [(doc, start + s, tokens, ids[s : s + n_]) for i, s, n_ in part for doc, start, tokens, ids in [self.rest[i]]]
+                continue
             offset = 0
-            for i, s, n in part:
+            for i, s, size in part:
                 doc, start, tokens, ids = self.rest[i]
-                self._row(doc, start + s, ids[s : s + n], tokens, offset)
-                offset += n
+                self._row(doc, start + s, ids[s : s + size], tokens, offset)
+                offset += size
             self.sequence += bool(part)
-        self.rest, self.held = [], 0
+        self.rest, self.held = rest, sum(len(x[3]) for x in rest)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 0, group: int = 64) -> DataFrame:
@@ -178,7 +179,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 0, gro
                 ids = np.frombuffer(b"".join(pieces) + closing.to_bytes(4, "little"), "<u4")
                 packer.add(doc, ids)
             yield out()
-        packer.flush()
+        packer.flush(True)
         yield out()
 
     return docs_of(docs).mapInArrow(run, SCHEMA)
