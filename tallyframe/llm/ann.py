@@ -1,12 +1,13 @@
 """Nearest neighbours by a block matrix join with int8 product tiles.
 
-Vectors are packed into blocks. A query block meets candidate blocks by an equi-join on (dimension,
-group): query blocks are copied to each of a fixed number of groups, candidates are dealt to one.
-Where two blocks meet, the tile of int8 products gives every inner product with a bound on its
-quantisation error; a heap's worth of lower bounds per query gives a threshold, and only pairs
-whose upper bound reaches it survive. Survivors of all groups are cut once more by the threshold
-over all groups, recomputed in double precision from the original vectors, and merged to the
-``k`` best. The bounds are never exceeded, so the result is exact.
+Equal vectors are one class, represented by its least id, so copies, however many, are one row; of
+a class only the ``k + 1`` least ids can be among anyone's ``k`` nearest. Classes are dealt to
+groups and queries to parts, both of bounded size, and every (part, group) cell is one cogrouped
+task: the block matrix join. In a cell, tiles of int8 products give all inner products with a bound
+on their quantisation error. Pairs whose upper bound reaches what the query already has survive;
+they are recomputed in double precision from the original vectors and pushed to the query's heap
+of ``k + 1``. A cell returns its heaps and the heaps of a query's cells are merged, so what leaves
+a task is bounded by its queries. The bounds are never exceeded, so the result is exact.
 
 Edge cases: vectors that are null, zero or hold a null or non-finite component take no part, nor
 do rows with a null id; vectors of unequal dimension never meet; rows that share an id are one
@@ -16,126 +17,133 @@ the smaller id; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import stored
+from .common import hot_join, stored
 
-CANDIDATES, QUERIES = 2048, 512  # vectors in a block
-GROUPS = 24
+CANDIDATES, QUERIES = 2048, 512  # vectors in a tile
+GROUPS = 24  # cells a part at least
+CELL = 64 << 20  # bytes of either side of a cell, about
+PAIRS = 1 << 17  # survivors recomputed at once
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """id, v (array of double): the rows that take part."""
-    v = table.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    """id, v: the rows that take part; v stays in single precision where the table has it."""
+    single = isinstance(table.schema[column].dataType, ArrayType) and isinstance(table.schema[column].dataType.elementType, FloatType)
+    v = table.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>" if single else "array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0))
     return ok.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _blocks(v: DataFrame, size: int) -> DataFrame:
-    """dim, block, ids, tile, scale, slack: int8 rows with, for each, its scale and a bound on its rounding."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column("v")
-            flat = np.asarray(rows.flatten())
-            dims = np.diff(np.asarray(rows.offsets))
-            ids = b.column("id").to_numpy()
-            start = np.cumsum(dims) - dims
-            for d in np.unique(dims).tolist():
-                own = np.flatnonzero(dims == d)
-                for part in np.array_split(own, -(-len(own) // size)):
-                    x = flat[start[part][:, None] + np.arange(d)]
-                    scale = np.abs(x).max(1) / 127
-                    scale[scale == 0] = np.abs(x).max(1)[scale == 0]  # the smallest numbers have no 127th
-                    tile = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
-                    slack = np.linalg.norm(x - tile * scale[:, None], axis=1) * (1 + 1e-9)
-                    columns = [np.int64([d]), np.int64([int(ids[part].min())])]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c) for c in columns), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[part], tile, scale, slack, np.linalg.norm(x, axis=1)))],
-                        ["dim", "block", "ids", "tile", "scale", "slack", "norm"],
-                    )
-
-    return v.mapInArrow(run, "dim long, block long, ids binary, tile binary, scale binary, slack binary, norm binary")
-
-
-def _tiles(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, id, low, high of the pairs of each (query block, group) that may be among the k best."""
-
-    def survivors(low, high, q, c) -> np.ndarray:
-        n = low.shape[1]
-        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
-        return high >= bar[:, None]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-
-        def flush():
-            for low, high, q, c in held.values():
-                keep = survivors(low, high, q, c) & np.isfinite(low)
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[i, j]), pa.array(low[i, j]), pa.array(high[i, j])], ["query_id", "id", "low", "high"])
-
-        last = None
-        for b in batches:
-            for r in b.to_pylist():
-                d = r["dim"]
-                key = (d, r["q_block"], r["group"])
-                if last is not None and key != last:
-                    yield from flush()
-                    held = {}
-                last = key
-                get = lambda n, t=np.float64: np.frombuffer(r[n], t)  # noqa: B023, E731
-                q, c = get("q_ids", np.int64), get("ids", np.int64)
-                # int8 values in float32: sums of products below 2**24 are exact.
-                a, x = get("q_tile", np.int8).reshape(-1, d), get("tile", np.int8).reshape(-1, d)
-                wide = np.float32 if d * 127 * 127 < 1 << 24 else np.float64
-                s = (a.astype(wide) @ x.astype(wide).T).astype(np.float64) * get("q_scale")[:, None] * get("scale")
-                # |q.x - q'.x'| <= |q| |x - x'| + |x'| |q - q'|, and |x'| <= |x| + |x - x'|
-                bound = get("q_norm")[:, None] * get("slack") + get("q_slack")[:, None] * (get("norm") + get("slack"))
-                bound += 1e-9 * get("q_norm")[:, None] * get("norm")
-                low, high = s - bound, s + bound
-                own = q[:, None] == c[None, :]
-                low[own] = high[own] = -np.inf
-                ids = np.broadcast_to(c, low.shape)
-                if key in held:
-                    l0, h0, _, i0 = held[key]
-                    low, high, ids = np.concatenate([l0, low], 1), np.concatenate([h0, high], 1), np.concatenate([i0, ids], 1)
-                # Only what survives stays, as a ragged array filled with -inf.
-                keep = survivors(low, high, q, ids) & np.isfinite(low)
-                n = keep.sum(1)
-                order = np.argsort(~keep, axis=1, kind="stable")[:, : max(1, int(n.max()))]
-                gone = np.arange(order.shape[1]) >= n[:, None]
-                take = lambda m: np.take_along_axis(m, order, 1)  # noqa: B023, E731
-                low, high, ids = take(low), take(high), take(ids)
-                low[gone] = high[gone] = -np.inf
-                held[key] = [low, high, q, ids]
-        yield from flush()
-
-    return pairs.repartition("dim", "q_block", "group").sortWithinPartitions("dim", "q_block", "group", "block").mapInArrow(run, "query_id long, id long, low double, high double")
+class _Side:
+    """Vectors of one side of a cell: as they are, as int8 rows, each row's scale and a bound on its rounding."""
+
+    def __init__(self, table: pa.Table, dim: int):
+        self.n = table.num_rows
+        flat = table.column("v").combine_chunks()
+        self.x = np.asarray(flat.flatten()).reshape(self.n, dim)
+        x = self.x.astype(np.float64)
+        most = np.abs(x).max(1)
+        self.scale = most / 127
+        tiny = self.scale == 0
+        self.scale[tiny] = most[tiny]  # the smallest numbers have no 127th
+        self.tile = np.clip(np.rint(x / self.scale[:, None]), -127, 127).astype(np.int8)
+        self.slack = np.linalg.norm(x - self.tile * self.scale[:, None], axis=1) * (1 + 1e-9)
+        self.norm = np.linalg.norm(x, axis=1)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, added up from the first component to the last."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j].astype(np.float64) * b[:, j].astype(np.float64)
+    return out
+
+
+def heaps(q: _Side, c: _Side, reps: list[int], k: int) -> list[list[tuple[float, int, int]]]:
+    """For each query the ``k`` best (score, -rep, row) of a cell's candidates, as heaps."""
+    dim = q.x.shape[1]
+    wide = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # sums of products below 2**24 are exact
+    best: list[list[tuple[float, int, int]]] = [[] for _ in range(q.n)]
+    bar = np.full(q.n, -np.inf)
+    for s in range(0, c.n, CANDIDATES):
+        tile = c.tile[s : s + CANDIDATES].astype(wide)
+        part = slice(s, s + CANDIDATES)
+        for r in range(0, q.n, QUERIES):
+            own = slice(r, r + QUERIES)
+            dot = (q.tile[own].astype(wide) @ tile.T).astype(np.float64) * q.scale[own, None] * c.scale[part]
+            # |q.x - q'.x'| <= |q| |x - x'| + |x'| |q - q'|, and |x'| <= |x| + |x - x'|
+            bound = q.norm[own, None] * c.slack[part] + q.slack[own, None] * (c.norm[part] + c.slack[part])
+            bound += 1e-9 * q.norm[own, None] * c.norm[part]
+            n = dot.shape[1]
+            floor = bar[own]
+            if n > k:
+                floor = np.maximum(floor, np.partition(dot - bound, n - k, axis=1)[:, n - k])
+            i, j = np.nonzero(dot + bound >= floor[:, None])
+            for at in range(0, len(i), PAIRS):
+                a, b = i[at : at + PAIRS] + r, j[at : at + PAIRS] + s
+                score = products(q.x[a], c.x[b])
+                keep = score >= bar[a]
+                for u, w, x in zip(a[keep].tolist(), b[keep].tolist(), score[keep].tolist()):
+                    item = (x, -reps[w], w)
+                    if len(best[u]) < k:
+                        heapq.heappush(best[u], item)
+                    elif item > best[u][0]:
+                        heapq.heapreplace(best[u], item)
+                    else:
+                        continue
+                    if len(best[u]) == k:
+                        bar[u] = best[u][0][0]
+    return best
+
+
+def _cells(k: int):
+    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+        query, score, ids = [], [], []
+        if q.num_rows and c.num_rows:
+            dim = q.column("dim")[0].as_py()
+            members = c.column("ids")
+            for rep, heap in zip(q.column("rep").to_pylist(), heaps(_Side(q, dim), _Side(c, dim), c.column("rep").to_pylist(), k)):
+                for x, _, row in heap:
+                    query.append(rep)
+                    score.append(x)
+                    ids.append(members[row].as_py())
+        return pa.table({"rep": pa.array(query, pa.int64()), "score": pa.array(score, pa.float64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
+
+    return cell
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", groups: int = GROUPS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of each row whose id is a multiple of ``every``."""
     v = stored(vectors(table, key, column), "vectors")
-    queries = v.where(F.col("id") % every == 0)
-    c = _blocks(v, CANDIDATES).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    q = _blocks(queries.repartition("id"), QUERIES)
-    q = q.select("dim", *(F.col(n).alias(f"q_{n}") for n in ("block", "ids", "tile", "scale", "slack", "norm")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    near = stored(_tiles(q.join(c, ["dim", "group"]), k), "near")
-    # The k-th largest lower bound over all groups.
-    by = Window.partitionBy("query_id")
-    place = F.row_number().over(by.orderBy(F.desc("low"), "id"))
-    near = near.withColumn("place", place).withColumn("bar", F.max(F.when(F.col("place") == k, F.col("low"))).over(by))
-    near = near.where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query_id", "id")
-    pairs = near.join(v.withColumnsRenamed({"v": "x"}), "id").join(v.select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id")
-    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = pairs.select("query_id", F.col("id").alias("vec_id"), product.alias("score"))
-    rank = F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    own = F.col("id") % every == 0
+    total, asking, dim = v.agg(F.count("*"), F.sum(own.cast("long")), F.max(F.size("v"))).first()
+    # A vector takes up to 8 bytes a component, and one more in its tile.
+    rows = max(CANDIDATES, CELL // (9 * (dim or 1)))
+    groups, parts = max(groups, -(-total // rows)), max(1, -(-(asking or 0) // rows))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    least = v.withColumn("place", place).where(F.col("place") <= k + 1)
+    classes = least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = stored(classes.select("v", "ids", F.get("ids", F.lit(0)).alias("rep"), F.size("v").alias("dim")), "classes")
+    queries = stored(hot_join(v.where(own), classes.select("v", "rep"), ["v"], "id").select(F.col("id").alias("query_id"), "rep"), "queries")
+    dealt = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = classes.select(F.col("dim").alias("dim"), dealt("rep", groups, 1).alias("group"), copies(parts).alias("part"), F.col("rep").alias("rep"), "ids", F.col("v").alias("v"))
+    q = classes.join(queries.select("rep").distinct(), "rep", "left_semi").select("dim", copies(groups).alias("group"), dealt("rep", parts, 2).alias("part"), "rep", "v")
+    cell = ["dim", "part", "group"]
+    near = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInArrow(_cells(k + 1), "rep long, score double, ids array<long>")
+    # The heaps of all cells of a class, then its nearest ids; a query's own id is one of k + 1.
+    each = near.select("rep", "score", F.explode("ids").alias("id")).select("rep", F.struct((-F.col("score")).alias("a"), "id").alias("x"))
+    turn = F.row_number().over(Window.partitionBy("rep").orderBy("x"))
+    best = each.withColumn("turn", turn).where(F.col("turn") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("x")).alias("near"))
+    found = hot_join(queries, best, ["rep"], "query_id")
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    out = found.select("query_id", F.posexplode(others).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.a")).alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,14 +10,10 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is absent (local tests) a temporary folder is set for the session.
-    """
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share and which the session must name."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,6 +25,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT, SALTS = 500, 64  # keys that are dealt over several tasks, and over how many
+
+
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which has each key once, with no task left with a frequent key.
+
+    The ``HOT`` most frequent keys of ``many`` are dealt over ``SALTS`` tasks by a hash of the
+    column ``spread``, and their rows of ``one`` copied there; any other key has less than a
+    ``HOT``-th of the rows. What is broadcast is that list, of bounded length.
+    """
+    counts = many.groupBy(*on).agg(F.count("*").alias("hot_n")).where("hot_n > 1000")
+    hot = F.broadcast(counts.orderBy(F.desc("hot_n"), *on).limit(HOT))
+    salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("hot_n").isNotNull(), SALTS - 1).otherwise(0)))
+    a = many.join(hot, on, "left").withColumn("hot_salt", salt).drop("hot_n")
+    b = one.join(hot, on, "left").withColumn("hot_salt", salts).drop("hot_n")
+    return a.join(b, [*on, "hot_salt"], how).drop("hot_salt")
+
+
 def docs_of(df: DataFrame) -> DataFrame:
     """The two columns the operators read; any other column is ignored, whatever its name."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,7 +132,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFr
     """(doc_id, text, y) of at most ``cap`` labelled documents of the training folds (crc32(doc_id) mod 3 is not 1).
 
     The label rows are taken in order of a hash of their id, which bounds what is broadcast; a
-    repeated id counts once, with its largest label; rows with a null id or label take no part.
+    repeated id counts once, with its largest label and, among the rows of ``docs``, its least text;
+    rows with a null id or label take no part.
     """
     y = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -128,4 +143,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(cap)
     )
-    return docs_of(docs).join(F.broadcast(y), "doc_id")
+    return docs_of(docs).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
