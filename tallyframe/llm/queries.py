@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, lm, media, minhash, packing, pii, quality, secrets, toxicity
+from .common import scratch
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ledger(spark: SparkSession) -> secrets.Ledger:
+    """The secret ledger that the session names in spark.tallyframe.secretLedger, else a new one in the shared folder."""
+    return secrets.Ledger(spark, spark.conf.get("spark.tallyframe.secretLedger", None) or scratch(spark, "ledger"))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,7 +65,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    found = secrets.scan(_table(spark, sf_dir, "documents"), ledger(spark))
     base = F.filter("spans", lambda x: x.kind.isin(*secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

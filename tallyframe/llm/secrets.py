@@ -1,13 +1,13 @@
 """Secret scanning over an incremental ledger of content-addressed blobs.
 
 Every text (a version of a path, here a document id) is addressed by the SHA-256 of its bytes.
-The ledger has a row for each (blob, rule version) already scanned, with what was found. A run
-scans only the pairs the ledger lacks, each blob once however many paths hold it, and joins the
-findings back to all paths. Rules are versioned: a new rule set scans all blobs again, an old
-one nothing.
+The ledger (:class:`Ledger`), a stored table, has a row for each (blob, rule version) already
+scanned, with what was found. A run scans only the pairs the ledger lacks, each blob once however
+many paths hold it, appends them, and joins the findings back to all paths. Rules are versioned: a
+new rule set scans all blobs again, an old one nothing.
 
 Edge cases: a null text counts as empty and has no findings; repeated rows each get a row;
-findings are code point offsets, end exclusive.
+findings are code point offsets, end exclusive; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, hot_join
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<kind: string, start: long, end: long>>"
+LEDGER = f"blob binary, rules string, spans {SPANS}"
 
 
 def version(rules: tuple[Rule, ...]) -> str:
@@ -79,16 +82,44 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", "text").mapInArrow(run, f"blob binary, spans {SPANS}")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings of each path: doc_id, blob, spans; the new ledger rows: blob, rules, spans)."""
+class Ledger:
+    """The ledger as a Parquet table (blob, rules, spans) in a folder that all executors share.
+
+    Rows are only appended; a run that fails before its append is done leaves the table as it was.
+    Rows appended twice, by runs at the same time, count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LEDGER)
+
+    def known(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """blob, spans of the blobs that these rules have scanned."""
+        return self.rows().where(F.col("rules") == version(rules)).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("spans"))
+
+    def add(self, found: DataFrame, rules: tuple[Rule, ...]) -> None:
+        found.select("blob", F.lit(version(rules)).alias("rules"), "spans").write.mode("append").parquet(self.path)
+
+
+def update(paths: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan those blobs of ``paths`` (blob, text) that the ledger lacks for these rules, append them to it, and give blob, spans of all it knows."""
+    unseen = paths.groupBy("blob").agg(F.first("text").alias("text")).join(ledger.known(rules), "blob", "left_anti")
+    ledger.add(scan_blobs(unseen, rules), rules)
+    return ledger.known(rules)
+
+
+def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, blob, spans of every path; the ledger gains the pairs of blob and rule version that it lacked."""
     paths = docs_of(docs).withColumn("blob", blob_id())
-    unseen = paths.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        known = ledger.where(F.col("rules") == version(rules)).select("blob", "spans")
-        unseen = unseen.join(known, "blob", "left_anti")
-    new = scan_blobs(unseen, rules)
-    found = new if ledger is None else new.unionByName(known)
-    return paths.select("doc_id", "blob").join(found, "blob").select("doc_id", "blob", "spans"), new.withColumn("rules", F.lit(version(rules)))
+    found = update(paths, ledger, rules)
+    return hot_join(paths.select("doc_id", "blob"), found, ["blob"], "doc_id").select("doc_id", "blob", "spans")
 
 
 def joined(spans: str | Column) -> Column:
@@ -96,31 +127,30 @@ def joined(spans: str | Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs``, all columns kept, with found spans of ``text`` replaced by ``mark``; overlapping spans are one.
+def masked(text: str, spans: list, mark: str) -> str:
+    """The text with each of the spans, in order of their starts, replaced; overlapping spans are one."""
+    parts, at = [], 0
+    for s in spans:
+        start, end = s["start"], s["end"]
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, all columns kept whatever their names, with the spans of ``text`` that :func:`scan` finds replaced by ``mark``.
 
-    Each blob is scanned and rewritten once and joined back to its paths; a text without a
-    finding does not go through the join's other side.
+    Blobs without findings have no row on the join's other side.
     """
 
-    def run(batches):
-        ready = [(r, r.compiled()) for r in rules]
-        for b in batches:
-            blobs, texts = [], []
-            for blob, t in zip(b.column("blob").to_pylist(), b.column("text").to_pylist()):
-                parts, at = [], 0
-                for _, start, end in find(t or "", ready):
-                    if start >= at:
-                        parts += [t[at:start], mark]
-                    at = max(at, end)
-                if parts:
-                    blobs.append(blob)
-                    texts.append("".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(texts, pa.string())], ["blob", "text"])
-
-    columns = docs.columns
-    key, new = "__blob", "__text"
-    paths = docs.withColumn(key, blob_id())
-    clean = paths.groupBy(F.col(key).alias("blob")).agg(F.first("text").alias("text")).mapInArrow(run, "blob binary, text string")
-    out = paths.join(clean.withColumnsRenamed({"blob": key, "text": new}), key, "left")
-    return out.withColumn("text", F.coalesce(new, "text")).select(*columns)
+    @F.pandas_udf("string")
+    def clean(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if x is None else masked(t, x, mark) for t, x in zip(text, spans)], dtype=object)
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).withColumn("blob", blob_id())
+    found = update(rows.select("blob", "text"), ledger, rules).where(F.size("spans") > 0)
+    out = rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    out = hot_join(out, found, ["blob"], "spread", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean("text", "spans"))
+    return out.withColumn("text", text).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

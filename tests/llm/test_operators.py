@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, bpe, lm, media, minhash, packing, pii, quality, secrets, toxicity
+from tallyframe.llm import ann, bpe, lm, media, minhash, packing, pii, quality, queries, secrets, toxicity
 from tallyframe.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,20 +56,23 @@ def test_bpe_streams_in_bounded_windows():
 
 def test_packing_is_whole_and_full(docs, rows, empty, tokenizer):
     got = packing.pack(docs, vocabulary()).collect()
-    want = collections.Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]])
-    sequences = collections.defaultdict(list)
-    tokens = collections.Counter()
+    ids_of = collections.defaultdict(list)
+    for i, t in rows:
+        ids_of[i].append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    sequences, pieces = collections.defaultdict(list), collections.defaultdict(collections.Counter)
     for r in got:
         sequences[r.sequence_id].append(r)
-        tokens[r.doc_id, r.doc_tokens] += r.length
+        # The piece's digest is that of these ids of a document of the id and size.
+        assert any(len(x) == r.doc_tokens and zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids_of[r.doc_id])
+        pieces[r.doc_id, r.doc_tokens].update(range(r.start, r.start + r.length))
     for s in sequences.values():
         s.sort(key=lambda r: r.offset)
         assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))]
         assert (n := sum(r.length for r in s)) <= 1024 and (n == 1024 or n & (n - 1) == 0)
-    expected = collections.Counter()
-    for (i, n, _), k in want.items():
-        expected[i, n] += n * k
-    assert tokens == expected
+    # Each id of each document (of as many as share an id and a size) lies in one piece.
+    sizes = collections.Counter((i, len(x)) for i, xs in ids_of.items() for x in xs)
+    assert set(pieces) == set(sizes)
+    assert all(c == dict.fromkeys(range(n), sizes[i, n]) for (i, n), c in pieces.items())
     assert packing.pack(empty, vocabulary()).count() == 0
 
 
@@ -79,7 +83,16 @@ def test_differencing_balances_and_raises_the_count():
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert sorted(i for p in parts for i in p) == list(range(200)) and max(sums) - min(sums) <= 20
     assert all(sum(sizes[i] for i in p) <= 1000 for p in packing.windows(sizes, 1000))
+    # Two windows would do for the sum; differencing can't, so the count rises.
     assert len(packing.windows([600, 600, 600], 1000)) == 3
+    p = packing._Packer(100, 4, 0)
+    for i in range(9):
+        p.add(i, np.full(60, i, np.uint32))
+    p.flush(True)
+    full = collections.Counter()
+    for row in p.rows:
+        full[row[5]] += row[2]
+    assert sorted(full.values(), reverse=True) == [100] * 5 + [32, 8]
 
 
 def brute_links(rows):
@@ -211,7 +224,7 @@ def test_personal_data_context_discovers_unseen_identifiers(spark):
     assert not got[101].base
 
 
-def test_secrets(docs, rows, empty):
+def test_secrets(spark, docs, rows, empty, tmp_path):
     def brute(t):
         t, out = t or "", []
         for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -221,15 +234,33 @@ def test_secrets(docs, rows, empty):
         out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
 
-    found, ledger = secrets.scan(docs)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    found = secrets.scan(docs, ledger)
     base = F.filter("spans", lambda x: x.kind.isin(*secrets.BASE))
-    assert counted(found.select("doc_id", secrets.joined(base).alias("s")), "doc_id", "s") == collections.Counter((i, brute(t)) for i, t in rows)
-    again, new = secrets.scan(docs, ledger)
-    assert new.count() == 0 and again.count() == len(rows)
-    clean = secrets.redact(docs)
-    assert clean.columns == docs.columns and clean.count() == len(rows)
+    want = collections.Counter((i, brute(t)) for i, t in rows)
+    assert counted(found.select("doc_id", secrets.joined(base).alias("s")), "doc_id", "s") == want
+    blobs = len({t or "" for _, t in rows})
+    assert ledger.rows().count() == blobs
+    again = secrets.scan(docs, ledger)
+    assert again.count() == len(rows) and ledger.rows().count() == blobs  # nothing was scanned twice
+    more = spark.createDataFrame([(1, "password=abcdef1"), (2, "a new text"), (3, rows[0][1])], "doc_id long, text string")
+    assert secrets.scan(more, ledger).count() == 3 and ledger.rows().count() == blobs + 2 - ("password=abcdef1" in {t for _, t in rows})
+    secrets.scan(more, ledger, secrets.RULES[:1])
+    assert ledger.rows().where(F.col("rules") == secrets.version(secrets.RULES[:1])).count() == 3
+    odd = docs.withColumnsRenamed({"blob": "__text", "band": "spans", "one": "row", "lang": "a.b"})
+    clean = secrets.redact(odd, ledger)
+    assert clean.columns == odd.columns and clean.count() == len(rows)
+    assert {r["__text"] for r in clean.collect()} == {"x"} and {r["spans"] for r in clean.collect()} == {7}
+    assert counted(clean.where("text is null"), "doc_id") == collections.Counter((i,) for i, t in rows if t is None)
     assert not any(brute(r.text) for r in clean.collect())
-    assert secrets.scan(empty)[0].count() == 0
+    assert secrets.scan(empty, ledger).count() == 0 and secrets.redact(empty, ledger).count() == 0
+    # The registered query's columns, and a ledger that the session names.
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.tallyframe.secretLedger", str(tmp_path / "ledger"))
+    got = queries.op9_secrets(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.tallyframe.secretLedger")
+    told = lambda s: (*(sum(x.startswith(k) for x in s.split(",")) for k in secrets.BASE), hashlib.sha256(s.encode()).hexdigest())
+    assert collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == collections.Counter((i, *told(s)) for (i, s), n in want.items() for _ in range(n))
 
 
 def test_matroska(docs, rows, empty):
@@ -251,26 +282,50 @@ def test_matroska(docs, rows, empty):
         media.parse(media.write(b"\0" * 640)[:-9])
 
 
-def test_nearest_neighbours(spark):
+def brute_nearest(x, ids, own, k=20):
+    import functools
+
+    y = x.astype(np.float64).tolist()
+    dot = lambda a, b: functools.reduce(lambda t, ab: t + ab[0] * ab[1], zip(a, b), 0.0)
+    out = {}
+    for q in own:
+        s = [(-dot(y[i], y[q]), i) for i in ids if i != q]
+        out[q] = [(n, i, -v) for n, (v, i) in enumerate(sorted(s)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_nearest_neighbours(spark, monkeypatch, cells):
+    if cells:  # several tiles, groups and parts
+        monkeypatch.setattr(ann, "CANDIDATES", 16)
+        monkeypatch.setattr(ann, "QUERIES", 2)
+        monkeypatch.setattr(ann, "CELL", 1)
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 12)).astype(np.float32)
     x[50:60] = x[40]
+    x[100:140] = x[20]  # more equal vectors than are asked for
+    x[200:240] = x[60] * (1 + 1e-6 * r.normal(size=(40, 1)))  # within the rounding of a tile
     x[7] = 0
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(None, [1.0] * 12), (900, None), (920, [float("nan")] * 12), (940, [None] * 12), (960, [1.0, 2.0])]
     got = collections.defaultdict(list)
     for g in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
         got[g.query_id].append((g.rank, g.vec_id, g.score))
-    y = x.astype(np.float64)
-    for q in range(0, 300, 20):
-        s = y @ y[q]
-        want = sorted((-s[i], i) for i in range(300) if i not in (q, 7))[:20]
-        mine = sorted(got[q])
-        assert [k for k, *_ in mine] == list(range(1, 21))
-        assert np.allclose([c for *_, c in mine], [-a for a, _ in want], rtol=1e-12)
-    assert set(got) == set(range(0, 300, 20))
+    assert {q: sorted(v) for q, v in got.items()} == brute_nearest(x, [i for i in range(300) if i != 7], range(0, 300, 20))
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_equal_vectors_are_one_row(spark):
+    table = spark.range(4000).selectExpr("id as vec_id", "array(1.0D, 2.0D) as embedding")
+    got = ann.search(table).collect()
+    assert len(got) == 200 * 20 and {r.score for r in got} == {5.0}
+    of = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        of[r.query_id].append(r.vec_id)
+    assert of[0] == list(range(1, 21)) and of[20] == list(range(20)) and of[2000] == list(range(20))
+    classes = ann._Side(pa.table({"v": [[1.0, 2.0]]}), 2)
+    assert len(ann.heaps(classes, classes, [0], 21)[0]) == 1
+
+
 def junk(r, kind):
     words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(r.randint(20, 150))]
     return " ".join({0: words, 1: [w + "$$$" for w in words], 2: [w.upper() + "!!" for w in words], 3: [w for w in words[:8] for _ in range(15)]}[kind])
