@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import minhash, packing, quality, secrets, toxicity
 from tallyframe.llm.common import stored
-from tallyframe.llm.queries import vocabulary
+from tallyframe.llm.queries import ledger, vocabulary
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7 stay; a null or empty text has the base score and stays."""
     return toxicity.accepted(docs, _labels(spark, sf_dir))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more stay; a null or empty text is scored like any other."""
     return quality.accepted(docs, _labels(spark, sf_dir))
 
 
@@ -31,12 +33,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the text; n_chars follows where the table has it."""
-    out = secrets.redact(docs)
+    """Found secrets are replaced in the text; n_chars follows where the table has it. A null text stays null."""
+    out = secrets.redact(docs, ledger(spark))
     return out.selectExpr(*("cast(length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in out.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens; a null or empty text is the closing id alone."""
     return packing.pack(docs, vocabulary())
 
 
@@ -48,7 +51,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifiers and the tokenizer have no SQL; the stages are tested against brute force.
+#: The classifiers and the tokenizer have no SQL; the stages are tested against plain Python versions.
 ORACLE_SQL = None
 
 
