@@ -8,18 +8,20 @@ around the Jaccard similarity. Bands of ``ROWS`` coordinates give buckets; there
 as leave a pair of the least wanted similarity in no common bucket with a probability of ``MISS``
 at most: 24 for 0.85, 35 for 0.8 (:func:`plan`). Every link is confirmed on full sets.
 
-The work is by classes of equal sets, so exact copies, however many, are one row. Buckets are
-cut into blocks of bounded size that meet two by two, so no task holds a bucket. Where two blocks
-meet, pairs are taken in order of their sketches' agreement; a pair whose members are already
-connected there is passed over, any other is decided on full sets, and only links that connect
-are returned: a spanning forest, so rows grow with the members, not with the pairs, and no link
-between components is lost. The forests are merged by star contraction. A pair is looked at in
-the first band that it shares, in that alone. Pairs whose sketches agree in too few places are
-passed over (at the least wanted similarity that too has a probability of ``MISS`` at most).
+The work is by classes of equal sets, so exact copies, however many, are one row. It has two parts,
+both of which decide on full sets alone. First each bucket's members meet one pivot of the bucket,
+which is linear in the members and connects groups of near copies. Then only buckets that still
+hold several components are compared in full: cut into blocks of bounded size that meet two by
+two, except that members of a bucket's main component never meet each other, so no task holds a
+bucket, and a large group that the pivots connected costs nothing more. A pair is looked at in the
+first band that it shares, in that alone. Where two blocks meet only links that connect are
+returned: a spanning forest, so rows grow with the members, not with the pairs, and no link
+between components is lost. All links are merged by star contraction.
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than
 five words are one shingle; a null doc_id is not linked and its component is null; rows that
-share a doc_id are one document; an empty table gives no rows.
+share a doc_id are one document, linked with what any of its texts is linked with, and each has its
+own n_shingles; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,24 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix, stored, word_hashes
+from .common import docs_of, hot_join, mix, stored, word_hashes
 
 WORDS = 5
 ROWS, MISS = 5, 1e-6
 SIDE, SHINGLES = 1500, 600_000  # members and shingles of a block
+PIVOTS = 4  # pivots of a bucket at most; what they leave apart is compared in full
 SLOTS = 1 << 24  # bits of the bitmap that spares texts without a candidate the shuffle: 2 MB
 _U = np.uint64
 
 
 @lru_cache
-def plan(percent: int) -> tuple[int, int]:
-    """For links from ``percent`` on: the number of bands, and in how many places two sketches must agree."""
+def plan(percent: int) -> int:
+    """The number of bands for links from ``percent`` on."""
     p = percent / 100
-    n = 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log1p(-(p**ROWS)))
-    t, below, least = n * ROWS, 0.0, 0
-    while least < t and (below := below + math.comb(t, least) * p**least * (1 - p) ** (t - least)) <= MISS:
-        least += 1
-    return n, least
+    return 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log1p(-(p**ROWS)))
 
 
 @lru_cache
@@ -110,7 +109,7 @@ def _identity(g: np.ndarray) -> tuple[int, int]:
 
 def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit identity (one, two), bands and sketch of every text."""
-    t = plan(percent)[0] * ROWS
+    t = plan(percent) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,55 +133,40 @@ def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
     return docs_of(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary")
 
 
-def forest(band: int, side: np.ndarray, ids: np.ndarray, marks: list[bytes], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what two blocks hold (or one, with all rows on side 0)."""
-    n, least = plan(percent)
-    x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), n * ROWS)
+def forest(band: int, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, marks: list[bytes], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what two blocks hold (or one, with all rows on side 0), beyond the components they have."""
+    x = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), -1)[:, : band * ROWS]
+    size = np.array([len(g) // 8 for g in sets])
+    end = np.cumsum(size)
+    codes = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)[1]
+    group = np.unique(comps, return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, np.uint8)
     two = side.any()
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
-    same = np.zeros((len(left), len(right)), np.int16)
-    earlier = np.zeros(same.shape, bool)  # pairs that meet in a band before this one
-    for k in range(n):
-        all_ = np.ones(same.shape, bool)
-        for t in range(k * ROWS, (k + 1) * ROWS):
-            equal = x[left, t][:, None] == x[right, t][None, :]
-            same += equal
-            all_ &= equal
-        if k < band:
-            earlier |= all_
-    same[earlier] = 0
-    i, j = np.nonzero(same >= least)
-    if not two:
-        i, j = i[i < j], j[i < j]
-    order = np.argsort(-same[i, j], kind="stable")
-    full: dict[int, np.ndarray] = {}
-    of = lambda k: full[k] if k in full else full.setdefault(k, np.frombuffer(sets[k], "<u8"))
-    root = list(range(len(ids)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    right = np.flatnonzero(side == 1) if two else np.arange(len(ids))
     out = []
-    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist()):
-        u, v = find(a), find(b)
-        if u == v:
-            continue
-        p, q = of(a), of(b)
+    for a in np.flatnonzero(side == 0).tolist():
+        c = right if two else right[a + 1 :]
+        c = c[group[c] != group[a]]
         # The smaller set bounds the intersection.
-        if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        c = c[100 * np.minimum(size[c], size[a]) >= percent * np.maximum(size[c], size[a])]
+        if band and len(c):  # pairs that meet in an earlier band
+            c = c[~(x[c] == x[a]).reshape(len(c), band, ROWS).all(2).any(1)]
+        if not len(c):
             continue
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        if 100 * both >= percent * (len(p) + len(q) - both):
-            root[u] = v
-            out.append((int(ids[a]), int(ids[b])))
+        own = codes[end[a] - size[a] : end[a]]
+        mark[own] = 1
+        first = np.cumsum(size[c]) - size[c]
+        both = np.add.reduceat(mark[np.concatenate([codes[end[k] - size[k] : end[k]] for k in c.tolist()])], first, dtype=np.int64)
+        mark[own] = 0
+        c = c[100 * both >= percent * (size[a] + size[c] - both)]
+        linked, at = np.unique(group[c], return_index=True)
+        out += [(int(ids[a]), int(ids[k])) for k in c[at].tolist()]
+        group[np.isin(group, linked)] = group[a]
     return out
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: the forests of all block pairs of rows (key, i, j, side, band, id, sketch, set)."""
+    """a, b: the forests of all block pairs of rows (key, i, j, side, band, id, comp, sketch, set)."""
     names = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +175,8 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
 
         def work() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            band, side, ids = (t.column(c).to_numpy() for c in ("band", "side", "id"))
-            found = forest(int(band[0]), side, ids, t.column("sketch").to_pylist(), t.column("set").to_pylist(), percent) if len(ids) > 1 else []
+            band, side, ids, comps = (t.column(c).to_numpy() for c in ("band", "side", "id", "comp"))
+            found = forest(int(band[0]), side, ids, comps, t.column("sketch").to_pylist(), t.column("set").to_pylist(), percent) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -213,6 +197,24 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition(*names).sortWithinPartitions(*names, "side", "id").mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of the rows (a, b, set, other) whose sets are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set"), batch.column("other")):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                ok = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
+                if ok:
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok = 100 * both >= percent * (len(p) + len(q) - both)
+                keep.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "set", "other").mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     """id, one, two, set: the full set of each text, with its identity."""
 
@@ -267,6 +269,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()).distinct()
 
 
+def _placed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``members`` with the component that each is in so far."""
+    if comp is None:
+        return members.withColumn("comp", F.col("id"))
+    return members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    several = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
+    return placed.join(several, ["band", "key"])
+
+
+def _pivoted(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b: links of each bucket's members with its pivot, a member of a component drawn by ``turn``."""
+    pivot = placed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "id", "one", "two")).alias("p"))
+    pairs = placed.join(pivot, ["band", "key"]).where("comp <> p.comp")
+    pairs = pairs.select("id", "one", "two", F.col("p.id").alias("b"), F.col("p.one").alias("p_one"), F.col("p.two").alias("p_two")).distinct()
+    full = sets.select("id", "one", "two", "set")
+    pairs = pairs.join(full, ["id", "one", "two"]).select(F.col("id").alias("a"), "b", "p_one", "p_two", "set")
+    return _verified(hot_join(pairs, full.toDF("b", "p_one", "p_two", "other"), ["b", "p_one", "p_two"], "a"), percent)
+
+
+def _blocks(apart: DataFrame) -> DataFrame:
+    """key, i, j, side, band, id, one, two, comp: the members of each bucket for every pair of its blocks that can hold a link."""
+    of = apart.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    main = of.groupBy("band", "key").agg(F.max(F.struct("n", "s", "comp")).alias("main"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    parts = lambda n, s: F.greatest(F.ceil(n / SIDE), F.ceil(s / SHINGLES))
+    m = apart.join(main.select("band", "key", "main", parts(F.col("main.n"), F.col("main.s")).alias("x"), parts(F.col("all_n") - F.col("main.n"), F.col("all_s") - F.col("main.s")).alias("y"), parts(F.col("all_n"), F.col("all_s")).alias("z")), ["band", "key"])
+    hash_ = F.xxhash64("one", "two")
+    chief = F.col("comp") == F.col("main.comp")
+    own = F.when(F.col("z") == 1, 0).when(chief, F.pmod(hash_, "x")).otherwise(F.col("x") + F.pmod(hash_, "y"))
+    first, last = F.when(chief & (F.col("z") > 1), F.col("x")).otherwise(0), F.when(F.col("z") == 1, 0).otherwise(F.col("x") + F.col("y") - 1)
+    m = m.withColumn("own", own).withColumn("o", F.explode(F.sequence(first, last)))
+    return m.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "band", "id", "one", "two", "comp")
+
+
 def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     profile = stored(profiles(docs, percent), "profiles")
@@ -276,21 +315,34 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     keyed = classes.select("id", "one", "two", "size", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.sum(F.xxhash64("one", "two").cast("decimal(38,0)")).alias("who"), F.min("one").alias("low")).where("n > 1")
     # Bands that gather the same classes are one bucket, the first of them.
-    buckets = buckets.groupBy("n", "total", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n", "total")
-    members = stored(keyed.drop("size").join(buckets, ["band", "key"]), "members")
+    buckets = buckets.groupBy("n", "total", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
+    members = stored(keyed.join(buckets, ["band", "key"]), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     # The exact semi-join is of sets: one of texts would be moved below the bitmap's join.
     sets = _sets(likely(docs_of(docs), ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").groupBy("id", "one", "two").agg(F.first("set").alias("set"))
     sets = stored(sets.join(classes.select("one", "two", "sketch"), ["one", "two"]), "sets")
-    parts = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("total") / SHINGLES))
-    blocks = members.withColumn("own", F.pmod(F.xxhash64("one", "two"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    blocks = blocks.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "band", "id", "one", "two")
-    edges = stored(_links(blocks.join(sets, ["id", "one", "two"]).drop("one", "two"), percent), "links")
+    edges = stored(_pivoted(_placed(members, None), sets, 0, percent), "links")
     comp = components(edges)
+    apart = stored(_apart(_placed(members, comp)), "apart")
+    # Buckets larger than a block get more pivots while these connect something.
+    for turn in range(1, PIVOTS):
+        more = stored(_pivoted(apart.where(F.col("n") > SIDE), sets, turn, percent), "links")
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        comp = components(edges)
+        apart = stored(_apart(_placed(apart.drop("comp"), comp)), "apart")
+    more = stored(_links(_blocks(apart).join(sets, ["id", "one", "two"]).drop("one", "two"), percent), "links")
+    comp = components(edges.unionByName(more))
     out = profile.join(classes.select("one", "two", "id"), ["one", "two"], "left").join(comp, "id", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("own")), "owns")
+    # Texts that share a doc_id connect what they belong to.
+    several = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b")
+    if not several.isEmpty():
+        shared = components(out.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("own").alias("b")).where("a <> b"))
+        out = hot_join(out, shared.select(F.col("id").alias("own"), "comp"), ["own"], "doc_id", "left").withColumn("own", F.coalesce("comp", "own"))
+    return out.select("doc_id", "n_shingles", F.col("own").alias("component_id"), (F.col("doc_id") == F.col("own")).alias("kept"))
 
 
 def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -301,4 +353,4 @@ def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not twice.isEmpty():
         once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         out = out.join(twice, "doc_id", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))

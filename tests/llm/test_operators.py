@@ -137,6 +137,30 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_links(rows)
 
 
+def test_buckets_of_several_components_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SIDE", 5)
+    monkeypatch.setattr(minhash, "SHINGLES", 2500)
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):  # a template whose copies are often less alike than is asked for
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 5, 6])):
+            w[r.randrange(150)] = f"v{i % 9}x{r.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    want = brute_links(rows)
+    assert 3 < len({c for _, c in want.values()}) < 110
+    got = minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_rows_of_one_document_connect_its_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, c), (9, a + " z"), (7, c)]
+    got = minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 3, False), (9, 3, False), (9, 3, False)]
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(4)
     for n in (1, 2, 7, 50, 3000):
@@ -408,12 +432,9 @@ def test_near_duplicates_between_80_and_85_percent(spark):
 
 
 def test_near_duplicate_bounds_follow_the_threshold():
-    assert minhash.plan(85)[0] == 24
+    assert minhash.plan(85) == 24
     for percent in (80, 85, 90):
-        n, least = minhash.plan(percent)
-        p, t = percent / 100, n * minhash.ROWS
-        assert (1 - p**minhash.ROWS) ** n <= 1e-6
-        assert sum(math.comb(t, k) * p**k * (1 - p) ** (t - k) for k in range(least)) <= 1e-6
+        assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.plan(percent) <= 1e-6
 
 
 def test_an_earlier_band_had_a_bucket_for_the_pair():
