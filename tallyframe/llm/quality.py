@@ -6,9 +6,9 @@ responses are rectified and max-pooled; a self-match plane adds how often a byte
 byte a few places before, the trace of repeated words. The chunk features are combined by their
 maximum and mean over the document and a logistic unit gives one probability.
 
-Training (:func:`fit`) uses at most ``cap`` labelled documents of the training folds and at most
-``MOST`` evenly spaced chunks of each; scoring covers every chunk of every text, in blocks, so
-memory does not depend on a text's length.
+Training (:func:`fit`) uses a bounded sample of labelled documents of the training folds: at most
+``cap`` rows, of at most ``room`` bytes together, and of each all chunks. Scoring covers every chunk
+of every text. Both go through chunks in blocks, so memory does not depend on a text's length.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score like any other;
 repeated rows each get a row; an empty table gives no rows; with labels of one class only, or
@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, fold, labelled
+from .common import docs_of, fold, labelled, stored
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 6, 24
 LAGS = range(2, 25)
-MOST = 16  # chunks of a document in training
-BLOCK = 1024  # chunks held at once in scoring
+BLOCK = 1024  # chunks held at once
 WINDOWS = 4  # parts of a chunk in which self-matches are counted
 _AT = np.arange(0, CHUNK - WIDTH + 1, STRIDE)
 _RAMP = (np.arange(CHUNK) % 256).astype(np.uint8)
@@ -112,7 +111,6 @@ def train(texts: list[str | bytes | None], y: np.ndarray, steps: int = 320, batc
     data, start, doc = chunks(texts)
     windows = np.lib.stride_tricks.sliding_window_view(data, CHUNK)
     of = np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1)
-    of = [c if len(c) <= MOST else c[np.linspace(0, len(c) - 1, MOST).astype(int)] for c in of]
     classes = [np.flatnonzero(y == v) for v in (0, 1)]
     m = [np.zeros_like(p) for p in net.parts()]
     v = [np.zeros_like(p) for p in net.parts()]
@@ -121,8 +119,9 @@ def train(texts: list[str | bytes | None], y: np.ndarray, steps: int = 320, batc
         pick = np.concatenate([r.choice(c, batch // 2) for c in classes])
         rows = np.concatenate([of[i] for i in pick])
         d = np.repeat(np.arange(len(pick)), [len(of[i]) for i in pick])
-        x = windows[start[rows]]
-        f, where = net.pooled(x, True)
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(rows), BLOCK)]
+        told = [net.pooled(windows[start[rows[k]]], True) for k in blocks]
+        f, where = (np.concatenate(x) for x in zip(*told))
         first = np.flatnonzero(np.diff(d, prepend=-1))
         count = np.diff(np.append(first, len(d)))
         top = np.maximum.reduceat(f, first)
@@ -132,12 +131,15 @@ def train(texts: list[str | bytes | None], y: np.ndarray, steps: int = 320, batc
         g_f = g * net.out
         g_chunk = g_f[d, FILTERS + 1 :] / count[d, None] + g_f[d, : FILTERS + 1] * (f == top[d])
         g_conv = (g_chunk * (f > 0))[:, :FILTERS]
-        win = (where * STRIDE)[:, :, None] + np.arange(WIDTH)  # chunk, filter, byte
-        seen = np.take_along_axis(x[:, None, :], win, 2)
-        part = net.embed[seen]  # chunk, filter, byte, dim
-        g_filters = np.einsum("cf,cfwd->wdf", g_conv, part).reshape(WIDTH * DIM, FILTERS)
-        g_part = np.einsum("cf,wdf->cfwd", g_conv, net.filters.reshape(WIDTH, DIM, FILTERS))
-        g_embed = np.stack([np.bincount(seen.ravel(), g_part[..., k].ravel(), 256) for k in range(DIM)], 1)
+        g_filters, g_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+        filters = net.filters.reshape(WIDTH, DIM, FILTERS)
+        for k in blocks:
+            win = (where[k] * STRIDE)[:, :, None] + np.arange(WIDTH)  # chunk, filter, byte
+            seen = np.take_along_axis(windows[start[rows[k]]][:, None, :], win, 2)
+            part = net.embed[seen]  # chunk, filter, byte, dim
+            g_filters += np.einsum("cf,cfwd->wdf", g_conv[k], part).reshape(WIDTH * DIM, FILTERS)
+            g_part = np.einsum("cf,wdf->cfwd", g_conv[k], filters)
+            g_embed += np.stack([np.bincount(seen.ravel(), g_part[..., j].ravel(), 256) for j in range(DIM)], 1)
         grads = [g_embed + 1e-5 * net.embed, g_filters + 1e-4 * net.filters, g_conv.sum(0), (g * doc_f).sum(0) + 1e-4 * net.out, g.sum(0)]
         for q, grad, a, b in zip(net.parts(), grads, m, v):
             a += 0.1 * (grad - a)
@@ -146,24 +148,22 @@ def train(texts: list[str | bytes | None], y: np.ndarray, steps: int = 320, batc
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, cap: int = 3000, label: str = "quality") -> Net:
-    """Train on the driver on at most ``cap`` labelled documents; of each, at most ``MOST`` evenly spaced chunks leave the executors."""
-
-    def thin(batches):
-        for b in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-            most = MOST * (CHUNK - OVERLAP) + OVERLAP
-            out = []
-            for x in raw:
-                if len(x) > most:
-                    at = np.linspace(0, len(x) - CHUNK, MOST).astype(int)
-                    x = b"".join(x[i : i + CHUNK - OVERLAP] for i in at)
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary()), b.column("y")], ["doc_id", "raw", "y"])
-
-    rows = labelled(docs, labels, label, cap).mapInArrow(thin, "doc_id long, raw binary, y int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.raw))
-    return train([bytes(r.raw) for r in rows], np.array([r.y for r in rows]))
+def fit(docs: DataFrame, labels: DataFrame, cap: int = 3000, room: int = 64 << 20, label: str = "quality") -> Net:
+    """Train on the driver on a sample of at most ``cap`` labelled documents of at most ``room`` bytes together, whole texts all.
+
+    Documents that the room has no place for are left out as a whole, in order of a hash of their ids.
+    """
+    rows = stored(labelled(docs, labels, label, cap), "labelled")
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken, used = [], 0
+    for r in sizes:
+        if used + r.n <= room:
+            taken.append(r.doc_id)
+            used += r.n
+    if len(taken) < len(sizes):
+        rows = rows.where(F.col("doc_id").isin(taken))
+    sample = sorted((r.doc_id, r.text or "", r.y) for r in rows.select("doc_id", "text", "y").collect())
+    return train([t for _, t, _ in sample], np.array([y for *_, y in sample]))
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:

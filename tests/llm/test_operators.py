@@ -355,6 +355,52 @@ def junk(r, kind):
     return " ".join({0: words, 1: [w + "$$$" for w in words], 2: [w.upper() + "!!" for w in words], 3: [w for w in words[:8] for _ in range(15)]}[kind])
 
 
+def test_quality_score_is_the_network_of_every_chunk():
+    net = quality.Net(3)
+    r = random.Random(4)
+    net.out = np.linspace(-0.4, 0.5, len(net.out)).astype(np.float32)
+    texts = ["", None, "short", "äöü " * 300, "".join(r.choice("abc de\n") for _ in range(5000)), "x" * 1400]
+
+    def plain(t):
+        raw = (t or "").encode()
+        step, feats = quality.CHUNK - quality.OVERLAP, []
+        for at in range(0, max(1, len(raw) - quality.OVERLAP), step):  # overlapping chunks up to the text's end
+            c = raw[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            row = []
+            for k in range(quality.FILTERS):
+                best = -np.inf
+                for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    best = max(best, float(net.embed[list(c[p : p + quality.WIDTH])].ravel().astype(float) @ net.filters[:, k].astype(float)))
+                row.append(max(0.0, best + float(net.bias[k])))
+            real = [b or i % 256 for i, b in enumerate(c)]
+            most, first = 0.0, quality.LAGS[-1]
+            size = (quality.CHUNK - first) // quality.WINDOWS
+            for lag in quality.LAGS:
+                for w in range(quality.WINDOWS):
+                    span = range(first + w * size, first + (w + 1) * size)
+                    most = max(most, sum(real[i] == real[i - lag] for i in span) * 6 / size)
+            feats.append([*row, most])
+        f = np.array(feats)
+        z = np.concatenate([f.max(0), f.mean(0)]) @ net.out.astype(float) + float(net.last[0])
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    assert np.allclose(net.score(texts), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_quality_sample_is_of_whole_documents(spark):
+    d = spark.createDataFrame([(i, "ab " * (400 if i < 9 else 20)) for i in range(60)] + [(9, "zz")] * 30, "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    before, quality.train = quality.train, lambda texts, y: seen.append(texts)
+    try:
+        quality.fit(d, y, room=3000)
+        quality.fit(d, y)
+    finally:
+        quality.train = before
+    assert sum(map(len, seen[0])) <= 3000 and {len(t) for t in seen[0]} <= {2, 60, 1200}
+    assert len(seen[1]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+
+
 def test_quality_on_held_out_rows(spark, docs, empty):
     r = random.Random(9)
     rows = [(i, junk(r, i % 4 if i % 2 else 0)) for i in range(400)]
