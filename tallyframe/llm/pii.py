@@ -3,14 +3,15 @@
 The base patterns give seed entities. Every identifier-like token (one with a digit or an @) that
 meets none is an instance, and the word before and the word after it, or after the whole of a seed, are its
 lexical patterns. Tokens under ``NAME`` characters are too common to be the same thing wherever they
-stand, so those are one instance by the two words around them, longer ones by their written form. A pattern's
-confidence is the summed confidence of the instances it stands by, over all its occurrences in
-the corpus; an instance's is one minus the product of its patterns' doubts, seeds being sure.
-Both are scored in turn over the pattern-instance graph; patterns of high confidence discover
-instances that no base pattern knows, which are added as spans of kind ``context``.
+stand, so those are one instance by the two words around them, longer ones by their written form. A
+pattern's support is how often it stands by a seed or by a trusted instance, its confidence that
+support over all its occurrences in the corpus; an instance's confidence is one minus the product of
+its patterns' doubts. Instances of high confidence are discovered, added as spans of kind
+``context``, and are seeds of the next turn: what stands by them induces patterns in turn. Support,
+and so confidence, only grows, and the turns end when one discovers nothing new.
 
-Patterns seen with ``LEAST`` seeds are scored, however many they are; patterns, instances and their
-edges meet in shuffle joins, in which frequent keys are dealt over ``SALT`` tasks.
+Patterns with a support of ``LEAST`` are scored, however many they are; patterns, instances and
+their edges meet in shuffle joins, in which frequent keys are dealt over ``SALT`` tasks.
 
 The patterns below are the contract's, written with possessive loops and with starts only where
 a match can start, so that a long run costs no more than its length; they find the same matches.
@@ -42,7 +43,7 @@ BYTE = r"^0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])?$"
 LEAST, SALT = 3, 16
 BLOCK = 256  # matches whose places are summed together
 NAME = 6  # characters from which a written form stands for one thing
-ROUNDS, SURE = 3, 0.8
+SURE = 0.8
 _SPAN = "array<struct<start: int, end: int, value: string, left: string, right: string>>"
 
 
@@ -134,27 +135,26 @@ def discovered(instances: DataFrame, seeds: DataFrame, words: DataFrame) -> Data
 
     ``instances``: doc_id, mark, start, end, value, left, right of tokens outside seeds; ``seeds``: left, right; ``words``: the corpus, a row (word) each.
     """
-    sure = _sides(seeds).groupBy("side", "word").agg(F.count("*").alias("sure")).where(F.col("sure") >= LEAST)
-    uses = words.groupBy("word").agg(F.count("*").alias("uses"))
-    patterns = stored(sure.join(uses, "word"), "patterns")
     # An instance's name; one with white space in it is of the words around.
     name = F.when(F.length("value") >= NAME, F.col("value")).otherwise(F.concat(F.lit(" "), "left", F.lit(" "), "right"))
     instances = instances.withColumn("value", name)
     # An edge of the graph is a pattern, an instance and how often they meet.
-    edges = _sides(instances, "value").groupBy("value", "side", "word").agg(F.count("*").alias("n"))
-    edges = stored(_salted(edges, "value", patterns.select("side", "word"), ["side", "word"]), "edges")
-    scored = patterns.select("side", "word", (F.col("sure") / (F.col("uses") + 1)).alias("score"))
-    for k in range(ROUNDS):
-        told = _salted(edges, "value", scored, ["side", "word"])
-        value = told.groupBy("value").agg((1 - F.product(1 - F.least("score", F.lit(0.999)))).alias("trust"))
-        value = stored(value, "trust")
-        if k < ROUNDS - 1:
-            # A name has one edge a pattern at most, however often it stands there.
-            met = edges.join(value, "value").groupBy("side", "word").agg(F.sum(F.col("trust") * F.col("n")).alias("more"))
-            scored = patterns.join(met, ["side", "word"], "left").select("side", "word", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / (F.col("uses") + 1)).alias("score"))
-            scored = stored(scored, "scored")
-    trusted = value.where(F.col("trust") >= SURE).select("value")
-    return _salted(instances, "start", trusted, ["value"]).select("doc_id", "mark", "start", "end")
+    edges = stored(_sides(instances, "value").groupBy("value", "side", "word").agg(F.count("*").alias("n")), "edges")
+    sure = stored(_sides(seeds).groupBy("side", "word").agg(F.count("*").alias("sure")), "sure")
+    each = words.groupBy("word").agg(F.count("*").alias("uses"))
+    uses = stored(each.join(edges.select("word").unionByName(sure.select("word")).distinct(), "word", "left_semi"), "uses")
+    trusted, known = edges.select("value").limit(0), 0
+    while True:
+        # What the seeds and the instances found so far stand by; a name has one edge a pattern at most.
+        told = edges.join(trusted, "value").groupBy("side", "word").agg(F.sum("n").alias("sure"))
+        support = sure.unionByName(told).groupBy("side", "word").agg(F.sum("sure").alias("sure")).where(F.col("sure") >= LEAST)
+        scored = support.join(uses, "word").select("side", "word", (F.col("sure") / (F.col("uses") + 1)).alias("score"))
+        met = _salted(edges, "value", scored, ["side", "word"])
+        trust = met.groupBy("value").agg((1 - F.product(1 - F.least("score", F.lit(0.999)))).alias("trust"))
+        trusted = stored(trust.where(F.col("trust") >= SURE).select("value"), "trusted")
+        before, known = known, trusted.count()
+        if known == before:
+            return _salted(instances, "start", trusted, ["value"]).select("doc_id", "mark", "start", "end")
 
 
 def scan(docs: DataFrame) -> DataFrame:

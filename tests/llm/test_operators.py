@@ -530,3 +530,26 @@ def test_personal_data_patterns_do_not_depend_on_other_seeds(spark):
     rows = [(i, f"w{i}x tel: +1 (619) 555-{i:04d} y{i}z") for i in range(12)] + [(50, "w tel: 0619/555000 y")]
     docs = logs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [s.kind for s in pii.scan(docs).where("doc_id = 50").first().spans] == [4]
+
+
+def test_personal_data_found_identifiers_induce_patterns(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(9))
+    rows = [(i, f"{word()} tel: +1 (619) 555-{i:04d} {word()}") for i in range(60)]
+    rows += [(100 + i, f"{word()} tel: {i}00/77{i}55 kunde {word()}") for i in range(12)]  # first hop, by "tel:"
+    rows += [(200, f"{word()} x9/443 kunde {word()}"), (201, f"{word()} x9/443 other {word()}"), (202, f"{word()} z4-88812 {word()}")]
+    got = {x.doc_id: [s.kind for s in x.spans] for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == [4] for i in range(12))
+    # Second hop: no seed stands by "kunde", but what was found does; the name then holds anywhere.
+    assert got[200] == [4] and got[201] == [4] and got[202] == []
+
+
+def test_personal_data_registered_columns(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = collections.Counter()
+    for i, t in rows:
+        found = brute_pii(t)
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in found)
+        want[i, *(sum(k == n for _, k, _ in found) for n in range(4)), hashlib.sha256(joined.encode()).hexdigest()] += 1
+    got = queries.op7_pii(spark, str(tmp_path))
+    assert counted(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
