@@ -94,6 +94,9 @@ def write(payload: bytes) -> bytes:
     return head + element(SEGMENT, *parts, element(CUES, *cues))
 
 
+NUMBERS = {TIME, SCALE, DURATION, NUMBER, TYPE, CHANNELS, DEPTH, FREQUENCY, CUE_TIME, CUE_TRACK, CUE_CLUSTER}
+
+
 @dataclass
 class Movie:
     """What a file holds; ``packets`` are (track, timestamp in ticks, start, length, keyframe)."""
@@ -150,7 +153,15 @@ def _unlace(data: bytes, at: int, stop: int, kind: int) -> list[tuple[int, int]]
 
 
 def parse(data: bytes) -> Movie:
-    """The tracks, cues and packets of a file; a list of open masters, no recursion."""
+    """The tracks, cues and packets of a file; a ValueError for any that is damaged."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("cut off") from e
+
+
+def _parse(data: bytes) -> Movie:
+    """With a list of open masters, no recursion."""
     movie = Movie()
     if data[:4] != EBML.to_bytes(4, "big"):
         raise ValueError("not EBML")
@@ -168,6 +179,8 @@ def parse(data: bytes) -> Movie:
         stop = len(data) if unknown else at + size
         if stop > len(data):
             raise ValueError("cut off")
+        if ident in NUMBERS and stop - at > 8:
+            raise ValueError("a number of more than 8 bytes")
         if ident in MASTERS:
             open_.append((ident, stop))
             if ident == SEGMENT:
