@@ -304,6 +304,30 @@ def test_matroska(docs, rows, empty):
     assert media.described(empty).count() == 0
     with pytest.raises(ValueError):
         media.parse(media.write(b"\0" * 640)[:-9])
+    for r in media.described(docs).select("doc_id", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect():
+        data = next(media.payload(t)[0] for i, t in rows if i == r.doc_id and hashlib.sha256(media.payload(t)[0]).hexdigest() == r.payload_sha256)
+        stored = media.write(data)
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        assert told["mean"] == f"{sum(data) / len(data):.4f}" and int(told["crossings"]) == sum((a < 128) != (b < 128) for a, b in zip(data, data[1:]))
+
+
+def test_damaged_matroska_is_a_value_error(spark):
+    r = random.Random(19)
+    whole = media.write(bytes(r.randbytes(3000)))
+    bad = []
+    for _ in range(1500):
+        x = bytearray(whole[: r.randrange(4, len(whole) + 1)])
+        for _ in range(r.randint(0, 4)):
+            x[r.randrange(4, len(x)) if len(x) > 4 else 0] = r.randrange(256)
+        bad.append(bytes(x))
+    for x in bad:
+        try:
+            media.parse(x)
+        except ValueError:
+            pass
+    table = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad[:200])] + [(999, None)], "doc_id long, media binary")
+    assert media.packets(table).where("length < 0").count() == 0
 
 
 def brute_nearest(x, ids, own, k=20):
