@@ -91,10 +91,10 @@ def trace(c: Column) -> Column:
 
 
 def to_person(c: Column, known: list[str] = ()) -> Column:
-    """Whether a descriptor pays a person: a listed prefix, or PayPal with a tail that is no known merchant."""
+    """Whether a descriptor pays a person: a listed prefix, or PayPal with a merchant key that is not known."""
     x = characters(c)
     listed = F.lit(False)
     for p in PERSONS:
         listed = listed | x.startswith(p)
-    tail = F.trim(F.regexp_extract(x, r"^(?:PAYPAL \*|PP\*)(.*)$", 1))
-    return listed | ((tail != "") & (~tail.isin(*known) if known else F.lit(True)))
+    paypal = x.startswith("PAYPAL *") | x.startswith("PP*")
+    return listed | (paypal & (~stages(c).isin(*known) if known else F.lit(True)))

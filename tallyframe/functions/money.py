@@ -23,7 +23,7 @@ def parse(text: Column) -> Column:
     """
     t = F.regexp_replace(text, r"^[\s ﻿]+|[\s ﻿]+$", "")
     inside = t.rlike(r"^\(.*\)$")
-    t = F.regexp_replace(F.when(inside, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t), r"USD|[$\s ]", "")
+    t = F.regexp_replace(F.when(inside, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t), r"(?i)USD|[$\s ]", "")
     before, after = t.rlike("^[+-]"), F.regexp_replace(t, "^[+-]", "").rlike("[+-]$")
     negative = (inside.cast("int") + t.startswith("-").cast("int") + (after & t.endswith("-")).cast("int")) % 2 == 1
     body = F.regexp_replace(F.regexp_replace(t, "^[+-]", ""), "[+-]$", "")
@@ -39,3 +39,10 @@ def show(c: Column) -> Column:
     """-$1,234.05"""
     x = F.abs(c)
     return F.concat(F.when(c < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.floor(x / 100), 0), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
+
+
+def problem(text: Column) -> Column:
+    """Why a written amount cannot be read: empty, too large or not an amount; null where it can."""
+    blank = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0\ufeff]", "") == ""
+    digits = F.length(F.regexp_replace(F.split_part(text, F.lit("."), F.lit(1)), "[^0-9]", ""))
+    return F.when(parse(text).isNotNull(), F.lit(None)).when(blank, "empty").when((digits > 13) & ~text.rlike("(?i)[a-z&&[^usd]]"), "too large").otherwise("not an amount")

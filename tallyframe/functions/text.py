@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _folds() -> tuple[str, str]:
     """Upper-case letters with a base letter under decomposition, and those base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if chr(c).isupper()]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x2200) if chr(c).isupper()]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 

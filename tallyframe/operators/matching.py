@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _bucket(day: Column, days: int) -> Column:
+    """A date's span of ``days`` days, by number: it stands in join keys beside an amount that many rows may share."""
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days)
+
+
+def _buckets(first: Column, last: Column, days: int) -> Column:
+    """The spans that a range of dates meets."""
+    return F.explode(F.sequence(_bucket(first, days), _bucket(last, days)))
+
+
 def transfer_candidates(ledger: DataFrame, early: int = 1, late: int = 7) -> DataFrame:
     """debit, credit, cents, gap: equal to the cent, other account, credit from a day before to a week after."""
     d = ledger.where("cents < 0").select(F.col("id").alias("debit"), F.col("account").alias("da"), F.col("date").alias("dd"), (-F.col("cents")).alias("cents"))
     c = ledger.where("cents > 0").select(F.col("id").alias("credit"), F.col("account").alias("ca"), F.col("date").alias("cd"), "cents")
+    d = d.withColumn("span", _buckets(F.date_sub("dd", early), F.date_add("dd", late), 8))
     gap = F.datediff("cd", "dd")
-    return d.join(c, "cents").where((F.col("da") != F.col("ca")) & gap.between(-early, late)).select("debit", "credit", "cents", gap.alias("gap"))
+    pairs = d.join(c.withColumn("span", _bucket("cd", 8)), ["cents", "span"])
+    return pairs.where((F.col("da") != F.col("ca")) & gap.between(-early, late)).select("debit", "credit", "cents", gap.alias("gap"))
 
 
 def assign(candidates: DataFrame, *order: str) -> DataFrame:
-    """One-to-one pairs, as if taken greedily by ``order`` (a total order of the candidates).
+    """One-to-one pairs (debit, credit), as if taken greedily by ``order``; ties go to the lesser debit, then credit.
 
     A pair that comes first for both its sides is taken by the greedy walk whatever comes before,
-    so all such pairs are taken at once, their sides removed, and the rest looked at again.
+    so all such pairs are taken at once, their sides removed, and the rest looked at again. Needs
+    ``spark.checkpoint.dir``.
     """
     spark = candidates.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    rest, out = candidates, None
-    key = F.struct(*order)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
+    rest, out = candidates.checkpoint(), None
+    key = F.struct(*dict.fromkeys([*order, "debit", "credit"]))
     while True:
-        best = rest.withColumn("key", key).withColumns({"a": F.min("key").over(Window.partitionBy("debit")), "b": F.min("key").over(Window.partitionBy("credit"))})
-        taken = best.where((F.col("key") == F.col("a")) & (F.col("key") == F.col("b"))).select(*candidates.columns).checkpoint()
+        best = rest.withColumn("key", key)
+        a = best.groupBy("debit").agg(F.min("key").alias("a"))
+        b = best.groupBy("credit").agg(F.min("key").alias("b"))
+        taken = best.join(a, "debit").join(b, "credit").where((F.col("key") == F.col("a")) & (F.col("key") == F.col("b"))).select(*candidates.columns).checkpoint()
         if taken.isEmpty():
             return out if out is not None else taken
         out = taken if out is None else out.unionByName(taken)
@@ -50,7 +66,9 @@ def near_duplicates(existing: DataFrame, incoming: DataFrame, days: int = 3, cen
     off = F.col("bc") - F.col("ac")
     near = (F.abs(F.datediff("bd", "ad")) <= days) & ((F.abs(off) <= cents) | (F.abs(off) * 100 <= percent * F.abs("ac")))
     other = (F.col("ad") != F.col("bd")) | (off != 0)
-    return b.join(a, ["account", "key"]).where(near & other).select("incoming", "existing", off.alias("off"))
+    a = a.withColumn("span", _bucket("ad", 2 * days + 1))
+    b = b.withColumn("span", _buckets(F.date_sub("bd", days), F.date_add("bd", days), 2 * days + 1))
+    return b.join(a, ["account", "key", "span"]).where(near & other).select("incoming", "existing", off.alias("off"))
 
 
 def refund_candidates(ledger: DataFrame, days: int = 90) -> DataFrame:
@@ -58,7 +76,9 @@ def refund_candidates(ledger: DataFrame, days: int = 90) -> DataFrame:
     d = ledger.where("cents < 0").select(F.col("id").alias("debit"), "account", "merchant", (-F.col("cents")).alias("cents"), F.col("date").alias("dd"))
     c = ledger.where("cents > 0").select(F.col("id").alias("credit"), "account", "merchant", "cents", F.col("date").alias("cd"))
     gap = F.datediff("cd", "dd")
-    return d.join(c, ["account", "merchant", "cents"]).where(gap.between(0, days)).select("debit", "credit", gap.alias("gap"))
+    d = d.withColumn("span", _buckets(F.col("dd"), F.date_add("dd", days), days + 1))
+    c = c.withColumn("span", _bucket("cd", days + 1))
+    return d.join(c, ["account", "merchant", "cents", "span"]).where(gap.between(0, days)).select("debit", "credit", gap.alias("gap"))
 
 
 def common_months(ledger: DataFrame) -> DataFrame:

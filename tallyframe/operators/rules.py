@@ -13,18 +13,44 @@ from ..functions.money import half_up
 
 
 def spend(ledger: DataFrame) -> DataFrame:
-    """The eligible rows, with their magnitude x."""
+    """The eligible rows, with their magnitude x: money out, not pending, excluded, transferred or refunded, as far as the ledger tells."""
     rows = ledger.where("cents < 0")
-    if "pending" in ledger.columns:
-        rows = rows.where(~F.col("pending"))
+    for flag in ("pending", "excluded", "transfer"):
+        if flag in ledger.columns:
+            rows = rows.where(~F.col(flag))
+    if "refund_pair" in ledger.columns:
+        rows = rows.where("refund_pair is null")
     return rows.withColumn("x", -F.col("cents"))
 
 
+def ranked(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+    """keys, n, name: the exact ``p``-quantile of each group, linear between ranks, whatever the group's size.
+
+    Rows are first counted by value; the counts are dealt by ranges of the values, and a group's
+    quantile is looked up in the range that holds its rank, so no task gathers a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    # A range of values: the leading digits at a scale that the group's spread gives.
+    ends = counts.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("m").alias("n"))
+    placed = counts.join(ends, keys).withColumn("cell", F.floor((F.col("v") - F.col("low")) * 1024.0 / (F.col("high") - F.col("low") + 1)))
+    cells = placed.groupBy(*keys, "cell").agg(F.sum("m").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("held")
+    cells = cells.withColumn("before", before).drop("held")
+    within = F.sum("m").over(Window.partitionBy(*keys, "cell").orderBy("v"))
+    upto = placed.join(cells, [*keys, "cell"]).withColumn("upto", F.col("before") + within)
+    # The quantile lies between the values of two neighbouring ranks.
+    at = (F.col("n") - 1) * p
+    hit = lambda k: (F.col("upto") - F.col("m") <= k) & (k < F.col("upto"))
+    pick = upto.where(hit(F.floor(at)) | hit(F.ceil(at))).groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("n").alias("n"))
+    part = at - F.floor(at)
+    return pick.select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * part).alias(name))
+
+
 def robust(rows: DataFrame, key: str, value: str = "x") -> DataFrame:
     """key, n, med, mad: exact median and median absolute deviation."""
-    med = rows.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("med"))
-    off = rows.join(med, key).groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return med.join(off, key)
+    med = ranked(rows, [key], value, 0.5, "med")
+    off = ranked(rows.join(med, key).withColumn("off", F.abs(F.col(value) - F.col("med"))), [key], "off", 0.5, "mad")
+    return med.join(off.drop("n"), key)
 
 
 def outliers(ledger: DataFrame, key: str, least: int, excess: int = 2500, z: float = 3.5, times: float = 3.0) -> DataFrame:
@@ -41,7 +67,7 @@ def outliers(ledger: DataFrame, key: str, least: int, excess: int = 2500, z: flo
 def yearly(ledger: DataFrame, least: int = 50, floor: int = 20000, top: int = 10) -> DataFrame:
     """year, place, id, cents: the largest rows at or above the year's 99th percentile."""
     rows = spend(ledger).withColumn("year", F.year("date"))
-    p = rows.groupBy("year").agg(F.count("*").alias("n"), F.percentile("x", 0.99).alias("p99")).where(F.col("n") >= least)
+    p = ranked(rows, ["year"], "x", 0.99, "p99").where(F.col("n") >= least)
     big = rows.join(p, "year").where((F.col("x") >= floor) & (F.col("x") >= F.col("p99")))
     place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("x"), "id"))
     return big.withColumn("place", place).where(F.col("place") <= top).select("year", "place", "id", "cents")
@@ -84,15 +110,23 @@ def climbs(ledger: DataFrame, key: str, steps: int = 3, rise: int = 5000, share:
     return runs.where(ok).select(F.col(key).alias("grp"), "first_month", "last_month", "rise")
 
 
-def micro(ledger: DataFrame, key: str, per_month: float = 8, most: int = 1500, least_months: int = 3) -> DataFrame:
-    """grp, n, monthly, annual: frequent small spend."""
-    months = monthly(ledger, key).select("month").distinct()
+def micro(ledger: DataFrame, per_month: float = 8, most: int = 1500, least_months: int = 3, share: float = 0.8) -> DataFrame:
+    """kind (merchant, category), grp, n, monthly, annual: frequent small spend; a category that one qualified merchant makes up is left out."""
+    months = monthly(ledger, "category").select("month").distinct()
     rows = spend(ledger).withColumn("month", F.trunc("date", "month")).join(F.broadcast(months), "month")
-    n = months.agg(F.count("*").alias("months"), F.lit(1).alias("one"))
-    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.median("x").alias("med"), F.lit(1).alias("one")).join(F.broadcast(n), "one")
-    g = g.where((F.col("months") >= least_months) & (F.col("n") / F.col("months") >= per_month) & (F.col("med") <= most))
+    n = months.agg(F.count("*").alias("months")).withColumn("one", F.lit(1))
+
+    def frequent(key: str) -> DataFrame:
+        rank = ranked(rows.where(F.col(key).isNotNull()), [key], "x", 0.5, "med")
+        g = rows.groupBy(key).agg(F.sum("x").alias("total"), F.lit(1).alias("one")).join(rank, key).join(F.broadcast(n), "one")
+        return g.where((F.col("months") >= least_months) & (F.col("n") / F.col("months") >= per_month) & (F.col("med") <= most))
+
+    by_merchant, by_category = frequent("merchant"), frequent("category")
+    own = rows.join(by_merchant.select("merchant"), "merchant", "left_semi").groupBy("category", "merchant").agg(F.sum("x").alias("own")).groupBy("category").agg(F.max("own").alias("own"))
+    by_category = by_category.join(own, "category", "left").where(F.coalesce("own", F.lit(0)) <= share * F.col("total"))
     each = half_up(F.col("total") / F.col("months"))
-    return g.select(F.col(key).alias("grp"), "n", each.alias("monthly"), (each * 12).alias("annual"))
+    show = lambda g, key: g.select(F.lit(key).alias("kind"), F.col(key).cast("string").alias("grp"), "n", each.alias("monthly"), (each * 12).alias("annual"))
+    return show(by_merchant, "merchant").unionByName(show(by_category, "category"))
 
 
 #: Days of each cadence, tolerance, turns a year.
@@ -118,10 +152,3 @@ def cadences(ledger: DataFrame, key: str, least: int = 3) -> DataFrame:
     ok = ok.withColumn("wins", wins).where("wins")
     place = F.row_number().over(by.orderBy("score", "turns", "days"))
     return ok.withColumn("place", place).where("place = 1").select(F.col(key).alias("grp"), "days", "score")
-
-
-def emission(findings: DataFrame, budget: int = 25, floor: int = 2500) -> DataFrame:
-    """The findings of largest impact, with their place; smaller ones than the floor and those beyond the budget are left out."""
-    place = F.row_number().over(Window.orderBy(F.desc(F.abs("impact")), "id"))
-    top = findings.where(F.abs("impact") >= floor).orderBy(F.desc(F.abs("impact")), "id").limit(budget)
-    return top.withColumn("place", place)

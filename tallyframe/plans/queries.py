@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import matching, rules
 from ..sources import ledger
-from . import statements
+from . import analysis, statements
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(statements.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(statements.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = statements.QUERIES | analysis.QUERIES
+ORACLE_SQL: dict[str, str] = statements.ORACLE_SQL | analysis.ORACLE_SQL
 
 EVENTS = "SELECT event_id AS id, event_type AS account, CAST(ts AS DATE) AS date, CAST(round(value * 100) AS BIGINT) * (CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) AS cents, user_id AS merchant FROM events"
 ORDERS = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, -CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_custkey AS merchant, o_orderpriority AS category, o_orderstatus = 'P' AS pending FROM orders"
@@ -32,12 +32,14 @@ def query(sql: str | None):
     return add
 
 
-AMOUNTS = ["12.50", "-3", "(1,234.05)", "$9.9", "USD 7", "1,23", "5-", "(-2.00)", "", "abc", "+1.234", "1,000,000.10", " -$0.01 ", "-0", "--5", "12.", "99999999999999999"]
-
-
-@query(None)
+# The shown amounts of all orders, written in five ways, and in two that are no amounts.
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN c WHEN 1 THEN -c WHEN 2 THEN -c WHEN 3 THEN c // 100 * 100 WHEN 4 THEN -c END AS cents FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)")
 def p1_money_parse(spark, d):
-    return spark.createDataFrame([(a,) for a in AMOUNTS], "raw string").select("raw", money.parse(F.col("raw")).alias("cents"))
+    o = ledger.orders(spark, d).withColumns({"k": F.col("id") % 7, "t": money.show(-F.col("cents"))})
+    bare = F.regexp_replace("t", r"[$,]", "")
+    written = F.when(F.col("k") == 0, F.col("t")).when(F.col("k") == 1, F.concat(F.lit("("), "t", F.lit(")"))).when(F.col("k") == 2, F.concat(F.lit(" usd "), bare, F.lit("-\u00a0")))
+    written = written.when(F.col("k") == 3, F.regexp_replace(bare, r"\.\d\d$", "")).when(F.col("k") == 4, F.concat(F.lit("-"), "t")).when(F.col("k") == 5, F.concat(F.lit("--"), "t")).otherwise(F.concat("t", F.lit("5")))
+    return o.select(F.col("id").alias("o_orderkey"), money.parse(written).alias("cents"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c < 0 THEN '-' ELSE '' END || '$' || format('{:,}', abs(c) // 100) || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0') AS shown FROM (SELECT o_orderkey, -CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)")
@@ -77,7 +79,7 @@ def a6_coefficient_of_variation(spark, d):
 
 @query(f"SELECT category, quantile_cont(x, 0.99) AS p99 FROM ({SPEND_O}) GROUP BY category")
 def a7_percentile(spark, d):
-    return rules.spend(ledger.orders(spark, d)).groupBy("category").agg(F.percentile("x", 0.99).alias("p99"))
+    return rules.ranked(rules.spend(ledger.orders(spark, d)), ["category"], "x", 0.99, "p99").select("category", "p99")
 
 
 @query(f"SELECT account, strftime(date, '%Y-%m') AS month, count(*) AS n, sum(cents) AS cents FROM ({EVENTS}) GROUP BY ALL")
@@ -85,12 +87,6 @@ def a13_month_counts(spark, d):
     return ledger.events(spark, d).groupBy("account", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
-@query(f"SELECT account, merchant % 3 AS band, count(*) AS n, sum(CASE WHEN cents < 0 THEN cents ELSE 0 END) AS out_cents FROM ({EVENTS}) GROUP BY GROUPING SETS ((account), (merchant % 3), ())")
-def a11_grouped_counts(spark, d):
-    e = ledger.events(spark, d).withColumn("band", F.col("merchant") % 3)
-    return e.groupingSets([["account"], ["band"], []], "account", "band").agg(F.count("*").alias("n"), F.sum(F.when(F.col("cents") < 0, F.col("cents")).otherwise(0)).alias("out_cents"))
-
-
 def _outlier_sql(rows: str, key: str, least: int) -> str:
     return f"""WITH r AS ({rows}), s AS (SELECT {key}, count(*) AS n, median(x) AS med, mad(x) AS mad FROM r GROUP BY {key}),
 z AS (SELECT id, r.{key} AS grp, cents, x, med, mad, CASE WHEN mad > 0 THEN 0.6745 * (x - med) / mad END AS z FROM r JOIN s USING ({key}) WHERE n >= {least} AND x - med >= 2500)
@@ -135,39 +131,9 @@ def r12_climbs(spark, d):
     return rules.climbs(ledger.orders(spark, d), "category")
 
 
-@query(f"WITH {_MONTHLY}, n AS (SELECT count(*) AS months FROM months) SELECT grp, n, monthly, monthly * 12 AS annual FROM (SELECT r.category AS grp, count(*) AS n, CAST(floor(sum(x) / any_value(n.months) + 0.5) AS BIGINT) AS monthly, median(x) AS med, any_value(n.months) AS months FROM r JOIN months USING (month) CROSS JOIN n GROUP BY r.category) WHERE months >= 3 AND n / months >= 1 AND med <= 100000000")
-def r13_micro(spark, d):
-    return rules.micro(ledger.orders(spark, d), "category", 1, 100_000_000)
-
-
-@query("""WITH g AS (SELECT merchant, date_diff('day', lag(date) OVER (PARTITION BY merchant ORDER BY date, id), date) AS gap FROM (""" + SPEND_O + """)),
-c(days, tol) AS (VALUES (7.0::DOUBLE, 2.0::DOUBLE), (14.0, 2.0), (28.0, 2.0), (30.44, 4.0), (91.3, 7.0), (182.6, 12.0), (365.25, 20.0)),
-f AS (SELECT merchant, days, tol, count(*) AS n, min(floor(gap / days + 0.5)) AS low, max(floor(gap / days + 0.5)) AS high, avg(floor(gap / days + 0.5)) AS turns, median(abs(gap - floor(gap / days + 0.5) * days)) AS score, min(gap) AS s, max(gap) AS l FROM g CROSS JOIN c WHERE gap IS NOT NULL GROUP BY ALL),
-o AS (SELECT *, bool_or(days = 28) OVER (PARTITION BY merchant) AND bool_or(days = 30.44) OVER (PARTITION BY merchant) AS twin FROM f WHERE n >= 1 AND low >= 1 AND high <= 3 AND score <= tol)
-SELECT merchant AS grp, days, score FROM (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY score, turns, days) AS place FROM o WHERE NOT twin OR days = CASE WHEN s >= 27 AND l <= 29 AND n + 1 >= 6 THEN 28 ELSE 30.44 END) WHERE place = 1""")
-def r1_cadence(spark, d):
-    return rules.cadences(ledger.orders(spark, d), "merchant", 2)
-
-
-@query(f"SELECT *, CAST(row_number() OVER (ORDER BY abs(impact) DESC, id) AS INTEGER) AS place FROM (SELECT * FROM ({_outlier_sql(SPEND_E, 'merchant', 5)}) WHERE abs(impact) >= 2500 ORDER BY abs(impact) DESC, id LIMIT 25)")
-def l3_emission(spark, d):
-    return rules.emission(rules.outliers(ledger.events(spark, d), "merchant", 5))
-
-
 _J2 = f"SELECT a.id AS debit, b.id AS credit, b.cents, date_diff('day', a.date, b.date) AS gap FROM ({EVENTS}) a JOIN ({EVENTS}) b ON -a.cents = b.cents AND a.cents < 0 AND b.cents > 0 AND a.account <> b.account AND date_diff('day', a.date, b.date) BETWEEN -1 AND 7"
 
 
-@query(_J2)
-def j2_transfer_candidates(spark, d):
-    return matching.transfer_candidates(ledger.events(spark, d))
-
-
-@query(None)
-def j6_transfer_assignment(spark, d):
-    c = matching.transfer_candidates(ledger.events(spark, d)).withColumn("far", F.abs("gap"))
-    return matching.assign(c, "far", "debit", "credit")
-
-
 @query("SELECT l_partkey, l_suppkey, b.n AS incoming, b.n - coalesce(a.n, 0) AS inserts FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) b LEFT JOIN (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL) a USING (l_partkey, l_suppkey) WHERE b.n > coalesce(a.n, 0)")
 def j11_bag_merge(spark, d):
     rows = ledger.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
@@ -181,19 +147,9 @@ def w5_occurrence_index(spark, d):
     return rows.withColumn("occurrence", (F.row_number().over(by) - 1).cast("long"))
 
 
-@query(f"SELECT id, account, date, cents, merchant FROM ({EVENTS}) WHERE account IN ('purchase', 'view') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND cents BETWEEN -30000 AND 30000 ORDER BY date DESC, id LIMIT 100 OFFSET 100")
-def q1_search_page(spark, d):
-    e = ledger.events(spark, d).where(F.col("account").isin("purchase", "view") & F.col("date").between("2024-01-05", "2024-01-20") & F.col("cents").between(-30000, 30000))
-    return e.orderBy(F.desc("date"), "id").offset(100).limit(100)
-
-
 @query(f"SELECT debit AS id FROM ({_J2}) UNION SELECT credit FROM ({_J2})")
 def u1_union_distinct(spark, d):
     c = matching.transfer_candidates(ledger.events(spark, d))
     return c.select(F.explode(F.array("debit", "credit")).alias("id")).distinct()
 
 
-@query(f"SELECT * FROM ({EVENTS}) e WHERE cents < 0 AND NOT EXISTS (SELECT 1 FROM ({_J2}) j WHERE j.debit = e.id)")
-def j9_unmatched_debits(spark, d):
-    e = ledger.events(spark, d)
-    return e.where("cents < 0").join(matching.transfer_candidates(e).select(F.col("debit").alias("id")), "id", "left_anti")

@@ -107,38 +107,43 @@ def _statements(spark, d) -> DataFrame:
     )
     shown = lambda x: F.concat(F.floor(x / 100).cast("string"), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
     before = lambda k: F.aggregate(F.filter("lines", lambda y: y["n"] <= k), F.lit(0).cast("long"), lambda s, y: s + y["cents"])
-    rows = F.transform("lines", lambda x: F.concat_ws(",", x["date"], x["text"], shown(x["cents"]), shown(before(x["n"]) + F.when(x["n"] == 5, 1).otherwise(0)), x["status"]))
+    rows = F.transform("lines", lambda x: F.concat_ws(",", x["date"], x["text"], shown(x["cents"]), F.when((F.col("l_orderkey") + x["n"]) % 7 == 0, "").otherwise(shown(before(x["n"]) + F.when(x["n"] == 5, 1).otherwise(0))), x["status"]))
     files = ledger.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     top = F.lit("Date,Description,Amount,Running Balance,Status")
     return files.select(F.col("l_orderkey").cast("string").alias("path"), F.concat_ws("\r\n", top, F.array_join(rows, "\r\n")).cast("binary").alias("content"))
 
 
-_LINES = "SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, strftime(l_shipdate, '%m/%d/%Y'), l_returnflag || ', \"x\" ' || l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS row_index, CAST(l_shipdate AS DATE) AS date, l_returnflag || ', \"x\" ' || l_partkey AS description, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_linestatus = 'O' AS pending, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END AS balance_cents FROM lineitem"
+def _records(spark, d) -> DataFrame:
+    """Split once: the header and the rows below it are both looked for in the kept records."""
+    return statements.records(_statements(spark, d), ",").persist()
+
+
+_LINES = "SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, strftime(l_shipdate, '%m/%d/%Y'), l_returnflag || ', \"x\" ' || l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS row_index, CAST(l_shipdate AS DATE) AS date, l_returnflag || ', \"x\" ' || l_partkey AS description, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_linestatus = 'O' AS pending, CASE WHEN (l_orderkey + l_linenumber) % 7 <> 0 THEN sum(CAST(round(l_extendedprice * 100) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END END AS balance_cents FROM lineitem"
 
 
 @query(f"SELECT path, CAST(row_index AS INTEGER) AS row_index, CAST(row_index + 2 AS INTEGER) AS line, date, description, cents, CAST(balance_cents AS BIGINT) AS balance_cents, pending, CAST(NULL AS VARCHAR) AS error FROM ({_LINES})")
 def s13_statement_rows(spark, d):
-    return statements.ledger_rows(statements.records(_statements(spark, d), ","), PROFILE)
+    return statements.ledger_rows(_records(spark, d), PROFILE)
 
 
 @query(f"""WITH r AS (SELECT *, balance_cents - lag(balance_cents) OVER w <> cents AS up, balance_cents - lead(balance_cents) OVER w <> cents AS down FROM ({_LINES}) WINDOW w AS (PARTITION BY path ORDER BY row_index)),
-g AS (SELECT path, count(*) AS n, CAST(sum(CAST(up AS INT)) AS BIGINT) AS up, CAST(sum(CAST(down AS INT)) AS BIGINT) AS down FROM r GROUP BY path)
-SELECT path, CASE WHEN n < 2 THEN 'unavailable' WHEN least(up, down) = 0 THEN 'reconciled' ELSE 'mismatch' END AS status, CASE WHEN n >= 2 THEN CASE WHEN up <= down THEN 'ascending' ELSE 'descending' END END AS direction, CASE WHEN n >= 2 THEN least(up, down) END AS failures FROM g""")
+g AS (SELECT path, count(balance_cents) AS n, count(up) AS checked, CAST(sum(CAST(up AS INT)) AS BIGINT) AS up, CAST(sum(CAST(down AS INT)) AS BIGINT) AS down FROM r GROUP BY path)
+SELECT path, CASE WHEN n < 2 THEN 'unavailable' WHEN checked > 0 AND least(up, down) = 0 THEN 'reconciled' ELSE 'mismatch' END AS status, CASE WHEN n >= 2 THEN CASE WHEN coalesce(up <= down, TRUE) THEN 'ascending' ELSE 'descending' END END AS direction, CASE WHEN n >= 2 THEN checked END AS checked, CASE WHEN n >= 2 THEN coalesce(least(up, down), 0) END AS failures FROM g""")
 def p13_balance_check(spark, d):
-    return statements.balance_check(statements.ledger_rows(statements.records(_statements(spark, d), ","), PROFILE))
+    return statements.balance_check(statements.ledger_rows(_records(spark, d), PROFILE))
 
 
 _E = "SELECT event_id AS id, event_type AS account, CAST(ts AS DATE) AS date, CAST(round(value * 100) AS BIGINT) * (CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) AS cents, user_id AS merchant FROM events"
 
 
 @query(f"SELECT b.id AS incoming, a.id AS existing, b.cents - a.cents AS off FROM ({_E}) a JOIN ({_E}) b ON a.account = b.account AND a.merchant = b.merchant AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(date_diff('day', a.date, b.date)) <= 3 AND (a.date <> b.date OR a.cents <> b.cents) AND (abs(b.cents - a.cents) <= 200 OR abs(b.cents - a.cents) * 100 <= 3 * abs(a.cents))")
-def j12_near_duplicates(spark, d):
+def j12_near_pairs(spark, d):
     e = ledger.events(spark, d).withColumn("key", F.col("merchant"))
     return matching.near_duplicates(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
 
 
 @query(f"SELECT a.id AS debit, b.id AS credit, date_diff('day', a.date, b.date) AS gap FROM ({_E}) a JOIN ({_E}) b ON a.merchant % 50 = b.merchant % 50 AND a.cents < 0 AND b.cents = -a.cents AND date_diff('day', a.date, b.date) BETWEEN 0 AND 90")
-def j14_refund_candidates(spark, d):
+def j14_refund_pairs(spark, d):
     e = ledger.events(spark, d).withColumns({"merchant": F.col("merchant") % 50, "account": F.lit("all")})
     return matching.refund_candidates(e)
 

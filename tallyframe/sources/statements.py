@@ -102,14 +102,16 @@ def delimiters(found: DataFrame) -> DataFrame:
 
 
 def header(rows: DataFrame) -> DataFrame:
-    """path, record, cells of each file's header: the first record of the usual width of which under half the filled cells look like numbers."""
-    some = filled(rows).withColumn("fields", F.size("cells"))
-    width = some.groupBy("path", "fields").agg(F.count("*").alias("n"))
-    width = width.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), F.desc("fields")))).where("place = 1").select("path", "fields")
+    """path, record, cells, width of each file's header: the first record of the usual width of which under half the filled cells look like numbers.
+
+    Records of one cell are prose and have no say in the width.
+    """
+    some = filled(rows).withColumn("fields", F.size("cells")).where("fields >= 2")
+    width = some.groupBy("path", "fields").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "fields")).alias("w")).select("path", F.col("w.fields").alias("fields"))
     full = F.filter("cells", lambda c: F.trim(c) != "")
-    numbers = F.filter(full, lambda c: F.trim(c).rlike(r"^[-+($]*[0-9][0-9.,/-]*\)?$"))
+    numbers = F.filter(full, lambda c: F.trim(c).rlike(r"^[-+$(]?[0-9.,/\\-]+\)?$"))
     of = some.join(width, ["path", "fields"]).where(F.size(numbers) * 2 < F.size(full))
-    return of.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("record"))).where("place = 1").select("path", "record", "cells")
+    return of.groupBy("path").agg(F.min(F.struct("record", "cells", "fields")).alias("h")).select("path", "h.record", "h.cells", F.col("h.fields").alias("width"))
 
 
 def tokens(cells: Column) -> Column:
@@ -130,22 +132,44 @@ def likeness(a: Column, b: Column) -> Column:
 def ledger_rows(rows: DataFrame, profile: dict) -> DataFrame:
     """path, row_index, line, date, description, cents, balance_cents, pending, error of each record below the header.
 
-    ``profile``: date_format, columns (role to header name: transaction_date, posted_date,
-    description, and amount or debit and credit; balance and status if any), invert, pending
-    (status values). A record that cannot be read has an error and null values.
+    ``profile``: date_format, columns (role to header name, or to a place from 0 on:
+    transaction_date, posted_date, description, and amount or debit and credit; balance and status
+    if any), invert, pending (status values), skip_lines (records that are not blank above the
+    header), has_header. A record that cannot be read has an error, which says why, and null values;
+    of a file that lacks a column that the profile names, every row has the error ``column``.
     """
     names = profile["columns"]
-    top = header(rows).select("path", F.col("record").alias("top"), tokens(F.col("cells")).alias("names"))
-    data = filled(rows).join(top, "path").where("record > top")
+    skip, headed = profile.get("skip_lines"), profile.get("has_header", True)
+    data = filled(rows)
+    if skip is not None or not headed:
+        # The place among the records that are not blank.
+        data = data.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("record")) - 1).where(F.col("place") >= (skip or 0))
+        if headed:
+            top = data.where(F.col("place") == (skip or 0)).select("path", F.col("record").alias("top"), tokens(F.col("cells")).alias("names"))
+            data = data.join(top, "path").where("record > top")
+        else:
+            data = data.withColumn("names", F.array().cast("array<string>"))
+        data = data.drop("place")
+    else:
+        top = header(rows).select("path", F.col("record").alias("top"), tokens(F.col("cells")).alias("names"))
+        data = data.join(top, "path").where("record > top")
     data = data.withColumn("row_index", F.row_number().over(Window.partitionBy("path").orderBy("record")) - 1)
 
+    def place(role: str) -> Column:
+        """From 1 on; 0 where a named column is not there."""
+        if isinstance(names[role], int):
+            return F.lit(names[role] + 1)
+        return F.array_position("names", F.element_at(tokens(F.array(F.lit(names[role]))), 1)).cast("int")
+
     def cell(role: str) -> Column:
         if role not in names:
             return F.lit(None).cast("string")
-        at = F.array_position("names", F.element_at(tokens(F.array(F.lit(names[role]))), 1)).cast("int")
-        c = F.when(at > 0, F.trim(F.get("cells", at - 1)))
+        c = F.when(place(role) > 0, F.trim(F.get("cells", place(role) - 1)))
         return F.when(c != "", c)
 
+    missing = F.lit(False)
+    for role in names:
+        missing = missing | (place(role) == 0)
     date = dates.effective(dates.parse(cell("transaction_date"), profile["date_format"]), dates.parse(cell("posted_date"), profile["date_format"]))
     if "amount" in names:
         amount = money.parse(cell("amount"))
@@ -156,8 +180,9 @@ def ledger_rows(rows: DataFrame, profile: dict) -> DataFrame:
     if profile.get("invert"):
         amount, balance = -amount, -balance
     pending = F.coalesce(F.lower(cell("status")).isin(*profile.get("pending", [])), F.lit(False)) if profile.get("pending") else F.lit(False)
-    out = data.select("path", "row_index", "line", date.alias("date"), F.coalesce(cell("description"), F.lit("")).alias("description"), amount.alias("cents"), balance.alias("balance_cents"), pending.alias("pending"))
-    return out.withColumn("error", F.when(F.col("date").isNull(), "date").when(F.col("cents").isNull(), "amount"))
+    out = data.select("path", "row_index", "line", missing.alias("missing"), date.alias("date"), F.coalesce(cell("description"), F.lit("")).alias("description"), amount.alias("cents"), balance.alias("balance_cents"), pending.alias("pending"))
+    out = out.withColumn("error", F.when(F.col("missing"), "column").when(F.col("date").isNull(), "date").when(F.col("cents").isNull(), "amount"))
+    return out.drop("missing")
 
 
 def warnings(rows: DataFrame) -> DataFrame:
@@ -177,19 +202,60 @@ def warnings(rows: DataFrame) -> DataFrame:
 
 
 def balance_check(rows: DataFrame, key: str = "path", order: str = "row_index") -> DataFrame:
-    """key, status, direction, failures: whether each balance is the one before plus the amount, in file order or backwards."""
-    r = rows.where("balance_cents is not null")
+    """key, status, direction, checked, failures: whether each balance is the one of the row before plus the amount, in file order or backwards.
+
+    Only rows without an error count; of two neighbours, both must have a balance to be checked.
+    """
+    r = rows.where("error is null") if "error" in rows.columns else rows
     by = Window.partitionBy(key).orderBy(order)
     step = F.col("balance_cents") - F.lag("balance_cents").over(by)
     back = F.col("balance_cents") - F.lead("balance_cents").over(by)
     r = r.withColumns({"up": (step != F.col("cents")).cast("int"), "down": (back != F.col("cents")).cast("int")})
-    g = r.groupBy(key).agg(F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"))
-    least = F.least("up", "down")
-    status = F.when(F.col("n") < 2, "unavailable").when(least == 0, "reconciled").otherwise("mismatch")
-    return g.select(key, status.alias("status"), F.when(F.col("n") >= 2, F.when(F.col("up") <= F.col("down"), "ascending").otherwise("descending")).alias("direction"), F.when(F.col("n") >= 2, least).alias("failures"))
-
-
-def sign_check(rows: DataFrame, key: str = "path") -> DataFrame:
-    """key of deposit accounts most of whose balances, of three at least, are below zero."""
+    g = r.groupBy(key).agg(F.count("balance_cents").alias("n"), F.count("up").alias("checked"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    least, enough = F.least("up", "down"), F.col("n") >= 2
+    ok = (F.col("checked") > 0) & (least == 0)
+    status = F.when(~enough, "unavailable").when(ok, "reconciled").otherwise("mismatch")
+    direction = F.when(F.coalesce(F.col("up") <= F.col("down"), F.lit(True)), "ascending").otherwise("descending")
+    return g.select(key, status.alias("status"), F.when(enough, direction).alias("direction"), F.when(enough, F.col("checked")).alias("checked"), F.when(enough, F.coalesce(least, F.lit(0).cast("long"))).alias("failures"))
+
+
+def sign_check(rows: DataFrame, key: str = "path", account_type: str | None = "checking") -> DataFrame:
+    """key of deposit accounts most of whose balances, of three at least, are below zero; none for other accounts, whose balances are debts."""
+    if account_type not in ("checking", "savings"):
+        return rows.select(key).limit(0)
     g = rows.where("balance_cents <> 0").groupBy(key).agg(F.count("*").alias("n"), F.sum((F.col("balance_cents") < 0).cast("int")).alias("below"))
     return g.where("n >= 3 and below * 2 > n").select(key)
+
+
+def period(rows: DataFrame, key: str = "path") -> DataFrame:
+    """key, start, end of the rows that could be read."""
+    return rows.where("error is null").groupBy(key).agg(F.min("date").alias("start"), F.max("date").alias("end"))
+
+
+def detected(found: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """path, delimiter, state, skip_lines, profile, similarity of each file against ``profiles`` (profile, signature, tokens).
+
+    ``matched`` has the profile of the same signature; ``needs_mapping`` a row for each profile that is alike enough, the most alike first,
+    or one without; ``undetectable`` has no delimiter or header. Files and profiles meet on shared header words.
+    """
+    guess = delimiters(found)
+    each = None
+    for d in DELIMITERS:
+        of = header(records(found.join(guess.where(F.col("delimiter") == d).select("path"), "path", "left_semi"), d))
+        of = of.withColumn("delimiter", F.lit(d))
+        each = of if each is None else each.unionByName(of)
+    heads = found.select("path").join(each, "path", "left").withColumn("signature", F.when(F.col("cells").isNotNull(), signature(F.col("cells"))))
+    hit = heads.join(profiles.select("profile", "signature"), "signature")
+    rest = heads.where("cells is not null").join(hit.select("path"), "path", "left_anti")
+    word = rest.select("path", "cells", F.explode(F.array_distinct(tokens(F.col("cells")))).alias("word")).where("word <> ''")
+    near = word.join(profiles.select("profile", "tokens", F.explode(F.array_distinct("tokens")).alias("word")), "word").select("path", "cells", "profile", "tokens").distinct()
+    near = near.withColumn("similarity", likeness(F.col("cells"), F.col("tokens"))).where(F.col("similarity") >= least).select("path", "profile", "similarity")
+    out = hit.select("path", "delimiter", F.lit("matched").alias("state"), "record", "profile", F.lit(1.0).alias("similarity"))
+    out = out.unionByName(rest.join(near, "path", "left").select("path", "delimiter", F.lit("needs_mapping").alias("state"), "record", "profile", "similarity"))
+    none = heads.where("cells is null").select("path", F.lit(None).cast("string").alias("delimiter"), F.lit("undetectable").alias("state"), F.lit(None).cast("int").alias("record"), F.lit(None).cast("string").alias("profile"), F.lit(None).cast("double").alias("similarity"))
+    return out.unionByName(none)
+
+
+def confidence(content: Column, detected_state: Column) -> Column:
+    """How sure the CSV reader is of a file: 0 for what is no text, 0.1 for text, 0.6 where a profile matches."""
+    return F.when(kind(content) != "csv", 0.0).when(detected_state == "matched", 0.6).otherwise(0.1)

@@ -1 +1 @@
-
+"""Structured Streaming: statements as they arrive."""

@@ -10,10 +10,10 @@ from tallyframe.sources import statements
 @pytest.mark.parametrize(
     "raw, key",
     [
-        ("SQ *BLUE BOTTLE COFFE CA", "BLUE BOTTLE COFFE"),
-        ("POS DEBIT SQ *BLUE BOTTLE", "BLUE BOTTLE"),
+        ("SQ *CORNER BAKERY WA", "CORNER BAKERY"),
+        ("POS DEBIT SQ *CORNER BAKERY", "CORNER BAKERY"),
         ("NETFLIX.COM 866-579-7172 CA", "NETFLIX"),
-        ("SHELL OIL 57442100 PORTLAND OR", "SHELL OIL PORTLAND"),
+        ("FUEL STOP 99110022 SALEM OR", "FUEL STOP SALEM"),
         ("TRANSFER TO CHECKING", "TRANSFER TO CHECKING"),
         ("76 GAS", "76 GAS"),
         ("SQ *", "SQ"),
@@ -63,7 +63,7 @@ def test_ledger_rows(spark):
     got = rows.orderBy("row_index").collect()
     assert [(r.description, r.cents, r.balance_cents, r.pending, r.error) for r in got] == [('A, "B"', -475, 1000, False, None), ("two\nlines", 320000, 321000, True, None), ("", None, None, False, "amount"), ("a b", -475, None, False, None)]
     assert {(r.row_index, r.warning) for r in statements.warnings(rows).collect()} == {(1, "pending_row"), (2, "unparsed_row"), (2, "empty_description"), (3, "repeats:0")}
-    assert [tuple(r) for r in statements.balance_check(rows).collect()] == [("f", "reconciled", "ascending", 0)]
+    assert [tuple(r) for r in statements.balance_check(rows).collect()] == [("f", "reconciled", "ascending", 1, 0)]
 
 
 def test_decoding():
