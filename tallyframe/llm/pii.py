@@ -142,7 +142,8 @@ def discovered(instances: DataFrame, seeds: DataFrame, words: DataFrame) -> Data
     edges = stored(_sides(instances, "value").groupBy("value", "side", "word").agg(F.count("*").alias("n")), "edges")
     sure = stored(_sides(seeds).groupBy("side", "word").agg(F.count("*").alias("sure")), "sure")
     each = words.groupBy("word").agg(F.count("*").alias("uses"))
-    uses = stored(each.join(edges.select("word").unionByName(sure.select("word")).distinct(), "word", "left_semi"), "uses")
+    # Not a semi-join: that would be moved below the count, and every word of the corpus shuffled.
+    uses = stored(each.join(edges.select("word").unionByName(sure.select("word")).distinct(), "word"), "uses")
     trusted, known = edges.select("value").limit(0), 0
     while True:
         # What the seeds and the instances found so far stand by; a name has one edge a pattern at most.
