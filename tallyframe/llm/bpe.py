@@ -34,7 +34,7 @@ from .common import docs_of
 
 BLOCK = 1 << 16  # characters cut into words at once
 SHORT = 64  # bytes: longer words go through the windowed encoder
-MEMO = 1_000_000  # words remembered
+MEMO = 250_000  # words remembered
 GROUP = 1000  # texts whose words are merged together
 
 _NONE = 1 << 30

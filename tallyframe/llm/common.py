@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 2000  # rows handed to a Python worker at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand over at most ``BATCH`` rows at once, as texts can be long; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share and which the session must name."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,6 +30,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +57,7 @@ def hot_join(many: DataFrame, one: DataFrame, on: list[str], spread: str, how: s
 
 def docs_of(df: DataFrame) -> DataFrame:
     """The two columns the operators read; any other column is ignored, whatever its name."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, hot_join
+from .common import docs_of, hot_join, small_batches
 
 
 @dataclass(frozen=True)
@@ -144,6 +144,8 @@ def redact(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]", rules: tuple
     Blobs without findings have no row on the join's other side.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else masked(t, x, mark) for t, x in zip(text, spans)], dtype=object)
