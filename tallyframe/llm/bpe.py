@@ -34,7 +34,7 @@ from .common import docs_of
 
 BLOCK = 1 << 16  # characters cut into words at once
 SHORT = 64  # bytes: longer words go through the windowed encoder
-MEMO = 250_000  # words remembered
+MEMO = 1_000_000  # words remembered
 GROUP = 1000  # texts whose words are merged together
 
 _NONE = 1 << 30
@@ -303,6 +303,12 @@ class Transducer:
         yield from self._cut(buf[: len(buf) - keep], False)
         self.held += buf[len(buf) - keep :]
 
+    def whole(self, text: str) -> list[str] | None:
+        """:meth:`feed` of a text that is one block and its end, where that gives words alone; None where an added token is in it."""
+        if self.model.special is not None and self.model.special.search(text):
+            return None
+        return (_FAST if _PLAIN.search(text) is None else _general()).findall(text)
+
     def _cut(self, buf: str, final: bool) -> Iterator[str | bytes]:
         cut = _FAST if _PLAIN.search(buf) is None else _general()
         at = 0
@@ -384,15 +390,15 @@ class Encoder:
         """:meth:`pieces` of each text; the new words of a group of one-block texts are merged at once."""
         for k in range(0, len(texts), GROUP):
             group = [t or "" for t in texts[k : k + GROUP]]
-            items = [None if len(t) > BLOCK else list(Transducer(self.model).feed(t, True)) for t in group]
-            new: set[str] = {w for x in items if x is not None for w in x if isinstance(w, str)}
+            items = [None if len(t) > BLOCK else Transducer(self.model).whole(t) for t in group]
+            new: set[str] = set().union(*filter(None, items))
             words = [(w, r) for w in new if w not in self.memo and len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
             if len(self.memo) + len(words) > MEMO:
                 self.memo.clear()
                 words = [(w, r) for w in new if len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
             self.memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
             for t, x in zip(group, items):
-                yield self.pieces(t) if x is None else iter([self._ids(x)])
+                yield self.pieces(t) if x is None else iter([b"".join(map(self.memo.__getitem__, x))])
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.pieces(text or "")), "<u4")
