@@ -1,18 +1,24 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
-The model is an interpolated bigram: ``p(w | u) = c(u, w) / (c(u) + mu) + mu / (c(u) + mu) * p(w)``,
+The model is an interpolated trigram:
+``p(w | u v) = (c(u v w) + b * p(w | v)) / (c(u v) + b)``, ``p(w | v) = (c(v w) + a * p(w)) / (c(v) + a)``,
 over a discounted unigram ``p(w) = (c(w) - d) / N`` whose freed mass ``d * V / N`` is the unknown
-word's. A trie has the contexts as its first level; an Elias-Fano coded pointer sequence gives
-each context's range in the second level, where the successors are stored relative to the
-context's ordinal, so the whole level is one increasing Elias-Fano sequence; the smoothed
-log-probabilities beside it are quantised to bytes, rounded down. The levels are written to a file and
-memory-mapped; a query is a successor search within its context's range.
-
-The model grows with the corpus, so no task holds it whole: it is dealt by context into tries of
-bounded size (contexts that make up a thousandth of all tokens or more are dealt by successor
-too). Documents are gathered into chunks; a chunk asks each trie once for its distinct n-grams, and
-the counts of the same request train the trie. Requests and answers are delta-coded blocks, a
-few bytes an n-gram.
+word's. Words have dense numbers, the frequent ones small ones, so n-grams are exact. A trie has three
+levels of Elias-Fano sequences: the first words, the second words and the third words, the latter two
+stored relative to the ordinal of their context, which makes each level one increasing sequence;
+monotone pointers lead from a context to its range in the next level. Beside the second and third
+level stands each n-gram's joint probability as a byte (exact for small counts, then in geometric
+steps): a conditional probability is made of two of them, the n-gram's rounded down and its
+context's rounded up, so smoothed probabilities never sum to more than 1. Unigram counts need to be
+exact for the base score and are no codes. The levels are written to a file and memory-mapped; rank
+and select read the mapped words by a directory of two counts for each 64 bits, and a query is a
+successor search within its context's range.
+
+The model grows with the corpus, so no task holds it whole: it is dealt by first word into tries of
+bounded size; n-grams of words that make up a thousandth of all tokens or more are dealt by the second
+and, if that is frequent as well, by the third word too. Documents are gathered into chunks; a chunk
+asks each trie once for its distinct n-grams, and the counts of the same request train the trie. A
+request without n-grams is not sent, so there are never more of them than distinct n-grams of a chunk.
 
 Edge cases: a null or empty text is the end token alone; repeated rows each count and each get a
 row; a null doc_id is in the fold of the empty text; an empty training fold gives probability 1
@@ -26,6 +32,7 @@ import os
 import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,74 +44,115 @@ from pyspark.sql import functions as F
 from .common import docs_of, mix, scratch, stored, word_hashes
 
 FOLDS, HELD = 7, 2
-MU = 1000.0
-CHUNK = 6 << 20  # bytes of text in a chunk
-PER_TRIE = 3_000_000  # tokens dealt to a trie
-SHARE = 1000  # a context with this part of all tokens is dealt by successor
-BITS = 28  # of a context's and of a successor's code
-STEP = 32.0  # quantisation steps to a power of ten
+MU = (1000.0, 20.0)  # a and b of the module's text
+CHUNK = 4 << 20  # bytes of text in a chunk
+PER_TRIE = 1_000_000  # tokens dealt to a trie
+SHARE = 1000  # a word with this part of all tokens is dealt by the words that follow it
+EXACT, CODES = 64, 255  # counts below the first have codes of their own; all codes
 _U = np.uint64
-END, START = mix(np.array([0xE0D, 0x57A], np.uint64))
+END = mix(np.array([0xE0D], np.uint64))[0]
+NONE, BEGIN, WORDS = 0, 1, 2  # numbers: no word or an unknown one, the place before a text, the first word
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """Byte planes of an unsigned array, compressed."""
+    """Byte planes of an unsigned array, compressed; planes of zeros above the largest value are left out."""
     x = np.ascontiguousarray(x, "<u8")
-    return zstandard.compress(len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    size = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = x.view(np.uint8).reshape(-1, 8).T[:size]
+    return zstandard.compress(len(x).to_bytes(8, "little") + planes.tobytes(), 1)
 
 
 def _expand(b: bytes) -> np.ndarray:
     raw = zstandard.decompress(b)
     n = int.from_bytes(raw[:8], "little")
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8).reshape(8, n).T).view("<u8").ravel()
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8, offset=8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Increasing keys as differences, and their counts."""
-    return _squeeze(np.concatenate([np.diff(keys, prepend=_U(0)), counts.astype(np.uint64)]))
+def _pack(keys: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Increasing keys as differences, and arrays beside them."""
+    return _squeeze(np.concatenate([np.diff(keys, prepend=_U(0)), *(x.astype(np.uint64) for x in rest)]))
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = _expand(b)
-    n = len(x) // 2
-    return np.cumsum(x[:n], dtype=np.uint64), x[n:]
+def _unpack(b: bytes, columns: int) -> np.ndarray:
+    x = _expand(b).reshape(columns, -1)
+    np.cumsum(x[0], out=x[0])
+    return x
+
+
+def _key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number a triple, in the order of the triples; it holds among the triples given only."""
+    if len(u) and max(int(u.max()), int(v.max()), int(w.max())) >= 1 << 21:
+        own, back = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+        u, v, w = np.split(back.astype(np.uint64), 3)
+        if len(own) >= 1 << 21:
+            pair = np.unique(u << _U(32) | v, return_inverse=True)[1].astype(np.uint64)
+            return pair << _U(32) | w
+    return u << _U(42) | v << _U(21) | w
 
 
 class EliasFano:
-    """An increasing sequence: low bits packed, high parts in unary."""
+    """An increasing sequence: low bits packed, high parts in unary, read where they lie."""
 
-    def __init__(self, n: int, low: int, packed: np.ndarray, unary: np.ndarray):
+    def __init__(self, n: int, low: int, packed: np.ndarray, unary: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.low = n, low
         # A view of the 8 bytes that start at each byte; the packed bits end in 8 spare bytes.
         self.words = np.ndarray((len(packed) - 7,), "<u8", packed, strides=(1,))
-        bits = np.unpackbits(unary).view(bool)
-        self.high = np.flatnonzero(bits) - np.arange(n)
-        zeros = np.flatnonzero(~bits)
-        self.begin = np.concatenate([[0], zeros - np.arange(len(zeros))])  # first place of each high part
+        self.unary, self.ones, self.zeros = unary.view("<u8"), ones.view("<u4"), zeros.view("<u4")
 
     @staticmethod
-    def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Length, number of low bits, and as bytes: low bits, unary words, ones and zeros before each word."""
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low = max(0, (top // max(n, 1)).bit_length() - 1)
         high = (values >> _U(low)).astype(np.int64)
-        unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
-        unary[high + np.arange(n)] = 1
+        bits = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 1) // 64) * 64, np.uint8)
+        bits[high + np.arange(n)] = 1
+        unary = np.packbits(bits, bitorder="little")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(unary.view("<u8")), dtype=np.int64)])[:-1]
+        zeros = np.arange(len(ones)) * 64 - ones
         packed = [np.zeros(0, np.uint8)]
         for i in range(0, n, 1 << 15):  # a multiple of 8 values ends at a whole byte
-            planes = values[i : i + (1 << 15), None].view(np.uint8)
+            planes = np.ascontiguousarray(values[i : i + (1 << 15)])[:, None].view(np.uint8)
             packed.append(np.packbits(np.unpackbits(planes, axis=1, bitorder="little")[:, :low].ravel(), bitorder="little"))
-        return n, low, np.concatenate([*packed, np.zeros(8, np.uint8)]), np.packbits(unary)
+        return n, low, np.concatenate([*packed, np.zeros(8, np.uint8)]), unary, ones.astype("<u4").view(np.uint8), zeros.astype("<u4").view(np.uint8)
+
+    def _select(self, i: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the i-th (from 0) one or zero of the unary bits."""
+        before = self.ones if one else self.zeros
+        i = i.astype(np.uint32)
+        k = np.searchsorted(before, i, "right") - 1
+        word = self.unary[k] if one else ~self.unary[k]
+        left = i - before[k]
+        at = k << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            n = np.bitwise_count(word & _U((1 << width) - 1))
+            over = left >= n
+            left = left - np.where(over, n, 0).astype(np.uint32)
+            word = np.where(over, word >> _U(width), word)
+            at = at + np.where(over, width, 0)
+        return at
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.low
-        return self.high[at].astype(np.uint64) << _U(self.low) | self.words[bit >> 3] >> (bit & 7).astype(np.uint64) & _U((1 << self.low) - 1)
+        high = (self._select(at, True) - at).astype(np.uint64)
+        return high << _U(self.low) | self.words[bit >> 3] >> (bit & 7).astype(np.uint64) & _U((1 << self.low) - 1)
+
+    def _group(self, h: np.ndarray) -> np.ndarray:
+        """The first place whose high part is at least h, which is at most one more than the largest."""
+        return np.where(h > 0, self._select(np.maximum(h, 1) - 1, False) - (h - 1), 0)
 
     def successor(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Least place in [start, stop) with a value of at least x, or stop: a search among the values of x's high part."""
-        h = np.minimum((x >> _U(self.low)).astype(np.int64), len(self.begin) - 2)
-        a, b = np.clip(self.begin[h], start, stop), np.clip(self.begin[h + 1], start, stop)
-        a, b = a.copy(), b.copy()
+        if not self.n:
+            return stop.copy()
+        top = int(self[np.array([self.n - 1])][0] >> _U(self.low))
+        h = np.minimum(x >> _U(self.low), _U(top)).astype(np.int64)
+        a, b = np.clip(self._group(h), start, stop), np.clip(self._group(h + 1), start, stop)
         while len(open_ := np.flatnonzero(a < b)):
             m = (a[open_] + b[open_]) >> 1
             less = self[m] < x[open_]
@@ -114,55 +162,84 @@ class EliasFano:
 
 
 class Trie:
-    """Two levels, memory-mapped from one file: contexts, pointers, successors, quantised probabilities."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int], mu: float, folder: str):
-        context, succ = keys >> _U(BITS), keys & _U((1 << BITS) - 1)
-        first = np.flatnonzero(np.diff(context, prepend=_U(2**63)))
-        own = context[first]
-        size = np.add.reduceat(counts, first) if len(first) else counts
-        for i, c in enumerate(own.tolist()):
-            if c in totals:
-                size[i] = totals[c]
-        ordinal = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-        p = counts / (size[ordinal.astype(np.int64)] + mu) if len(keys) else np.zeros(0)
-        codes = np.clip(np.floor(255 + STEP * np.log10(np.maximum(p, 1e-300))), 1, 255).astype(np.uint8)
-        levels = [EliasFano.encode(x) for x in (own, np.append(first, len(keys)).astype(np.uint64), ordinal << _U(BITS) | succ)]
-        parts = [x for n, low, packed, unary in levels for x in (packed, unary)] + [codes]
+    """Three levels, memory-mapped from one file: words, pointers and quantised joint probabilities.
+
+    It is made of increasing triples and their counts; a triple whose third word is ``NONE`` is a bigram.
+    """
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, counts: np.ndarray, steps: np.ndarray, folder: str):
+        first = np.ones(len(u), bool)
+        first[1:] = u[1:] != u[:-1]
+        second = first.copy()
+        second[1:] |= v[1:] != v[:-1]
+        one, two, third = np.flatnonzero(first), np.flatnonzero(second), w > NONE
+        codes = code_of(counts, steps)
+        ordinal = lambda x: (np.cumsum(x) - 1).astype(np.uint64)
+        self.bits = _U(max(1, int(max(v.max(), w.max())).bit_length() if len(u) else 1))
+        levels = [
+            u[one],
+            np.append(ordinal(second)[one], _U(len(two))),
+            ordinal(first)[two] << self.bits | v[two],
+            np.append((np.cumsum(third) - third)[two], third.sum()).astype(np.uint64),
+            ordinal(second)[third] << self.bits | w[third],
+        ]
+        coded = [EliasFano.encode(x) for x in levels]
+        parts = [x for c in coded for x in c[2:]] + [np.where(third[two], 0, codes[two]).astype(np.uint8), codes[third]]
         path = os.path.join(folder, "trie")
+        at = []
         with open(path, "wb") as f:
             for x in parts:
+                f.write(bytes(-f.tell() % 8))
+                at.append(f.tell())
                 f.write(x.tobytes())
-        self.map = np.memmap(path, np.uint8, "r") if sum(map(len, parts)) else np.zeros(0, np.uint8)
-        at, views = 0, []
-        for x in parts:
-            views.append(self.map[at : at + len(x)])
-            at += len(x)
-        self.contexts, self.pointers, self.successors = (EliasFano(n, low, views[2 * i], views[2 * i + 1]) for i, (n, low, _, _) in enumerate(levels))
-        self.codes = views[-1]
-
-    def query(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each (context, successor) key; 0 where the n-gram is unknown."""
-        out = np.zeros(len(keys), np.uint8)
-        n = self.contexts.n
-        if not n or not len(keys):
+        self.map = np.memmap(path, np.uint8, "r")
+        views = [self.map[i : i + len(x)] for i, x in zip(at, parts)]
+        self.firsts, self.to_second, self.seconds, self.to_third, self.thirds = (EliasFano(*c[:2], *views[4 * i : 4 * i + 4]) for i, c in enumerate(coded))
+        self.codes = views[-2:]
+
+    def _below(self, level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words stand below their contexts, and where."""
+        start, stop = pointers[context].astype(np.int64), pointers[context + 1].astype(np.int64)
+        return self._found(level, context.astype(np.uint64) << self.bits | word, start, stop, word >> self.bits == 0)
+
+    @staticmethod
+    def _found(level: EliasFano, want: np.ndarray, start: np.ndarray, stop: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = level.successor(want, start, stop)
+        hit = np.flatnonzero(ok & (at < stop))
+        hit = hit[level[at[hit]] == want[hit]]
+        return hit, at[hit]
+
+    def query(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The code of each triple, or bigram where the third word is ``NONE``; 0 where the n-gram is unknown."""
+        out = np.zeros(len(u), np.uint8)
+        if not self.firsts.n or not len(u):
             return out
-        context = keys >> _U(BITS)
-        i = self.contexts.successor(context, np.zeros(len(keys), np.int64), np.full(len(keys), n))
-        ok = np.flatnonzero(i < n)
-        ok = ok[self.contexts[i[ok]] == context[ok]]
-        start, stop = self.pointers[i[ok]].astype(np.int64), self.pointers[i[ok] + 1].astype(np.int64)
-        want = i[ok].astype(np.uint64) << _U(BITS) | keys[ok] & _U((1 << BITS) - 1)
-        at = self.successors.successor(want, start, stop)
-        hit = np.flatnonzero(at < stop)
-        hit = hit[self.successors[at[hit]] == want[hit]]
-        out[ok[hit]] = self.codes[at[hit]]
+        whole = np.ones(len(u), bool)
+        i, at = self._found(self.firsts, u, np.zeros(len(u), np.int64), np.full(len(u), self.firsts.n), whole)
+        hit, at = self._below(self.seconds, self.to_second, at, v[i])
+        i = i[hit]
+        two = w[i] == NONE
+        out[i[two]] = self.codes[0][at[two]]
+        i, at = i[~two], at[~two]
+        hit, at = self._below(self.thirds, self.to_third, at, w[i])
+        out[i[hit]] = self.codes[1][at]
         return out
 
 
-def log_p(codes: np.ndarray) -> np.ndarray:
-    """The probability that a code stands for."""
-    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 255) / STEP), 0.0)
+def steps_of(total: int) -> np.ndarray:
+    """The least count of each code from 1 on: counts below ``EXACT``, then geometric steps up to the total."""
+    more = np.geomspace(EXACT, max(total, EXACT) + 1, CODES - EXACT).astype(np.int64)
+    return np.unique(np.concatenate([np.arange(1, EXACT), more]))
+
+
+def code_of(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.searchsorted(steps, counts, "right").astype(np.uint8)
+
+
+def counts_of(codes: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest count that a code stands for."""
+    low = np.concatenate([[0], steps])
+    return low[codes], np.append(low[1:] - 1, low[-1])[codes]
 
 
 def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -209,34 +286,57 @@ class _Chunk:
         self.n = n + 1
         self.doc = np.repeat(np.arange(len(n)), self.n)
         self.last = np.cumsum(self.n) - 1
+        self.first = self.last - n
         self.word = np.full(len(h) + len(n), END, np.uint64)
         inner = np.ones(len(self.word), bool)
         inner[self.last] = False
         self.word[inner] = h
-        self.context = np.concatenate([[START], self.word[:-1]]).astype(np.uint64)[: len(self.word)]
-        self.context[self.last[:-1] + 1] = START
         self.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in self.ids], bool)
         self.train = ~self.held[self.doc]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words, the training count of each, and the place of each token's word among them."""
+    def words(self, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words by their parts, those parts, and the place of each token's word among them."""
         own, back = np.unique(self.word, return_inverse=True)
-        return own, np.bincount(back, self.train, len(own)).astype(np.uint64), back
-
-    def pairs(self, tries: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (trie, context, successor) places in one order, training counts, place of each token's pair; hot is sorted."""
-        where, key = _places(self.context, self.word, tries, hot)
-        order = np.argsort(key)
-        order = order[np.argsort(_small(where[order], tries), kind="stable")]
-        w, k = where[order], key[order]
-        new = np.empty(len(w), bool)
-        new[:1] = True
-        new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
-        at = np.cumsum(new) - 1
-        back = np.empty(len(w), np.int64)
-        back[order] = at
-        own = order[new]
-        return (where[own], key[own]), np.bincount(back, self.train, int(new.sum())).astype(np.uint64), back
+        part = (own >> _U(32)) % _U(tries)
+        order = np.argsort(_small(part, tries), kind="stable")
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        return own[order], part[order], place[back]
+
+    def grams(self, number: np.ndarray, tries: int, hot: np.ndarray) -> _Grams:
+        """Distinct n-grams of known words by their parts, from the number of each token's word."""
+        after = lambda x: np.concatenate([[BEGIN], x[:-1]]).astype(np.uint64)[: len(x)]
+        w = number
+        v = after(w)
+        v[self.first] = BEGIN
+        u = after(v)
+        u[self.first] = BEGIN
+        pair = np.flatnonzero((v > NONE) & (w > NONE))
+        triple = pair[u[pair] > NONE]
+        a, b = np.concatenate([v[pair], u[triple]]), np.concatenate([w[pair], v[triple]])
+        c = np.concatenate([np.full(len(pair), NONE, np.uint64), w[triple]])
+        own, at, back = np.unique(_key(a, b, c), return_index=True, return_inverse=True)
+        a, b, c = a[at], b[at], c[at]
+        n = np.bincount(back, np.concatenate([self.train[pair], self.train[triple]]), len(own)).astype(np.uint64)
+        part = _places(a, b, c, tries, hot)
+        order = np.argsort(_small(part, tries), kind="stable")
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        return _Grams(part[order], a[order], b[order], c[order], n[order], pair, place[back[: len(pair)]], triple, place[back[len(pair) :]])
+
+
+class _Grams(NamedTuple):
+    """Parts, words and training counts of distinct n-grams; tokens that end a bigram or trigram, and its place."""
+
+    part: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    n: np.ndarray
+    pair: np.ndarray
+    of_pair: np.ndarray
+    triple: np.ndarray
+    of_triple: np.ndarray
 
 
 def _small(part: np.ndarray, parts: int) -> np.ndarray:
@@ -244,57 +344,67 @@ def _small(part: np.ndarray, parts: int) -> np.ndarray:
     return part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
 
 
-def _places(context: np.ndarray, word: np.ndarray, tries: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        c, s = mix(context ^ _U(0x9E6C63D0876A9A47)), mix(word + _U(0x2545F4914F6CDD1D))
-        wide = np.zeros(len(context), bool)
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            wide = hot[i] == context
-        where = (np.where(wide, mix(c + s), c) % _U(tries)).astype(np.int64)
-    return where, (c >> _U(64 - BITS)) << _U(BITS) | s >> _U(64 - BITS)
+def _runs(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each part and where it lies in ordered parts."""
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield int(part[a]), slice(a, b)
 
 
-def _requests(chunks: DataFrame, work) -> DataFrame:
-    """part, chunk, block: what ``work(_Chunk)`` yields as (part, keys, counts)."""
+def _places(u: np.ndarray, v: np.ndarray, w: np.ndarray, tries: int, hot: np.ndarray) -> np.ndarray:
+    """The trie of each n-gram: by its first word, by more words while all before them are hot (sorted numbers)."""
+
+    def is_hot(x: np.ndarray) -> np.ndarray:
+        if not len(hot):
+            return np.zeros(len(x), bool)
+        return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
+
+    h = mix(u + _U(0x9E6C63D0876A9A47))
+    wide = np.flatnonzero(is_hot(u))
+    h[wide] = mix(h[wide] ^ v[wide])
+    wide = wide[is_hot(v[wide]) & (w[wide] > NONE)]
+    h[wide] = mix(h[wide] ^ w[wide])
+    return (h % _U(tries)).astype(np.int64)
 
-    def run(batches):
-        for b in batches:
-            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist()):
-                rows = [(part, _pack(k, c)) for part, k, c in work(_Chunk(payload))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "chunk", "block"])
 
-    return chunks.select("chunk", "payload").mapInArrow(run, "part long, chunk long, block binary")
+_REQUEST = "part long, chunk long, block binary"
 
 
-def _merged(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    parts = [_unpack(b) for b in blocks]
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts]).astype(np.int64)
-    seen = counts > 0
-    keys, counts = keys[seen], counts[seen]
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ _U(1))) if len(keys) else np.zeros(0, np.int64)
-    return [k for k, _ in parts], keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    parts, chunks, blocks = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(chunks, pa.int64()), pa.array(blocks, pa.binary())], ["part", "chunk", "block"])
 
 
 def _by_part(requests: DataFrame, answer) -> DataFrame:
-    """part, chunk, block: each part's requests together, answered by ``answer(keys of each, known keys, counts)``; stats in the row of chunk -1."""
+    """part, chunk, block: each part's requests together, answered by ``answer(blocks)``; its stats in the row of chunk -1."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        asked, keys, counts = _merged(table.column("block").to_pylist())
-        blocks, stats = answer(asked, keys, counts)
-        n = len(blocks)
         part = table.column("part")[0].as_py()
-        return pa.table({"part": pa.array([part] * (n + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), "block": pa.array([*blocks, stats], pa.binary())})
+        blocks, stats = answer(table.column("block").to_pylist())
+        rows = [(part, chunk, block) for chunk, block in zip(table.column("chunk").to_pylist(), blocks)]
+        return pa.Table.from_batches([_rows([*rows, (part, -1, stats)])])
+
+    return requests.groupBy("part").applyInArrow(run, _REQUEST)
+
+
+def _told(answers: DataFrame, name: str) -> DataFrame:
+    """All answers to a chunk, which are bounded by its distinct n-grams."""
+    return answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "block")).alias(name))
+
+
+def _in_order(told: list[dict]) -> list[bytes]:
+    return [x["block"] for x in sorted(told, key=lambda x: x["part"])]
+
 
-    return requests.groupBy("part").applyInArrow(run, "part long, chunk long, block binary")
+def _numbered(c: _Chunk, told: list[dict], tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number and training count of each token's word."""
+    _, _, back = c.words(tries)
+    number, count = np.concatenate([_expand(b).reshape(2, -1) for b in _in_order(told)], axis=1)
+    return number[back], count[back].astype(np.int64)
 
 
-def score(docs: DataFrame, mu: float = MU, chunk_bytes: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     name = scratch(spark, "chunks")
@@ -303,78 +413,92 @@ def score(docs: DataFrame, mu: float = MU, chunk_bytes: int = CHUNK) -> DataFram
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     tries = max(64, -(-tokens // PER_TRIE))
 
-    def ask_words(c: _Chunk):
-        own, n, _ = c.words()
-        part = (own >> _U(32)) % _U(tries)
-        order = np.argsort(_small(part, tries), kind="stable")
-        for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if len(p):
-                yield int(part[p[0]]), own[p], n[p]
-
-    def tell_counts(asked, keys, counts):
-        out = []
-        for k in asked:
-            i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-            out.append(_squeeze(np.where(keys[i] == k, counts[i], 0) if len(keys) else np.zeros(len(k))))
-        large = counts >= max(1, tokens // SHARE)
-        sums = [len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())]
-        return out, _squeeze(np.array([*sums, *np.stack([keys[large], counts[large].astype(np.uint64)], 1).ravel()], np.uint64))
-
-    words = stored(_by_part(_requests(chunks, ask_words), tell_counts), "counts")
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist()):
+                c = _Chunk(payload)
+                own, part, back = c.words(tries)
+                n, every = np.bincount(back, c.train, len(own)).astype(np.uint64), np.bincount(back, minlength=len(own))
+                yield _rows([(p, chunk, _pack(own[x], n[x], every[x])) for p, x in _runs(part)])
+
+    def tell_words(blocks: list[bytes]) -> tuple[list[bytes], bytes]:
+        asked = [_unpack(b, 3) for b in blocks]
+        own, back = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        add = lambda i: np.bincount(back, np.concatenate([x[i] for x in asked]), len(own)).astype(np.int64)
+        counts, every = add(1), add(2)
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(len(own), np.uint64)
+        number[order] = np.arange(len(own)).astype(np.uint64) * _U(tries) + (own[0] >> _U(32)) % _U(tries) + _U(WORDS)
+        number[counts == 0] = NONE
+        large = (every >= max(1, tokens // SHARE)) & (counts > 0) & (own != END)
+        sums = [int((counts > 0).sum()), counts.sum(), (counts == 1).sum(), (counts == 2).sum(), counts[own == END].sum(), every.sum()]
+        out, at = [], 0
+        for x in asked:
+            i = back[at : at + len(x[0])]
+            out.append(_squeeze(np.concatenate([number[i], counts[i].astype(np.uint64)])))
+            at += len(i)
+        return out, _squeeze(np.array([*map(int, sums), *np.stack([number[large], every[large].astype(np.uint64)], 1).ravel().tolist()], np.uint64))
+
+    words = stored(_by_part(chunks.select("chunk", "payload").mapInArrow(ask_words, _REQUEST), tell_words), "words")
     # The totals and a bounded list of frequent words (no more than 8 * SHARE), from one row of each part.
-    V = N = n1 = n2 = 0
+    V = N = n1 = n2 = texts = total = 0
     large: dict[int, int] = {}
     for r in words.where("chunk = -1").select("block").toLocalIterator():
         x = _expand(bytes(r.block)).tolist()
-        V, N, n1, n2 = V + x[0], N + x[1], n1 + x[2], n2 + x[3]
-        large.update(zip(x[4::2], x[5::2]))
-    texts = large.get(int(END), 0) if N else 0
-    frequent = {w: c for w, c in large.items() if c * SHARE >= N and w != int(END)}
-    if texts * SHARE >= N and N:
-        frequent[int(START)] = texts
-    hot = np.array(sorted(frequent), np.uint64)
-    code = (mix(hot ^ _U(0x9E6C63D0876A9A47)) >> _U(64 - BITS)).tolist()
-    totals = {c: frequent[w] for c, w in zip(code, hot.tolist())}
-
-    def ask_pairs(c: _Chunk):
-        (where, key), n, _ = c.pairs(tries, hot)
-        for p in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1):
-            if len(p):
-                yield int(where[p[0]]), key[p], n[p]
-
-    def tell_codes(asked, keys, counts):
+        V, N, n1, n2, texts, total = V + x[0], N + x[1], n1 + x[2], n2 + x[3], texts + x[4], total + x[5]
+        large.update(zip(x[6::2], x[7::2]))
+    hot = np.array(sorted([BEGIN, *(w for w, c in large.items() if c * SHARE >= total)]), np.uint64)
+    steps = steps_of(N)
+    known = stored(chunks.select("chunk", "payload").join(_told(words, "words"), "chunk"), "known")
+
+    def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, payload, told in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), b.column("words").to_pylist()):
+                c = _Chunk(payload)
+                g = c.grams(_numbered(c, told, tries)[0], tries, hot)
+                yield _rows([(p, chunk, _pack(g.u[x], g.v[x], g.w[x], g.n[x])) for p, x in _runs(g.part)])
+
+    def tell_codes(blocks: list[bytes]) -> tuple[list[bytes], bytes]:
+        asked = [_unpack(b, 4) for b in blocks]
+        ends = np.cumsum([x.shape[1] for x in asked])
+        u, v, w, n = np.concatenate(asked, axis=1)
+        del asked
+        own, at, back = np.unique(_key(u, v, w), return_index=True, return_inverse=True)
+        n = np.bincount(back, n, len(own)).astype(np.int64)
+        u, v, w = u[at], v[at], w[at]
+        k = n > 0
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-            trie = Trie(keys, counts, totals, mu, folder)
-            out = [zstandard.compress(trie.query(k).tobytes(), 1) for k in asked]
+            trie = Trie(u[k], v[k], w[k], n[k], steps, folder)
+            codes = trie.query(u, v, w)[back]
             del trie
-        return out, b""
+        return [zstandard.compress(x.tobytes(), 1) for x in np.split(codes, ends[:-1])], b""
 
-    pairs = stored(_by_part(_requests(chunks, ask_pairs), tell_codes), "codes")
-    answers = words.withColumn("level", F.lit(1)).unionByName(pairs.withColumn("level", F.lit(2))).where("chunk >= 0")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("level", "part", "block")).alias("answers"))
+    codes = stored(_by_part(known.mapInArrow(ask_grams, _REQUEST), tell_codes), "codes")
     d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for payload, told in zip(b.column("payload").to_pylist(), b.column("answers").to_pylist()):
+            for payload, words, told in zip(*(b.column(x).to_pylist() for x in ("payload", "words", "codes"))):
                 c = _Chunk(payload)
-                told = sorted(told, key=lambda x: (x["level"], x["part"]))
-                own, _, back = c.words()
-                part = (own >> _U(32)) % _U(tries)
-                count = np.zeros(len(own), np.int64)
-                count[np.argsort(_small(part, tries), kind="stable")] = np.concatenate([_expand(x["block"]) for x in told if x["level"] == 1]).astype(np.int64)
-                codes = np.concatenate([np.frombuffer(zstandard.decompress(x["block"]), np.uint8) for x in told if x["level"] == 2])
-                known = count[back]
-                base = np.log10((known + 1) / (N + V + 1))
-                single = np.where(known > 0, known - d, d * V) / N if N else np.ones(len(known))
-                before = np.concatenate([[0], known[:-1]])
-                before[np.concatenate([[0], c.last[:-1] + 1])] = texts
-                two = log_p(codes)[c.pairs(tries, hot)[2]]
-                p = np.log10(two + mu / (before + mu) * single)
+                number, count = _numbered(c, words, tries)
+                g = c.grams(number, tries, hot)
+                code = np.frombuffer(b"".join(zstandard.decompress(x) for x in _in_order(told or [])), np.uint8)
+                least, most = counts_of(code, steps)
+                two, three, context = (np.zeros(len(count)) for _ in range(3))
+                two[g.pair], context[g.pair] = least[g.of_pair], most[g.of_pair]
+                three[g.triple] = least[g.of_triple]
+                before = lambda x: np.concatenate([[0], x[:-1]])
+                one, context = before(count), before(context)
+                one[c.first] = context[c.first] = texts
+                base = np.log10((count + 1) / (N + V + 1))
+                p = np.where(count > 0, count - d, d * V) / N if N else np.ones(len(count))
+                p = (two + mu[0] * p) / (one + mu[0])
+                p = np.log10((three + mu[1] * p) / (context + mu[1]))
                 add = lambda x: np.bincount(c.doc, x, len(c.ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.n), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(len(c.ids), N)), pa.array(add(base)), pa.array(add(p))],
+                    [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.n), pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(len(c.ids), N)), pa.array(add(base)), pa.array(add(p))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return chunks.select("chunk", "payload").join(answers, "chunk").select("payload", "answers").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = known.join(_told(codes, "codes"), "chunk", "left").select("payload", "words", "codes")
+    return out.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
