@@ -94,6 +94,27 @@ def _key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return u << _U(42) | v << _U(21) | w
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the distinct keys stand, in their order, and the place of each key among them."""
+    order = np.argsort(key)
+    own, place = _runs_of(key[order])
+    back = np.empty(len(key), np.int64)
+    back[order] = place
+    return order[own], back
+
+
+def _runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and the run of each row."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: The place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8).ravel()
+
+
 class EliasFano:
     """An increasing sequence: low bits packed, high parts in unary, read where they lie."""
 
@@ -129,36 +150,45 @@ class EliasFano:
         word = self.unary[k] if one else ~self.unary[k]
         left = i - before[k]
         at = k << 6
-        for width in (32, 16, 8, 4, 2, 1):
+        for width in (32, 16, 8):
             n = np.bitwise_count(word & _U((1 << width) - 1))
             over = left >= n
-            left = left - np.where(over, n, 0).astype(np.uint32)
-            word = np.where(over, word >> _U(width), word)
-            at = at + np.where(over, width, 0)
-        return at
+            left = left - n * over
+            step = over * np.uint8(width)
+            word = word >> step
+            at = at + step
+        return at + _IN_BYTE[(word & _U(255)).astype(np.uint16) << 3 | left.astype(np.uint16)]
 
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+    def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.low
-        high = (self._select(at, True) - at).astype(np.uint64)
-        return high << _U(self.low) | self.words[bit >> 3] >> (bit & 7).astype(np.uint64) & _U((1 << self.low) - 1)
+        return self.words[bit >> 3] >> (bit & 7).astype(np.uint64) & _U((1 << self.low) - 1)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self._select(at, True) - at).astype(np.uint64) << _U(self.low) | self._low(at)
 
     def _group(self, h: np.ndarray) -> np.ndarray:
         """The first place whose high part is at least h, which is at most one more than the largest."""
         return np.where(h > 0, self._select(np.maximum(h, 1) - 1, False) - (h - 1), 0)
 
-    def successor(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Least place in [start, stop) with a value of at least x, or stop: a search among the values of x's high part."""
+    def find(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which x stand in [start, stop), and where: a successor search among the values of x's high part, which differ in low bits alone."""
         if not self.n:
-            return stop.copy()
-        top = int(self[np.array([self.n - 1])][0] >> _U(self.low))
-        h = np.minimum(x >> _U(self.low), _U(top)).astype(np.int64)
-        a, b = np.clip(self._group(h), start, stop), np.clip(self._group(h + 1), start, stop)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        top = self[np.array([self.n - 1])][0] >> _U(self.low)
+        h = x >> _U(self.low)
+        some = np.flatnonzero(h <= top)
+        h, low = h[some].astype(np.int64), x[some] & _U((1 << self.low) - 1)
+        a = np.clip(self._group(h), start[some], stop[some])
+        end = np.clip(self._group(h + 1), start[some], stop[some])
+        b = end.copy()
         while len(open_ := np.flatnonzero(a < b)):
             m = (a[open_] + b[open_]) >> 1
-            less = self[m] < x[open_]
+            less = self._low(m) < low[open_]
             a[open_[less]] = m[less] + 1
             b[open_[~less]] = m[~less]
-        return a
+        hit = np.flatnonzero(a < end)
+        hit = hit[self._low(a[hit]) == low[hit]]
+        return some[hit], a[hit]
 
 
 class Trie:
@@ -199,30 +229,33 @@ class Trie:
 
     def _below(self, level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words stand below their contexts, and where."""
-        start, stop = pointers[context].astype(np.int64), pointers[context + 1].astype(np.int64)
-        return self._found(level, context.astype(np.uint64) << self.bits | word, start, stop, word >> self.bits == 0)
-
-    @staticmethod
-    def _found(level: EliasFano, want: np.ndarray, start: np.ndarray, stop: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = level.successor(want, start, stop)
-        hit = np.flatnonzero(ok & (at < stop))
-        hit = hit[level[at[hit]] == want[hit]]
-        return hit, at[hit]
+        own, back = _runs_of(context)
+        start, stop = pointers[context[own]].astype(np.int64)[back], pointers[context[own] + 1].astype(np.int64)[back]
+        fits = np.flatnonzero(word >> self.bits == 0)
+        i, at = level.find(context[fits].astype(np.uint64) << self.bits | word[fits], start[fits], stop[fits])
+        return fits[i], at
 
     def query(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The code of each triple, or bigram where the third word is ``NONE``; 0 where the n-gram is unknown."""
+        """The code of each of the ordered triples, or bigrams where the third word is ``NONE``; 0 where the n-gram is unknown."""
         out = np.zeros(len(u), np.uint8)
-        if not self.firsts.n or not len(u):
+        n = self.firsts.n
+        if not n or not len(u):
             return out
-        whole = np.ones(len(u), bool)
-        i, at = self._found(self.firsts, u, np.zeros(len(u), np.int64), np.full(len(u), self.firsts.n), whole)
-        hit, at = self._below(self.seconds, self.to_second, at, v[i])
-        i = i[hit]
-        two = w[i] == NONE
-        out[i[two]] = self.codes[0][at[two]]
-        i, at = i[~two], at[~two]
-        hit, at = self._below(self.thirds, self.to_third, at, w[i])
-        out[i[hit]] = self.codes[1][at]
+        own, back = _runs_of(u, v)  # each context is looked up once
+        one, up = _runs_of(u[own])
+        at = np.full(len(one), -1)
+        i, found = self.firsts.find(u[own][one], np.zeros(len(one), np.int64), np.full(len(one), n))
+        at[i] = found
+        at = at[up]
+        i = np.flatnonzero(at >= 0)
+        hit, found = self._below(self.seconds, self.to_second, at[i], v[own][i])
+        at = np.full(len(own), -1)
+        at[i[hit]] = found
+        at = at[back]
+        two, three = np.flatnonzero((at >= 0) & (w == NONE)), np.flatnonzero((at >= 0) & (w > NONE))
+        out[two] = self.codes[0][at[two]]
+        hit, found = self._below(self.thirds, self.to_third, at[three], w[three])
+        out[three[hit]] = self.codes[1][found]
         return out
 
 
@@ -315,13 +348,13 @@ class _Chunk:
         triple = pair[u[pair] > NONE]
         a, b = np.concatenate([v[pair], u[triple]]), np.concatenate([w[pair], v[triple]])
         c = np.concatenate([np.full(len(pair), NONE, np.uint64), w[triple]])
-        own, at, back = np.unique(_key(a, b, c), return_index=True, return_inverse=True)
+        at, back = _distinct(_key(a, b, c))
         a, b, c = a[at], b[at], c[at]
-        n = np.bincount(back, np.concatenate([self.train[pair], self.train[triple]]), len(own)).astype(np.uint64)
+        n = np.bincount(back, np.concatenate([self.train[pair], self.train[triple]]), len(at)).astype(np.uint64)
         part = _places(a, b, c, tries, hot)
         order = np.argsort(_small(part, tries), kind="stable")
-        place = np.empty(len(own), np.int64)
-        place[order] = np.arange(len(own))
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
         return _Grams(part[order], a[order], b[order], c[order], n[order], pair, place[back[: len(pair)]], triple, place[back[len(pair) :]])
 
 
@@ -463,8 +496,8 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUN
         ends = np.cumsum([x.shape[1] for x in asked])
         u, v, w, n = np.concatenate(asked, axis=1)
         del asked
-        own, at, back = np.unique(_key(u, v, w), return_index=True, return_inverse=True)
-        n = np.bincount(back, n, len(own)).astype(np.int64)
+        at, back = _distinct(_key(u, v, w))
+        n = np.bincount(back, n, len(at)).astype(np.int64)
         u, v, w = u[at], v[at], w[at]
         k = n > 0
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:

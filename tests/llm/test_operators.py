@@ -203,8 +203,9 @@ def test_elias_fano_and_trie(tmp_path):
         e = lm.EliasFano(*lm.EliasFano.encode(x))
         assert (e[np.arange(n)] == x).all()
         y = np.concatenate([x[: n // 2], r.integers(0, 1 << 50, 50).astype(np.uint64)])
-        at = e.successor(y, np.zeros(len(y), np.int64), np.full(len(y), n))
-        assert (at == np.searchsorted(x, y)).all()
+        hit, at = e.find(y, np.zeros(len(y), np.int64), np.full(len(y), n))
+        assert (hit == np.flatnonzero(np.isin(y, x))).all() and (x[at] == y[hit]).all() and (at == np.searchsorted(x, y[hit])).all()
+        assert not len(e.find(y, np.full(len(y), n), np.full(len(y), n))[0])
     u, v, w = (r.integers(0, k, 9000).astype(np.uint64) for k in (300, 60, 40))
     _, at = np.unique(lm._key(u, v, w), return_index=True)
     u, v, w = u[at], v[at], w[at]
