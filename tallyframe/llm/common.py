@@ -27,15 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to a scratch table (at ``path``, if named) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later step reads, as its rows live on in another stored table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 HOT, SALTS = 500, 64  # keys that are dealt over several tasks, and over how many
 
 

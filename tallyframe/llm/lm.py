@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix, scratch, stored, word_hashes
+from .common import discard, docs_of, mix, scratch, stored, word_hashes
 
 FOLDS, HELD = 7, 2
 MU = (1000.0, 20.0)  # a and b of the module's text
@@ -83,6 +83,22 @@ def _unpack(b: bytes, columns: int) -> np.ndarray:
     return x
 
 
+def _pack_grams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Increasing n-grams: a second word is the difference to the one before it below the same first word."""
+    new, _ = _runs_of(u)
+    step = np.diff(v, prepend=_U(0))
+    step[new] = v[new]
+    return _pack(u, step, w, n)
+
+
+def _unpack_grams(b: bytes) -> np.ndarray:
+    x = _unpack(b, 4)
+    new, run = _runs_of(x[0])
+    sums = np.cumsum(x[1])
+    x[1] = sums - (sums[new] - x[1][new])[run]
+    return x
+
+
 def _key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One number a triple, in the order of the triples; it holds among the triples given only."""
     if len(u) and max(int(u.max()), int(v.max()), int(w.max())) >= 1 << 21:
@@ -285,7 +301,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             nonlocal chunk
             t = pa.Table.from_batches(rows)
             f = io.BytesIO()
-            with pa.ipc.new_stream(f, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(f, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                 w.write_table(t)
             n = total // 8 + t.num_rows  # about, and seldom more than there are
             chunk += 1
@@ -440,9 +456,8 @@ def _numbered(c: _Chunk, told: list[dict], tries: int) -> tuple[np.ndarray, np.n
 def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
-    name = scratch(spark, "chunks")
-    chunked(docs, chunk_bytes).write.parquet(name)
-    chunks = spark.read.schema("chunk long, tokens long, payload binary").parquet(name)
+    name = {x: scratch(spark, x) for x in ("chunks", "words")}
+    chunks = stored(chunked(docs, chunk_bytes), "chunks", name["chunks"])
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     tries = max(64, -(-tokens // PER_TRIE))
 
@@ -472,7 +487,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUN
             at += len(i)
         return out, _squeeze(np.array([*map(int, sums), *np.stack([number[large], every[large].astype(np.uint64)], 1).ravel().tolist()], np.uint64))
 
-    words = stored(_by_part(chunks.select("chunk", "payload").mapInArrow(ask_words, _REQUEST), tell_words), "words")
+    words = stored(_by_part(chunks.select("chunk", "payload").mapInArrow(ask_words, _REQUEST), tell_words), "words", name["words"])
     # The totals and a bounded list of frequent words (no more than 8 * SHARE), from one row of each part.
     V = N = n1 = n2 = texts = total = 0
     large: dict[int, int] = {}
@@ -483,16 +498,18 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUN
     hot = np.array(sorted([BEGIN, *(w for w, c in large.items() if c * SHARE >= total)]), np.uint64)
     steps = steps_of(N)
     known = stored(chunks.select("chunk", "payload").join(_told(words, "words"), "chunk"), "known")
+    for path in name.values():
+        discard(spark, path)
 
     def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, payload, told in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), b.column("words").to_pylist()):
                 c = _Chunk(payload)
                 g = c.grams(_numbered(c, told, tries)[0], tries, hot)
-                yield _rows([(p, chunk, _pack(g.u[x], g.v[x], g.w[x], g.n[x])) for p, x in _runs(g.part)])
+                yield _rows([(p, chunk, _pack_grams(g.u[x], g.v[x], g.w[x], g.n[x])) for p, x in _runs(g.part)])
 
     def tell_codes(blocks: list[bytes]) -> tuple[list[bytes], bytes]:
-        asked = [_unpack(b, 4) for b in blocks]
+        asked = [_unpack_grams(b) for b in blocks]
         ends = np.cumsum([x.shape[1] for x in asked])
         u, v, w, n = np.concatenate(asked, axis=1)
         del asked

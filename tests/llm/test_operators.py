@@ -225,6 +225,8 @@ def test_keys_keep_the_order_of_triples():
         x[:, 2000:] = x[:, :1000]
         assert (x[:, np.argsort(lm._key(*x), kind="stable")] == x[:, np.lexsort(x[::-1])]).all()
         assert len(np.unique(lm._key(*x))) == len(np.unique(x, axis=1).T)
+        x = np.unique(np.concatenate([x, x + np.array([[0], [0], [1]], np.uint64), x + np.array([[0], [2], [0]], np.uint64)], axis=1), axis=1)
+        assert (lm._unpack_grams(lm._pack_grams(*x, x[2])) == np.concatenate([x, x[2:]])).all()
 
 
 def brute_pii(t):
