@@ -101,13 +101,16 @@ def _unpack_grams(b: bytes) -> np.ndarray:
 
 def _key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One number a triple, in the order of the triples; it holds among the triples given only."""
-    if len(u) and max(int(u.max()), int(v.max()), int(w.max())) >= 1 << 21:
-        own, back = np.unique(np.concatenate([u, v, w]), return_inverse=True)
-        u, v, w = np.split(back.astype(np.uint64), 3)
-        if len(own) >= 1 << 21:
-            pair = np.unique(u << _U(32) | v, return_inverse=True)[1].astype(np.uint64)
-            return pair << _U(32) | w
-    return u << _U(42) | v << _U(21) | w
+    columns = [u, v, w]
+    bits = lambda: [int(x.max()).bit_length() if len(x) else 0 for x in columns]
+    for i in range(3):  # what is too wide goes by its rank
+        if sum(bits()) > 64:
+            columns[i] = np.unique(columns[i], return_inverse=True)[1].astype(np.uint64)
+    _, second, third = bits()
+    if sum(bits()) > 64:
+        pair = np.unique(columns[0] << _U(second) | columns[1], return_inverse=True)[1].astype(np.uint64)
+        return pair << _U(third) | columns[2]
+    return columns[0] << _U(second + third) | columns[1] << _U(third) | columns[2]
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +304,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             nonlocal chunk
             t = pa.Table.from_batches(rows)
             f = io.BytesIO()
-            with pa.ipc.new_stream(f, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+            with pa.ipc.new_stream(f, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                 w.write_table(t)
             n = total // 8 + t.num_rows  # about, and seldom more than there are
             chunk += 1
@@ -342,20 +345,25 @@ class _Chunk:
         self.word[inner] = h
         self.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in self.ids], bool)
         self.train = ~self.held[self.doc]
+        self.by_part = None
 
     def words(self, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words by their parts, those parts, and the place of each token's word among them."""
+        if self.by_part:
+            return self.by_part
         own, back = np.unique(self.word, return_inverse=True)
         part = (own >> _U(32)) % _U(tries)
         order = np.argsort(_small(part, tries), kind="stable")
         place = np.empty(len(own), np.int64)
         place[order] = np.arange(len(own))
-        return own[order], part[order], place[back]
+        self.by_part = own[order], part[order], place[back]
+        return self.by_part
 
     def grams(self, number: np.ndarray, tries: int, hot: np.ndarray) -> _Grams:
-        """Distinct n-grams of known words by their parts, from the number of each token's word."""
+        """Distinct n-grams of known words by their parts, from the number of each distinct word."""
+        numbers = np.unique(np.concatenate([[NONE, BEGIN], number]).astype(np.uint64))
         after = lambda x: np.concatenate([[BEGIN], x[:-1]]).astype(np.uint64)[: len(x)]
-        w = number
+        w = np.searchsorted(numbers, number).astype(np.uint64)[self.words(tries)[2]]  # NONE and BEGIN stay
         v = after(w)
         v[self.first] = BEGIN
         u = after(v)
@@ -365,7 +373,7 @@ class _Chunk:
         a, b = np.concatenate([v[pair], u[triple]]), np.concatenate([w[pair], v[triple]])
         c = np.concatenate([np.full(len(pair), NONE, np.uint64), w[triple]])
         at, back = _distinct(_key(a, b, c))
-        a, b, c = a[at], b[at], c[at]
+        a, b, c = numbers[a[at]], numbers[b[at]], numbers[c[at]]
         n = np.bincount(back, np.concatenate([self.train[pair], self.train[triple]]), len(at)).astype(np.uint64)
         part = _places(a, b, c, tries, hot)
         order = np.argsort(_small(part, tries), kind="stable")
@@ -446,11 +454,9 @@ def _in_order(told: list[dict]) -> list[bytes]:
     return [x["block"] for x in sorted(told, key=lambda x: x["part"])]
 
 
-def _numbered(c: _Chunk, told: list[dict], tries: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number and training count of each token's word."""
-    _, _, back = c.words(tries)
-    number, count = np.concatenate([_expand(b).reshape(2, -1) for b in _in_order(told)], axis=1)
-    return number[back], count[back].astype(np.int64)
+def _numbered(told: list[dict]) -> np.ndarray:
+    """Number and training count of each distinct word of a chunk."""
+    return np.concatenate([_expand(b).reshape(2, -1) for b in _in_order(told)], axis=1)
 
 
 def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -505,7 +511,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUN
         for b in batches:
             for chunk, payload, told in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), b.column("words").to_pylist()):
                 c = _Chunk(payload)
-                g = c.grams(_numbered(c, told, tries)[0], tries, hot)
+                g = c.grams(_numbered(told)[0], tries, hot)
                 yield _rows([(p, chunk, _pack_grams(g.u[x], g.v[x], g.w[x], g.n[x])) for p, x in _runs(g.part)])
 
     def tell_codes(blocks: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -530,8 +536,9 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, chunk_bytes: int = CHUN
         for b in batches:
             for payload, words, told in zip(*(b.column(x).to_pylist() for x in ("payload", "words", "codes"))):
                 c = _Chunk(payload)
-                number, count = _numbered(c, words, tries)
+                number, count = _numbered(words)
                 g = c.grams(number, tries, hot)
+                count = count.astype(np.int64)[c.words(tries)[2]]
                 code = np.frombuffer(b"".join(zstandard.decompress(x) for x in _in_order(told or [])), np.uint8)
                 least, most = counts_of(code, steps)
                 two, three, context = (np.zeros(len(count)) for _ in range(3))
