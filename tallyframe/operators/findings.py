@@ -62,6 +62,15 @@ def headline(found: DataFrame) -> DataFrame:
     return active.agg(F.coalesce(F.sum(F.when(F.col("kind") == "savings", F.col("impact"))), F.lit(0)).cast("long").alias("savings"))
 
 
+def summary(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """measure, value: the savings and the number of active findings, and the run that finished last (runs: run, finished; of two at once the larger)."""
+    active = found.where("status = 'active'") if "status" in found.columns else found
+    row = lambda name, value: (F.lit(name).alias("measure"), value.cast("string").alias("value"))
+    last = runs.where("finished is not null").agg(F.max(F.struct("finished", "run")).alias("last"))
+    out = headline(found).select(*row("savings", F.col("savings"))).unionByName(active.agg(F.count("*").alias("n")).select(*row("findings", F.col("n"))))
+    return out.unionByName(last.select(*row("run", F.col("last.run"))))
+
+
 def cards(found: DataFrame) -> DataFrame:
     """rule, rule_place, subject, place, impact: rules by their total impact, each one's findings by theirs."""
     g = found.groupBy("rule").agg(F.sum("impact").alias("total"))

@@ -198,6 +198,23 @@ def decide(links: DataFrame, credit, state: str, to: str) -> DataFrame:
     return links.withColumn("state", F.when(hit, to).otherwise(F.col("state")))
 
 
+def confirmed(links: DataFrame, ledger: DataFrame, rules: DataFrame, chosen: DataFrame, state: str = "proposed") -> tuple[DataFrame, DataFrame]:
+    """(links, rules) after the groups of the ``chosen`` credits in one state are confirmed.
+
+    A group of a single debit teaches a rule, the debit's pattern between the two accounts, unless that rule is there.
+    """
+    pick = chosen.select("credit", F.lit(True).alias("picked")).distinct()
+    marked = links.join(pick, "credit", "left").withColumn("picked", F.coalesce("picked", F.lit(False)) & (F.col("state") == state))
+    after = marked.withColumn("state", F.when(F.col("picked"), "confirmed").otherwise(F.col("state"))).select(*links.columns)
+    one = marked.where("picked").groupBy("credit").agg(F.count_distinct("debit").alias("n"), F.min("debit").alias("debit")).where("n = 1")
+    key = ["pattern", "debit_account", "credit_account"]
+    debit = ledger.select(F.col("id").alias("debit"), F.col("account").alias("debit_account"), pattern(F.col("raw")).alias("pattern"))
+    learned = one.join(debit, "debit").join(ledger.select(F.col("id").alias("credit"), F.col("account").alias("credit_account")), "credit")
+    learned = learned.select(*key).distinct().join(rules.select(*key), key, "left_anti")
+    name = F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 16)
+    return after, rules.select("rule", *key).unionByName(learned.select(name.alias("rule"), *key))
+
+
 def groups(links: DataFrame, ledger: DataFrame, states: list[str]) -> DataFrame:
     """credit, state, debits, score, reduction of each group, the highest score first."""
     x = links.where(F.col("state").isin(states)).join(ledger.select(F.col("id").alias("debit"), (-F.col("cents")).alias("x")), "debit")

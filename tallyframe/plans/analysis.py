@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aliases, coverage, fees, findings, imports, rules, search, series, transfers
-from ..sources import ledger
+from ..operators import aliases, coverage, fees, findings, imports, rules, search, series, store, transfers
+from ..sources import ledger, statements
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -558,3 +558,107 @@ SELECT s.account, s.month, CASE WHEN c.month IS NOT NULL THEN 'covered' WHEN t.m
 def r15_coverage_bar(spark, d):
     rows = ledger.table(spark, d, "orders").where("o_custkey % 5 = 0").select((F.col("o_custkey") % 6).alias("account"), F.to_date("o_orderdate").alias("date"))
     return coverage.bar(_imports(spark, d), rows)
+
+
+# State transitions: the tables after a change.
+_LATER = "coalesce(state = 'dismissed' AND dismissed_hash IS DISTINCT FROM 'h0', FALSE) AS evidence_changed, coalesce(state = 'dismissed' AND dismissed_config IS NOT NULL AND dismissed_config IS DISTINCT FROM 'new', FALSE) AS config_changed"
+
+
+@query(f"SELECT subject AS id, {_LATER} FROM ({_FINDINGS}) f LEFT JOIN ({_STATES}) s ON s.id = f.subject")
+def q8_changed_since_dismissal(spark, d):
+    f, states = _stored(spark, d)
+    evidence, config = findings.changed_since(F.lit("new"))
+    return f.join(states, "id", "left").select("id", evidence.alias("evidence_changed"), config.alias("config_changed"))
+
+
+@query(f"SELECT id, state, until FROM ({_STATES}) WHERE id % 5 <> 0 UNION ALL SELECT event_id, 'snoozed', DATE '2024-02-01' + 90 FROM events WHERE event_id % 5 = 0")
+def q9_finding_states(spark, d):
+    f, states = _stored(spark, d)
+    none = {c: F.lit(None).cast(states.schema[c].dataType) for c in ("until", "dismissed_hash", "dismissed_config")}
+    changes = f.where("id % 5 = 0").select("id", F.lit("snoozed").alias("state")).withColumns(none)
+    return findings.with_state(states, changes, F.lit("2024-02-01").cast("date")).select("id", "state", "until")
+
+
+@query(f"WITH one AS (SELECT credit, min(debit) AS debit FROM ({_PAIRS}) WHERE credit % 3 = 0 GROUP BY credit HAVING count(DISTINCT debit) = 1), " + r"r AS (SELECT DISTINCT CASE WHEN length(regexp_replace(a.raw, '( \S*\d\S*)+$', '')) < 4 THEN a.raw ELSE regexp_replace(a.raw, '( \S*\d\S*)+$', '') END AS pattern, a.account AS debit_account, b.account AS credit_account FROM one JOIN (" + _LEDGER + ") a ON a.id = debit JOIN (" + _LEDGER + ") b ON b.id = credit) SELECT * FROM r WHERE NOT (pattern = 'XFER' AND debit_account = 'purchase' AND credit_account = 'view') UNION ALL SELECT 'XFER', 'purchase', 'view'")
+def q12_learned_rules(spark, d):
+    rows = _ledger(spark, d)
+    links = transfers.candidates(rows).select("debit", "credit").withColumn("state", F.lit("proposed"))
+    known = spark.createDataFrame([("r1", "XFER", "purchase", "view")], "rule string, pattern string, debit_account string, credit_account string")
+    chosen = rows.where("id % 3 = 0").select(F.col("id").alias("credit"))
+    return transfers.confirmed(links, rows, known, chosen)[1].select("pattern", "debit_account", "credit_account")
+
+
+@query(f"SELECT debit, credit, CASE WHEN credit % 3 = 0 THEN 'confirmed' ELSE 'proposed' END AS state FROM ({_PAIRS})")
+def q12_confirmed_links(spark, d):
+    rows = _ledger(spark, d)
+    links = transfers.candidates(rows).select("debit", "credit").withColumn("state", F.lit("proposed"))
+    none = spark.createDataFrame([], "rule string, pattern string, debit_account string, credit_account string")
+    chosen = rows.where("id % 3 = 0").select(F.col("id").alias("credit"))
+    return transfers.confirmed(links, rows, none, chosen)[0].select("debit", "credit", "state")
+
+
+@query("SELECT name, CASE WHEN bool_or(p_partkey % 3 = 0) THEN 'm' || name ELSE substr(sha256(name), 1, 16) END AS merchant FROM (SELECT upper(p_name) AS name, p_partkey FROM part) GROUP BY name")
+def n13_provisional_merchants(spark, d):
+    rows = ledger.table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("provisional"))
+    known = rows.where("p_partkey % 3 = 0").select(F.concat(F.lit("m"), "provisional").alias("merchant"), F.col("provisional").alias("name")).distinct()
+    return aliases.provisional(rows, known, spark.createDataFrame([], aliases.ALIASES))[0]
+
+
+@query("SELECT 'transaction' AS entity, CAST(p_partkey AS VARCHAR) AS entity_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 28 >= 14")
+def k7_tombstones_since(spark, d):
+    rows = ledger.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    sources = rows.where("id % 3 = 0").selectExpr("id as transaction", "'x' as import", "1 as row").unionByName(rows.where("id % 5 = 0").selectExpr("id as transaction", "'y' as import", "2 as row"))
+    gone = imports.without_import(rows, sources, "x")[2]
+    dated = gone.withColumn("deleted_at", F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(cast(entity_id as bigint) % 28 as int))"))
+    return store.tombstones_since(dated, F.lit("2024-01-15").cast("timestamp")).select("entity", "entity_id")
+
+
+@query("SELECT 'n' || n_nationkey AS key, CASE WHEN n_nationkey % 4 = 0 THEN '99' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation UNION ALL SELECT 'r' || r_regionkey, '1' FROM region")
+def k8_settings(spark, d):
+    n, r = ledger.table(spark, d, "nation"), ledger.table(spark, d, "region")
+    old = n.selectExpr("concat('n', n_nationkey) as key", "cast(n_regionkey as string) as value")
+    new = n.where("n_nationkey % 4 = 0").selectExpr("concat('n', n_nationkey) as key", "'99' as value").unionByName(r.selectExpr("concat('r', r_regionkey) as key", "'1' as value"))
+    return store.settings_after(old, new)
+
+
+@query("SELECT 'f' || p_partkey % 4 AS path, p_partkey AS row_index, CASE WHEN p_partkey % 4 = 1 THEN 'new' ELSE 'old' END AS raw FROM part WHERE p_partkey % 4 <> 1 OR p_partkey % 8 = 1")
+def k2_restaged_rows(spark, d):
+    rows = ledger.table(spark, d, "part").selectExpr("concat('f', p_partkey % 4) as path", "p_partkey as row_index", "'old' as raw")
+    imported = spark.createDataFrame([("f1", "parsed"), ("f2", "committed")], "path string, status string")
+    for path in ("f1", "f2"):  # the second is refused
+        new = rows.where((F.col("path") == path) & (F.col("row_index") % 8 < 4)).withColumn("raw", F.lit("new"))
+        rows = imports.restage(rows, imported, path, new)[0]
+    return rows
+
+
+# Rows of an import, some of which could not be read.
+_READ = "SELECT o_orderpriority AS path, o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS date, CASE WHEN o_orderkey % 13 = 0 THEN 'date' END AS error, o_orderkey % 9 AS cents, o_orderstatus = 'P' AS pending, o_orderkey % 2 = 0 AS zero_allowed, CASE WHEN o_orderkey % 100 = 1 THEN 1 ELSE 2 END AS key_version FROM orders "
+
+
+@query(f"SELECT path, count(*) FILTER (error IS NOT NULL) AS unparsed, count(*) FILTER (error IS NULL AND date NOT BETWEEN DATE '1994-01-01' AND DATE '1996-12-31') AS out_of_period, count(*) FILTER (pending) AS pending, count(*) FILTER (cents = 0) AS zero, count(*) FILTER (error IS NULL) AS parsed FROM ({_READ}) GROUP BY path")
+def q18_review_strip(spark, d):
+    day = lambda x: F.lit(x).cast("date")
+    return coverage.review_strip(_sql(spark, d, _READ, "orders"), day("1994-01-01"), day("1996-12-31"))
+
+
+@query(f"SELECT 'zero_amount' AS reason, count(*) AS n FROM ({_READ}) WHERE cents = 0 AND NOT pending AND NOT zero_allowed UNION ALL SELECT 'mixed_key_versions', 2")
+def q20_commit_refusals(spark, d):
+    return imports.refusals(_sql(spark, d, _READ, "orders"))
+
+
+@query(f'SELECT path, min(date) AS start, max(date) AS "end" FROM ({_READ}) WHERE error IS NULL GROUP BY path')
+def p10_period(spark, d):
+    return statements.period(_sql(spark, d, _READ, "orders"))
+
+
+@query("SELECT path FROM (SELECT c_nationkey AS path, CAST(round(c_acctbal * 100) AS BIGINT) - 500000 AS b FROM customer) WHERE b <> 0 GROUP BY path HAVING count(*) >= 3 AND count(*) FILTER (b < 0) * 2 > count(*)")
+def p14_sign_check(spark, d):
+    c = ledger.table(spark, d, "customer")
+    return statements.sign_check(c.select(F.col("c_nationkey").alias("path"), (F.round(F.col("c_acctbal") * 100).cast("long") - 500000).alias("balance_cents")))
+
+
+@query(f"SELECT 'savings' AS measure, CAST(sum(impact) FILTER (kind = 'savings') AS VARCHAR) AS value FROM ({_EMITTED}) UNION ALL SELECT 'findings', CAST(count(*) AS VARCHAR) FROM ({_EMITTED}) UNION ALL SELECT 'run', CAST(max(o_orderkey) AS VARCHAR) FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus <> 'P') AND o_orderstatus <> 'P'")
+def q19_findings_summary(spark, d):
+    f = findings.emitted(_findings(spark, d), budget=1 << 30)[0]
+    runs = ledger.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("finished"))
+    return findings.summary(f, runs)
