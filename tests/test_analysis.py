@@ -315,3 +315,14 @@ def test_folds_and_amounts(spark):
     assert one(text.collapse(F.lit("PHỞ Ế ậ"))) == "PHO E A"
     assert one(money.parse(F.lit("usd 7"))) == 700 and one(money.parse(F.lit("(5)-"))) is None
     assert [one(money.problem(F.lit(x))) for x in ("", "12", "abc", "99999999999999999")] == ["empty", None, "not an amount", "too large"]
+
+
+def test_a_confirmed_single_debit_teaches_a_rule_once(spark):
+    rows = spark.createDataFrame([(1, "a", "XFER TO 0042"), (2, "b", "DEPOSIT"), (3, "a", "XFER TO 0043"), (4, "b", "DEPOSIT"), (5, "a", "PMT"), (6, "a", "PMT"), (7, "b", "DEPOSIT")], "id long, account string, raw string")
+    links = spark.createDataFrame([(1, 2, "proposed"), (3, 4, "proposed"), (5, 7, "proposed"), (6, 7, "proposed"), (1, 7, "auto")], "debit long, credit long, state string")
+    none = spark.createDataFrame([], "rule string, pattern string, debit_account string, credit_account string")
+    chosen = spark.createDataFrame([(2,), (4,), (7,)], "credit long")
+    after, learned = transfers.confirmed(links, rows, none, chosen)
+    assert sorted((r.debit, r.credit, r.state) for r in after.collect()) == [(1, 2, "confirmed"), (1, 7, "auto"), (3, 4, "confirmed"), (5, 7, "confirmed"), (6, 7, "confirmed")]
+    assert [(r.pattern, r.debit_account, r.credit_account) for r in learned.collect()] == [("XFER TO", "a", "b")]
+    assert transfers.confirmed(links, rows, learned, chosen)[1].count() == 1
