@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH = 2000  # rows handed to a Python worker at once
+BATCH, BYTES = 2000, 16 << 20  # rows and bytes handed to a Python worker at once
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand over at most ``BATCH`` rows at once, as texts can be long; a smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
-        spark.conf.set(name, str(BATCH))
+    """Hand over at most ``BATCH`` rows and about ``BYTES`` at once, as texts can be long.
+
+    These are settings of the session, which has them from then on; smaller ones of its own stay.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
