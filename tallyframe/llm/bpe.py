@@ -1,13 +1,14 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer.
 
-Every text goes through a :class:`Transducer`, fed block after block. It cuts its input into
+Every text goes through a :class:`Transducer`, fed block after block (most texts are one block). It cuts its input into
 words; tokens are stable, and leave, by one of two rules. No merge crosses the end of a word, so
 once the three characters after a word are seen, all its tokens are. Inside a word,
 ``Model.lookahead`` is computed from the merge list: the farthest that unknown bytes to the right
 can change where tokens end. A boundary that far from the end of the bytes seen so far is stable,
 so a word of any length passes a window of fixed size (:class:`Run`): merge the window, emit the
 tokens that end before the lookahead, keep the rest. The state is a bounded tail of text or of
-bytes. Words already merged are remembered in a table of bounded size.
+bytes. Words already merged are remembered in a table of bounded size; those that are new in a few
+blocks are merged together, one rule a word and round, as arrays.
 
 Decoding is a state machine from bytes to text (:class:`Utf8Machine`), whose state is the
 unfinished character.
@@ -35,7 +36,7 @@ from .common import docs_of
 BLOCK = 1 << 16  # characters cut into words at once
 SHORT = 64  # bytes: longer words go through the windowed encoder
 MEMO = 1_000_000  # words remembered
-GROUP = 1000  # texts whose words are merged together
+GROUP = 1 << 21  # characters whose new words are merged together, about
 
 _NONE = 1 << 30
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -287,29 +288,25 @@ class Transducer:
         self.more: re.Pattern | None = None  # what goes on with it
         self.mark = max(map(len, model.added), default=1) - 1
 
-    def feed(self, text: str, final: bool = False) -> Iterator[str | bytes]:
+    def feed(self, text: str, final: bool = False) -> list[str | bytes]:
         """Words (str) and ids (bytes, little-endian unsigned 32-bit integers) that are final."""
+        out: list[str | bytes] = []
         buf, self.held = self.held + text, ""
         if self.model.special is not None:
             while m := self.model.special.search(buf):
-                yield from self._cut(buf[: m.start()], True)
-                yield self.model.added[m[0]].to_bytes(4, "little")
+                self._cut(buf[: m.start()], True, out)
+                out.append(self.model.added[m[0]].to_bytes(4, "little"))
                 buf = buf[m.end() :]
         if final:
-            yield from self._cut(buf, True)
-            return
+            self._cut(buf, True, out)
+            return out
         # An added token may have begun in the last characters.
         keep = next((n for n in range(min(self.mark, len(buf)), 0, -1) if any(x.startswith(buf[-n:]) for x in self.model.added)), 0)
-        yield from self._cut(buf[: len(buf) - keep], False)
+        self._cut(buf[: len(buf) - keep], False, out)
         self.held += buf[len(buf) - keep :]
+        return out
 
-    def whole(self, text: str) -> list[str] | None:
-        """:meth:`feed` of a text that is one block and its end, where that gives words alone; None where an added token is in it."""
-        if self.model.special is not None and self.model.special.search(text):
-            return None
-        return (_FAST if _PLAIN.search(text) is None else _general()).findall(text)
-
-    def _cut(self, buf: str, final: bool) -> Iterator[str | bytes]:
+    def _cut(self, buf: str, final: bool, out: list[str | bytes]) -> None:
         cut = _FAST if _PLAIN.search(buf) is None else _general()
         at = 0
         while at < len(buf) or self.run is not None:
@@ -322,19 +319,19 @@ class Transducer:
                 if not whole:
                     ids += self.run.close()
                     self.run = None
-                yield np.array(ids, "<u4").tobytes()
+                out.append(np.array(ids, "<u4").tobytes())
                 at = stop
                 if whole:
                     break
                 continue
             sure, last = len(buf) if final else len(buf) - self.BEHIND, at
             if sure == len(buf):
-                yield from cut.findall(buf, at)
+                out += cut.findall(buf, at)
                 return
             for m in cut.finditer(buf, at):
                 if m.end() > sure:
                     break
-                yield m[0]
+                out.append(m[0])
                 last = m.end()
             at = last
             if len(buf) - at <= BLOCK:
@@ -376,32 +373,49 @@ class Encoder:
         self.model = Model(path)
         self.memo = _Memo(self.model)
 
-    def _ids(self, items: Iterator[str | bytes]) -> bytes:
+    def _blocks(self, texts: Iterator[str | None]) -> Iterator[tuple[bytes, bool]]:
+        """Ids of each block, and whether its text ends with it. Some blocks are fed before their new words are merged at once."""
+        held: list[tuple[list[str | bytes], bool]] = []
+        size = 0
+        for text in texts:
+            text, t = text or "", Transducer(self.model)
+            for at in range(0, max(1, len(text)), BLOCK):
+                last = at + BLOCK >= len(text)
+                held.append((t.feed(text[at : at + BLOCK], last), last))
+                size += min(BLOCK, len(text) - at)
+                if size >= GROUP:
+                    yield from self._known(held)
+                    held, size = [], 0
+        yield from self._known(held)
+
+    def _known(self, held: list[tuple[list[str | bytes], bool]]) -> Iterator[tuple[bytes, bool]]:
         memo = self.memo
-        return b"".join([x if isinstance(x, bytes) else memo[x] for x in items])
-
-    def pieces(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, block after block."""
-        t = Transducer(self.model)
-        for at in range(0, len(text), BLOCK):
-            yield self._ids(t.feed(text[at : at + BLOCK], at + BLOCK >= len(text)))
+        new = [w for w in set().union(*(x for x, _ in held)) if type(w) is str and w not in memo]
+        words = [(w, r) for w in new if len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
+        if len(memo) + len(words) > MEMO:  # words that go are merged again when they come
+            memo.clear()
+        memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
+        for items, last in held:
+            if bytes in set(map(type, items)):
+                yield b"".join([x if type(x) is bytes else memo[x] for x in items]), last
+            else:
+                yield b"".join(map(memo.__getitem__, items)), last
 
     def many(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
-        """:meth:`pieces` of each text; the new words of a group of one-block texts are merged at once."""
-        for k in range(0, len(texts), GROUP):
-            group = [t or "" for t in texts[k : k + GROUP]]
-            items = [None if len(t) > BLOCK else Transducer(self.model).whole(t) for t in group]
-            new: set[str] = set().union(*filter(None, items))
-            words = [(w, r) for w in new if w not in self.memo and len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
-            if len(self.memo) + len(words) > MEMO:
-                self.memo.clear()
-                words = [(w, r) for w in new if len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
-            self.memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
-            for t, x in zip(group, items):
-                yield self.pieces(t) if x is None else iter([b"".join(map(self.memo.__getitem__, x))])
+        """Of each text its ids as little-endian unsigned 32-bit integers, block after block; to be read to the end, one after the other."""
+        blocks = self._blocks(iter(texts))
+
+        def own() -> Iterator[bytes]:
+            for ids, last in blocks:
+                yield ids
+                if last:
+                    return
+
+        for _ in texts:
+            yield own()
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(self.pieces(text or "")), "<u4")
+        return np.frombuffer(b"".join(next(self.many([text]))), "<u4")
 
 
 class Utf8Machine:
