@@ -475,6 +475,32 @@ def test_toxicity_on_held_out_rows_and_disguises(spark, docs, empty):
     assert toxicity.classify(empty, y).count() == 0
 
 
+def scorer_by_hand():
+    count = collections.Counter()
+    for w in ["the", "stupid", "idiot", "cretin", "ass", "assume", "stop", "star", "cat", "call", "rap", "crash", "class"] * 3:
+        x = "^^" + w + "."
+        count.update(x[i : i + 3] for i in range(len(x) - 2))
+    terms = {"stupid": 0.9, "idiot": 0.9, "creti": 0.9, "ass$": 0.9}
+    return toxicity.Scorer(terms, count, {t: 5.0 for t in terms} | {"as$": 4.0, "assume$": 7.0})
+
+
+def test_look_alikes_at_the_ends_of_tokens():
+    s = scorer_by_hand()
+    toxic = ["$tupid", "!diot", "|diot", "(retin", "$+up!d", "@55", "a$$", "@$$", "($tupid)", "stupid!!!", "(idiot!)", "$$tupid", "$ + u p ! d", "@ s s", "( r e t i n", "s.t.u.p.i.d!", "idi0t.", "|d|0t!"]
+    clean = ["as", "455", "$455", "(455)", "+1455", "pass", "assume!", "(rap)", "(all", "$ave", "asset", "class!", "a!", "4 5 5", "$5.50", "(as)", "!!!", "$$$", "||"]
+    assert [t for t in toxic if s.score(f"so {t} it") < 0.7] == []
+    assert [t for t in clean if s.score(f"so {t} it") >= 0.7] == []
+
+
+def test_the_canonical_form_decides_as_decoding_all_does():
+    s, plain = scorer_by_hand(), scorer_by_hand()
+    plain.any = re.compile("")  # each token with traces is decoded
+    r = random.Random(21)
+    for _ in range(3000):
+        t = "".join(r.choice("astupid$!|(@015+.-") for _ in range(r.randint(1, 8)))
+        assert s.found(f"x {t} y") == plain.found(f"x {t} y"), t
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
