@@ -1,4 +1,4 @@
-"""Joins that pair ledger rows: transfers, bags of rows, one-to-one assignment."""
+"""Joins that pair ledger rows: transfers, bags of rows, near duplicates. :mod:`walks` makes them one to one."""
 
 from __future__ import annotations
 
@@ -26,32 +26,6 @@ def transfer_candidates(ledger: DataFrame, early: int = 1, late: int = 7) -> Dat
     return pairs.where((F.col("da") != F.col("ca")) & gap.between(-early, late)).select("debit", "credit", "cents", gap.alias("gap"))
 
 
-def assign(candidates: DataFrame, *order: str) -> DataFrame:
-    """One-to-one pairs (debit, credit), as if taken greedily by ``order``; ties go to the lesser debit, then credit.
-
-    A pair that comes first for both its sides is taken by the greedy walk whatever comes before,
-    so all such pairs are taken at once, their sides removed, and the rest looked at again. Needs
-    ``spark.checkpoint.dir``.
-    """
-    spark = candidates.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
-    rest, out = candidates.checkpoint(), None
-    key = F.struct(*dict.fromkeys([*order, "debit", "credit"]))
-    while True:
-        best = rest.withColumn("key", key)
-        a = best.groupBy("debit").agg(F.min("key").alias("a"))
-        b = best.groupBy("credit").agg(F.min("key").alias("b"))
-        taken = best.join(a, "debit").join(b, "credit").where((F.col("key") == F.col("a")) & (F.col("key") == F.col("b"))).select(*candidates.columns).checkpoint()
-        if taken.isEmpty():
-            return out if out is not None else taken
-        out = taken if out is None else out.unionByName(taken)
-        rest = rest.join(taken.select("debit"), "debit", "left_anti").join(taken.select("credit"), "credit", "left_anti").checkpoint()
-
-
 def bag_difference(existing: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
     """What a merge inserts for each key: incoming beyond existing, as counts."""
     a = existing.groupBy(*keys).agg(F.count("*").alias("stored"))
@@ -60,7 +34,7 @@ def bag_difference(existing: DataFrame, incoming: DataFrame, *keys: str) -> Data
 
 
 def near_duplicates(existing: DataFrame, incoming: DataFrame, days: int = 3, cents: int = 200, percent: int = 3) -> DataFrame:
-    """incoming, existing, off: rows (id, account, key, date, cents) alike in account and key, but not in date and amount, within the bounds."""
+    """account, key, incoming, existing, off: rows (id, account, key, date, cents) alike in account and key, but not in date and amount, within the bounds."""
     a = existing.select(F.col("id").alias("existing"), "account", "key", F.col("date").alias("ad"), F.col("cents").alias("ac"))
     b = incoming.select(F.col("id").alias("incoming"), "account", "key", F.col("date").alias("bd"), F.col("cents").alias("bc"))
     off = F.col("bc") - F.col("ac")
@@ -68,11 +42,11 @@ def near_duplicates(existing: DataFrame, incoming: DataFrame, days: int = 3, cen
     other = (F.col("ad") != F.col("bd")) | (off != 0)
     a = a.withColumn("span", _bucket("ad", 2 * days + 1))
     b = b.withColumn("span", _buckets(F.date_sub("bd", days), F.date_add("bd", days), 2 * days + 1))
-    return b.join(a, ["account", "key", "span"]).where(near & other).select("incoming", "existing", off.alias("off"))
+    return b.join(a, ["account", "key", "span"]).where(near & other).select("account", "key", "incoming", "existing", off.alias("off"))
 
 
 def refund_candidates(ledger: DataFrame, days: int = 90) -> DataFrame:
-    """debit, credit, gap: opposite amounts at one account and merchant, the credit up to ``days`` after; :func:`assign` by gap pairs them."""
+    """debit, credit, gap: opposite amounts at one account and merchant, the credit up to ``days`` after."""
     d = ledger.where("cents < 0").select(F.col("id").alias("debit"), "account", "merchant", (-F.col("cents")).alias("cents"), F.col("date").alias("dd"))
     c = ledger.where("cents > 0").select(F.col("id").alias("credit"), "account", "merchant", "cents", F.col("date").alias("cd"))
     gap = F.datediff("cd", "dd")

@@ -108,7 +108,7 @@ def export(ledger: DataFrame, folder: str, kind: str = "csv") -> None:
     if kind == "json":
         rows.write.mode("overwrite").json(folder)
     else:
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
 
 
 def spend_by_category(ledger: DataFrame) -> DataFrame:

@@ -262,11 +262,11 @@ def trials(found: DataFrame, ledger: DataFrame, reported: DataFrame) -> DataFram
     latest small row of merchant and account from 5 to 35 days before the first charge.
     """
     s = found.join(reported.select("series"), "series", "left_anti")
-    rows = ledger.select(F.col("id").cast("string").alias("id"), F.col("merchant").cast("string").alias("merchant"), F.col("account").cast("string").alias("account"), "date", "cents", "raw", "excluded")
+    rows = ledger.select(F.col("id").cast("string").alias("id"), F.col("merchant").cast("string").alias("merchant"), F.col("account").cast("string").alias("account"), "date", "cents", "normalized", "excluded")
     gap = F.datediff("first_seen", "date")
     small = rows.where("not excluded").where(F.abs("cents") <= 150)
     auth = s.select("series", "merchant", "account", "first_seen").join(small, ["merchant", "account"]).where(gap.between(5, 35)).groupBy("series").agg(F.max(F.struct("date", "id")).alias("a"))
-    words = F.concat(F.lit(" "), F.regexp_replace(F.upper("raw"), "[^A-Z0-9]+", " "), F.lit(" "))
+    words = F.concat(F.lit(" "), F.regexp_replace("normalized", "[^A-Z0-9]+", " "), F.lit(" "))
     marked = F.lit(False)
     for m in MARKERS:
         marked = marked | words.contains(f" {m} ")

@@ -6,18 +6,22 @@ refund_pair; ``accounts``: account, account_type, institution, last4.
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import assign, transfer_candidates
+from .matching import transfer_candidates
+from .walks import assign, gathered
 
 #: Words of a transfer; words that do not tell one bank from another.
 KEYWORDS = ["TRANSFER", "XFER", "ONLINE PMT", "AUTOPAY", "PAYMENT THANK YOU", "E-PAYMENT", "ACH PMT"]
 STOP_WORDS = ["BANK", "CARD", "CREDIT", "UNION", "FEDERAL", "NATIONAL", "SAVINGS", "TRUST", "FINANCIAL", "SERVICES", "THE", "AND", "OF"]
 AUTO, PROPOSED = 5, 2
+#: Points of each signal.
+POINTS = {"keyword_both_sides": 3, "counterparty_last4": 2, "credit_card_institution": 2, "close_date_gap": 1, "learned_rule": 3, "recurring_spend_series": -2, "spend_category": -2}
 PARTS, POOL = 3, 24  # debits of a partial payment, and how many are looked at
 
 
@@ -38,7 +42,7 @@ def names_institution(text: Column, institution: Column) -> Column:
     upper = F.upper(institution)
     tokens = F.filter(F.split(upper, "[^A-Z0-9]+"), lambda t: (F.length(t) >= 4) & ~t.isin(STOP_WORDS))
     padded = F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Z0-9]+", " "), F.lit(" "))
-    return F.coalesce(text.contains(upper) | F.exists(tokens, lambda t: padded.contains(F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(False))
+    return F.coalesce((F.length(upper) > 0) & (text.contains(upper) | F.exists(tokens, lambda t: padded.contains(F.concat(F.lit(" "), t, F.lit(" "))))), F.lit(False))
 
 
 def eligible(ledger: DataFrame) -> DataFrame:
@@ -58,41 +62,45 @@ def pattern(descriptor: Column) -> Column:
     return F.when(F.length(short) < 4, descriptor).otherwise(short)
 
 
+def _told(ledger: DataFrame, accounts: DataFrame | None, spending: DataFrame | None, series: DataFrame | None) -> DataFrame:
+    """The ledger with text, what is known of the account, and whether a row is spending or in a series."""
+    row = ledger.withColumn("text", words(ledger))
+    if accounts is None:
+        row = row.withColumns({c: F.lit(None).cast("string") for c in ("account_type", "institution", "last4")})
+    else:
+        row = row.join(accounts.select("account", "account_type", "institution", "last4"), "account", "left")
+    flag = F.lit(True)
+    row = row.withColumn("spending", F.lit(False)) if spending is None else row.join(spending.select("id").distinct().withColumn("spending", flag), "id", "left")
+    row = row.withColumn("series", F.lit(False)) if series is None else row.join(series.select("merchant", "account").distinct().withColumn("series", flag), ["merchant", "account"], "left")
+    return row.fillna(False, ["spending", "series"])
+
+
 def scored(pairs: DataFrame, ledger: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, spending: DataFrame | None = None, series: DataFrame | None = None) -> DataFrame:
     """``pairs`` with score, reasons and rule.
 
     ``rules``: rule, pattern, debit_account, credit_account; ``spending``: id of rows categorised as
     spending at a real merchant; ``series``: merchant, account of recurring series there.
     """
-    text = words(ledger)
-    row = ledger.select("id", "account", "merchant", text.alias("text"), "normalized").join(F.broadcast(accounts.select("account", "account_type", "institution", "last4")), "account", "left")
-    for name, ids in (("spending", spending), ("series", series)):
-        if ids is None:
-            row = row.withColumn(name, F.lit(False))
-        elif name == "spending":
-            row = row.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left")
-        else:
-            row = row.join(ids.select("merchant", "account").distinct().withColumn(name, F.lit(True)), ["merchant", "account"], "left")
-    row = row.fillna(False, ["spending", "series"])
+    row = _told(ledger, accounts, spending, series).select("id", "account", "merchant", "text", "normalized", "account_type", "institution", "last4", "spending", "series")
     side = lambda p, key: row.select(*(F.col(c).alias(key if c == "id" else f"{p}_{c}") for c in row.columns))
     out = pairs.join(side("d", "debit"), "debit").join(side("c", "credit"), "credit")
     if rules is None:
         out = out.withColumn("rule", F.lit(None).cast("string"))
     else:
         match = (F.col("d_account") == F.col("r.debit_account")) & (F.col("c_account") == F.col("r.credit_account")) & F.col("d_normalized").startswith(F.col("r.pattern"))
-        first = out.join(F.broadcast(rules.alias("r")), match).groupBy("debit", "credit").agg(F.min("r.rule").alias("rule"))
+        first = out.join(rules.alias("r"), match).groupBy("debit", "credit").agg(F.min("r.rule").alias("rule"))
         out = out.join(first, ["debit", "credit"], "left")
     last4 = F.coalesce(F.col("d_text").contains(F.col("c_last4")), F.lit(False)) | F.coalesce(F.col("c_text").contains(F.col("d_last4")), F.lit(False))
-    signals = [
-        ("keyword_both_sides", keyword(F.col("d_text")) & keyword(F.col("c_text")), 3),
-        ("counterparty_last4", last4, 2),
-        ("credit_card_institution", (F.coalesce("c_account_type", F.lit("")) == "credit_card") & names_institution(F.col("d_text"), F.col("c_institution")), 2),
-        ("close_date_gap", F.abs("gap") <= 3, 1),
-        ("learned_rule", F.col("rule").isNotNull(), 3),
-        ("recurring_spend_series", F.col("d_series") | F.col("c_series"), -2),
-        ("spend_category", F.col("d_spending") | F.col("c_spending"), -2),
-    ]
-    reasons = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("signal"), F.lit(points).alias("points"))) for name, test, points in signals)))
+    signals = {
+        "keyword_both_sides": keyword(F.col("d_text")) & keyword(F.col("c_text")),
+        "counterparty_last4": last4,
+        "credit_card_institution": (F.coalesce("c_account_type", F.lit("")) == "credit_card") & names_institution(F.col("d_text"), F.col("c_institution")),
+        "close_date_gap": F.abs("gap") <= 3,
+        "learned_rule": F.col("rule").isNotNull(),
+        "recurring_spend_series": F.col("d_series") | F.col("c_series"),
+        "spend_category": F.col("d_spending") | F.col("c_spending"),
+    }
+    reasons = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("signal"), F.lit(POINTS[name]).alias("points"))) for name, test in signals.items())))
     out = out.withColumn("reasons", reasons).withColumn("score", F.aggregate("reasons", F.lit(0), lambda a, r: a + r["points"]))
     return out.select(*pairs.columns, "score", "reasons", "rule", F.col("d_account").alias("debit_account"), F.col("c_account").alias("credit_account"))
 
@@ -105,7 +113,7 @@ def matched(pairs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Scored pairs one to one: the best score first, then the nearest and earliest; with state. Ignored ones take no part."""
     dated = pairs.where(F.col("score") >= PROPOSED).join(ledger.select(F.col("id").alias("debit"), F.col("date").alias("day")), "debit")
     keyed = dated.withColumns({"down": -F.col("score"), "far": F.abs("gap")})
-    return assign(keyed, "down", "far", "day", "debit", "credit").drop("down", "far", "day").withColumn("state", disposition(F.col("score")))
+    return assign(keyed, "down", "far", "day", "debit", "credit", within=["cents"] if "cents" in keyed.columns else None).drop("down", "far", "day").withColumn("state", disposition(F.col("score")))
 
 
 def _subset(amounts: list[int], want: int, accounts: list[str]) -> list[int] | None:
@@ -127,56 +135,72 @@ def _subset(amounts: list[int], want: int, accounts: list[str]) -> list[int] | N
     return None
 
 
-def partial_candidates(ledger: DataFrame, used: DataFrame) -> DataFrame:
-    """credit, turn, debits: for each unused credit its first exact set of two or three unused debits; bounded pools, nearest first.
+def _institution(text: str, name: str | None) -> bool:
+    """:func:`names_institution` of one row."""
+    upper = (name or "").upper()
+    told = [t for t in re.split("[^A-Z0-9]+", upper) if len(t) >= 4 and t not in STOP_WORDS]
+    return bool(upper) and (upper in text or any(re.search(f"(^|[^A-Z0-9]){t}([^A-Z0-9]|$)", text) for t in told))
+
+
+def set_score(debits: list[dict], credit: dict) -> int:
+    """The score of a set of debits of one account: a keyword must be on all, a rule hold for all; any one has the other signals."""
+    rules = set.intersection(*({(r["rule"], r["credit_account"]) for r in d["rules"] or []} for d in debits))
+    told = {
+        "keyword_both_sides": all(d["keyword"] for d in debits) and credit["keyword"],
+        "counterparty_last4": bool(credit["last4"]) and any(credit["last4"] in d["text"] for d in debits) or bool(debits[0]["last4"]) and debits[0]["last4"] in credit["text"],
+        "credit_card_institution": credit["account_type"] == "credit_card" and any(_institution(d["text"], credit["institution"]) for d in debits),
+        "close_date_gap": max(abs(credit["day"] - d["day"]) for d in debits) <= 3,
+        "learned_rule": any(account == credit["account"] for _, account in rules),
+        "recurring_spend_series": credit["series"] or any(d["series"] for d in debits),
+        "spend_category": credit["spending"] or any(d["spending"] for d in debits),
+    }
+    return sum(POINTS[name] for name, holds in told.items() if holds)
+
+
+def partial_walk(rows: list[dict], early: int = 1, late: int = 7) -> list[dict]:
+    """One owner's credits, the largest first: each looks at its pool of unused debits for the first exact set, and takes it if it scores."""
+    debits = sorted((r for r in rows if r["cents"] < 0), key=lambda r: r["day"])
+    days = [d["day"] for d in debits]
+    used, out = set(), []
+    for c in sorted((r for r in rows if r["cents"] > 0), key=lambda r: (-r["cents"], r["id"])):
+        near = debits[bisect.bisect_left(days, c["day"] - late) : bisect.bisect_right(days, c["day"] + early)]
+        pool = [d for d in near if d["id"] not in used and d["account"] != c["account"] and -d["cents"] < c["cents"]]
+        pool = sorted(pool, key=lambda d: (abs(c["day"] - d["day"]), d["id"]))[:POOL]
+        hit = _subset([-d["cents"] for d in pool], c["cents"], [d["account"] for d in pool])
+        if hit is None:
+            continue
+        chosen = sorted((pool[i] for i in hit), key=lambda d: (d["day"], d["id"]))
+        score = set_score(chosen, c)
+        if score < PROPOSED:
+            continue
+        used |= {d["id"] for d in chosen}
+        gap = max((c["day"] - d["day"] for d in chosen), key=abs)
+        out.append({"owner": c["owner"], "credit": c["id"], "debits": [d["id"] for d in chosen], "cents": c["cents"], "score": score, "gap": gap})
+    return out
 
-    ``used``: id of rows that are matched. A pool holds ``POOL`` debits of other accounts at most, which
-    is the rule's own bound; where the first exact set is of several accounts, the credit has none.
-    """
-    rest = eligible(ledger).join(used.select("id"), "id", "left_anti")
-    c = rest.where("cents > 0").select(F.col("id").alias("credit"), F.col("account").alias("ca"), F.col("date").alias("cd"), F.col("cents").alias("want"))
-    d = rest.where("cents < 0").select(F.col("id").alias("debit"), F.col("account").alias("da"), F.col("date").alias("dd"), (-F.col("cents")).alias("x"))
-    # A week's bucket and its neighbours: the range as an equi-join.
-    week = lambda x: F.floor(F.datediff(x, F.lit("1970-01-01")) / 8)
-    c = c.withColumn("week", F.explode(F.array(week("cd") - 1, week("cd"), week("cd") + 1)))
-    gap = F.datediff("cd", "dd")
-    pairs = c.join(d.withColumn("week", week("dd")), "week").where((F.col("ca") != F.col("da")) & gap.between(-1, 7) & (F.col("x") < F.col("want")))
-    near = F.struct(F.abs(gap).alias("far"), "dd", "debit", "x", "da")
-    place = F.row_number().over(Window.partitionBy("credit").orderBy(F.abs(gap), "dd", "debit"))
-    pool = pairs.withColumn("near", near).withColumn("place", place).where(F.col("place") <= POOL)
-    pool = pool.groupBy("credit", "want").agg(F.sort_array(F.collect_list("near")).alias("pool"))
-
-    @F.pandas_udf("array<string>")
-    def chosen(want: pd.Series, pool: pd.Series) -> pd.Series:
-        out = []
-        for w, p in zip(want, pool):
-            hit = _subset([int(r["x"]) for r in p], int(w), [r["da"] for r in p])
-            out.append(None if hit is None else [str(p[i]["debit"]) for i in hit])
-        return pd.Series(out, dtype=object)
-
-    return pool.select("credit", "want", chosen("want", "pool").alias("debits")).where("debits is not null")
-
-
-def partial_payments(ledger: DataFrame, used: DataFrame) -> DataFrame:
-    """credit, debits: exact sets of debits, each debit in one set at most.
-
-    In each turn every free credit looks for its set, and those sets are taken that belong to the
-    largest credit for each of their debits; the others look again. A walk through the credits one
-    by one can differ, where a large credit loses its set and would then have chosen debits that a
-    smaller one has taken in the same turn; that walk cannot be spread over tasks.
+
+def partial_payments(ledger: DataFrame, used: DataFrame, accounts: DataFrame | None = None, rules: DataFrame | None = None, spending: DataFrame | None = None, series: DataFrame | None = None, owner: str | None = None) -> DataFrame:
+    """owner, credit, debits, cents, score, gap: credits paid by two or three debits of one account, all of them proposals.
+
+    ``used``: id of rows that are matched one to one; the rest as for :func:`scored`. Only rows of
+    one ``owner`` (a column; without it all rows have one) meet. The walk goes through an owner's
+    credits one by one, as every set taken can change the next pool, so a task holds the unused rows
+    of one owner; an analysis refuses an owner of more than a million rows (see :mod:`analysis_run`).
+    An owner without both signs, or with no debit small enough, is left out before.
     """
-    taken, out = used.select("id"), None
-    while True:
-        found = partial_candidates(ledger, taken).select("credit", "want", F.explode("debits").alias("debit")).withColumns({"down": -F.col("want")})
-        # A set is taken when it comes first for all its debits.
-        key = F.struct("down", "credit")
-        first = found.withColumn("best", F.min(key).over(Window.partitionBy("debit"))).withColumn("ok", key == F.col("best"))
-        sets = first.groupBy("credit", "down").agg(F.min("ok").alias("ok"), F.sort_array(F.collect_list("debit")).alias("debits")).where("ok").select("credit", "debits").checkpoint()
-        if sets.isEmpty():
-            return sets if out is None else out
-        out = sets if out is None else out.unionByName(sets)
-        kind = ledger.schema["id"].dataType
-        taken = taken.unionByName(sets.select(F.col("credit").alias("id"))).unionByName(sets.select(F.explode("debits").alias("id")).select(F.col("id").cast(kind).alias("id"))).checkpoint()
+    rest = _told(eligible(ledger), accounts, spending, series).join(used.select("id"), "id", "left_anti")
+    rest = rest.withColumn("owner", F.col(owner).cast("string") if owner else F.lit("")).withColumn("keyword", keyword(F.col("text")))
+    if rules is None:
+        rest = rest.withColumn("rules", F.lit(None).cast("array<struct<rule:string,credit_account:string>>"))
+    else:
+        r = rules.select(F.col("debit_account").alias("account"), "pattern", F.struct(F.col("rule").cast("string").alias("rule"), F.col("credit_account").cast("string").alias("credit_account")).alias("r"))
+        told = rest.where("cents < 0").select("id", "account", "normalized").join(r, "account").where(F.col("normalized").startswith(F.col("pattern")))
+        rest = rest.join(told.groupBy("id").agg(F.collect_set("r").alias("rules")), "id", "left")
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day")
+    rows = rest.select("owner", "id", F.col("account").cast("string").alias("account"), day, "cents", "text", "keyword", "account_type", "institution", "last4", "spending", "series", "rules")
+    kind = ledger.schema["id"].dataType.simpleString()
+    both = rows.groupBy("owner").agg(F.max("cents").alias("most"), F.min(F.when(F.col("cents") < 0, -F.col("cents"))).alias("least")).where("least < most").select("owner")
+    return gathered(rows.join(both, "owner", "left_semi"), ["owner"], [], partial_walk, f"owner string, credit {kind}, debits array<{kind}>, cents long, score int, gap int")
 
 
 def unmatched(ledger: DataFrame, links: DataFrame) -> DataFrame:

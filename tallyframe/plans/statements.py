@@ -139,7 +139,7 @@ _E = "SELECT event_id AS id, event_type AS account, CAST(ts AS DATE) AS date, CA
 @query(f"SELECT b.id AS incoming, a.id AS existing, b.cents - a.cents AS off FROM ({_E}) a JOIN ({_E}) b ON a.account = b.account AND a.merchant = b.merchant AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(date_diff('day', a.date, b.date)) <= 3 AND (a.date <> b.date OR a.cents <> b.cents) AND (abs(b.cents - a.cents) <= 200 OR abs(b.cents - a.cents) * 100 <= 3 * abs(a.cents))")
 def j12_near_pairs(spark, d):
     e = ledger.events(spark, d).withColumn("key", F.col("merchant"))
-    return matching.near_duplicates(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
+    return matching.near_duplicates(e.where("id % 2 = 0"), e.where("id % 2 = 1")).select("incoming", "existing", "off")
 
 
 @query(f"SELECT a.id AS debit, b.id AS credit, date_diff('day', a.date, b.date) AS gap FROM ({_E}) a JOIN ({_E}) b ON a.merchant % 50 = b.merchant % 50 AND a.cents < 0 AND b.cents = -a.cents AND date_diff('day', a.date, b.date) BETWEEN 0 AND 90")

@@ -80,7 +80,7 @@ def test_rules_on_series(spark):
     kinds = spark.createDataFrame([("c", "video")], "category string, overlap_group string")
     live = s.withColumn("status", F.lit("active"))
     assert [(r.overlap_group, r.n, r.annual) for r in series.overlaps(live, m, ledger, kinds).collect()] == [("video", 2, (1549 + 700) * 12)]
-    marked = ledger.withColumn("raw", F.when(F.col("merchant") == "n", "N FREE TRIAL OVER").otherwise("TRIALS"))
+    marked = ledger.withColumn("normalized", F.when(F.col("merchant") == "n", "N FREE TRIAL OVER").otherwise("TRIALS")).withColumn("raw", F.lit("FREE TRIAL"))
     none = s.select("series").limit(0)
     got = series.trials(s, marked, none).collect()
     assert [(r.points, r.early) for r in got] == [(2, True)]  # a step alone is one point; the marker is a whole word
@@ -97,7 +97,45 @@ def test_fees(spark):
     assert [(r.debit, r.credit) for r in netted.collect()] == [(1, 20)]
     [r] = fees.findings(f, netted).collect()
     assert (r.n, r.total, r.months, r.annual, r.avoidable, r.impact, r.kind, r.confidence) == (4, 3150, 3, 12600, 2400, 9600, "savings", 0.95)
-    assert {k: tuple(v) for k, v in r.breakdown.items()} == {"ATM FEE": (1, 300), "MONTHLY MAINTENANCE": (2, 2400), "category": (1, 450)}
+    assert {k: tuple(v) for k, v in r.breakdown.items()} == {"ATM FEE": (1, 300), "MONTHLY MAINTENANCE": (2, 2400), "fee category": (1, 450)}
+
+
+def test_avoidable_fees_are_counted_by_keyword(spark):
+    """One maintenance and one balance fee save nothing; of two and one, the two do."""
+    def finding(words):
+        rows = [(i, "a", DAY(2026, 1, 1 + i), -x, t, False, False, "x") for i, (t, x) in enumerate(words)]
+        f = fees.fees(spark.createDataFrame(rows, "id long, account string, date date, cents long, normalized string, pending boolean, excluded boolean, category string"))
+        [r] = fees.findings(f, f.select(F.col("id").alias("debit")).limit(0)).collect()
+        return r.kind, r.avoidable, r.impact
+
+    one, low = ("MONTHLY MAINTENANCE", 1200), ("MINIMUM BALANCE", 1500)
+    assert finding([one, low]) == ("visibility", 0, 2700 * 12)
+    assert finding([one, low, one]) == ("savings", 2400, 2400 * 12)
+
+
+def test_refunds_go_by_the_order_of_new_rows(spark):
+    def pairs(rows, new=None):
+        ledger = spark.createDataFrame([(i, "a", DAY(2026, 1, 1) + datetime.timedelta(d), x, m, False, None) for i, d, x, m in rows], "id long, account string, date date, cents long, merchant string, pending boolean, refund_pair string")
+        inserted = None if new is None else spark.createDataFrame([(i, k) for k, i in enumerate(new)], "id long, row long")
+        return sorted((r.debit, r.credit, r.gap) for r in imports.refunds(ledger, inserted).collect())
+
+    rows = [(1, 0, -500, "m"), (2, 4, -500, "m"), (3, 5, 500, "m")]
+    assert pairs(rows) == [(1, 3, 5)] and pairs(rows, [3]) == [(2, 3, 1)] and pairs(rows, [2]) == [(2, 3, 1)]
+    assert pairs(rows, []) == []  # stored rows start no pair
+    assert pairs([(1, 0, -500, "m"), (2, 91, 500, "m"), (3, 90, 500, "n"), (4, 0, -500, None), (5, 1, 500, None)]) == []
+    r = random.Random(8)
+    many = [(i, r.randint(0, 200), r.choice([-1, 1]) * r.choice([300, 500]), r.choice("mn")) for i in range(150)]
+    new = r.sample(range(150), 90)
+    free, want = {i: (d, x, m) for i, d, x, m in many}, []
+    for i in new:
+        if i in free:
+            d, x, m = free[i]
+            near = [(abs(e - d), j) for j, (e, y, n) in free.items() if y == -x and n == m and 0 <= (e - d if x < 0 else d - e) <= 90]
+            if near:
+                gap, j = min(near)
+                want.append((i, j, gap) if x < 0 else (j, i, gap))
+                del free[i], free[j]
+    assert pairs(many, new) == sorted(want)
 
 
 TRANSFERS = "id long, account string, date date, cents long, normalized string, raw string, merchant string, pending boolean, excluded boolean, refund_pair string"
@@ -122,28 +160,54 @@ def test_transfer_scores(spark):
     assert {r.state for r in transfers.decide(links, 2, "proposed", "confirmed").collect()} == {"confirmed"}
 
 
-def test_partial_payments_equal_a_plain_version(spark):
+def plain_partial(rows, used, text_score):
+    """rows: (id, account, date, cents, text); one owner's walk, credit by credit."""
+    used, out = set(used), {}
+    for c in sorted((r for r in rows if r[3] > 0 and r[0] not in used), key=lambda r: (-r[3], r[0])):
+        gap = lambda d: abs((c[2] - d[2]).days)
+        pool = [d for d in rows if d[3] < 0 and d[0] not in used and d[1] != c[1] and -d[3] < c[3] and -1 <= (c[2] - d[2]).days <= 7]
+        pool = sorted(pool, key=lambda d: (gap(d), d[0]))[: transfers.POOL]
+        hit = next((s for n in (2, 3) for s in itertools.combinations(pool, n) if -sum(d[3] for d in s) == c[3]), None)
+        if hit is None or len({d[1] for d in hit}) > 1:
+            continue
+        score = text_score(hit, c) + (1 if max(map(gap, hit)) <= 3 else 0)
+        if score >= 2:
+            out[c[0]] = (sorted(d[0] for d in hit), score)
+            used |= {d[0] for d in hit}
+    return out
+
+
+def test_partial_payments_equal_the_walk(spark):
     r = random.Random(3)
-    rows = [(i, r.choice("ab"), DAY(2026, 1, r.randint(1, 20)), -r.randint(1, 9) * 100, "X", "X", None, False, False, None) for i in range(40)]
-    rows += [(100 + i, "c", DAY(2026, 1, r.randint(5, 22)), r.randint(5, 18) * 100, "X", "X", None, False, False, None) for i in range(10)]
-    got = {x.credit: sorted(map(int, x.debits)) for x in transfers.partial_payments(spark.createDataFrame(rows, TRANSFERS), spark.createDataFrame([(0,)], "id long")).collect()}
-    of = {x[0]: x for x in rows}
-    pool = lambda c, used: sorted((d for d in rows if d[3] < 0 and d[0] not in used and -d[3] < c[3] and -1 <= (c[2] - d[2]).days <= 7), key=lambda d: (abs((c[2] - d[2]).days), d[2], d[0]))[: transfers.POOL]
-    used, want = {0}, {}
-    while True:
-        sets = {}
-        for c in rows:
-            if c[3] > 0 and c[0] not in used:
-                hit = next((s for n in (2, 3) for s in itertools.combinations(pool(c, used), n) if -sum(d[3] for d in s) == c[3]), None)
-                if hit and len({d[1] for d in hit}) == 1:
-                    sets[c[0]] = sorted(d[0] for d in hit)
-        first = {d: min((-of[c][3], c) for c, s in sets.items() if d in s)[1] for s in sets.values() for d in s}
-        taken = {c: s for c, s in sets.items() if all(first[d] == c for d in s)}
-        if not taken:
-            break
-        want |= taken
-        used |= {c for c in taken} | {d for s in taken.values() for d in s}
-    assert got == want and len(want) > 2
+    rows = [(i, r.choice("ab"), DAY(2026, 1, r.randint(1, 28)), -r.randint(1, 9) * 100, r.choice(["AUTOPAY 9012", "XFER", "SHOP", "CARDINAL ONLINE PMT"])) for i in range(90)]
+    rows += [(100 + i, "c", DAY(2026, 1, r.randint(5, 28)), r.randint(5, 18) * 100, r.choice(["PAYMENT THANK YOU", "SHOP", "XFER 4821"])) for i in range(40)]
+
+    def text_score(hit, c):
+        key = lambda x: any(k in x[4] for k in transfers.KEYWORDS)
+        last4 = any("9012" in d[4] for d in hit) or hit[0][1] == "a" and "4821" in c[4]
+        return 3 * (all(map(key, hit)) and key(c)) + 2 * last4 + 2 * any("CARDINAL" in d[4] for d in hit) - 2 * any(x[0] % 10 == 0 for x in (*hit, c))
+
+    want = plain_partial(rows, {0, 100}, text_score)
+    frame = lambda rows: spark.createDataFrame([(i, a, day, x, t, t.lower(), None, False, False, None, o) for i, a, day, x, t, o in rows], TRANSFERS + ", who int")
+    ledger = frame([(*x, 1) for x in rows] + [(x[0] + 1000, *x[1:], 2) for x in rows])
+    accounts = spark.createDataFrame([("a", "checking", None, "4821"), ("b", "checking", "", ""), ("c", "credit_card", "Cardinal Bank", "9012")], "account string, account_type string, institution string, last4 string")
+    used = spark.createDataFrame([(0,), (100,), (1000,), (1100,)], "id long")
+    spending = spark.createDataFrame([(i,) for i in range(0, 2000, 10)], "id long")
+    got = transfers.partial_payments(ledger, used, accounts, None, spending, owner="who").collect()
+    assert len(want) > 4 and {x.credit: (sorted(x.debits), x.score) for x in got if x.owner == "1"} == want
+    assert {x.credit - 1000: (sorted(i - 1000 for i in x.debits), x.score) for x in got if x.owner == "2"} == want
+    rule = spark.createDataFrame([("r", "SHOP", "a", "c")], "rule string, pattern string, debit_account string, credit_account string")
+    few = frame([(1, "a", DAY(2026, 1, 1), -300, "SHOP 1", 1), (2, "a", DAY(2026, 1, 9), -400, "SHOP 2", 1), (3, "c", DAY(2026, 1, 8), 700, "x", 1)])
+    assert transfers.partial_payments(few, used, accounts, rule).select("credit", "score", "gap").collect() == [(3, 3, 7)]
+    assert transfers.partial_payments(few, used, accounts).count() == 0  # no signal, no proposal
+    assert transfers.partial_payments(few.limit(0), used, accounts).count() == 0
+
+
+def test_an_empty_institution_names_nothing(spark):
+    t = spark.createDataFrame([("", "PAY X"), (None, "PAY X"), ("The Bank", "THE BANK"), ("Cardinal Bank", "PAY CARDINAL-CARD"), ("Cardinal Bank", "CARDINALS"), ("Of And", "PAY")], "institution string, text string")
+    got = [r[0] for r in t.select(transfers.names_institution(F.col("text"), F.col("institution"))).collect()]
+    assert got == [False, False, True, True, False, False]
+    assert got == [transfers._institution(r.text, r.institution) for r in t.collect()]
 
 
 BAG = "id long, account string, key string, date date, cents long, pending boolean, row long, occurrence long, merchant string, refund_pair string"

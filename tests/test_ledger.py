@@ -37,16 +37,3 @@ def test_cadence(spark, gaps, days):
         rows.append((at, -100, 1))
     d = spark.createDataFrame(rows, "id long, cents long, m long").withColumn("date", F.expr("date_add(date'2024-01-01', cast(id as int))"))
     assert [r.days for r in rules.cadences(d, "m").collect()] == ([] if days is None else [days])
-
-
-def test_assignment_equals_the_greedy_walk(spark):
-    r = random.Random(4)
-    pairs = list({(r.randrange(25), 100 + r.randrange(25)) for _ in range(150)})
-    rows = [(a, b, r.randrange(4)) for a, b in pairs]
-    got = {(x.debit, x.credit) for x in matching.assign(spark.createDataFrame(rows, "debit long, credit long, far long"), "far", "debit", "credit").collect()}
-    want, used = set(), set()
-    for far, a, b in sorted((f, a, b) for a, b, f in rows):
-        if a not in used and b not in used:
-            want.add((a, b))
-            used |= {a, b}
-    assert got == want
