@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aliases, coverage, fees, findings, imports, rules, search, series, store, transfers
+from ..operators import aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers
 from ..sources import ledger, statements
 
 QUERIES = {}
@@ -650,3 +650,28 @@ def q19_findings_summary(spark, d):
     f = findings.emitted(_findings(spark, d), budget=1 << 30)[0]
     runs = ledger.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("finished"))
     return findings.summary(f, runs)
+
+
+def _snapshot(spark, d) -> run.Snapshot:
+    """Customers' charges and orders' fees as one ledger; orders are at merchants of their own."""
+    kinds = {"normalized": "string", "category": "string", "merchant": "string", "account": "string"}
+    cast = lambda df: df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+    more = {"transfer": F.lit(False), "refund_pair": F.lit(None).cast("string")}
+    charges = cast(_charges(spark, d).withColumns(more).withColumn("id", F.concat(F.lit("c"), F.col("id").cast("string"))))
+    other = cast(_sql(spark, d, _FEES + " ", "orders").withColumns(more).withColumns({"id": F.concat(F.lit("o"), F.col("id").cast("string")), "merchant": F.concat(F.lit("o"), F.col("merchant").cast("string"))}))
+    rows = charges.select(*run.LEDGER).unionByName(other.select(*run.LEDGER))
+    ends = _covered(spark, d).select("account", F.lit("2023-01-01").cast("date").alias("start"), F.col("coverage_end").alias("end"), F.lit("committed").alias("status"))
+    categories = spark.createDataFrame([("bank", "fee", None), ("other", "spend", None)], "category string, kind string, overlap_group string")
+    return run.snapshot(rows, _merchants(spark, d), ends.select("account"), categories, ends, refuse=None)
+
+
+@query(None)
+def r16_analysis_run(spark, d):
+    """All rules over one snapshot, in one schema, with the emission policy."""
+    return run.analyze(_snapshot(spark, d))[0].select("rule", "subject_type", "subject", "impact", "confidence", "kind", "band", "place")
+
+
+@query(None)
+def u5_findings_by_rule(spark, d):
+    """The union of all rules' findings before the policy."""
+    return run.union(run.findings_by_rule(_snapshot(spark, d)))
