@@ -8,7 +8,7 @@ maximum and mean over the document and a logistic unit gives one probability.
 
 Training (:func:`fit`) uses a bounded sample of labelled documents of the training folds: at most
 ``cap`` rows, of at most ``room`` bytes together, and of each all chunks. Scoring covers every chunk
-of every text. Both go through chunks in blocks, so what is computed does not grow with a text's
+of every text. Both go through chunks in blocks, so the net's buffers do not grow with a text's
 length; the texts of up to 256 rows, whole, are in memory.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score like any other;
