@@ -23,23 +23,33 @@ def spend(ledger: DataFrame) -> DataFrame:
     return rows.withColumn("x", -F.col("cents"))
 
 
+#: Cells of a group whose values are ranked, and the distinct values from which on a group has more than one.
+CELLS, ALONE = 256, 4096
+
+
 def ranked(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """keys, n, name: the exact ``p``-quantile of each group, linear between ranks, whatever the group's size.
 
-    Rows are first counted by value; the counts are dealt by ranges of the values, and a group's
-    quantile is looked up in the range that holds its rank, so no task gathers a group.
+    Rows are first counted by value. A group of many values is dealt to cells whose borders are
+    approximate quantiles of its distinct values, so cells hold about equally many however the values
+    are spread; the cells' counts tell which of them hold the two ranks next to the quantile, and only
+    these cells' values are ranked. Borders decide balance alone: the result is exact for any borders.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("m"))
-    # A range of values: the leading digits at a scale that the group's spread gives.
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("m").alias("n"))
-    placed = counts.join(ends, keys).withColumn("cell", F.floor((F.col("v") - F.col("low")) * 1024.0 / (F.col("high") - F.col("low") + 1)))
-    cells = placed.groupBy(*keys, "cell").agg(F.sum("m").alias("held"))
-    before = F.sum("held").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("held")
-    cells = cells.withColumn("before", before).drop("held")
+    borders = F.percentile_approx("v", [k / CELLS for k in range(1, CELLS)], 4 * CELLS)
+    ends = counts.groupBy(*keys).agg(F.sum("m").alias("n"), F.when(F.count("*") > ALONE, borders).alias("borders"))
+    cell = F.when(F.col("borders").isNull(), 0).otherwise(F.size(F.filter("borders", lambda b: b < F.col("v"))))
+    # Null keys are a group of their own.
+    same = lambda a, b, on: a.join(b.withColumnsRenamed({k: f"{k}__" for k in on}), [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in on]).drop(*(f"{k}__" for k in on))
+    placed = same(counts, ends, keys).withColumn("cell", cell).drop("borders")
+    at = (F.col("n") - 1) * p
+    cells = placed.groupBy(*keys, "cell").agg(F.sum("m").alias("held"), F.first("n").alias("n"))
+    cells = cells.withColumn("before", F.sum("held").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("held"))
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("held"))
+    cells = cells.where(holds(F.floor(at)) | holds(F.ceil(at))).select(*keys, "cell", "before")
     within = F.sum("m").over(Window.partitionBy(*keys, "cell").orderBy("v"))
-    upto = placed.join(cells, [*keys, "cell"]).withColumn("upto", F.col("before") + within)
+    upto = same(placed, cells, [*keys, "cell"]).withColumn("upto", F.col("before") + within)
     # The quantile lies between the values of two neighbouring ranks.
-    at = (F.col("n") - 1) * p
     hit = lambda k: (F.col("upto") - F.col("m") <= k) & (k < F.col("upto"))
     pick = upto.where(hit(F.floor(at)) | hit(F.ceil(at))).groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("n").alias("n"))
     part = at - F.floor(at)
@@ -64,23 +74,34 @@ def outliers(ledger: DataFrame, key: str, least: int, excess: int = 2500, z: flo
     return flagged.select("id", F.col(key).alias("grp"), "cents", half_up(F.col("x") - F.col("med")).alias("impact"), confidence.alias("confidence"))
 
 
-def yearly(ledger: DataFrame, least: int = 50, floor: int = 20000, top: int = 10) -> DataFrame:
-    """year, place, id, cents: the largest rows at or above the year's 99th percentile."""
+def yearly(ledger: DataFrame, least: int = 50, floor: int = 20000, top: int = 10, charges: DataFrame | None = None) -> DataFrame:
+    """year, place, id, cents: the largest rows at or above the year's 99th percentile; ``charges`` (id) of series are no part of either."""
     rows = spend(ledger).withColumn("year", F.year("date"))
+    if charges is not None:
+        rows = rows.join(charges.select(F.col("id").cast(ledger.schema["id"].dataType)), "id", "left_anti")
     p = ranked(rows, ["year"], "x", 0.99, "p99").where(F.col("n") >= least)
     big = rows.join(p, "year").where((F.col("x") >= floor) & (F.col("x") >= F.col("p99")))
     place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("x"), "id"))
     return big.withColumn("place", place).where(F.col("place") <= top).select("year", "place", "id", "cents")
 
 
-def monthly(ledger: DataFrame, key: str) -> DataFrame:
-    """key, month, total: spend by calendar month, zero-filled over the ledger's whole months."""
-    rows = spend(ledger).withColumn("month", F.trunc("date", "month"))
-    # The edge months of the ledger are covered in part only.
+def windows(ledger: DataFrame, charges: DataFrame) -> DataFrame:
+    """year, n, impact: one finding a year of its largest rows beside the series, by what they come to."""
+    return yearly(ledger, charges=charges).groupBy("year").agg(F.count("*").alias("n"), (-F.sum("cents")).alias("impact"))
+
+
+def whole_months(ledger: DataFrame) -> DataFrame:
+    """month: those that the ledger covers from the first day to the last; its edge months are covered in part only."""
     ends = ledger.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     first = F.when(F.col("a") == F.trunc("a", "month"), F.col("a")).otherwise(F.add_months(F.trunc("a", "month"), 1))
     last = F.when(F.col("b") == F.last_day("b"), F.trunc("b", "month")).otherwise(F.add_months(F.trunc("b", "month"), -1))
-    months = ends.select(first.alias("first"), last.alias("last")).where("first <= last").select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+    return ends.select(first.alias("first"), last.alias("last")).where("first <= last").select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+
+
+def monthly(ledger: DataFrame, key: str, months: DataFrame | None = None) -> DataFrame:
+    """key, month, total: spend by calendar month, zero-filled over ``months`` (month), else over the ledger's whole months."""
+    rows = spend(ledger).withColumn("month", F.trunc("date", "month"))
+    months = whole_months(ledger) if months is None else months.select("month").distinct()
     # A row a month for each key: the calendar, one row of at most 12 months a year, is joined to each.
     calendar = months.agg(F.collect_list("month").alias("months")).withColumn("one", F.lit(1))
     spine = rows.select(key, F.lit(1).alias("one")).distinct().join(F.broadcast(calendar), "one").select(key, F.explode("months").alias("month"))
@@ -88,9 +109,13 @@ def monthly(ledger: DataFrame, key: str) -> DataFrame:
     return spine.join(sums, [key, "month"], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
 
 
-def spikes(ledger: DataFrame, key: str, excess: int = 7500, share: float = 0.4) -> DataFrame:
-    """key, month, total, before: months well above the mean of the three before; the first of each month of the year counts."""
-    m = monthly(ledger, key)
+def spikes(ledger: DataFrame, key: str, excess: int = 7500, share: float = 0.4, totals: DataFrame | None = None) -> DataFrame:
+    """key, month, total, before: months well above the mean of the three before; the first of each month of the year counts.
+
+    ``totals`` are those of :func:`monthly`, else the ledger's. The three before are the last three of
+    its months, whether or not the calendar has others between.
+    """
+    m = monthly(ledger, key) if totals is None else totals
     by = Window.partitionBy(key).orderBy("month").rowsBetween(-3, -1)
     m = m.withColumns({"before": F.avg("total").over(by), "low": F.min("total").over(by), "k": F.count("*").over(by)})
     hit = m.where((F.col("k") == 3) & (F.col("low") > 0) & (F.col("total") - F.col("before") > excess) & (F.col("total") - F.col("before") > share * F.col("before")))
@@ -98,11 +123,13 @@ def spikes(ledger: DataFrame, key: str, excess: int = 7500, share: float = 0.4)
     return hit.withColumn("turn", once).where("turn = 1").select(F.col(key).alias("grp"), "month", "total", "before")
 
 
-def climbs(ledger: DataFrame, key: str, steps: int = 3, rise: int = 5000, share: float = 0.25) -> DataFrame:
+def climbs(ledger: DataFrame, key: str, steps: int = 3, rise: int = 5000, share: float = 0.25, totals: DataFrame | None = None) -> DataFrame:
     """grp, first_month, last_month, rise: maximal runs of rising months, well beyond the usual change."""
     by = Window.partitionBy(key).orderBy("month")
-    m = monthly(ledger, key).withColumn("delta", F.col("total") - F.lag("total").over(by))
-    usual = robust(m.where("delta is not null"), key, "delta").select(key, "mad")
+    m = (monthly(ledger, key) if totals is None else totals).withColumn("delta", F.col("total") - F.lag("total").over(by))
+    # A group has one value a month at most, so a task can hold it.
+    med = m.groupBy(key).agg(F.median("delta").alias("med"))
+    usual = m.join(med, key).groupBy(key).agg(F.median(F.abs(F.col("delta") - F.col("med"))).alias("mad"))
     m = m.withColumn("island", F.sum(F.when(F.col("delta") > 0, 0).otherwise(1)).over(by))
     runs = m.groupBy(key, "island").agg(F.count("*").alias("n"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.min("total").alias("low"), F.max("total").alias("high"))
     runs = runs.where(F.col("n") >= steps + 1).join(usual, key).withColumn("rise", F.col("high") - F.col("low"))
@@ -110,9 +137,9 @@ def climbs(ledger: DataFrame, key: str, steps: int = 3, rise: int = 5000, share:
     return runs.where(ok).select(F.col(key).alias("grp"), "first_month", "last_month", "rise")
 
 
-def micro(ledger: DataFrame, per_month: float = 8, most: int = 1500, least_months: int = 3, share: float = 0.8) -> DataFrame:
+def micro(ledger: DataFrame, per_month: float = 8, most: int = 1500, least_months: int = 3, share: float = 0.8, covered: DataFrame | None = None) -> DataFrame:
     """kind (merchant, category), grp, n, monthly, annual: frequent small spend; a category that one qualified merchant makes up is left out."""
-    months = monthly(ledger, "category").select("month").distinct()
+    months = whole_months(ledger) if covered is None else covered.select("month").distinct()
     rows = spend(ledger).withColumn("month", F.trunc("date", "month")).join(F.broadcast(months), "month")
     n = months.agg(F.count("*").alias("months")).withColumn("one", F.lit(1))
 

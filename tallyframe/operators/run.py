@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.money import half_up
-from . import coverage, fees, findings, rules, series
+from . import coverage, fees, findings, rules, series, trends
 from .walks import held
 
 #: What each rule is called.
 RULES = ["recurrence.v1", "price_creep.v1", "duplicate.v1", "trial.v1", "lapsed.v1", "fees.v1", "outlier.v1", "trend.v1", "micro.v1"]
-#: Confidence of a spike, a climb, small spend.
-SPIKE, CLIMB, MICRO = 0.7, 0.6, 0.9
+#: Confidence of a spike, a climb, small spend, a year's largest rows.
+SPIKE, CLIMB, MICRO, WINDOW = 0.7, 0.6, 0.9, 0.9
 FINDING = ["rule", "subject_type", "subject", "impact", "confidence", "kind", "llm", "exempt"]
 LEDGER = ["id", "account", "date", "cents", "normalized", "merchant", "category", "pending", "transfer", "excluded", "refund_pair"]
 
@@ -67,9 +67,13 @@ def findings_by_rule(s: Snapshot) -> dict[str, DataFrame]:
     # A row that stands out at its merchant is not told again for its category.
     by_merchant = held(rules.outliers(s.ledger.where("merchant is not null"), "merchant", 5))
     by_category = rules.outliers(s.ledger.where("category is not null"), "category", 15).join(by_merchant.select("id"), "id", "left_anti")
-    month = lambda c: F.date_format(c, "yyyy-MM")
-    spikes = rules.spikes(s.ledger, "category").select(F.concat_ws(":", F.col("grp").cast("string"), F.lit("spike"), month("month")).alias("subject"), half_up(F.col("total") - F.col("before")).alias("impact"))
-    climbs = rules.climbs(s.ledger, "category").select(F.concat_ws(":", F.col("grp").cast("string"), F.lit("climb"), month("last_month")).alias("subject"), (F.col("rise") * 12).alias("impact"))
+    members = trends.charges(found)
+    windows = rules.windows(s.ledger, members)
+    # Nothing is told of months that are not proven complete in every account.
+    covered = held(coverage.fully_covered(s.imports, s.accounts))
+    moved = held(trends.trends(s.ledger, covered, s.categories, members))
+    moved = moved.withColumn("subject", F.concat_ws(":", F.col("category").cast("string"), "kind", F.date_format("month", "yyyy-MM")))
+    sure = F.when(F.col("kind") == "spike", SPIKE).otherwise(CLIMB)
     out = {
         "recurrence.v1": _as_findings(series.portfolio(found), "recurrence.v1", "portfolio", "subject", "annual", see),
         "price_creep.v1": _as_findings(creep, "price_creep.v1", "series", "series", "impact", save),
@@ -79,9 +83,11 @@ def findings_by_rule(s: Snapshot) -> dict[str, DataFrame]:
         "trial.v1": _as_findings(trials, "trial.v1", "series", "series", "impact", see),
         "lapsed.v1": _as_findings(series.lapsed(found, ends), "lapsed.v1", "series", "series", F.lit(0), see, exempt=True),
         "fees.v1": _as_findings(left, "fees.v1", "account", "account", "impact", "kind"),
-        "outlier.v1": _as_findings(by_merchant, "outlier.v1", "merchant", "id", "impact", see).unionByName(_as_findings(by_category, "outlier.v1", "category", "id", "impact", see)),
-        "trend.v1": _as_findings(spikes, "trend.v1", "category", "subject", "impact", see, F.lit(SPIKE)).unionByName(_as_findings(climbs, "trend.v1", "category", "subject", "impact", see, F.lit(CLIMB))),
-        "micro.v1": _as_findings(rules.micro(s.ledger), "micro.v1", "kind", "grp", "annual", see, F.lit(MICRO)),
+        "outlier.v1": _as_findings(by_merchant, "outlier.v1", "merchant", "id", "impact", see)
+        .unionByName(_as_findings(by_category, "outlier.v1", "category", "id", "impact", see))
+        .unionByName(_as_findings(windows, "outlier.v1", "window", "year", "impact", see, F.lit(WINDOW))),
+        "trend.v1": _as_findings(moved.drop("category"), "trend.v1", "category", "subject", "impact", see, sure),
+        "micro.v1": _as_findings(rules.micro(s.ledger, covered=covered), "micro.v1", "kind", "grp", "annual", see, F.lit(MICRO)),
     }
     return {rule: out[rule] for rule in RULES}
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers
+from ..operators import aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers, trends
 from ..sources import ledger, statements
 
 QUERIES = {}
@@ -661,7 +661,8 @@ def _snapshot(spark, d) -> run.Snapshot:
     other = cast(_sql(spark, d, _FEES + " ", "orders").withColumns(more).withColumns({"id": F.concat(F.lit("o"), F.col("id").cast("string")), "merchant": F.concat(F.lit("o"), F.col("merchant").cast("string"))}))
     rows = charges.select(*run.LEDGER).unionByName(other.select(*run.LEDGER))
     ends = _covered(spark, d).select("account", F.lit("2023-01-01").cast("date").alias("start"), F.col("coverage_end").alias("end"), F.lit("committed").alias("status"))
-    categories = spark.createDataFrame([("bank", "fee", None), ("other", "spend", None)], "category string, kind string, overlap_group string")
+    kinds = F.when(F.col("category") == "bank", "fee").otherwise("spend")
+    categories = rows.select("category").distinct().select("category", kinds.alias("kind"), F.lit(None).cast("string").alias("overlap_group"))
     return run.snapshot(rows, _merchants(spark, d), ends.select("account"), categories, ends, refuse=None)
 
 
@@ -675,3 +676,61 @@ def r16_analysis_run(spark, d):
 def u5_findings_by_rule(spark, d):
     """The union of all rules' findings before the policy."""
     return run.union(run.findings_by_rule(_snapshot(spark, d)))
+
+
+# Trends: orders by their customer's nation; imports of each priority, one a year, leave gaps; some nations are mostly one series.
+_SHOPPING = "SELECT o_orderkey AS id, c_nationkey AS category, o_orderpriority AS account, CAST(o_orderdate AS DATE) AS date, -CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus = 'P' AS pending, CASE WHEN c_nationkey % 5 = 0 AND o_orderpriority <> '5-LOW' THEN 'n' || c_nationkey WHEN o_custkey % 2 = 0 THEN 'c' || o_custkey END AS series FROM orders JOIN customer ON o_custkey = c_custkey"
+_GAPPY = f"""r AS ({_SHOPPING}), spans AS (SELECT account, min(date) AS a, max(date) AS b FROM r GROUP BY account, year(date)),
+ends AS (SELECT account, CAST(CASE WHEN a = date_trunc('month', a) THEN a ELSE date_trunc('month', a) + INTERVAL 1 MONTH END AS DATE) AS f, CAST(CASE WHEN b = last_day(b) THEN date_trunc('month', b) ELSE date_trunc('month', b) - INTERVAL 1 MONTH END AS DATE) AS l FROM spans),
+each AS (SELECT DISTINCT account, CAST(unnest(generate_series(f, l, INTERVAL 1 MONTH)) AS DATE) AS month FROM ends WHERE f <= l),
+months AS (SELECT month FROM each GROUP BY month HAVING count(*) = (SELECT count(DISTINCT account) FROM r)),
+own AS (SELECT category, max(own) AS own FROM (SELECT category, series, sum(-cents) AS own FROM r WHERE series IS NOT NULL AND NOT pending GROUP BY ALL) GROUP BY category),
+x AS (SELECT *, -cents AS x FROM r WHERE NOT pending AND cents < 0),
+gone AS (SELECT category FROM own JOIN (SELECT category, sum(x) AS whole FROM x GROUP BY category) USING (category) WHERE own / whole > 0.8),
+k AS (SELECT DISTINCT category FROM x WHERE category % 7 <> 3 AND category NOT IN (SELECT category FROM gone)),
+m AS (SELECT k.category, months.month, CAST(coalesce(sum(x), 0) AS BIGINT) AS total FROM k CROSS JOIN months LEFT JOIN x ON x.category = k.category AND date_trunc('month', x.date) = months.month GROUP BY ALL),
+w AS (SELECT *, avg(total) OVER v AS before, min(total) OVER v AS low, count(*) OVER v AS n FROM m WINDOW v AS (PARTITION BY category ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, row_number() OVER (PARTITION BY category, month(month) ORDER BY month) AS turn FROM w WHERE n = 3 AND low > 0 AND total - before > 7500 AND total - before > 0.4 * before),
+dl AS (SELECT *, total - lag(total) OVER (PARTITION BY category ORDER BY month) AS delta FROM m),
+u AS (SELECT category, mad(delta) AS mad FROM dl WHERE delta IS NOT NULL GROUP BY category),
+i AS (SELECT *, sum(CASE WHEN delta > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY category ORDER BY month) AS island FROM dl),
+g AS (SELECT category, max(month) AS month, min(total) AS low, max(total) - min(total) AS rise FROM i GROUP BY category, island HAVING count(*) >= 4),
+t AS (SELECT 'spike' AS kind, category, month, CAST(floor(total - before + 0.5) AS BIGINT) AS impact FROM s WHERE turn = 1
+UNION ALL SELECT 'climb', category, month, CAST(rise * 12 AS BIGINT) FROM g JOIN u USING (category) WHERE low > 0 AND rise > 5000 AND rise > 0.25 * low AND rise > 2 * mad),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY abs(impact) DESC, category, month) AS INTEGER) AS place FROM t)"""
+
+
+def _shopping(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(ledger, charges of series)."""
+    rows = _sql(spark, d, _SHOPPING, "orders", "customer")
+    return rows.drop("series"), rows.where("series is not null and not pending").select("series", "id")
+
+
+def _trends(spark, d, top: int | None) -> DataFrame:
+    rows, members = _shopping(spark, d)
+    accounts = rows.select("account").distinct()
+    spans = rows.groupBy("account", F.year("date")).agg(F.min("date").alias("start"), F.max("date").alias("end")).withColumn("status", F.lit("committed"))
+    categories = ledger.table(spark, d, "nation").select(F.col("n_nationkey").alias("category"), F.when(F.col("n_nationkey") % 7 == 3, "transfer").otherwise("spend").alias("kind"))
+    return trends.trends(rows, coverage.fully_covered(spans, accounts), categories, members, top)
+
+
+@query(f"WITH {_GAPPY} SELECT kind, category, month, impact, place FROM p")
+def r12_trends(spark, d):
+    """Every spike and climb over covered months, without categories that are one series."""
+    return _trends(spark, d, None)
+
+
+@query(f"WITH {_GAPPY} SELECT kind, category, month, impact, place FROM p WHERE place <= 5")
+def l4_top_trends(spark, d):
+    return _trends(spark, d, trends.TOP)
+
+
+@query(f"WITH {_GAPPY} SELECT category FROM gone")
+def r11_dominated(spark, d):
+    return trends.dominated(*_shopping(spark, d))
+
+
+@query(f"SELECT year, count(*) AS n, CAST(sum(x) AS BIGINT) AS impact FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY x DESC, id) AS place FROM (SELECT id, -cents AS x, year(date) AS year, count(*) OVER (PARTITION BY year(date)) AS n, quantile_cont(-cents, 0.99) OVER (PARTITION BY year(date)) AS p99 FROM ({_SHOPPING}) WHERE series IS NULL AND NOT pending AND cents < 0) WHERE n >= 50 AND x >= 20000 AND x >= p99) WHERE place <= 10 GROUP BY year")
+def r10_windows(spark, d):
+    """One finding a year: its largest rows beside the series."""
+    return rules.windows(*_shopping(spark, d))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import merchants, money, text
-from tallyframe.operators import aliases, coverage, fees, findings, imports, rules, search, series, store, transfers
+from tallyframe.operators import aliases, coverage, fees, findings, imports, rules, search, series, store, transfers, trends
 from tallyframe.sources import profiles, statements
 
 DAY = datetime.date
@@ -374,6 +374,45 @@ def test_exact_quantiles(spark):
             assert abs(rules.ranked(df, ["k"], "x", p, "q").first().q - want) < 1e-9 * max(1, abs(want))
 
 
+def test_quantiles_of_many_values_with_one_far_away(spark, monkeypatch):
+    monkeypatch.setattr(rules, "ALONE", 50)
+    r = random.Random(9)
+    rows = [("far", v) for v in [*range(5000), 10**15]] + [("few", r.randrange(9)) for _ in range(3000)] + [("wide", r.randrange(-(10**9), 10**9)) for _ in range(5000)] + [(None, 4), (None, 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x long")
+    want = {r.k: r for r in df.where("x is not null").groupBy("k").agg(F.percentile("x", 0.5).alias("a"), F.percentile("x", 0.99).alias("b"), F.count("*").alias("n")).collect()}
+    for p, name in ((0.5, "a"), (0.99, "b")):
+        got = {r.k: (r.q, r.n) for r in rules.ranked(df, ["k"], "x", p, "q").collect()}
+        assert set(got) == set(want) and all(abs(q - want[k][name]) <= 1e-9 * max(1, abs(q)) and n == want[k].n for k, (q, n) in got.items())
+
+
+def test_trends_over_covered_months(spark):
+    day = DAY
+    months = [day(2025, m, 1) for m in (1, 2, 3, 5, 6)]  # April is not covered
+    cents = {"a": [100, 100, 100, 9000, 100], "b": [100, 7000, 20000, 30000, 40000], "one": [100, 100, 100, 90000, 100], "out": [100, 100, 100, 90000, 100]}
+    rows = [(f"{c}{k}", c, d, -x, False) for c, xs in cents.items() for k, (d, x) in enumerate(zip(months, xs))]
+    rows += [("april", "a", day(2025, 4, 9), -80000, False), ("later", "a", day(2025, 6, 9), -90000, True), ("null", None, day(2025, 5, 9), -90000, False)]
+    df = spark.createDataFrame(rows, "id string, category string, date date, cents long, pending boolean")
+    covered = spark.createDataFrame([(d,) for d in months], "month date")
+    kinds = spark.createDataFrame([("a", "spend"), ("b", "spend"), ("one", "spend"), ("out", "transfer")], "category string, kind string")
+    members = spark.createDataFrame([("s", ["one3", "one0", "a1"]), ("t", ["a3"])], "series string, charges array<string>")
+    of = trends.charges(members)
+    assert [r.category for r in trends.dominated(df, of).collect()] == ["one"]  # of a, the largest series is a tenth: April counts
+    got = {(r.kind, r.category, str(r.month), r.impact, r.place) for r in trends.trends(df, covered, kinds, of, None).collect()}
+    # May's mean before is of January to March; the climb runs over the gap.
+    assert got == {("spike", "a", "2025-05-01", 8900, 3), ("spike", "b", "2025-05-01", 20967, 2), ("spike", "b", "2025-06-01", 21000, 1), ("climb", "b", "2025-06-01", 39900 * 12, 1)}
+    assert trends.trends(df, covered, kinds, of, 1).count() == 2
+    assert trends.trends(df, covered.limit(0), kinds, of).count() == 0 and trends.trends(df.limit(0), covered, kinds, of).count() == 0
+
+
+def test_largest_of_a_year_beside_series(spark):
+    rows = [(str(k), DAY(2025, 1 + k % 12, 3), -(1000 + k), False) for k in range(60)] + [("rent", DAY(2025, 2, 1), -99999, False), ("tv", DAY(2025, 3, 1), -50000, False)]
+    df = spark.createDataFrame(rows, "id string, date date, cents long, pending boolean")
+    series_of = spark.createDataFrame([("s", "rent")], "series string, id string")
+    assert [tuple(r) for r in rules.windows(df, series_of).collect()] == [(2025, 1, 50000)]
+    assert [tuple(r) for r in rules.windows(df, series_of.limit(0)).collect()] == [(2025, 1, 99999)]
+    assert rules.windows(df.where("id <> 'tv'").limit(49), series_of).count() == 0
+
+
 def test_folds_and_amounts(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(text.collapse(F.lit("PHỞ Ế ậ"))) == "PHO E A"

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import coverage, fees, findings, rules, run, series
+from tallyframe.operators import coverage, fees, findings, rules, run, series, trends
 
 DAY = datetime.date
 ROWS = "id string, account string, date date, cents long, normalized string, merchant string, category string, pending boolean, transfer boolean, excluded boolean, refund_pair string"
@@ -26,7 +26,7 @@ def ledger(spark):
 def tables(spark):
     merchants = spark.createDataFrame([(m, m in "nm", False, "video" if m in "nm" else None) for m in "nmqgs"], "merchant string, known boolean, transfer_kind boolean, overlap_group string")
     accounts = spark.createDataFrame([("a",)], "account string")
-    categories = spark.createDataFrame([("bank", "fee", None), ("video", "spend", "video")], "category string, kind string, overlap_group string")
+    categories = spark.createDataFrame([("bank", "fee", None), ("video", "spend", "video"), ("food", "spend", None), ("snack", "saving", None)], "category string, kind string, overlap_group string")
     imports = spark.createDataFrame([("a", DAY(2025, 1, 1), DAY(2026, 2, 28), "committed"), ("a", DAY(2026, 3, 1), DAY(2026, 9, 30), "staged")], "account string, start date, end date, status string")
     return merchants, accounts, categories, imports
 
@@ -56,12 +56,18 @@ def test_a_run_is_the_single_rules(spark):
         "trial.v1": pick(series.trials(own, rows, creep.where("first_material")), "trial.v1", "series", F.col("impact"), see),
         "lapsed.v1": pick(series.lapsed(own, ends), "lapsed.v1", "series", F.lit(0), see),
         "fees.v1": pick(left, "fees.v1", "account", F.col("impact"), F.col("kind")),
-        "outlier.v1": pick(rules.outliers(rows, "merchant", 5), "outlier.v1", "id", F.col("impact"), see),
+        "outlier.v1": pick(rules.outliers(rows, "merchant", 5), "outlier.v1", "id", F.col("impact"), see).unionByName(
+            pick(rules.windows(rows, trends.charges(own)), "outlier.v1", "year", F.col("impact"), see, F.lit(0.9))
+        ),
         "micro.v1": pick(rules.micro(rows), "micro.v1", "grp", F.col("annual"), see, F.lit(0.9)),
     }
     for rule, df in single.items():
         want = found(df)
         assert want and found(by_rule[rule]) == want, rule
+    assert ("outlier.v1", "2025", 90000, 0.9, "visibility") in found(by_rule["outlier.v1"])  # the year's largest row is in no series
+    covered = coverage.fully_covered(imports, accounts)
+    moved = trends.trends(rows, covered, categories, trends.charges(own))
+    assert len(found(by_rule["trend.v1"])) == moved.count() and {r.category for r in moved.collect()} == {"food"}  # snacks are no spend, video is one series' own
     assert {r.subject for r in by_rule["trend.v1"].collect()} >= {"food:spike:2025-07"}
     assert [r.impact for r in by_rule["fees.v1"].collect()] == [3600 * 12 // 4]  # the three maintenance fees, over four months
     every = run.union(by_rule)
