@@ -6,7 +6,9 @@ of one file, run in tasks; everything after is by DataFrame expressions over its
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,33 +54,29 @@ def _cells(record: str, delimiter: str) -> list[str]:
     return out
 
 
-def records(found: DataFrame, delimiter: str) -> DataFrame:
-    """path, record, line, raw, cells: the records of every file, blank ones too.
+def records(found: DataFrame, delimiter: str | None) -> DataFrame:
+    """path, record, line, raw, cells: the records of every file, blank ones too; ``delimiter`` None: each file's own (column delimiter).
 
-    Line breaks inside quotes belong to the cell; ``line`` is the physical line of the start.
+    Line breaks inside quotes belong to the cell; ``line`` is the physical line of the start. A
+    file's records come one after the other, in order.
     """
-    d = re.escape(delimiter)
-    cell = rf'(?:"(?:[^"]|"")*(?:"[^{d}\r\n]*|$)|(?!")[^{d}\r\n]*)'
-    one = re.compile(rf"({cell}(?:{d}{cell})*)(\r\n|\n|\r|$)")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         frame = lambda: pd.DataFrame(rows, columns=["path", "record", "line", "raw", "cells"])
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                whole, at, line, n = decode(bytes(content or b"")).removeprefix("\ufeff"), 0, 1, 0
-                while at < len(whole):
-                    m = one.match(whole, at)
-                    raw = m.group(1)
-                    rows.append((path, n, line, raw, _cells(raw, delimiter)))
-                    line += len(re.findall(r"\r\n|\n|\r", m.group(0)))
-                    at, n = m.end(), n + 1
+            for path, content, own in zip(batch["path"], batch["content"], batch["delimiter"]):
+                line = 1
+                for n, (raw, end) in enumerate(_split(decode(bytes(content or b"")).removeprefix("\ufeff"), own)):
+                    rows.append((path, n, line, raw, _cells(raw, own)))
+                    line += len(re.findall(r"\r\n|\n|\r", raw + end))
                     if len(rows) >= HELD:
                         yield frame()
                         rows = []
         yield frame()
 
-    return found.select("path", "content").mapInPandas(split, RECORDS)
+    own = F.col("delimiter") if delimiter is None else F.lit(delimiter).alias("delimiter")
+    return found.select("path", "content", own).mapInPandas(split, RECORDS)
 
 
 def filled(rows: DataFrame) -> DataFrame:
@@ -86,19 +84,45 @@ def filled(rows: DataFrame) -> DataFrame:
     return rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
 
 
-def delimiters(found: DataFrame) -> DataFrame:
-    """path, delimiter, fields, confidence: the delimiter under which most of a file's first records have the same number of fields."""
-    each = None
+def _split(whole: str, delimiter: str) -> Iterator[tuple[str, str]]:
+    """(text, its line break) of each record; line breaks inside quotes belong to the record."""
+    d = re.escape(delimiter)
+    cell = rf'(?:"(?:[^"]|"")*(?:"[^{d}\r\n]*|$)|(?!")[^{d}\r\n]*)'
+    one = re.compile(rf"({cell}(?:{d}{cell})*)(\r\n|\n|\r|$)")
+    at = 0
+    while at < len(whole):
+        m = one.match(whole, at)
+        yield m.group(1), m.group(2)
+        at = m.end()
+
+
+def _judged(content: bytes) -> tuple[str, int, float] | None:
+    """(delimiter, fields, confidence) of one file, from its first records that are not blank under each delimiter."""
+    whole, best = decode(content).removeprefix("\ufeff"), None
     for place, d in enumerate(DELIMITERS):
-        rows = filled(records(found, d)).withColumns({"delimiter": F.lit(d), "order": F.lit(place)})
-        each = rows if each is None else each.unionByName(rows)
-    by = Window.partitionBy("path", "delimiter")
-    first = each.withColumn("nth", F.row_number().over(by.orderBy("record"))).where(F.col("nth") <= LOOKED_AT)
-    widths = first.groupBy("path", "delimiter", "order", F.size("cells").alias("fields")).agg(F.count("*").alias("n"))
-    widths = widths.withColumns({"of": F.sum("n").over(by), "place": F.row_number().over(by.orderBy(F.desc("n"), F.desc("fields")))}).where("place = 1 and fields >= 2")
-    widths = widths.withColumn("confidence", F.col("n") / F.col("of"))
-    best = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("confidence"), F.desc("fields"), "order"))
-    return widths.withColumn("best", best).where("best = 1").select("path", "delimiter", "fields", "confidence")
+        cells = (_cells(raw, d) for raw, _ in _split(whole, d))
+        widths = Counter(len(c) for c in itertools.islice((c for c in cells if any(x.strip(" ") for x in c)), LOOKED_AT))
+        if not widths:
+            continue
+        fields, n = max(widths.items(), key=lambda w: (w[1], w[0]))
+        judged = (n / widths.total(), fields, -place)
+        if fields >= 2 and (best is None or judged > best):
+            best = judged
+    return best and (DELIMITERS[-best[2]], best[1], best[0])
+
+
+def delimiters(found: DataFrame) -> DataFrame:
+    """path, delimiter, fields, confidence: the delimiter under which most of a file's first records have the same number of fields.
+
+    A file is read and decoded once; under each delimiter it is split no further than those records. No shuffle.
+    """
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [(path, *j) for path, content in zip(batch["path"], batch["content"]) if (j := _judged(bytes(content or b"")))]
+            yield pd.DataFrame(told, columns=["path", "delimiter", "fields", "confidence"])
+
+    return found.select("path", "content").mapInPandas(judge, "path string, delimiter string, fields int, confidence double")
 
 
 def header(rows: DataFrame) -> DataFrame:
@@ -238,12 +262,8 @@ def detected(found: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataF
     ``matched`` has the profile of the same signature; ``needs_mapping`` a row for each profile that is alike enough, the most alike first,
     or one without; ``undetectable`` has no delimiter or header. Files and profiles meet on shared header words.
     """
-    guess = delimiters(found)
-    each = None
-    for d in DELIMITERS:
-        of = header(records(found.join(guess.where(F.col("delimiter") == d).select("path"), "path", "left_semi"), d))
-        of = of.withColumn("delimiter", F.lit(d))
-        each = of if each is None else each.unionByName(of)
+    guess = delimiters(found).select("path", "delimiter")
+    each = header(records(found.select("path", "content").join(guess, "path"), None)).join(guess, "path")
     heads = found.select("path").join(each, "path", "left").withColumn("signature", F.when(F.col("cells").isNotNull(), signature(F.col("cells"))))
     hit = heads.join(profiles.select("profile", "signature"), "signature")
     rest = heads.where("cells is not null").join(hit.select("path"), "path", "left_anti")

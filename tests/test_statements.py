@@ -56,6 +56,16 @@ def test_statement(spark):
     assert [(r.delimiter, r.fields) for r in statements.delimiters(found).collect()] == [(",", 5)]
 
 
+def test_a_file_is_judged_by_its_first_records(spark):
+    texts = {
+        "semicolon": "a;b;c\n" * 5, "tab": "a\tb\nc\td,e\n", "pipe": "x|y\n", "prose": "no delimiter here\n\nat all\n", "empty": "",
+        "quoted": '"one;two\nthree";4\n"five;six";7\n', "tie": "a,b;c\nd,e;f\n", "late": "a,b\n" * 25 + "a;b;c;d\n" * 500, "blank": "\n , \na,b,c\n", "open": 'a,b\n"no end,c\nd,e\n',
+    }
+    found = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in texts.items()] + [("null", None)], "path string, content binary")
+    got = {r.path: (r.delimiter, r.fields, round(r.confidence, 3)) for r in statements.delimiters(found).collect()}
+    assert got == {"semicolon": (";", 3, 1.0), "tab": ("\t", 2, 1.0), "pipe": ("|", 2, 1.0), "quoted": (";", 2, 1.0), "tie": (",", 2, 1.0), "late": (",", 2, 1.0), "blank": (",", 3, 1.0), "open": (",", 2, 0.5)}
+
+
 def test_ledger_rows(spark):
     body = TEXT.split("\r\n", 2)[2]
     found = spark.createDataFrame([("f", bytearray(body.encode()))], "path string, content binary")
