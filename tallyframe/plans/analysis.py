@@ -139,8 +139,9 @@ def r1_cadence(spark, d):
     return rules.cadences(_charges(spark, d), "merchant")
 
 
-# Small spend: every tenth customer twice a week for eight months; of two of five, cheap enough.
-_SMALL = "SELECT c_custkey * 10000 + p_partkey AS id, CAST(c_custkey AS BIGINT) AS merchant, CASE WHEN c_custkey % 20 = 0 THEN 'only' ELSE c_mktsegment END AS category, DATE '2024-01-01' + CAST(p_partkey * 3 AS INT) AS date, -(300 + (p_partkey * 37 + c_custkey) % 700 + CASE WHEN c_custkey % 5 = 0 AND c_custkey % 30 = 0 THEN 3000 ELSE 0 END) AS cents FROM customer JOIN part ON p_partkey <= 80 WHERE c_custkey % 10 = 0"
+# Small spend: every line item at one of 150 merchants or fewer, some frequented and some not; a third of them are dearer.
+_SHOP = "CAST(floor((l_partkey % 150) * (l_partkey % 150) / 150.0) AS BIGINT)"
+_SMALL = f"SELECT l_orderkey * 10 + l_linenumber AS id, {_SHOP} AS merchant, CASE WHEN {_SHOP} = 1 THEN 'only' ELSE 'c' || {_SHOP} % 4 END AS category, CAST(l_shipdate AS DATE) AS date, -(300 + (l_orderkey * 37 + l_linenumber * 11) % 1400 + CASE WHEN {_SHOP} % 3 = 0 THEN 900 ELSE 0 END) AS cents FROM lineitem "
 
 
 @query(f"""WITH r AS (SELECT *, -cents AS x, date_trunc('month', date) AS month FROM ({_SMALL})), e AS (SELECT min(date) AS a, max(date) AS b FROM r),
@@ -152,7 +153,7 @@ o AS (SELECT category, max(own) AS own FROM (SELECT category, merchant, sum(x) A
 SELECT 'merchant' AS kind, CAST(merchant AS VARCHAR) AS grp, n, CAST(floor(total / months + 0.5) AS BIGINT) AS monthly, CAST(floor(total / months + 0.5) * 12 AS BIGINT) AS annual FROM am
 UNION ALL SELECT 'category', category, n, CAST(floor(total / months + 0.5) AS BIGINT), CAST(floor(total / months + 0.5) * 12 AS BIGINT) FROM c LEFT JOIN o USING (category) WHERE months >= 3 AND n / months >= 8 AND med <= 1500 AND coalesce(own, 0) <= 0.8 * total""")
 def r13_micro(spark, d):
-    return rules.micro(_sql(spark, d, _SMALL, "customer", "part"))
+    return rules.micro(_sql(spark, d, _SMALL, "lineitem"))
 
 
 # Fees: orders whose descriptors name some.
