@@ -35,21 +35,43 @@ def _rank(c: str, values: list[str]) -> Column:
     return F.array_position(F.array(*map(F.lit, values)), F.col(c))
 
 
+def _rare(texts: DataFrame, name: str, often: DataFrame) -> DataFrame:
+    """``name``, size, gram: the grams of each text that a like text must share one of, the rarest ones.
+
+    Two sets of at least FUZZY likeness share so many grams that, in any one order of all grams,
+    their first ``size - ceil(FUZZY * size) + 1`` meet.
+    """
+    grams = texts.select(name, text.trigrams(F.col(name)).alias("grams")).select(name, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    ranked = grams.join(often, "gram").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    first = F.col("size") - F.ceil(F.col("size") * FUZZY - 1e-9).cast("int") + 1
+    return ranked.select(name, "size", F.explode(F.slice("g", F.lit(1), first)).alias("g")).select(name, "size", F.col("g.gram").alias("gram"))
+
+
+def alike(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """key, alias, similarity of all pairs from FUZZY on: a prefix-filtered join.
+
+    Each text is dealt out by its rarest grams only, and meets texts of fitting size there, so common
+    grams make no pairs; what meets is compared in full.
+    """
+    k, a = keys.select("key").distinct(), names.select("alias").distinct()
+    every = k.select(F.explode(text.trigrams(F.col("key"))).alias("gram")).unionByName(a.select(F.explode(text.trigrams(F.col("alias"))).alias("gram")))
+    often = every.groupBy("gram").agg(F.count("*").alias("n"))
+    x, y = _rare(k, "key", often), _rare(a, "alias", often).withColumnRenamed("size", "other")
+    met = x.join(y, "gram").where((F.col("size") >= FUZZY * F.col("other") - 1e-9) & (F.col("other") >= FUZZY * F.col("size") - 1e-9)).select("key", "alias").distinct()
+    return met.withColumn("similarity", text.similarity(F.col("key"), F.col("alias"))).where(F.col("similarity") >= FUZZY)
+
+
 def resolved(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     """key, merchant, match, source, similarity of each merchant key that an alias meets; the source counts before the kind of match.
 
-    Exact aliases meet by an equi-join, prefixes by one on the key's beginnings, fuzzy ones by
-    shared trigrams: similarity is only reckoned for pairs that share one.
+    Exact aliases meet by an equi-join, prefixes by one on the key's beginnings, fuzzy ones by :func:`alike`.
     """
     k = keys.select("key").where("key <> ''").distinct()
     exact = k.join(aliases.where("match = 'exact'"), k["key"] == aliases["alias"]).withColumn("similarity", F.lit(1.0))
     heads = k.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substr("key", F.lit(1), n))))
     prefix = heads.join(aliases.where("match = 'prefix'"), F.col("head") == F.col("alias")).drop("head").withColumn("similarity", F.lit(1.0))
     near = aliases.where("match = 'fuzzy'")
-    # At 0.72 two sets of trigrams share most of theirs; any one will do to meet.
-    a = near.withColumn("gram", F.explode(text.trigrams(F.col("alias"))))
-    met = k.withColumn("gram", F.explode(text.trigrams(F.col("key")))).join(a, "gram").drop("gram").distinct()
-    fuzzy = met.withColumn("similarity", text.similarity(F.col("key"), F.col("alias"))).where(F.col("similarity") >= FUZZY)
+    fuzzy = alike(k, near).join(near, "alias").select(*exact.columns)
     each = exact.unionByName(prefix).unionByName(fuzzy)
     order = [_rank("source", SOURCES), _rank("match", MATCHES), F.desc("similarity"), F.desc(F.length("alias")), F.desc("confidence"), "merchant"]
     best = each.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("place = 1")
@@ -60,8 +82,7 @@ def normalized(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """``rows`` (raw, ...) with key, merchant, provisional, person: each distinct descriptor is worked out once."""
     each = rows.select("raw").distinct().withColumn("key", merchants.stages(F.col("raw")))
     hit = resolved(each, aliases).select("key", "merchant")
-    known = [r.alias for r in aliases.sparkSession.createDataFrame([(k,) for k in PREFIXES], "alias string").collect()]
-    each = each.join(hit, "key", "left").withColumn("person", merchants.to_person(F.col("raw"), known))
+    each = each.join(hit, "key", "left").withColumn("person", merchants.to_person(F.col("raw"), list(PREFIXES)))
     each = each.withColumn("provisional", F.when(F.col("merchant").isNull() & (F.col("key") != ""), F.col("key")))
     return rows.join(each, "raw", "left")
 
@@ -88,8 +109,22 @@ def user_aliases(descriptors: DataFrame, merchant: str) -> DataFrame:
     return descriptors.select(key.alias("alias")).where("alias <> ''").distinct().select("alias", F.lit(merchant).alias("merchant"), F.lit("exact").alias("match"), F.lit(1.0).alias("confidence"), F.lit("user").alias("source"))
 
 
-def renormalized(ledger: DataFrame, keys: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The ledger with the rows of the named keys pointed at what their aliases say now; where none does they stay as they are."""
-    hit = resolved(keys, aliases).select(F.col("key").alias("normalized"), F.col("merchant").alias("now"))
-    out = ledger.join(hit, "normalized", "left")
+def affected(ledger: DataFrame, keys: DataFrame, ids: DataFrame) -> DataFrame:
+    """normalized: the named alias keys (key) that are not blank, and the descriptors of the named rows (id); unknown ids give none."""
+    named = keys.where(F.trim("key") != "").select(F.col("key").alias("normalized"))
+    return named.unionByName(ledger.join(ids.select("id").distinct(), "id", "left_semi").select("normalized")).distinct()
+
+
+def renormalized(ledger: DataFrame, keys: DataFrame, aliases: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The ledger with all rows of the affected descriptors, transfers and excluded ones too, at the merchant their aliases name now.
+
+    Each descriptor is worked out anew from one raw text of its rows, the latest (of one date that of
+    the least id); where no alias meets it, its rows stay as they are, as do rows without a descriptor.
+    """
+    hit = affected(ledger, keys, ledger.select("id").limit(0) if ids is None else ids)
+    age = -F.datediff("date", F.lit("1970-01-01").cast("date"))
+    sample = ledger.join(hit, "normalized", "left_semi").groupBy("normalized").agg(F.min(F.struct(age.alias("age"), "id", "raw")).alias("s"))
+    sample = sample.select("normalized", merchants.stages(F.col("s.raw")).alias("key"))
+    now = sample.join(resolved(sample, aliases).select("key", F.col("merchant").alias("now")), "key").select("normalized", "now")
+    out = ledger.join(now, "normalized", "left")
     return out.withColumn("merchant", F.coalesce("now", "merchant")).select(*ledger.columns)

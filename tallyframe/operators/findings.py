@@ -15,6 +15,7 @@ from ..functions.money import half_up
 HIGH, MEDIUM, LOW = 0.80, 0.55, 0.35
 CAPPED, BUDGET, FLOOR = 0.79, 25, 2500
 SNOOZE = 90  # days
+CELLS = 64  # a rule's findings, when its largest are chosen
 
 
 def band(confidence: Column) -> Column:
@@ -40,9 +41,14 @@ def emitted(found: DataFrame, budget: int = BUDGET, floor: int = FLOOR) -> tuple
     """
     f = found.withColumn("confidence", F.when(F.col("llm"), F.least("confidence", F.lit(CAPPED))).otherwise(F.col("confidence")))
     f = f.withColumn("band", band(F.col("confidence"))).where("band <> 'suppressed'").where(F.col("exempt") | (F.abs("impact") >= floor))
-    f = f.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc(F.abs("impact")), "subject")))
-    g = f.groupBy("rule").agg(F.count("*").alias("n"), F.min(F.when(F.col("place") <= budget, F.abs("impact"))).alias("below_annual"))
-    return f.where(F.col("place") <= budget), g.where(F.col("n") > budget).select("rule", (F.col("n") - budget).alias("suppressed"), "below_annual")
+    # There are few rules: each one's findings are dealt to cells, and only a cell's largest go on to its place in the rule.
+    order = [F.desc(F.abs("impact")), "subject"]
+    cell = f.withColumn("cell", F.pmod(F.xxhash64("subject", "impact"), F.lit(CELLS)))
+    cell = cell.withColumn("place", F.row_number().over(Window.partitionBy("rule", "cell").orderBy(*order))).where(F.col("place") <= budget).drop("cell")
+    top = cell.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy(*order))).where(F.col("place") <= budget)
+    least = top.groupBy("rule").agg(F.min(F.abs("impact")).alias("below_annual"))
+    g = f.groupBy("rule").agg(F.count("*").alias("n")).where(F.col("n") > budget).join(least, "rule")
+    return top, g.select("rule", (F.col("n") - budget).alias("suppressed"), "below_annual")
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -244,3 +244,58 @@ def groups(links: DataFrame, ledger: DataFrame, states: list[str]) -> DataFrame:
     x = links.where(F.col("state").isin(states)).join(ledger.select(F.col("id").alias("debit"), (-F.col("cents")).alias("x")), "debit")
     g = x.groupBy("credit", "state").agg(F.count_distinct("debit").alias("debits"), F.max("score").alias("score"), F.sum("x").alias("reduction"))
     return g.orderBy(F.desc("score"), F.desc("reduction"), "credit")
+
+
+LINKS = ["link", "debit", "credit", "score", "state", "created"]
+
+
+def representatives(links: DataFrame) -> DataFrame:
+    """link, pair: the pair id that a link's rows bear, which is the first link (created, link) of the same credit and state."""
+    first = links.groupBy("credit", "state").agg(F.min(F.struct("created", "link")).alias("first"))
+    return links.join(first, ["credit", "state"]).select("link", F.col("first.link").alias("pair"))
+
+
+def _sides(links: DataFrame, *more: str) -> DataFrame:
+    return links.select(F.explode(F.array("debit", "credit")).alias("id"), *more)
+
+
+def unflagged(ledger: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ledger (transfer, pair) with the flag off in rows that bear a mark's pair (id, pair); rows marked by hand have none and stay."""
+    hit = marks.select("id", "pair").distinct().withColumn("gone", F.lit(True))
+    out = ledger.join(hit, ["id", "pair"], "left")
+    off = F.coalesce("gone", F.lit(False))
+    kind = ledger.schema["pair"].dataType
+    return out.withColumns({"transfer": F.col("transfer") & ~off, "pair": F.when(~off, F.col("pair")).cast(kind)}).select(*ledger.columns)
+
+
+def relinked(ledger: DataFrame, links: DataFrame, computed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(ledger, links) after a run whose pairs are ``computed`` (debit, credit, score, state: auto or proposed).
+
+    Links (link, debit, credit, score, state, created) that were confirmed or rejected stay as they are, and a computed pair that
+    one of them has is left out. A pair that was linked keeps its link and age; machine links not
+    computed again go, and their rows lose the flag if they still bear the link's pair id. Rows of auto
+    links are flagged, rows of proposed ones lose a flag of their own group. A row that several auto
+    links name bears the pair of the one of greatest credit, then debit.
+    """
+    settled = links.where(F.col("state").isin("confirmed", "rejected"))
+    machine = links.where(F.col("state").isin("auto", "proposed"))
+    old = machine.select("debit", "credit", F.col("link").alias("was"), F.col("created").alias("since"))
+    fresh = F.substring(F.sha2(F.concat_ws("|", F.col("debit").cast("string"), F.col("credit").cast("string")), 256), 1, 16)
+    wanted = computed.select("debit", "credit", "score", "state").join(settled.select("debit", "credit"), ["debit", "credit"], "left_anti").join(old, ["debit", "credit"], "left")
+    wanted = wanted.withColumns({"link": F.coalesce("was", fresh), "created": F.coalesce("since", now)}).select(*LINKS)
+    stale = machine.join(wanted.select("debit", "credit"), ["debit", "credit"], "left_anti").join(representatives(machine), "link")
+    new = wanted.join(representatives(wanted), "link")
+    clear = _sides(stale, "pair").unionByName(_sides(new.where("state = 'proposed'"), "pair"))
+    flag = _sides(new.where("state = 'auto'"), "debit", "credit", "pair").groupBy("id").agg(F.max(F.struct("credit", "debit", "pair")).alias("to")).select("id", F.col("to.pair").alias("to"))
+    out = unflagged(ledger, clear).join(flag, "id", "left")
+    out = out.withColumns({"transfer": F.col("transfer") | F.col("to").isNotNull(), "pair": F.coalesce("to", "pair")}).select(*ledger.columns)
+    return out, settled.select(*LINKS).unionByName(wanted)
+
+
+def without_self_links(ledger: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger, links) without links, of any state, whose sides lie in one account; their rows lose the flag."""
+    side = lambda c: ledger.select(F.col("id").alias(c), F.col("account").alias(f"{c}_account"))
+    own = links.join(side("debit"), "debit").join(side("credit"), "credit").where("debit_account = credit_account")
+    doomed = own.select(*links.columns)
+    marks = _sides(doomed.join(representatives(links), "link"), "pair")
+    return unflagged(ledger, marks), links.join(doomed.select("link"), "link", "left_anti").select(*links.columns)

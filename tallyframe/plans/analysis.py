@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers, trends
+from ..operators import accounts, aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers, trends
 from ..sources import ledger, statements
+from . import statements as statement_plans
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -289,6 +290,83 @@ def q13_link_groups(spark, d):
     return transfers.groups(links, rows, ["auto"]).select("credit", "state", "debits", "reduction")
 
 
+# Stored links of the pairs, of four states, and the flags that they set; every 23rd row is marked by hand.
+_STATE = "CASE WHEN debit % 50 = 0 THEN 'confirmed' WHEN debit % 50 = 1 THEN 'rejected' WHEN debit % 3 = 0 THEN 'auto' ELSE 'proposed' END"
+_FLAGS = f"""p AS (SELECT debit, credit FROM ({_PAIRS})), old AS (SELECT *, concat('L', debit, '-', credit) AS link, CAST(debit % 5 AS INTEGER) AS created, {_STATE} AS state FROM p WHERE debit % 3 < 2 OR debit % 50 < 2),
+rep AS (SELECT *, first_value(link) OVER (PARTITION BY credit, state ORDER BY created, link) AS pair FROM old),
+sides AS (SELECT unnest([debit, credit]) AS id, debit, credit, state, pair FROM rep),
+l AS (SELECT e.id, account, date, cents, transfer OR s.id IS NOT NULL AS transfer, s.pair FROM ({_LEDGER}) e LEFT JOIN (SELECT DISTINCT ON (id) id, pair FROM sides WHERE state IN ('auto', 'confirmed') ORDER BY id, credit DESC, debit DESC) s USING (id))"""
+_RELINKED = f"""WITH {_FLAGS},
+w AS (SELECT p.debit, p.credit, CASE WHEN p.credit % 2 = 0 THEN 'auto' ELSE 'proposed' END AS state, coalesce(o.link, left(sha256(concat(p.debit, '|', p.credit)), 16)) AS link, coalesce(o.created, 9) AS created FROM p LEFT JOIN old o ON o.debit = p.debit AND o.credit = p.credit AND o.state IN ('auto', 'proposed')
+WHERE p.credit % 4 <> 3 AND NOT EXISTS (SELECT 1 FROM old x WHERE x.debit = p.debit AND x.credit = p.credit AND x.state IN ('confirmed', 'rejected'))),
+wr AS (SELECT *, first_value(link) OVER (PARTITION BY credit, state ORDER BY created, link) AS pair FROM w), ws AS (SELECT unnest([debit, credit]) AS id, * FROM wr),
+mr AS (SELECT *, first_value(link) OVER (PARTITION BY credit, state ORDER BY created, link) AS mpair FROM old WHERE state IN ('auto', 'proposed')),
+stale AS (SELECT unnest([debit, credit]) AS id, mpair AS pair FROM mr WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.debit = mr.debit AND w.credit = mr.credit)),
+clear AS (SELECT id, pair FROM stale UNION SELECT id, pair FROM ws WHERE state = 'proposed'),
+flag AS (SELECT DISTINCT ON (id) id, pair FROM ws WHERE state = 'auto' ORDER BY id, credit DESC, debit DESC)"""
+
+
+def _links(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger with flags, stored links, all pairs)."""
+    rows = _ledger(spark, d)
+    pairs = transfers.candidates(rows).select("debit", "credit").withColumn("score", F.lit(5))
+    old = pairs.where("debit % 3 < 2 or debit % 50 < 2").withColumns({"link": F.expr("concat('L', debit, '-', credit)"), "created": F.expr("cast(debit % 5 as int)"), "state": F.expr(_STATE)}).select(*transfers.LINKS)
+    shown = old.where("state in ('auto', 'confirmed')").join(transfers.representatives(old), "link")
+    sides = shown.select(F.explode(F.array("debit", "credit")).alias("id"), "debit", "credit", "pair").groupBy("id").agg(F.max_by("pair", F.struct("credit", "debit")).alias("pair"))
+    return rows.join(sides, "id", "left").withColumn("transfer", F.col("transfer") | F.col("pair").isNotNull()), old, pairs
+
+
+def _relinked(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows, old, pairs = _links(spark, d)
+    return transfers.relinked(rows, old, pairs.where("credit % 4 <> 3").withColumn("state", F.expr("CASE WHEN credit % 2 = 0 THEN 'auto' ELSE 'proposed' END")), F.lit(9))
+
+
+@query(f"{_RELINKED} SELECT l.id, CASE WHEN f.id IS NOT NULL THEN TRUE WHEN c.id IS NOT NULL THEN FALSE ELSE transfer END AS transfer, CASE WHEN f.id IS NOT NULL THEN f.pair WHEN c.id IS NULL THEN l.pair END AS pair FROM l LEFT JOIN flag f USING (id) LEFT JOIN clear c ON c.id = l.id AND c.pair = l.pair")
+def q11_link_flags(spark, d):
+    return _relinked(spark, d)[0].select("id", "transfer", "pair")
+
+
+@query(f"{_RELINKED} SELECT debit, credit, state, link, created FROM old WHERE state IN ('confirmed', 'rejected') UNION ALL SELECT debit, credit, state, link, created FROM w")
+def q11_links_kept(spark, d):
+    return _relinked(spark, d)[1].select("debit", "credit", "state", "link", "created")
+
+
+# The account of purchases merged into the one of views; a key's occurrences run against the ids.
+_OWN = f"SELECT *, CAST(abs(cents) % 50 AS VARCHAR) AS key, row_number() OVER (PARTITION BY account, abs(cents) % 50 ORDER BY id DESC) - 1 AS occurrence FROM l"
+_DOOMED = f"""WITH {_FLAGS}, o AS ({_OWN}), a AS (SELECT id, CASE WHEN account = 'purchase' THEN 'view' ELSE account END AS account FROM l),
+doomed AS (SELECT rep.* FROM rep JOIN a x ON x.id = debit JOIN a y ON y.id = credit WHERE x.account = y.account), gone AS (SELECT DISTINCT unnest([debit, credit]) AS id, pair FROM doomed)"""
+
+
+def _merged(spark, d) -> dict[str, DataFrame]:
+    rows, old, _ = _links(spark, d)
+    rows = rows.withColumn("key", F.expr("cast(abs(cents) % 50 as string)"))
+    rows = rows.withColumn("occurrence", (F.row_number().over(Window.partitionBy("account", "key").orderBy(F.desc("id"))) - 1).cast("long"))
+    held = rows.select("account").distinct().withColumns({"currency": F.lit("USD"), "active": F.lit(True)})
+    months = rows.groupBy("account", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    rules = rows.select(F.col("account").alias("debit_account"), "normalized").distinct().join(held.select(F.col("account").alias("credit_account")), F.col("debit_account") != F.col("credit_account"))
+    return accounts.merged({"ledger": rows, "links": old, "accounts": held, "imports": months, "rules": rules}, "purchase", "view")
+
+
+@query(f"""{_DOOMED}, base AS (SELECT key, max(occurrence) + 1 AS base FROM o WHERE account = 'view' GROUP BY key)
+SELECT o.id, CASE WHEN account = 'purchase' THEN 'view' ELSE account END AS account, CASE WHEN account = 'purchase' THEN coalesce(base, 0) + row_number() OVER (PARTITION BY account, o.key ORDER BY date, o.id) - 1 ELSE occurrence END AS occurrence,
+transfer AND g.id IS NULL AS transfer, CASE WHEN g.id IS NULL THEN o.pair END AS pair FROM o LEFT JOIN base USING (key) LEFT JOIN gone g ON g.id = o.id AND g.pair = o.pair""")
+def q14_merged_ledger(spark, d):
+    return _merged(spark, d)["ledger"].select("id", "account", "occurrence", "transfer", "pair")
+
+
+@query(f"""{_DOOMED} SELECT 'link' AS kind, link AS name, state AS told FROM old WHERE link NOT IN (SELECT link FROM doomed)
+UNION ALL SELECT 'account', account, CASE WHEN account = 'purchase' THEN 'archived' ELSE 'active' END FROM (SELECT DISTINCT account FROM l)
+UNION ALL SELECT 'import', CASE WHEN account = 'purchase' THEN 'view' ELSE account END, concat(strftime(date, '%Y-%m'), ' ', count(*)) FROM l GROUP BY account, strftime(date, '%Y-%m')
+UNION ALL SELECT 'rule', CASE WHEN d.account = 'purchase' THEN 'view' ELSE d.account END || ' ' || CASE WHEN c.account = 'purchase' THEN 'view' ELSE c.account END, normalized FROM (SELECT DISTINCT account, normalized FROM ({_LEDGER})) d JOIN (SELECT DISTINCT account FROM l) c ON d.account <> c.account AND NOT (d.account IN ('purchase', 'view') AND c.account IN ('purchase', 'view'))""")
+def q14_merged_tables(spark, d):
+    t = _merged(spark, d)
+    row = lambda kind, name, told: (F.lit(kind).alias("kind"), name.alias("name"), told.alias("told"))
+    out = t["links"].select(*row("link", F.col("link"), F.col("state")))
+    out = out.unionByName(t["accounts"].select(*row("account", F.col("account"), F.when(F.col("active"), "active").otherwise("archived"))))
+    out = out.unionByName(t["imports"].select(*row("import", F.col("account"), F.concat_ws(" ", "month", F.col("n").cast("string")))))
+    return out.unionByName(t["rules"].select(*row("rule", F.concat_ws(" ", "debit_account", "credit_account"), F.col("normalized"))))
+
+
 # Imports: line items as stored and incoming rows of an account; a repeated line item has a number of its own.
 _BAG = """SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber ORDER BY l_suppkey, l_shipdate, l_quantity, l_returnflag, l_linestatus) - 1 AS id,
 l_returnflag, l_suppkey AS account, CAST(l_partkey % 40 AS VARCHAR(9)) AS key, CAST(l_shipdate AS DATE) AS date, -CAST(l_quantity * 100 AS BIGINT) AS cents, l_linestatus = 'O' AS pending, l_orderkey AS row FROM lineitem """
@@ -338,7 +416,7 @@ def q15_import_deletion(spark, d):
 def q14_account_merge(spark, d):
     p = ledger.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("key"), (F.col("p_partkey") % 4).alias("m"))
     rows = p.select("id", "key", F.when(F.col("m") == 0, "a").when(F.col("m") == 1, "b").otherwise("c").alias("account"), (F.row_number().over(Window.partitionBy("m", "key").orderBy("id")) - 1).cast("long").alias("occurrence"))
-    return imports.accounts_merged(rows, "a", "b").select("id", "account", "occurrence")
+    return accounts.moved(rows.withColumn("date", F.lit("2024-01-01").cast("date")), "a", "b").select("id", "account", "occurrence")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS path, turn = 1 AND page_id % 10 <> 0 AS created FROM (SELECT page_id, row_number() OVER (PARTITION BY html ORDER BY CAST(page_id AS VARCHAR)) AS turn, max(CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY html) AS known FROM pages) WHERE known = 0 UNION ALL SELECT CAST(page_id AS VARCHAR), FALSE FROM (SELECT page_id, max(CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY html) AS known FROM pages) WHERE known = 1")
@@ -454,6 +532,31 @@ def n9_alias_resolution(spark, d):
     return aliases.resolved(keys, _aliases(spark, d)).select("key", "merchant", "match", "source")
 
 
+# Names with one letter left out against whole names: a quadratic comparison in the SQL.
+_KEYS, _NAMES = "upper(concat(substr(t, 1, CAST(p_partkey % 9 AS INT)), substr(t, CAST(p_partkey % 9 + 2 AS INT))))", "SELECT p_partkey, concat(p_name, ' ', p_brand) AS t FROM part "
+
+
+@query(f"""WITH k AS (SELECT key, {_TRI.format('key')} AS a FROM (SELECT DISTINCT {_KEYS} AS key FROM ({_NAMES}))), n AS (SELECT alias, {_TRI.format('alias')} AS b FROM (SELECT DISTINCT upper(t) AS alias FROM ({_NAMES}))),
+m AS (SELECT key, alias, len(list_intersect(a, b)) AS met, len(a) + len(b) AS every FROM k JOIN n ON len(a) <= 2 * len(b)) SELECT key, alias, CASE WHEN key = alias THEN 1.0 ELSE CAST(met AS DOUBLE) / (every - met) END AS similarity FROM m WHERE key = alias OR CAST(met AS DOUBLE) / (every - met) >= 0.72""")
+def n9_fuzzy_join(spark, d):
+    t = _sql(spark, d, _NAMES, "part")
+    return aliases.alike(t.select(F.expr(_KEYS).alias("key")), t.select(F.upper("t").alias("alias")))
+
+
+# Descriptors of parts, worked out anew from the latest raw text of each: three rows in about two hundred name theirs.
+_RAWS = f"SELECT p_partkey AS id, concat(upper(p_name), ' ', p_partkey % 3) AS normalized, {statement_plans._DESCRIPTOR} AS raw, CAST(p_partkey % 90 AS INT) AS day FROM part "
+
+
+@query(f"""WITH rows_ AS ({_RAWS}), hit AS (SELECT DISTINCT normalized FROM rows_ WHERE id % 199 < 3 OR normalized IN (SELECT concat(upper(p_name), ' 1') FROM part WHERE p_partkey % 400 = 0)),
+s AS (SELECT DISTINCT ON (normalized) normalized, merchant AS key FROM rows_ JOIN hit USING (normalized) JOIN ({statement_plans._stages_sql()}) st ON st.p_partkey = rows_.id ORDER BY normalized, day DESC, id),
+now AS ({_HITS.replace('SELECT DISTINCT upper(p_name) AS key FROM part', "SELECT DISTINCT key FROM s WHERE key <> ''")})
+SELECT id, coalesce(now.merchant, 'old') AS merchant FROM rows_ LEFT JOIN s USING (normalized) LEFT JOIN now USING (key)""")
+def n16_renormalize_ids(spark, d):
+    rows = _sql(spark, d, _RAWS, "part").withColumns({"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")), "merchant": F.lit("old")})
+    keys = ledger.table(spark, d, "part").where("p_partkey % 400 = 0").select(F.concat(F.upper("p_name"), F.lit(" 1")).alias("key"))
+    return aliases.renormalized(rows, keys, _aliases(spark, d), rows.where("id % 199 < 3").select("id")).select("id", "merchant")
+
+
 @query("SELECT alias, match, CASE WHEN alias % 3 = 0 AND alias % 6 <> 0 THEN 'seed' WHEN alias % 2 = 0 THEN 'user' ELSE 'llm' END AS source FROM (SELECT p_partkey AS alias, 'exact' AS match FROM part)")
 def n14_alias_precedence(spark, d):
     p = ledger.table(spark, d, "part").select(F.col("p_partkey").alias("alias"), F.lit("exact").alias("match"), F.lit("m").alias("merchant"), F.lit(1.0).alias("confidence"))
@@ -464,7 +567,8 @@ def n14_alias_precedence(spark, d):
 
 @query("SELECT id, CASE WHEN normalized = 'MARKET' THEN 'm1' ELSE CAST(merchant AS VARCHAR) END AS merchant FROM (" + _LEDGER + ")")
 def n16_renormalize(spark, d):
-    rows = _ledger(spark, d).withColumn("merchant", F.col("merchant").cast("string"))
+    # A descriptor is worked out from its raw text, so here that is the descriptor itself.
+    rows = _ledger(spark, d).withColumns({"merchant": F.col("merchant").cast("string"), "raw": F.col("normalized")})
     known = spark.createDataFrame([("MARKET", "m1", "exact", 1.0, "user")], aliases.ALIASES)
     return aliases.renormalized(rows, rows.select(F.col("normalized").alias("key")).distinct(), known).select("id", "merchant")
 
