@@ -36,29 +36,32 @@ def _rank(c: str, values: list[str]) -> Column:
 
 
 def _rare(texts: DataFrame, name: str, often: DataFrame) -> DataFrame:
-    """``name``, size, gram: the grams of each text that a like text must share one of, the rarest ones.
+    """``name``, grams (all), head (those that a like text must share one of, the rarest first), gram: a row for each of the head.
 
     Two sets of at least FUZZY likeness share so many grams that, in any one order of all grams,
     their first ``size - ceil(FUZZY * size) + 1`` meet.
     """
-    grams = texts.select(name, text.trigrams(F.col(name)).alias("grams")).select(name, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    ranked = grams.join(often, "gram").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    first = F.col("size") - F.ceil(F.col("size") * FUZZY - 1e-9).cast("int") + 1
-    return ranked.select(name, "size", F.explode(F.slice("g", F.lit(1), first)).alias("g")).select(name, "size", F.col("g.gram").alias("gram"))
+    ranked = texts.withColumn("gram", F.explode("grams")).join(often, "gram").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "gram")))["gram"].alias("grams"))
+    size = F.size("grams")
+    head = F.slice("grams", F.lit(1), size - F.ceil(size * FUZZY - 1e-9).cast("int") + 1)
+    return ranked.withColumn("head", head).withColumn("gram", F.explode("head"))
 
 
 def alike(keys: DataFrame, names: DataFrame) -> DataFrame:
     """key, alias, similarity of all pairs from FUZZY on: a prefix-filtered join.
 
     Each text is dealt out by its rarest grams only, and meets texts of fitting size there, so common
-    grams make no pairs; what meets is compared in full.
+    grams make no pairs. A pair counts where its heads first meet, so none comes twice, and is compared in full there.
     """
-    k, a = keys.select("key").distinct(), names.select("alias").distinct()
-    every = k.select(F.explode(text.trigrams(F.col("key"))).alias("gram")).unionByName(a.select(F.explode(text.trigrams(F.col("alias"))).alias("gram")))
-    often = every.groupBy("gram").agg(F.count("*").alias("n"))
-    x, y = _rare(k, "key", often), _rare(a, "alias", often).withColumnRenamed("size", "other")
-    met = x.join(y, "gram").where((F.col("size") >= FUZZY * F.col("other") - 1e-9) & (F.col("other") >= FUZZY * F.col("size") - 1e-9)).select("key", "alias").distinct()
-    return met.withColumn("similarity", text.similarity(F.col("key"), F.col("alias"))).where(F.col("similarity") >= FUZZY)
+    k = keys.select("key").distinct().withColumn("grams", text.trigrams(F.col("key")))
+    a = names.select("alias").distinct().withColumn("grams", text.trigrams(F.col("alias")))
+    often = k.select(F.explode("grams").alias("gram")).unionByName(a.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    x, y = _rare(k, "key", often), _rare(a, "alias", often).withColumnsRenamed({"grams": "others", "head": "first"})
+    size, other = F.size("grams"), F.size("others")
+    met = x.join(y, "gram").where((size >= FUZZY * other - 1e-9) & (other >= FUZZY * size - 1e-9)).where(F.element_at(F.array_intersect("head", "first"), 1) == F.col("gram"))
+    shared = met.withColumn("shared", F.size(F.array_intersect("grams", "others")))
+    likeness = F.when(F.col("key") == F.col("alias"), 1.0).otherwise(F.col("shared") / (size + other - F.col("shared")))
+    return shared.select("key", "alias", likeness.alias("similarity")).where(F.col("similarity") >= FUZZY)
 
 
 def resolved(keys: DataFrame, aliases: DataFrame) -> DataFrame:
