@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import transfer_candidates
-from .walks import assign, gathered
+from .walks import assign, gathered, held
 
 #: Words of a transfer; words that do not tell one bank from another.
 KEYWORDS = ["TRANSFER", "XFER", "ONLINE PMT", "AUTOPAY", "PAYMENT THANK YOU", "E-PAYMENT", "ACH PMT"]
@@ -282,7 +282,9 @@ def relinked(ledger: DataFrame, links: DataFrame, computed: DataFrame, now: Colu
     old = machine.select("debit", "credit", F.col("link").alias("was"), F.col("created").alias("since"))
     fresh = F.substring(F.sha2(F.concat_ws("|", F.col("debit").cast("string"), F.col("credit").cast("string")), 256), 1, 16)
     wanted = computed.select("debit", "credit", "score", "state").join(settled.select("debit", "credit"), ["debit", "credit"], "left_anti").join(old, ["debit", "credit"], "left")
-    wanted = wanted.withColumns({"link": F.coalesce("was", fresh), "created": F.coalesce("since", now)}).select(*LINKS)
+    wanted = wanted.withColumns({"link": F.coalesce("was", fresh), "created": F.coalesce("since", now)})
+    # Read four times below, and rests on all pairs of a run: stored once.
+    wanted = held(wanted.select(*LINKS))
     stale = machine.join(wanted.select("debit", "credit"), ["debit", "credit"], "left_anti").join(representatives(machine), "link")
     new = wanted.join(representatives(wanted), "link")
     clear = _sides(stale, "pair").unionByName(_sides(new.where("state = 'proposed'"), "pair"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import accounts, aliases, coverage, fees, findings, imports, rules, run, search, series, store, transfers, trends
+from ..operators.walks import held
 from ..sources import ledger, statements
 from . import statements as statement_plans
 
@@ -309,7 +310,7 @@ flag AS (SELECT DISTINCT ON (id) id, pair FROM ws WHERE state = 'auto' ORDER BY
 def _links(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ledger with flags, stored links, all pairs)."""
     rows = _ledger(spark, d)
-    pairs = transfers.candidates(rows).select("debit", "credit").withColumn("score", F.lit(5))
+    pairs = held(transfers.candidates(rows).select("debit", "credit").withColumn("score", F.lit(5)))
     old = pairs.where("debit % 3 < 2 or debit % 50 < 2").withColumns({"link": F.expr("concat('L', debit, '-', credit)"), "created": F.expr("cast(debit % 5 as int)"), "state": F.expr(_STATE)}).select(*transfers.LINKS)
     shown = old.where("state in ('auto', 'confirmed')").join(transfers.representatives(old), "link")
     sides = shown.select(F.explode(F.array("debit", "credit")).alias("id"), "debit", "credit", "pair").groupBy("id").agg(F.max_by("pair", F.struct("credit", "debit")).alias("pair"))
