@@ -150,19 +150,20 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts.astype(np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``cap`` labelled documents of the training folds (crc32(doc_id) mod 3 is not 1).
+def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int | None = None) -> DataFrame:
+    """(doc_id, text, y) of the labelled documents of the training folds (crc32(doc_id) mod 3 is not 1): all, or at most ``cap``.
 
-    The label rows are taken in order of a hash of their id, which bounds what is broadcast; a
-    repeated id counts once, with its largest label and, among the rows of ``docs``, its least text;
-    rows with a null id or label take no part.
+    With ``cap``, the label rows are taken in order of a hash of their id, which bounds what is
+    broadcast. A repeated id counts once, with its largest label and, among the rows of ``docs``,
+    its least text; rows with a null id or label take no part.
     """
     y = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(3) != 1))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(cap)
     )
-    return docs_of(docs).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    if cap is not None:
+        y = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap))
+    rows = docs_of(docs).where(fold(3) != 1).join(y, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -17,9 +17,10 @@ are one, runs are one sign, separators are gone), but for punctuation at its end
 canonical form holds no term's needs no decoding, which decides most of them; the result is that of
 decoding all (:meth:`Scorer.traced`). A token that reads as a number is one, and is not decoded.
 
-Training (:func:`fit`) uses at most ``cap`` labelled documents of the training folds; documents
-with the same two min-hashes of 4-word shingles count once, so a group of copies is one witness. What
-reaches the driver is what those rows hold: the terms, the lexicon, the trigrams of one alphabet.
+Training (:func:`fit`) uses every labelled document of the training folds; documents with the same
+two min-hashes of 4-word shingles count once, so a group of copies is one witness. They are counted
+where they lie. What reaches the driver is the terms (each is in a hundredth of the toxic documents),
+the words of the lexicon that save anything, the trigrams of one alphabet.
 
 Edge cases: a null or empty text has no terms and gets the base score; repeated rows each get a
 row; without labels, or with one class only, every text gets the base score; an empty table
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, fold, labelled, mix, stored, word_hashes
+from .common import BATCH, docs_of, fold, labelled, mix, stored, word_hashes
+from .minhash import likely
 
 #: The letters that a sign may stand for.
 LOOKALIKE = {
@@ -265,35 +268,81 @@ def _witnesses(rows: DataFrame) -> DataFrame:
     return out.groupBy("one", "two").agg(F.max(F.struct("y", "doc_id", "words")).alias("w")).select("w.y", "w.words")
 
 
-def fit(docs: DataFrame, labels: DataFrame, cap: int = 6000, label: str = "toxic") -> Scorer:
-    """Learn terms, lexicon and trigrams from at most ``cap`` labelled documents."""
-    train = stored(_witnesses(labelled(docs, labels, label, cap)), "toxicity")
-    total, toxic, size = train.agg(F.count("*"), F.sum("y"), F.sum(F.size("words"))).first()
-    toxic = toxic or 0
-    starts = F.flatten(F.transform("words", lambda w: F.when(F.length(w) > 4, F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(9))), lambda k: F.substr(w, F.lit(1), k))).otherwise(F.array(F.concat(w, F.lit("$"))))))
-    heads = train.select("y", F.explode(F.array_distinct(starts)).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("n >= 3")
+def _heads(words: list[str]) -> set[str]:
+    """The beginnings of 4 to 9 letters of longer words, and the others whole with ``$``."""
+    return {h for w in words for h in ([w[:k] for k in range(4, min(len(w), 9) + 1)] if len(w) > 4 else (w + "$",))}
+
+
+def _counted(train: DataFrame) -> DataFrame:
+    """kind, key, a, n: of each distinct beginning (``head``) and word, and of all texts, how many toxic documents and documents have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {"head": Counter(), "word": Counter(), "text": Counter()}
+        a = {kind: Counter() for kind in n}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, counts in n.items():
+                keys = list(counts)
+                for i in range(0, len(keys), BATCH):
+                    some = keys[i : i + BATCH]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(some)), pa.array(some, pa.string()), pa.array([a[kind][k] for k in some], pa.int64()), pa.array([counts[k] for k in some], pa.int64())],
+                        ["kind", "key", "a", "n"],
+                    )
+                counts.clear()
+                a[kind].clear()
+
+        for b in batches:
+            for y, words in zip(b.column("y").to_pylist(), b.column("words")):
+                words = words.as_py()
+                for kind, keys in (("head", _heads(words)), ("word", words), ("text", [""])):
+                    n[kind].update(keys)
+                    if y:
+                        # Labels are 0 or 1; any other number weighs as it is.
+                        a[kind].update(keys if y == 1 else dict.fromkeys(keys, y))
+                # What is held is bounded; the parts are added up below.
+                if len(n["head"]) + len(n["word"]) > MEMO:
+                    yield from out()
+        yield from out()
+
+    return train.mapInArrow(run, "kind string, key string, a long, n long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Scorer:
+    """Learn terms, lexicon and trigrams from all labelled documents of the training folds."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col(label).isNotNull() & (fold(3) != 1))
+    counts = stored(_counted(_witnesses(labelled(likely(docs_of(docs), ids), labels, label))), "toxicity")
+    kind = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)))
+    frequent = (F.col("kind") == "head") & (F.col("n") >= 3)
+    total, toxic, size, known = (x or 0 for x in counts.agg(kind("text", "n"), kind("text", "a"), kind("word", "n"), F.count(F.when(frequent, 1))).first())
     # So many toxic documents that not one of the frequent terms should reach them by chance.
-    chance = math.ceil(math.log(2 * max(1, heads.count())) / -math.log(toxic / total)) if 0 < toxic < total else 3
-    n = {r.term: (r.a, r.n) for r in heads.where((F.col("a") >= max(3, 0.01 * toxic, chance)) & (F.col("a") >= 0.9 * F.col("n"))).collect()}
+    chance = math.ceil(math.log(2 * max(1, known)) / -math.log(toxic / total)) if 0 < toxic < total else 3
+    n = {r.key: (r.a, r.n) for r in counts.where(frequent & (F.col("a") >= max(3, 0.01 * toxic, chance)) & (F.col("a") >= 0.9 * F.col("n"))).collect()}
     # A beginning is kept unless one letter more tells as much.
     longer = {t[:-1]: n[t][0] for t in sorted(n, key=lambda t: n[t][0]) if t[-1] != "$"}
     terms = {t: min(0.999, (a + 0.25) / (k + 1)) for t, (a, k) in n.items() if longer.get(t, 0) < 0.9 * a}
     lexicon = {t: -math.log(n[t][1] / size) for t in terms}
-    # Other words that a term's disguise could be.
-    forms = sorted({canonical(t.rstrip("$")) for t in terms} - {""})
-    if forms:
-        like = F.udf(lambda words: [w for w in words if canonical(w).startswith(tuple(forms))], "array<string>")
-        known = train.select(F.explode(like("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3")
-        lexicon |= {r.w + "$": -math.log(r.n / size) for r in known.collect() if not any(r.w.startswith(t) for t in terms)}
-    letters = train.select(F.explode("words").alias("w")).select(F.concat(F.lit("^^"), "w", F.lit(".")).alias("w"))
+    words = counts.where("kind = 'word'")
     trigrams = (
-        letters.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda k: F.substr("w", k, F.lit(3)))).alias("g"))
+        words.select(F.concat(F.lit("^^"), "key", F.lit(".")).alias("w"), "n")
+        .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda k: F.substr("w", k, F.lit(3)))).alias("g"), "n")
         .where(F.col("g").rlike(r"^[a-zß-ÿ^]{2}[a-zß-ÿ.]$"))
         .groupBy("g")
-        .count()
+        .agg(F.sum("n").alias("n"))
         .collect()
     )
-    return Scorer(terms, {r.g: r["count"] for r in trigrams}, lexicon)
+    grams = {r.g: r.n for r in trigrams}
+    # Other words that a term's disguise could be, if they cost less than their letters: others save nothing.
+    forms = tuple(sorted({canonical(t.rstrip("$")) for t in terms} - {""}))
+    if forms:
+        model, begun = CharModel(grams), tuple(terms)
+
+        @F.udf("boolean")
+        def saves(w, n):
+            return canonical(w).startswith(forms) and not w.startswith(begun) and model.word(w) + model.cost(("^^" + w)[-2:] + ".") > -math.log(n / size)
+
+        lexicon |= {r.key + "$": -math.log(r.n / size) for r in words.where("n >= 3").where(saves("key", "n")).collect()}
+    return Scorer(terms, grams, lexicon)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -309,15 +358,15 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, cap: int = 6000, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every text."""
-    out = score(docs, fit(docs, labels, cap))
+    out = score(docs, fit(docs, labels))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, cap: int = 6000, threshold: float = 0.7) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns kept, that score below the threshold."""
-    scorer = fit(docs, labels, cap)
+    scorer = fit(docs, labels)
     parts = scorer.terms, scorer.trigrams, scorer.lexicon
     ready: list[Scorer] = []
 

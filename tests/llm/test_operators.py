@@ -475,6 +475,24 @@ def test_toxicity_on_held_out_rows_and_disguises(spark, docs, empty):
     assert toxicity.classify(empty, y).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(10500).where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1).orderBy(F.xxhash64("id"), "id")
+    late = [x.id for x in ids.collect()][6000:6040]  # the toxic rows lie behind the first 6,000
+    words = F.expr("concat_ws(' ', transform(sequence(1, 5), k -> concat(translate(hex(xxhash64(id, k)), '0123456789', 'ghijklmnop'), '')))")
+    docs = spark.range(10500).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(late), F.concat_ws(" ", words, F.lit("zembly"))).otherwise(words).alias("text"))
+    y = docs.select("doc_id", F.col("doc_id").isin(late).cast("int").alias("toxic"))
+    scorer = toxicity.fit(docs, y)
+    assert any("zembly".startswith(t) for t in scorer.terms) and scorer.score("a zembly") >= 0.7 > scorer.score("a word")
+    # The counts equal those of plain sets.
+    rows = {tuple(sorted(set(re.findall(r"[^\W\d_]+", x.text.lower())))): x.doc_id in late for x in docs.collect() if zlib.crc32(str(x.doc_id).encode()) % 3 != 1}
+    grams = collections.Counter(f"^^{w}."[i : i + 3] for r in rows for w in r for i in range(len(w) + 1))
+    assert {g: n for g, n in grams.items() if re.fullmatch("[a-z^]{2}[a-z.]", g)} == scorer.trigrams
+    heads = collections.Counter(h for r in rows for h in {w[:k] for w in r for k in range(4, min(len(w), 9) + 1) if len(w) > 4})
+    assert all(scorer.terms[t] == min(0.999, 40.25 / (heads[t] + 1)) for t in scorer.terms)
+
+
 def scorer_by_hand():
     count = collections.Counter()
     for w in ["the", "stupid", "idiot", "cretin", "ass", "assume", "stop", "star", "cat", "call", "rap", "crash", "class"] * 3:
