@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import docs_of
+from .common import docs_of, left
 
 BLOCK = 1 << 16  # characters cut into words at once
 SHORT = 64  # bytes: longer words go through the windowed encoder
-MEMO = 1_000_000  # words remembered
+MEMO = 600_000  # words remembered, in two halves
 GROUP = 1 << 21  # characters whose new words are merged together, about
 
 _NONE = 1 << 30
@@ -270,7 +270,7 @@ class _Memo(dict):
         run = Run(self.model)
         out = np.array(run.push(raw) + run.close(), "<u4").tobytes()
         if len(raw) <= SHORT:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
                 self.clear()
             self[word] = out
         return out
@@ -372,6 +372,7 @@ class Encoder:
     def __init__(self, path: str):
         self.model = Model(path)
         self.memo = _Memo(self.model)
+        self.old: dict[str, bytes] = {}
 
     def _blocks(self, texts: Iterator[str | None]) -> Iterator[tuple[bytes, bool]]:
         """Ids of each block, and whether its text ends with it. Some blocks are fed before their new words are merged at once."""
@@ -391,9 +392,13 @@ class Encoder:
     def _known(self, held: list[tuple[list[str | bytes], bool]]) -> Iterator[tuple[bytes, bool]]:
         memo = self.memo
         new = [w for w in set().union(*(x for x, _ in held)) if type(w) is str and w not in memo]
-        words = [(w, r) for w in new if len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
-        if len(memo) + len(words) > MEMO:  # words that go are merged again when they come
+        if len(memo) + len(new) > MEMO // 2:  # words that come again stay; others go, and are merged again when they come
+            self.old = dict(memo)
             memo.clear()
+            new = [w for w in set().union(*(x for x, _ in held)) if type(w) is str]
+        old = self.old
+        memo.update((w, old.pop(w)) for w in new if w in old)
+        words = [(w, r) for w in new if w not in memo and len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
         memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
         for items, last in held:
             if bytes in set(map(type, items)):
@@ -459,7 +464,8 @@ class Decoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
+    """One encoder for each Python worker and vocabulary; it stays until a task of another operator frees the worker."""
+    left(encoder.cache_clear)
     return Encoder(path)
 
 

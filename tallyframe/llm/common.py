@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,21 @@ def hot_join(many: DataFrame, one: DataFrame, on: list[str], spread: str, how: s
     return a.join(b, [*on, "hot_salt"], how).drop("hot_salt")
 
 
+_left: list[Callable[[], None]] = []
+
+
+def left(drop: Callable[[], None]) -> None:
+    """Called in a task: what stays in its Python worker beyond the task is dropped by ``drop``."""
+    if drop not in _left:
+        _left.append(drop)
+
+
+def freed() -> None:
+    """Called in a task: drop what other operators left in its Python worker, which Spark uses for one task after another."""
+    while _left:
+        _left.pop()()
+
+
 def docs_of(df: DataFrame) -> DataFrame:
     """The two columns the operators read; any other column is ignored, whatever its name."""
     small_batches(df.sparkSession)

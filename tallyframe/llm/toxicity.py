@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH, docs_of, fold, labelled, mix, stored, word_hashes
+from .common import BATCH, docs_of, fold, freed, labelled, mix, stored, word_hashes
 from .minhash import likely
 
 #: The letters that a sign may stand for.
@@ -245,6 +245,7 @@ def _witnesses(rows: DataFrame) -> DataFrame:
     """y and the distinct lower-case words of rows (doc_id, text, y); documents with the same two min-hashes of 4-word shingles are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             h, n = word_hashes(texts)
@@ -277,6 +278,7 @@ def _counted(train: DataFrame) -> DataFrame:
     """kind, key, a, n: of each distinct beginning (``head``) and word, and of all texts, how many toxic documents and documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         n = {"head": Counter(), "word": Counter(), "text": Counter()}
         a = {kind: Counter() for kind in n}
 
@@ -350,6 +352,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     parts = scorer.terms, scorer.trigrams, scorer.lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         s = Scorer(*parts)
         for b in batches:
             out = [s.score(t) for t in b.column("text").to_pylist()]
@@ -373,6 +376,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         if not ready:
+            freed()
             ready.append(Scorer(*parts))
         return text.map(ready[0].score).astype("float64")
 

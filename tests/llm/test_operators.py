@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -493,6 +494,26 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert all(scorer.terms[t] == min(0.999, 40.25 / (heads[t] + 1)) for t in scorer.terms)
 
 
+def test_an_encoder_leaves_a_worker_to_the_next_operator(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 200)
+    path = queries.vocabulary()
+    e, r = bpe.encoder(path), random.Random(30)
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 4))) for _ in range(60)) + " the" for _ in range(30)]
+    got = [e.encode(t).tolist() for t in texts]
+    assert 0 < len(e.old) + len(e.memo) <= 200 and got == [bpe.Encoder(path).encode(t).tolist() for t in texts]
+    one = spark.createDataFrame([(1, "so it is")], "doc_id long, text string").coalesce(1)
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([bpe.encoder.cache_info().currsize])], ["pid", "n"])
+
+    packing.pack(one, path).collect()
+    before = one.mapInArrow(kept, "pid long, n long").first()
+    toxicity.score(one, toxicity.Scorer({}, {}, {})).collect()
+    after = one.mapInArrow(kept, "pid long, n long").first()
+    assert before.n == 1 and (after.n == 0 or after.pid != before.pid)
+
+
 def scorer_by_hand():
     count = collections.Counter()
     for w in ["the", "stupid", "idiot", "cretin", "ass", "assume", "stop", "star", "cat", "call", "rap", "crash", "class"] * 3:
