@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, bpe, lm, media, minhash, packing, pii, quality, queries, secrets, toxicity
+from tallyframe.llm import ann, bpe, common, lm, media, minhash, packing, pii, quality, queries, secrets, toxicity
 from tallyframe.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -501,17 +501,19 @@ def test_an_encoder_leaves_a_worker_to_the_next_operator(spark, monkeypatch):
     texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 4))) for _ in range(60)) + " the" for _ in range(30)]
     got = [e.encode(t).tolist() for t in texts]
     assert 0 < len(e.old) + len(e.memo) <= 200 and got == [bpe.Encoder(path).encode(t).tolist() for t in texts]
-    one = spark.createDataFrame([(1, "so it is")], "doc_id long, text string").coalesce(1)
+    many = spark.range(32).selectExpr("id as doc_id", "'so it is' as text").repartition(32, "doc_id")
 
     def kept(batches):
-        for _ in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([bpe.encoder.cache_info().currsize])], ["pid", "n"])
-
-    packing.pack(one, path).collect()
-    before = one.mapInArrow(kept, "pid long, n long").first()
-    toxicity.score(one, toxicity.Scorer({}, {}, {})).collect()
-    after = one.mapInArrow(kept, "pid long, n long").first()
-    assert before.n == 1 and (after.n == 0 or after.pid != before.pid)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.encoder.cache_info().currsize] * b.num_rows)], ["n"])
+
+    held = lambda: sum(x.n for x in many.mapInArrow(kept, "n long").collect())
+    packing.pack(many, path).collect()
+    before = held()
+    toxicity.score(many, toxicity.Scorer({}, {}, {})).collect()
+    assert 0 <= held() < before
+    common.freed()
+    assert bpe.encoder.cache_info().currsize == 0
 
 
 def scorer_by_hand():
