@@ -26,6 +26,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,7 @@ class Model:
             self.pairs.append((vocab[a], vocab[b]))
             self.made.append(vocab[a + b])
         self.slots = self._pair_slots()
+        self.byte_ranks = np.array([self.rank.get(a << 20 | b, _NONE) for a in self.byte_id for b in self.byte_id], np.int32)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.lookahead = self._lookahead()
         self.window = 4 * self.lookahead + 4096
@@ -149,41 +151,58 @@ class Model:
         return out
 
     def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """:meth:`merge` of many short words at once, as bytes: one rule application a word and round."""
+        """:meth:`merge` of many short words at once, as bytes: one rule application a word and round.
+
+        A column is a word, a row a place in it; the last row stands for "none". Places are linked, so
+        a round touches the merged places and their neighbours alone. A pair's key is its rank, then its
+        place, so that a column's least key is the rule to apply.
+        """
         out: list[bytes] = [b""] * len(words)
         sizes = np.array([len(w) for w in words])
         made, byte_id = np.array([*self.made, 0], np.int32), np.array(self.byte_id, np.int32)
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, 36), (36, SHORT)):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            if not len(rows):
+        for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 20), (20, 36), (36, SHORT)):
+            cols = np.flatnonzero((sizes > low) & (sizes <= high))
+            if not len(cols):
                 continue
-            raw = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in rows), np.uint8).reshape(-1, high)
-            ids = np.where(np.arange(high) < sizes[rows, None], byte_id[raw], -1).astype(np.int32)
-            left, right = ids[:, :-1], ids[:, 1:]
-            ranks = self._ranks(left.ravel(), right.ravel()).reshape(left.shape)
-            cols = np.arange(high)
-            while len(rows):
-                j = ranks.argmin(1)
-                best = ranks[np.arange(len(rows)), j]
-                done = best == _NONE
-                if done.any():
-                    end = (ids >= 0).sum(1)
-                    for k in np.flatnonzero(done):
-                        out[rows[k]] = ids[k, : end[k]].tobytes()
-                    keep = ~done
-                    rows, ids, ranks, j, best = rows[keep], ids[keep], ranks[keep], j[keep], best[keep]
-                    if not len(rows):
+            raw = np.frombuffer(b"".join([words[i].ljust(high, b"\0") for i in cols.tolist()]), np.uint8).reshape(-1, high).T
+            n, place = len(cols), np.arange(high + 1)
+            ids = np.full((high + 1, n), -1, np.int32)
+            ids[:high] = np.where(place[:high, None] < sizes[cols], byte_id[raw], -1)
+            keys = np.full((high + 1, n), _NONE, np.int32)
+            first = self.byte_ranks[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+            keys[: high - 1] = np.where((ids[1:high] >= 0) & (first < _NONE), first << 6 | place[: high - 1, None], _NONE)
+            after = np.repeat(np.minimum(place + 1, high).astype(np.uint8)[:, None], n, 1)
+            before = np.repeat(np.where(place > 0, place - 1, high).astype(np.uint8)[:, None], n, 1)
+            while True:
+                best = keys.min(0)
+                c = np.flatnonzero(best < _NONE)
+                if len(c) <= 0.7 * n:  # the finished words leave
+                    rest = best == _NONE
+                    done = ids[:, rest].T
+                    ends = np.cumsum((done >= 0).sum(1)) * 4
+                    flat = done[done >= 0].tobytes()
+                    for i, a, b in zip(cols[rest].tolist(), [0, *ends.tolist()], ends.tolist()):
+                        out[i] = flat[a:b]
+                    if not len(c):
                         break
-                n = np.arange(len(rows))
-                gone = np.minimum(cols + (cols > j[:, None]), high - 1)
-                ids = np.take_along_axis(ids, gone, 1)
-                ids[:, -1] = -1
-                ids[n, j] = made[best]
-                ranks = np.take_along_axis(ranks, gone[:, :-1].clip(max=high - 2), 1)
-                ranks[:, -1] = _NONE
-                ranks[n, j] = self._ranks(ids[n, j], ids[n, np.minimum(j + 1, high - 1)]) if high > 1 else _NONE
-                has = j > 0
-                ranks[n[has], j[has] - 1] = self._ranks(ids[n[has], j[has] - 1], ids[n[has], j[has]])
+                    cols, best = cols[c], best[c]
+                    ids, keys, after, before = (x.take(c, 1) for x in (ids, keys, after, before))  # in C order, so that ravel is a view
+                    n, c = len(c), np.arange(len(c))
+                else:
+                    best = best[c]
+                i, k, f, t = ids.ravel(), keys.ravel(), after.ravel(), before.ravel()
+                j = best & 63
+                at = j * n + c
+                gone = f[at].astype(np.int64) * n + c
+                then = f[gone]
+                right, prior = then.astype(np.int64) * n + c, t[at]
+                left = prior.astype(np.int64) * n + c
+                new = made[best >> 6]
+                i[at], i[gone] = new, -1
+                k[gone] = _NONE
+                f[at], t[right] = then, j
+                ranks = self._ranks(np.concatenate([new, i[left]]), np.concatenate([i[right], new]))
+                k[np.concatenate([at, left])] = np.where(ranks < _NONE, ranks << 6 | np.concatenate([j, prior]), _NONE)
         return out
 
     def merge(self, word: bytes) -> list[int]:
@@ -259,23 +278,6 @@ class Run:
         return self.model.merge(self.held) if self.held else []
 
 
-class _Memo(dict):
-    """Word to its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        run = Run(self.model)
-        out = np.array(run.push(raw) + run.close(), "<u4").tobytes()
-        if len(raw) <= SHORT:
-            if len(self) >= MEMO // 2:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class Transducer:
     """Text in blocks to words, all of whose tokens are stable, and to the stable ids of a word that is still open."""
 
@@ -371,40 +373,54 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = Model(path)
-        self.memo = _Memo(self.model)
+        self.memo: dict[str, bytes] = {}  # word to its ids as little-endian unsigned 32-bit integers
         self.old: dict[str, bytes] = {}
 
     def _blocks(self, texts: Iterator[str | None]) -> Iterator[tuple[bytes, bool]]:
-        """Ids of each block, and whether its text ends with it. Some blocks are fed before their new words are merged at once."""
-        held: list[tuple[list[str | bytes], bool]] = []
+        """Ids of each block, and whether its text ends with it. Some blocks are fed before their new words are merged at once.
+
+        A block's words are looked up while they are fresh; what is held of it are ids, its gaps and what belongs there.
+        """
+        held: list[tuple[list[bytes | None], list[int], list[str | bytes], bool]] = []
         size = 0
         for text in texts:
             text, t = text or "", Transducer(self.model)
             for at in range(0, max(1, len(text)), BLOCK):
                 last = at + BLOCK >= len(text)
-                held.append((t.feed(text[at : at + BLOCK], last), last))
+                items = t.feed(text[at : at + BLOCK], last)
+                ids = list(map(self.memo.get, items))
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                held.append((ids, gaps, [items[i] for i in gaps], last))
                 size += min(BLOCK, len(text) - at)
                 if size >= GROUP:
                     yield from self._known(held)
                     held, size = [], 0
         yield from self._known(held)
 
-    def _known(self, held: list[tuple[list[str | bytes], bool]]) -> Iterator[tuple[bytes, bool]]:
-        memo = self.memo
-        new = [w for w in set().union(*(x for x, _ in held)) if type(w) is str and w not in memo]
-        if len(memo) + len(new) > MEMO // 2:  # words that come again stay; others go, and are merged again when they come
-            self.old = dict(memo)
-            memo.clear()
-            new = [w for w in set().union(*(x for x, _ in held)) if type(w) is str]
+    def _known(self, held: list[tuple[list[bytes | None], list[int], list[str | bytes], bool]]) -> Iterator[tuple[bytes, bool]]:
+        found = self._found({w for _, _, words, _ in held for w in words if type(w) is str})
+        for ids, gaps, words, last in held:
+            for i, w in zip(gaps, words):
+                ids[i] = w if type(w) is bytes else found[w]
+            yield b"".join(ids), last
+
+    def _found(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not in the newer half of the memory, which then keeps the short ones."""
+        if len(self.memo) + len(new) > MEMO // 2:  # words that come again stay; others go, and are merged again when they come
+            self.old, self.memo = self.memo, {}
         old = self.old
-        memo.update((w, old.pop(w)) for w in new if w in old)
-        words = [(w, r) for w in new if w not in memo and len(r := w.encode("utf-8", "surrogatepass")) <= SHORT]
-        memo.update(zip([w for w, _ in words], self.model.merge_many([r for _, r in words])))
-        for items, last in held:
-            if bytes in set(map(type, items)):
-                yield b"".join([x if type(x) is bytes else memo[x] for x in items]), last
-            else:
-                yield b"".join(map(memo.__getitem__, items)), last
+        found = {w: old.pop(w) for w in new if w in old}
+        words = [w for w in new if w not in found]
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [len(r) <= SHORT for r in raw]
+        found.update(zip(compress(words, short), self.model.merge_many(list(compress(raw, short)))))
+        self.memo.update(islice(found.items(), max(0, MEMO // 2 - len(self.memo))))
+        if not all(short):
+            for w, r in zip(words, raw):
+                if len(r) > SHORT:
+                    run = Run(self.model)
+                    found[w] = np.array(run.push(r) + run.close(), "<u4").tobytes()
+        return found
 
     def many(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
         """Of each text its ids as little-endian unsigned 32-bit integers, block after block; to be read to the end, one after the other."""

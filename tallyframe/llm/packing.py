@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import docs_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+_sum = itemgetter(0)
+
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
     """Partition item numbers into ``k`` parts with near-equal sums.
@@ -47,7 +50,7 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         over = max(0, len(a) + len(b) - k)  # parts that must be shared
         shared = [(a[len(a) - 1 - j][0] + b[len(b) - over + j][0], (a[len(a) - 1 - j][1], b[len(b) - over + j][1])) for j in range(over)]
-        parts = sorted(a[: len(a) - over] + b[: len(b) - over] + shared, key=lambda x: -x[0])
+        parts = sorted(a[: len(a) - over] + b[: len(b) - over] + shared, key=_sum, reverse=True)
         if len(parts) == k and (low := parts[-1][0]):
             spread = parts[0][0] - low
         else:

@@ -516,6 +516,33 @@ def test_an_encoder_leaves_a_worker_to_the_next_operator(spark, monkeypatch):
     assert bpe.encoder.cache_info().currsize == 0
 
 
+def test_merging_looks_up_merged_places_alone(monkeypatch):
+    e, r = bpe.Encoder(queries.vocabulary()), random.Random(31)
+    tokens = [t for t in e.model.bytes if 0 < len(t) < 12]
+    words = [bytes([97]) * n for n in range(bpe.SHORT + 1)] + [b"\0" * n for n in range(1, bpe.SHORT + 1)]
+    words += [b"".join(r.choice(tokens) for _ in range(r.randint(1, 6)))[: bpe.SHORT] for _ in range(3000)]
+    words += [bytes(r.randrange(256) for _ in range(r.randint(1, bpe.SHORT))) for _ in range(1000)]
+    asked, ranks = [], bpe.Model._ranks
+    monkeypatch.setattr(bpe.Model, "_ranks", lambda self, left, right: asked.append(len(left)) or ranks(self, left, right))
+    got = e.model.merge_many(words)
+    assert got == [np.array(e.model.merge(w), "<u4").tobytes() for w in words]
+    # A merge makes two new pairs; the pairs of bytes that a word begins with are looked up in a table of their own.
+    assert sum(asked) == 2 * sum(len(w) - len(x) // 4 for w, x in zip(words, got)) > 0
+
+
+def test_known_new_and_long_words_in_a_block(monkeypatch, tokenizer):
+    monkeypatch.setattr(bpe, "GROUP", 300)
+    monkeypatch.setattr(bpe, "MEMO", 60)
+    e, r = bpe.Encoder(queries.vocabulary()), random.Random(32)
+    words = ["the", " of", "<|endoftext|>", " ", "\n", "'s", "öl", "𝒳y", "\ufffd", "y" * 70, "z" * (bpe.SHORT - 1), ""]
+    words += [" " + "".join(r.choice("abcdeé") for _ in range(r.randint(2, 8))) for _ in range(50)]
+    for n in (0, 1, 5, 40):
+        texts = ["".join(r.choice(words) for _ in range(n)) for _ in range(40)] + [None, "x" * (bpe.BLOCK + 9) + " the"]
+        got = [np.frombuffer(b"".join(x), "<u4").tolist() for x in e.many(texts)]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(e.memo) <= 30 and len(e.old) <= 30
+
+
 def scorer_by_hand():
     count = collections.Counter()
     for w in ["the", "stupid", "idiot", "cretin", "ass", "assume", "stop", "star", "cat", "call", "rap", "crash", "class"] * 3:
