@@ -50,14 +50,15 @@ def discard(spark: SparkSession, path: str) -> None:
 HOT, SALTS = 500, 64  # keys that are dealt over several tasks, and over how many
 
 
-def hot_join(many: DataFrame, one: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], spread: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined to ``one``, which has each key once, with no task left with a frequent key.
 
     The ``HOT`` most frequent keys of ``many`` are dealt over ``SALTS`` tasks by a hash of the
     column ``spread``, and their rows of ``one`` copied there; any other key has less than a
-    ``HOT``-th of the rows. What is broadcast is that list, of bounded length.
+    ``HOT``-th of the rows. What is broadcast is that list, of bounded length. Keys are counted in
+    ``counted``, a table cheaper to read that has them as often; the list is planned twice.
     """
-    counts = many.groupBy(*on).agg(F.count("*").alias("hot_n")).where("hot_n > 1000")
+    counts = (many if counted is None else counted).groupBy(*on).agg(F.count("*").alias("hot_n")).where("hot_n > 1000")
     hot = F.broadcast(counts.orderBy(F.desc("hot_n"), *on).limit(HOT))
     salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.explode(F.sequence(F.lit(0), F.when(F.col("hot_n").isNotNull(), SALTS - 1).otherwise(0)))

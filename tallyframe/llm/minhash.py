@@ -250,23 +250,24 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, comp: the least id of each node's connected component, by alternating large and small stars.
 
-    Only the sums of what changed reach the driver; no node's neighbours are gathered.
+    Only the sums of what changed reach the driver; no node's neighbours are gathered. Each star is
+    stored by itself, as a plan repeats its inputs at each use, and the driver holds all of it.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    turned = lambda df, *ways: df.select(F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ways)))).where("u <> v")
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = turned(edges, ("u", "v"), ("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = stored(edges.join(least, "v").select("u", F.col("m").alias("v")).distinct(), "stars")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(down, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "stars")
+        edges = stored(turned(large.join(down, "u"), ("v", "m"), ("u", "m")).distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()).distinct()
+    # Now every edge leads to a root, which is no edge's upper end.
+    ends = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("comp")), F.struct(F.col("v").alias("id"), F.col("v").alias("comp")))
+    return stored(edges.select(F.inline(ends)).distinct(), "comps")
 
 
 def _placed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -286,10 +287,11 @@ def _pivoted(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> Dat
     """a, b: links of each bucket's members with its pivot, a member of a component drawn by ``turn``."""
     pivot = placed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "id", "one", "two")).alias("p"))
     pairs = placed.join(pivot, ["band", "key"]).where("comp <> p.comp")
-    pairs = pairs.select("id", "one", "two", F.col("p.id").alias("b"), F.col("p.one").alias("p_one"), F.col("p.two").alias("p_two")).distinct()
+    # Stored before the sets come in: the join below reads them three times.
+    pairs = stored(pairs.select("id", "one", "two", F.col("p.id").alias("b"), F.col("p.one").alias("p_one"), F.col("p.two").alias("p_two")).distinct(), "pairs")
     full = sets.select("id", "one", "two", "set")
-    pairs = pairs.join(full, ["id", "one", "two"]).select(F.col("id").alias("a"), "b", "p_one", "p_two", "set")
-    return _verified(hot_join(pairs, full.toDF("b", "p_one", "p_two", "other"), ["b", "p_one", "p_two"], "a"), percent)
+    wide = pairs.join(full, ["id", "one", "two"]).select(F.col("id").alias("a"), "b", "p_one", "p_two", "set")
+    return _verified(hot_join(wide, full.toDF("b", "p_one", "p_two", "other"), ["b", "p_one", "p_two"], "a", counted=pairs), percent)
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
@@ -317,7 +319,7 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Bands that gather the same classes are one bucket, the first of them.
     buckets = buckets.groupBy("n", "total", "who", "low").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
     members = stored(keyed.join(buckets, ["band", "key"]), "members")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    ids = stored(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
     # The exact semi-join is of sets: one of texts would be moved below the bitmap's join.
     sets = _sets(likely(docs_of(docs), ids)).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").groupBy("id", "one", "two").agg(F.first("set").alias("set"))
     sets = stored(sets.join(classes.select("one", "two", "sketch"), ["one", "two"]), "sets")
@@ -326,14 +328,19 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     apart = stored(_apart(_placed(members, comp)), "apart")
     # Buckets larger than a block get more pivots while these connect something.
     for turn in range(1, PIVOTS):
-        more = stored(_pivoted(apart.where(F.col("n") > SIDE), sets, turn, percent), "links")
+        large = apart.where(F.col("n") > SIDE)
+        if large.isEmpty():
+            break
+        more = stored(_pivoted(large, sets, turn, percent), "links")
         if more.isEmpty():
             break
         edges = edges.unionByName(more)
         comp = components(edges)
         apart = stored(_apart(_placed(apart.drop("comp"), comp)), "apart")
-    more = stored(_links(_blocks(apart).join(sets, ["id", "one", "two"]).drop("one", "two"), percent), "links")
-    comp = components(edges.unionByName(more))
+    if not apart.isEmpty():
+        more = stored(_links(_blocks(apart).join(sets, ["id", "one", "two"]).drop("one", "two"), percent), "links")
+        if not more.isEmpty():
+            comp = components(edges.unionByName(more))
     out = profile.join(classes.select("one", "two", "id"), ["one", "two"], "left").join(comp, "id", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
     out = stored(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("own")), "owns")

@@ -593,6 +593,28 @@ def test_minhash_bitmap_loses_no_candidate(spark):
     assert minhash.likely(docs, ids.limit(0)).count() == 0
 
 
+def test_near_duplicate_plans_are_small_for_the_driver(docs, rows, monkeypatch):
+    seen, stored = {}, minhash.stored
+
+    def watched(df, name, path=None):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[name] = max(seen.get(name, 0), len(re.findall(r"\bExchange|\bBroadcastExchange", plan)))
+        return stored(df, name, path)
+
+    monkeypatch.setattr(minhash, "stored", watched)
+    got = minhash.link(docs, 80).collect()
+    assert len(got) == len(rows) and sum(not x.kept for x in got if x.doc_id is not None) > 40
+    assert {"stars", "links", "sets"} <= set(seen)
+    assert max(seen.values()) <= 12, seen
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(2002, 2001), (2001, 2002), (3000, 3000)]
+    got = {x.id: x.comp for x in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(40)} | {2001: 2001, 2002: 2001}
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_between_80_and_85_percent(spark):
     import corpus_pipeline
 
