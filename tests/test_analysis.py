@@ -202,6 +202,40 @@ def test_partial_payments_equal_the_walk(spark):
     assert transfers.partial_payments(few, used, accounts).count() == 0  # no signal, no proposal
     assert transfers.partial_payments(few.limit(0), used, accounts).count() == 0
 
+def many_equal_rows(spark, n=1200):
+    """A ledger in which few amounts, days, accounts and texts make many rows alike."""
+    r = random.Random(9)
+    text = lambda: r.choice(["AUTOPAY 9012", "XFER 4821", "SHOP", "CARDINAL ONLINE PMT"])
+    rows = [(i, r.choice("ab"), DAY(2026, 1, r.randint(1, 9)), -r.choice([500, 700]), text(), "m", r.choice([None, "chk"]), i % 31 == 0, False, None) for i in range(n)]
+    rows += [(n + i, r.choice("cb"), DAY(2026, 1, r.randint(1, 9)), r.choice([500, 700]), text(), "m", None, False, False, None) for i in range(n)]
+    rows = [(i, a, day, x, t, t.lower(), m, p, e, f) for i, a, day, x, t, m, _, p, e, f in rows]
+    r.shuffle(rows)
+    accounts = spark.createDataFrame([("a", "checking", None, "4821"), ("b", "checking", "", ""), ("c", "credit_card", "Cardinal Bank", "9012")], "account string, account_type string, institution string, last4 string")
+    rules = spark.createDataFrame([("r2", "SHOP", "a", "c"), ("r1", "SH", "a", "c"), ("r3", "XFER", "b", "c")], "rule string, pattern string, debit_account string, credit_account string")
+    spending = spark.createDataFrame([(i,) for i in range(0, 2 * n, 10)], "id long")
+    series = spark.createDataFrame([("m", "b")], "merchant string, account string")
+    return spark.createDataFrame(rows, TRANSFERS), (accounts, rules, spending, series)
+
+
+def test_equal_rows_are_matched_without_their_pairs(spark, monkeypatch):
+    ledger, known = many_equal_rows(spark, 300)
+    pairs = transfers.candidates(ledger)
+    all_pairs = transfers.scored(pairs, ledger, *known)
+    seen, real = [], transfers.assign_cells
+    monkeypatch.setattr(transfers, "assign_cells", lambda p, *a: seen.append(p.count()) or real(p, *a))
+    got = transfers.matched_candidates(ledger, *known)
+    want = transfers.matched(all_pairs, ledger)
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect())
+    assert plain(got) == plain(want) and len(plain(got)) > 100
+    assert seen[0] * 2 < all_pairs.count()
+    assert plain(transfers.scored_candidates(ledger, *known)) == plain(all_pairs)
+
+
+def test_large_amounts_add_up(spark):
+    assert transfers._subset([2**62, 2**61, 2**62 - 1], 2**62 + 2**61 - 1, ["a"] * 3) == [1, 2]
+    assert transfers._subset([3, 3, 3, 6], 6, ["a", "b", "a", "a"]) is None and transfers._subset([4, 1, 2, 3], 7, ["a"] * 4) == [0, 3]
+    assert transfers._subset([], 5, []) is None and transfers._subset([1, 1, 3], 5, ["a"] * 3) == [0, 1, 2]
+
 
 def test_an_empty_institution_names_nothing(spark):
     t = spark.createDataFrame([("", "PAY X"), (None, "PAY X"), ("The Bank", "THE BANK"), ("Cardinal Bank", "PAY CARDINAL-CARD"), ("Cardinal Bank", "CARDINALS"), ("Of And", "PAY")], "institution string, text string")

@@ -100,3 +100,20 @@ def test_near_duplicates_keep_their_key(spark):
     rows = spark.createDataFrame([(1, "a", "k", datetime.date(2026, 1, 5), -500)], "id long, account string, key string, date date, cents long")
     new = rows.selectExpr("id + 10 as id", "account", "key", "date_add(date, 2) as date", "cents - 10 as cents")
     assert [tuple(r) for r in matching.near_duplicates(rows, new).collect()] == [("a", "k", 11, 1, -10)]
+
+
+def test_a_key_stays_in_one_task_after_a_join_by_it(spark):
+    """Spark may leave out a shuffle by the key of a join, then read the join's input where it lies."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 10).cast("string").alias("owner"), "id")
+        both = rows.groupBy("owner").agg(F.max("id").alias("most")).where("most > 5").select("owner")
+        got = walks.gathered(rows.join(both, "owner", "left_semi"), ["owner"], [], lambda own: [{"owner": own[0]["owner"], "n": len(own)}], "owner string, n int").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.owner, r.n) for r in got) == [(str(k), 400) for k in range(10)]
