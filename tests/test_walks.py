@@ -117,3 +117,17 @@ def test_a_key_stays_in_one_task_after_a_join_by_it(spark):
         for k in conf:
             spark.conf.unset(k)
     assert sorted((r.owner, r.n) for r in got) == [(str(k), 400) for k in range(10)]
+
+
+def test_cells_are_walked_as_their_rows(spark):
+    """Against the plain walk over all rows' pairs: cells of several rows, competing within and across cells."""
+    r = random.Random(8)
+    cells = [(k, 100 * k + j, j % 2) for k in range(3) for j in range(12)]  # key, cell, side
+    rows = [(k, c, 10_000 * side + r.randrange(10**6) * 100_000 + c) for k, c, side in cells for _ in range(r.randint(1, 9))]
+    pairs = [(a, b, r.randrange(3), k) for k, a, s in cells for q, b, t in cells if k == q and s == 0 and t == 1 and r.random() < 0.6]
+    ids = {}
+    for _, c, i in rows:
+        ids.setdefault(c, []).append(i)
+    want = plain([(d, e, far, 0) for a, b, far, _ in pairs for d in ids[a] for e in ids[b]])
+    got = walks.assign_cells(spark.createDataFrame(pairs, PAIRS), spark.createDataFrame([(k, c, i) for k, c, i in rows], "cents long, cell long, id long").repartition(3), "cents", ["far"])
+    assert got.columns == ["debit", "credit", "far", "cents"] and len(want) > 20 and taken(got) == want
