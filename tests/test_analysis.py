@@ -231,6 +231,14 @@ def test_equal_rows_are_matched_without_their_pairs(spark, monkeypatch):
     assert plain(transfers.scored_candidates(ledger, *known)) == plain(all_pairs)
 
 
+def test_scores_of_candidates_shuffle_no_pairs(spark):
+    """The pairs leave the join that makes them; before, they were joined with their debits, then their credits."""
+    ledger, known = many_equal_rows(spark, 30)
+    plan = transfers.scored_candidates(ledger, *known)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join Inner")]
+    assert "Join" not in top and "Aggregate" not in top and "gap" not in plan[plan.index("Join Inner") + 1 :].split("explode")[-1]
+
+
 def test_large_amounts_add_up(spark):
     assert transfers._subset([2**62, 2**61, 2**62 - 1], 2**62 + 2**61 - 1, ["a"] * 3) == [1, 2]
     assert transfers._subset([3, 3, 3, 6], 6, ["a", "b", "a", "a"]) is None and transfers._subset([4, 1, 2, 3], 7, ["a"] * 4) == [0, 3]
