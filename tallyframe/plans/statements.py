@@ -130,7 +130,7 @@ def s13_statement_rows(spark, d):
 g AS (SELECT path, count(balance_cents) AS n, count(up) AS checked, CAST(sum(CAST(up AS INT)) AS BIGINT) AS up, CAST(sum(CAST(down AS INT)) AS BIGINT) AS down FROM r GROUP BY path)
 SELECT path, CASE WHEN n < 2 THEN 'unavailable' WHEN checked > 0 AND least(up, down) = 0 THEN 'reconciled' ELSE 'mismatch' END AS status, CASE WHEN n >= 2 THEN CASE WHEN coalesce(up <= down, TRUE) THEN 'ascending' ELSE 'descending' END END AS direction, CASE WHEN n >= 2 THEN checked END AS checked, CASE WHEN n >= 2 THEN coalesce(least(up, down), 0) END AS failures FROM g""")
 def p13_balance_check(spark, d):
-    return statements.balance_check(statements.ledger_rows(_records(spark, d), PROFILE))
+    return statements.balance_check_in_order(statements.read(_statements(spark, d), ",", PROFILE))
 
 
 _E = "SELECT event_id AS id, event_type AS account, CAST(ts AS DATE) AS date, CAST(round(value * 100) AS BIGINT) * (CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) AS cents, user_id AS merchant FROM events"

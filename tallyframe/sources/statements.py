@@ -6,12 +6,16 @@ of one file, run in tasks; everything after is by DataFrame expressions over its
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +50,17 @@ def decode(content: bytes) -> str:
         return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in content)
 
 
+@functools.cache
+def _cell_pattern(delimiter: str) -> re.Pattern:
+    d = re.escape(delimiter)
+    return re.compile(rf'(?:^|{d})(?:(?!")([^{d}]*)|"((?:[^"]++|"")*+)(?:"|$)([^{d}]*))')
+
+
 def _cells(record: str, delimiter: str) -> list[str]:
     """A quote opens a quoted part at the start of a cell only; two quotes inside are one."""
-    out = []
-    for bare, quoted, rest in re.findall(rf'(?:^|{re.escape(delimiter)})(?:(?!")([^{re.escape(delimiter)}]*)|"((?:[^"]|"")*)(?:"|$)([^{re.escape(delimiter)}]*))', record):
-        out.append(bare or quoted.replace('""', '"') + rest)
-    return out
+    if '"' not in record:
+        return record.split(delimiter)
+    return [bare or quoted.replace('""', '"') + rest for bare, quoted, rest in _cell_pattern(delimiter).findall(record)]
 
 
 def records(found: DataFrame, delimiter: str | None) -> DataFrame:
@@ -84,12 +93,16 @@ def filled(rows: DataFrame) -> DataFrame:
     return rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
 
 
+@functools.cache
+def _record_pattern(delimiter: str) -> re.Pattern:
+    d = re.escape(delimiter)
+    cell = rf'(?:"(?:[^"]++|"")*+(?:"[^{d}\r\n]*|$)|(?!")[^{d}\r\n]*)'
+    return re.compile(rf"({cell}(?:{d}{cell})*)(\r\n|\n|\r|$)")
+
+
 def _split(whole: str, delimiter: str) -> Iterator[tuple[str, str]]:
     """(text, its line break) of each record; line breaks inside quotes belong to the record."""
-    d = re.escape(delimiter)
-    cell = rf'(?:"(?:[^"]|"")*(?:"[^{d}\r\n]*|$)|(?!")[^{d}\r\n]*)'
-    one = re.compile(rf"({cell}(?:{d}{cell})*)(\r\n|\n|\r|$)")
-    at = 0
+    one, at = _record_pattern(delimiter), 0
     while at < len(whole):
         m = one.match(whole, at)
         yield m.group(1), m.group(2)
@@ -194,6 +207,12 @@ def ledger_rows(rows: DataFrame, profile: dict) -> DataFrame:
     missing = F.lit(False)
     for role in names:
         missing = missing | (place(role) == 0)
+    return _typed(data, profile, cell, missing)
+
+
+def _typed(data: DataFrame, profile: dict, cell: Callable[[str], Column], missing: Column) -> DataFrame:
+    """Ledger rows of path, row_index, line and the texts that ``cell`` gives for a role."""
+    names = profile["columns"]
     date = dates.effective(dates.parse(cell("transaction_date"), profile["date_format"]), dates.parse(cell("posted_date"), profile["date_format"]))
     if "amount" in names:
         amount = money.parse(cell("amount"))
@@ -209,6 +228,78 @@ def ledger_rows(rows: DataFrame, profile: dict) -> DataFrame:
     return out.drop("missing")
 
 
+#: Characters of a file up to which its records are kept, so that it is split once; a larger one is split twice.
+KEPT = 4_000_000
+_NUMBER = re.compile(r"[-+$(]?[0-9.,/\\-]+\)?(?:\r\n|[\n\r\u0085\u2028\u2029])?")
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _token(cell: str) -> str:
+    """:func:`tokens` of one cell."""
+    return re.sub("[^a-z0-9 ]", "", _BLANKS.sub(" ", cell.removeprefix("\ufeff").strip(" ").lower())).strip(" ")
+
+
+def _lines(whole: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
+    """(line, cells) of the records that are not blank."""
+    line = 1
+    for raw, end in _split(whole, delimiter):
+        cells = _cells(raw, delimiter)
+        if any(c.strip(" ") for c in cells):
+            yield line, cells
+        line += len(re.findall(r"\r\n|\n|\r", raw + end)) if '"' in raw else len(end) > 0
+
+
+def _below(whole: str, delimiter: str, skip: int | None, headed: bool) -> tuple[list[str], Iterator[tuple[int, list[str]]]] | None:
+    """(header cells, the records below) of one file, by the rules of :func:`header` and :func:`ledger_rows`; None without a header."""
+    found = list(_lines(whole, delimiter)) if len(whole) <= KEPT else None
+    every = lambda: iter(found) if found is not None else _lines(whole, delimiter)
+    if skip is not None or not headed:
+        rest = itertools.islice(every(), skip or 0, None)
+        if not headed:
+            return [], rest
+        top = next(rest, None)
+        return top and (top[1], rest)
+    widths = Counter(len(c) for _, c in every() if len(c) >= 2)
+    if not widths:
+        return None
+    width = max(widths.items(), key=lambda w: (w[1], w[0]))[0]
+    rest = every()
+    for _, cells in rest:
+        full = [c.strip(" ") for c in cells if c.strip(" ")]
+        if len(cells) == width and sum(_NUMBER.fullmatch(c) is not None for c in full) * 2 < len(full):
+            return cells, rest
+    return None
+
+
+def read(found: DataFrame, delimiter: str, profile: dict) -> DataFrame:
+    """:func:`ledger_rows` of files (path, content) straight from their bytes: a task finds a file's header and the cells of each role, and nothing is shuffled."""
+    names, skip, headed = profile["columns"], profile.get("skip_lines"), profile.get("has_header", True)
+    roles = list(names)
+    kinds = pa.schema([("path", pa.string()), ("row_index", pa.int32()), ("line", pa.int32()), ("missing", pa.bool_()), *((f"role_{r}", pa.string()) for r in roles)])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds.types)], schema=kinds)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                got = _below(decode(content or b"").removeprefix("\ufeff"), delimiter, skip, headed)
+                if got is None:
+                    continue
+                told = [_token(c) for c in got[0]]
+                wanted = [names[r] if isinstance(names[r], int) else told.index(t) if (t := _token(names[r])) in told else -1 for r in roles]
+                missing = -1 in wanted
+                for n, (line, cells) in enumerate(got[1]):
+                    rows.append((path, n, line, missing, *((cells[k].strip(" ") or None) if 0 <= k < len(cells) else None for k in wanted)))
+                    if len(rows) >= HELD:
+                        yield batch_of()
+                        rows = []
+        yield batch_of()
+
+    ddl = "path string, row_index int, line int, missing boolean" + "".join(f", role_{r} string" for r in roles)
+    data = found.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(split, ddl)
+    return _typed(data, profile, lambda role: F.col(f"role_{role}") if role in names else F.lit(None).cast("string"), F.col("missing"))
+
+
 def warnings(rows: DataFrame) -> DataFrame:
     """path, row_index, warning of ledger rows; a repeat of an earlier row points at its first."""
     by = Window.partitionBy("path", "date", "cents", text.collapse(F.col("description"))).orderBy("row_index")
@@ -235,7 +326,10 @@ def balance_check(rows: DataFrame, key: str = "path", order: str = "row_index")
     step = F.col("balance_cents") - F.lag("balance_cents").over(by)
     back = F.col("balance_cents") - F.lead("balance_cents").over(by)
     r = r.withColumns({"up": (step != F.col("cents")).cast("int"), "down": (back != F.col("cents")).cast("int")})
-    g = r.groupBy(key).agg(F.count("balance_cents").alias("n"), F.count("up").alias("checked"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return _balance_told(r.groupBy(key).agg(F.count("balance_cents").alias("n"), F.count("up").alias("checked"), F.sum("up").alias("up"), F.sum("down").alias("down")), key)
+
+
+def _balance_told(g: DataFrame, key: str) -> DataFrame:
     least, enough = F.least("up", "down"), F.col("n") >= 2
     ok = (F.col("checked") > 0) & (least == 0)
     status = F.when(~enough, "unavailable").when(ok, "reconciled").otherwise("mismatch")
@@ -243,6 +337,47 @@ def balance_check(rows: DataFrame, key: str = "path", order: str = "row_index")
     return g.select(key, status.alias("status"), F.when(enough, direction).alias("direction"), F.when(enough, F.col("checked")).alias("checked"), F.when(enough, F.coalesce(least, F.lit(0).cast("long"))).alias("failures"))
 
 
+def balance_check_in_order(rows: DataFrame) -> DataFrame:
+    """:func:`balance_check` of rows as :func:`read` leaves them, a file's together and in order: no shuffle, no sort."""
+    kinds = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("n", "checked", "up", "down"))])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before, open_counts = None, (0, False, 0), np.zeros(4, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            path = b.column("path")
+            cents, balance = (pc.fill_null(b.column(c), 0).to_numpy() for c in ("cents", "balance_cents"))
+            there = pc.is_valid(b.column("balance_cents")).to_numpy(zero_copy_only=False)
+            same = np.empty(b.num_rows, bool)  # as the row before
+            same[0] = last is not None and path[0].as_py() == last
+            same[1:] = pc.equal(path.slice(1), path.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            old = [np.concatenate(([x], y[:-1])) for x, y in zip(before, (balance, there, cents))]
+            both = same & there & old[1].astype(bool)
+            step = balance - old[0]
+            counts = np.stack([there, both, both & (step != cents), both & (-step != old[2])]).astype(np.int64)
+            starts = np.flatnonzero(~same)
+            names, sums = [], np.zeros((4, 0), np.int64)
+            if len(starts):
+                open_counts += counts[:, : starts[0]].sum(1)
+                sums = np.add.reduceat(counts, starts, axis=1)
+                sums = np.concatenate((open_counts[:, None], sums), axis=1)
+                names = [last, *path.take(pa.array(starts)).to_pylist()]
+                last, open_counts = names.pop(), sums[:, -1].copy()
+                sums = sums[:, :-1]
+                if names[0] is None:
+                    names, sums = names[1:], sums[:, 1:]
+            else:
+                open_counts += counts.sum(1)
+            before = (balance[-1], there[-1], cents[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, sums)], schema=kinds)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), *(pa.array([x]) for x in open_counts)], schema=kinds)
+
+    told = rows.select("path", "cents", "balance_cents", "error").mapInArrow(lambda batches: check(b.filter(pc.is_null(b.column("error"))) for b in batches), "path string, n long, checked long, up long, down long")
+    return _balance_told(told, "path")
+
+
 def sign_check(rows: DataFrame, key: str = "path", account_type: str | None = "checking") -> DataFrame:
     """key of deposit accounts most of whose balances, of three at least, are below zero; none for other accounts, whose balances are debts."""
     if account_type not in ("checking", "savings"):

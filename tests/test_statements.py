@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,23 @@ def test_ledger_rows(spark):
 def test_decoding():
     assert statements.decode("é".encode()) == "é"
     assert statements.decode(b"\x93\x81\xe9") == "“\x81é"
+
+
+def test_files_are_read_and_checked_in_one_pass(spark, monkeypatch):
+    """Against records, header and rows one after the other; files cross batches, and a large one is split twice."""
+    r = random.Random(5)
+    odd = ["Date", "Amount", "", "  ", '"a, ""b"""', '"two\nlines"', "﻿Date", '"open', "12\n", "Ämount", '"5"\r\n', "(3.00)", "x"]
+    row = lambda: ",".join([r.choice(["01/02/2026", "13/13/2026"]), r.choice(["a", '"b, c"', '"d\n""e"']), r.choice(["1.00", "-1.00", "bad"]), r.choice(["", "5.00", "6.00", "4.00"]), "posted"])
+    files = [(f"f{k}", [",".join(r.choice(odd) for _ in range(r.choice([1, 3, 5]))) for _ in range(r.randint(0, 2))] + r.choice([["Date,Description,Amount,Balance,Status"], ["Balance,Date,Status,Amount,Description"], []]) + [row() for _ in range(r.randint(0, 12))]) for k in range(60)]
+    found = spark.createDataFrame([(p, bytearray(r.choice(["\n", "\r\n"]).join(t).encode())) for p, t in files] + [("n", None)], "path string, content binary").repartition(3)
+    told = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(statements, "KEPT", 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for profile in (PROFILE, PROFILE | {"skip_lines": 1}, {"date_format": "MM/DD/YYYY", "has_header": False, "columns": {"transaction_date": 0, "description": 1, "amount": 2, "balance": 3}}):
+            want = statements.ledger_rows(statements.records(found, ","), profile)
+            got = statements.read(found, ",", profile)
+            assert got.dtypes == want.dtypes and told(got) == told(want) and got.count() > 100
+            assert told(statements.balance_check_in_order(got)) == told(statements.balance_check(want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
