@@ -146,3 +146,17 @@ def test_emission_by_cells(spark):
         assert [x.subject for x in kept.where(F.col("rule") == rule).orderBy("place").collect()] == [s for _, s in own[: findings.BUDGET]]
         [told] = rest.where(F.col("rule") == rule).collect()
         assert (told.suppressed, told.below_annual) == (len(own) - findings.BUDGET, -own[findings.BUDGET - 1][0])
+
+
+def test_links_meet_their_pair_id_without_their_names(spark):
+    """Shuffles by the name of a link carry all links' names; their groups tell as much."""
+    ledger = spark.createDataFrame([(k, "ab"[k % 2], True, "x") for k in range(6)], "id long, account string, transfer boolean, pair string")
+    links = spark.createDataFrame([("x", 0, 1, 5, "auto", 1), ("y", 2, 3, 5, "proposed", 1), ("z", 2, 4, 5, "confirmed", 0)], LINKS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (*transfers.relinked(ledger, links, links.select("debit", "credit", "score", "state"), F.lit(9)), *transfers.without_self_links(ledger, links)):
+            assert "hashpartitioning(link" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [(r.id, r.pair) for r in transfers.without_self_links(ledger, links)[0].orderBy("id").collect()] == [(k, "x") for k in range(6)]
+        assert {r.link for r in transfers.without_self_links(ledger, links)[1].collect()} == {"x", "y"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
